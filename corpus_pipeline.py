@@ -1,12 +1,61 @@
-"""Corpus pipeline: language ID, near-duplicate join, repeated-passage removal, mixing, tokens."""
+"""Corpus pipeline over documents: language ID, n-gram Jaccard join, suffix-array dedup, mixing, BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.llm.bpe import bpe_digests
+from weft.llm.common import crc_mod, materialize
+from weft.llm.jaccard import jaccard_components
+from weft.llm.langid import identify, train_on
+from weft.llm.mixing import mix_sources
+from weft.llm.suffix_dedup import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document goes if no learned language reaches this mean posterior.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those that no language explains; learns as op8 does."""
+    docs = docs.select(*COLUMNS)
+    model = train_on(docs.where(F.expr(crc_mod("doc_id", 5)) != 0))
+    return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each group of linked ones."""
+    comps = jaccard_components(docs)
+    keep = comps.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of the texts (halves of characters too); documents that become empty go."""
+    cut = remove_repeats(docs.select(*COLUMNS))
+    return cut.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))).where("n_removed = 0 or length(text) > 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    mixed = mix_sources(docs.select(*COLUMNS)).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each document's tokens, and the digest of what they decode to."""
+    import public_tokenizers
+
+    return bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
-from weft.llm.common import materialize
 
-STAGES: list = []
+STAGES = [("language id", language_id), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("source mix", source_mix), ("tokens", tokens)]
+#: Learning, components and systematic rounding have no SQL here; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

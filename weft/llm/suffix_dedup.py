@@ -400,7 +400,7 @@ def _spans(table: pa.Table) -> pa.Table:
 
 
 def _cut(text_at: int, names: list[str]):
-    """Appends n_bytes, n_removed, n_spans, kept, kept_sha256 to each row."""
+    """Appends n_bytes, n_removed, n_spans, kept, kept_text (without halves of characters), kept_sha256 to each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -420,13 +420,13 @@ def _cut(text_at: int, names: list[str]):
                     rest = b"".join(bytes(text[a:b]) for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)], strict=True))
                 kept.append(rest)
                 sha.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(names))), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha)], [*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(names))), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(sha, pa.string())], [*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"])
 
     return rows
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept (binary: the bytes left) and kept_sha256.
+    """docs with n_bytes, n_removed, n_spans, kept (binary: the bytes left), kept_text and kept_sha256.
 
     Removed is each byte covered by a string of `length` bytes that starts anywhere else as well, judged on the input.
     """
@@ -454,4 +454,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     joined = source.join(spans, (source["_weft_k1"] == spans["k1"]) & (source["_weft_k2"] == spans["k2"]), "left").select(*names, "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
-    return joined.mapInArrow(_cut(text_at, names), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(_cut(text_at, names), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
