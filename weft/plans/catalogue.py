@@ -1,11 +1,508 @@
-"""Query catalogue of the engine's own operators."""
+"""Query catalogue: every operator on whole tables, with SQL for the same rows where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import bulk, cluster, features, filters, hierarchy, linear, matching, merge, replicate, simulate, stability, stats, validate
+from ..sources import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+D, C, S, P, L = V.DENSE_SQL, V.COUNTS_SQL, V.SPARSE_SQL, V.SUPPLIER_SQL, V.CELLS_SQL
+#: Of the dense view, genes 0..31 are controls.
+CONTROLS = np.arange(64) < 32
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(column, digits: int = 6):
+    return F.round(column, digits) + F.lit(0.0)
+
+
+def shown(df: DataFrame, *keys: str, value: str = "value") -> DataFrame:
+    return df.select(*keys, r(value).alias(value))
+
+
+# scans, validation
+
+
+@query(f"WITH {D} SELECT cell_id, gene_id, round(value, 6) + 0.0 AS value FROM expr")
+def scan_dense(spark, d):
+    return shown(V.dense(spark, d), "cell_id", "gene_id")
+
+
+@query(f"""WITH {C}, {L} SELECT 'duplicate_cell' AS "check", (SELECT count(*) FROM (SELECT cell_id FROM cells GROUP BY 1 HAVING count(*) > 1)) AS n
+UNION ALL SELECT 'missing_batch', count(*) FILTER (batch IS NULL) FROM cells UNION ALL SELECT 'missing_cell_type', count(*) FILTER (cell_type IS NULL) FROM cells
+UNION ALL SELECT 'cell_without_row', count(*) FROM cells WHERE cell_id NOT IN (SELECT cell_id FROM expr)
+UNION ALL SELECT 'row_without_cell', count(DISTINCT cell_id) FROM expr WHERE cell_id NOT IN (SELECT cell_id FROM cells)
+UNION ALL SELECT 'not_finite', count(*) FILTER (value IS NULL OR NOT isfinite(value)) FROM expr""")
+def input_violations(spark, d):
+    return validate.violations(V.counts(spark, d), V.customers(spark, d))
+
+
+# filters and set operations
+
+
+@query(f"WITH {C} SELECT cell_id, gene_id, value FROM expr WHERE cell_id IN (SELECT cell_id FROM expr GROUP BY 1 HAVING sum(value) <> 0) AND gene_id IN (SELECT gene_id FROM expr GROUP BY 1 HAVING sum(value) <> 0)")
+def zero_gene_cell_drop(spark, d):
+    return filters.drop_zero(V.counts(spark, d)).select("cell_id", "gene_id", "value")
+
+
+@query(f"WITH {C}, {L} SELECT cell_id FROM cells WHERE cell_id IN (SELECT cell_id FROM expr GROUP BY 1 HAVING sum(value) <> 0)")
+def zero_cell_drop(spark, d):
+    kept = filters.drop_zero(V.counts(spark, d), genes=False).select("cell_id")
+    return V.customers(spark, d).select("cell_id").join(kept, "cell_id", "left_semi")
+
+
+ZERO_BATCH = f"""{S}, {L}, size AS (SELECT batch, count(*) AS n FROM cells GROUP BY 1), nz AS (SELECT batch, gene_id, count(*) AS nnz FROM expr JOIN cells USING (cell_id) WHERE value <> 0 GROUP BY 1, 2),
+zf AS (SELECT size.batch, g.gene_id, 1 - coalesce(nnz, 0) / n AS zero_fraction FROM size CROSS JOIN (SELECT DISTINCT gene_id FROM expr) g LEFT JOIN nz ON nz.batch = size.batch AND nz.gene_id = g.gene_id)"""
+ZERO_ALL = "za AS (SELECT gene_id, 1 - count(*) / (SELECT count(*) FROM cells) AS zero_fraction FROM expr WHERE value <> 0 GROUP BY 1)"
+
+
+@query(f"WITH {ZERO_BATCH} SELECT batch, gene_id, round(zero_fraction, 6) + 0.0 AS zero_fraction FROM zf")
+def zero_fraction_by_batch(spark, d):
+    return shown(filters.zero_fraction(V.counts(spark, d, True), V.customers(spark, d), "batch"), "batch", "gene_id", value="zero_fraction")
+
+
+@query(f"WITH {S}, {L}, {ZERO_ALL} SELECT gene_id FROM za WHERE round(zero_fraction, 9) <= 0.8")
+def gene_qc_filter(spark, d):
+    return filters.expressed(V.counts(spark, d, True), V.customers(spark, d), 0.8)
+
+
+@query(f"WITH {ZERO_BATCH}, good AS (SELECT gene_id FROM zf WHERE round(zero_fraction, 9) <= 0.9 GROUP BY 1 HAVING count(DISTINCT batch) = (SELECT count(DISTINCT batch) FROM cells)) SELECT cell_id, gene_id, value FROM expr WHERE gene_id IN (SELECT gene_id FROM good)")
+def combine_intersect(spark, d):
+    return filters.combine(V.counts(spark, d, True), V.customers(spark, d), "intersect", batch_cut=0.1).select("cell_id", "gene_id", "value")
+
+
+@query(f"WITH {ZERO_BATCH}, {ZERO_ALL}, good AS (SELECT DISTINCT gene_id FROM zf WHERE round(zero_fraction, 9) <= 0.9 AND gene_id IN (SELECT gene_id FROM za WHERE round(zero_fraction, 9) <= 0.8)) SELECT cell_id, gene_id, value FROM expr WHERE gene_id IN (SELECT gene_id FROM good)")
+def combine_union(spark, d):
+    return filters.combine(V.counts(spark, d, True), V.customers(spark, d), "union", batch_cut=0.1, overall_cut=0.2).select("cell_id", "gene_id", "value")
+
+
+@query(f"WITH {S} SELECT DISTINCT gene_id, gene_id LIKE 'Brand#1%' AS is_ctl FROM expr")
+def control_mask(spark, d):
+    genes = V.counts(spark, d, True).select("gene_id").distinct()
+    return filters.control_mask(genes, genes.where(F.col("gene_id").startswith("Brand#1")))
+
+
+@query(f"WITH {S} SELECT cell_id, gene_id, value FROM expr WHERE gene_id LIKE 'Brand#1%' AND value <> 0")
+def subset_genes(spark, d):
+    expr = filters.sparse(filters.finite(V.counts(spark, d, True)))
+    return filters.subset(expr, expr.select("gene_id").where(F.col("gene_id").startswith("Brand#1"))).select("cell_id", "gene_id", "value")
+
+
+@query(f"WITH {L} SELECT sample, CAST(dense_rank() OVER (ORDER BY sample) AS INTEGER) AS sample_no, condition, count(*) AS cells FROM (SELECT batch || '_' || condition AS sample, condition FROM cells) GROUP BY sample, condition")
+def condition_samples(spark, d):
+    return bulk.sample_column(V.customers(spark, d)).groupBy("sample", "sample_no", "condition").agg(F.count("*").alias("cells"))
+
+
+# normalisation and statistics
+
+
+@query(f"WITH {C} SELECT cell_id, gene_id, round(log2(value + 1), 6) AS value FROM expr")
+def log_counts(spark, d):
+    return V.counts(spark, d).select("cell_id", "gene_id", r(F.log2(F.col("value") + 1)).alias("value"))
+
+
+@query(f"WITH {C} SELECT cell_id, sum(value) AS total FROM expr GROUP BY 1")
+def library_size(spark, d):
+    return stats.totals(V.counts(spark, d))
+
+
+@query(f"WITH {C}, t AS (SELECT cell_id, sum(value) AS total FROM expr GROUP BY 1), f AS (SELECT cell_id, total / (SELECT avg(total) FROM t) AS sf FROM t) SELECT cell_id, gene_id, round(log2(value / sf + 1), 6) + 0.0 AS value FROM expr JOIN f USING (cell_id)")
+def size_factor_norm(spark, d):
+    return shown(stats.log_normalize(V.counts(spark, d)), "cell_id", "gene_id")
+
+
+@query(f"WITH {C} SELECT cell_id, gene_id, round(value / greatest(sqrt(sum(value * value) OVER (PARTITION BY cell_id)), 1e-8), 6) + 0.0 AS value FROM expr")
+def cosine_norm(spark, d):
+    return shown(stats.cosine_norm(V.counts(spark, d)), "cell_id", "gene_id")
+
+
+@query(f"WITH {C}, {L} SELECT gene_id, round(sum(value) / (SELECT count(*) FROM cells), 6) + 0.0 AS mean FROM expr GROUP BY 1")
+def gene_means(spark, d):
+    return shown(stats.gene_means(V.counts(spark, d), V.customers(spark, d)), "gene_id", value="mean")
+
+
+STANDARD = f"""{D}, per AS (SELECT gene_id, batch, count(*) AS n, sum(value) AS s, sum(value * value) AS ss FROM expr GROUP BY 1, 2),
+sc AS (SELECT gene_id, sum(s) / sum(n) AS mean, sqrt(sum(ss - s * s / n) / (sum(n) - count(*))) AS sd FROM per GROUP BY 1)"""
+
+
+@query(f"WITH {STANDARD} SELECT cell_id, gene_id, round((value - mean) / sd, 6) + 0.0 AS value FROM expr JOIN sc USING (gene_id)")
+def standardize_by_batch(spark, d):
+    expr = V.dense(spark, d)
+    return shown(stats.standardize(expr, stats.scaling(expr)), "cell_id", "gene_id")
+
+
+@query(f"WITH {D} SELECT cell_id, gene_id, round(value, 6) + 0.0 AS value FROM expr")
+def standardize_round_trip(spark, d):
+    expr = V.dense(spark, d)
+    scale = stats.scaling(expr)
+    return shown(stats.unstandardize(stats.standardize(expr, scale), scale), "cell_id", "gene_id")
+
+
+@query(f"WITH {D} SELECT cell_id, gene_id, round(value - avg(value) OVER (PARTITION BY cell_type, gene_id), 6) + 0.0 AS value FROM expr")
+def residual_operator(spark, d):
+    return shown(stats.residual(V.dense(spark, d), "cell_type"), "cell_id", "gene_id")
+
+
+@query(f"WITH {D} SELECT cell_id, gene_id, round(value - avg(value) OVER (PARTITION BY gene_id), 6) + 0.0 AS value FROM expr")
+def center_genes(spark, d):
+    expr = V.dense(spark, d)
+    return shown(stats.center(expr, expr.groupBy("gene_id").agg(F.avg("value").alias("mean"))), "cell_id", "gene_id")
+
+
+ANOVA = f"""{C}, {L}, lg AS (SELECT cell_id, gene_id, log2(value + 1) AS value FROM expr), sz AS (SELECT cell_type, count(*) AS n FROM cells GROUP BY 1),
+per AS (SELECT gene_id, cell_type, sum(value) AS s, sum(value * value) AS ss FROM lg JOIN cells USING (cell_id) GROUP BY 1, 2),
+a AS (SELECT gene_id, sum(s * s / n) AS b, sum(s) AS s, sum(ss) AS ss FROM per JOIN sz USING (cell_type) GROUP BY 1),
+f AS (SELECT gene_id, (b - s * s / (SELECT count(*) FROM cells)) / ((SELECT count(*) FROM sz) - 1) AS between_, (ss - b) / ((SELECT count(*) FROM cells) - (SELECT count(*) FROM sz)) AS within_ FROM a)"""
+
+
+@query(f"WITH {ANOVA} SELECT gene_id, CASE WHEN within_ > 0 AND between_ > 0 THEN round(log2(between_ / within_), 6) + 0.0 END AS log2_f FROM f")
+def gene_anova_f(spark, d):
+    lg = V.counts(spark, d).withColumn("value", F.log2(F.col("value") + 1))
+    return shown(stats.anova_f(lg, V.customers(spark, d)), "gene_id", value="log2_f")
+
+
+CENTROID = f"""{D}, mid AS (SELECT cell_type, gene_id, median(value) AS m FROM expr GROUP BY 1, 2),
+dist AS (SELECT cell_type, cell_id, round(sum((value - m) * (value - m)), 9) AS distance FROM expr JOIN mid USING (cell_type, gene_id) GROUP BY 1, 2),
+rk AS (SELECT *, (rank() OVER (PARTITION BY cell_type ORDER BY distance) + (count(*) OVER (PARTITION BY cell_type, distance) - 1) / 2) / count(*) OVER (PARTITION BY cell_type) AS dist_prop FROM dist)"""
+
+
+@query(f"WITH {CENTROID} SELECT cell_type, cell_id, round(distance, 6) + 0.0 AS distance, round(dist_prop, 6) + 0.0 AS dist_prop FROM rk")
+def centroid_dist_rank(spark, d):
+    return stats.centroid_rank(V.dense(spark, d).select("cell_id", "gene_id", "value", "cell_type"), "cell_type").select("cell_type", "cell_id", r("distance").alias("distance"), r("dist_prop").alias("dist_prop"))
+
+
+@query(f"""WITH {C}, {L}, t AS (SELECT cell_id, batch, sum(value) AS total FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2),
+k AS (SELECT *, rank() OVER (PARTITION BY batch ORDER BY total) + (count(*) OVER (PARTITION BY batch, total) - 1) / 2 AS rk FROM t), m AS (SELECT *, min(rk) OVER (PARTITION BY batch) AS lo, max(rk) OVER (PARTITION BY batch) AS hi FROM k)
+SELECT cell_id, CAST(CASE WHEN hi = lo THEN 1 ELSE least(10, greatest(1, ceil((rk - lo) * 10 / (hi - lo)))) END AS INTEGER) AS bin FROM m""")
+def library_size_bins(spark, d):
+    total = stats.totals(V.counts(spark, d)).join(V.customers(spark, d).select("cell_id", "batch"), "cell_id")
+    return stats.equal_width_bins(total, "total", "batch", 10).select("cell_id", "bin")
+
+
+FOLDS = "CAST((row_number() OVER (PARTITION BY sample ORDER BY (cell_id * 7919 + 1) % 1000003, cell_id) - 1) % least(count(*) OVER (PARTITION BY sample), 30) AS INTEGER) AS fold"
+
+
+@query(f"WITH {L} SELECT cell_id, {FOLDS.replace('sample', 'batch')} FROM cells")
+def balanced_folds(spark, d):
+    return stats.folds(V.customers(spark, d), "batch", 30).select("cell_id", "fold")
+
+
+@query(f"WITH {L} SELECT cell_id, CAST(dense_rank() OVER (PARTITION BY batch ORDER BY cell_type) AS INTEGER) AS cluster FROM cells")
+def dense_labels(spark, d):
+    return stats.codes(V.customers(spark, d), "batch", "cell_type", "cluster").select("cell_id", "cluster")
+
+
+@query("SELECT k, round(2 * a * b / (a + b), 6) AS f FROM (VALUES (1, (0.2 + 1) / 2, 1 - (0.1 + 1) / 2), (2, (0.5 + 1) / 2, 1 - (-0.3 + 1) / 2)) t(k, a, b)")
+def f_measure(spark, d):
+    rows = spark.createDataFrame([(1, 0.2, 0.1), (2, 0.5, -0.3)], "k int, a double, b double")
+    return rows.select("k", r(stats.f_measure(stats.zero_one(F.col("a")), 1 - stats.zero_one(F.col("b")))).alias("f"))
+
+
+# replicates and matching
+
+
+@query(f"WITH {CENTROID} SELECT cell_id, CASE WHEN round(dist_prop, 9) <= 0.5 THEN CAST(cell_type AS VARCHAR) ELSE 'cell:' || cell_id END AS replicate FROM rk")
+def supervised_replicates(spark, d):
+    return replicate.supervised(V.dense(spark, d), 0.5)
+
+
+@query(f"WITH {CENTROID} SELECT cell_id, CASE WHEN round(dist_prop, 9) <= 0.5 THEN CAST(cell_type AS VARCHAR) ELSE 'cell:' || cell_id END AS replicate, 1 AS member FROM rk")
+def replicate_matrix(spark, d):
+    return replicate.indicator(replicate.supervised(V.dense(spark, d), 0.5))
+
+
+@query("SELECT vec_id AS cell_id, CAST(label AS VARCHAR) || '_' || (vec_id % 2) AS replicate FROM embeddings")
+def wv_split(spark, d):
+    b = V.blocks(spark, d)
+    return replicate.split_wanted(b.select("cell_id", F.col("cell_type").cast("string").alias("replicate")), b.select("cell_id", (F.col("cell_id") % 2).alias("wv")))
+
+
+def _typed(spark, d):
+    return V.blocks(spark, d).withColumnRenamed("cell_type", "cluster").select("cell_id", "batch", "cluster", "values")
+
+
+def _pairs_sql(metric: str) -> str:
+    value = {"cor": "value - avg(value) OVER (PARTITION BY cell_id)", "cosine": "value", "euclidean": "value"}[metric]
+    dist = "sqrt(sum((a.v - b.v) * (a.v - b.v)))" if metric == "euclidean" else "1 - sum(a.v * b.v)"
+    norm = "v" if metric == "euclidean" else "v / sqrt(sum(v * v) OVER (PARTITION BY cell_id))"
+    return f"""{D}, c AS (SELECT cell_id, batch, cell_type, gene_id, {value} AS v FROM expr), u AS (SELECT cell_id, batch, cell_type, gene_id, {norm} AS v FROM c),
+pd AS (SELECT a.batch AS batch1, a.cell_type AS cluster1, b.batch AS batch2, b.cell_type AS cluster2, a.cell_id AS cell1, b.cell_id AS cell2, {dist} AS dist FROM u a JOIN u b ON a.gene_id = b.gene_id AND a.batch < b.batch GROUP BY ALL)"""
+
+
+for _metric in matching.METRICS:
+
+    @query(f"WITH {_pairs_sql(_metric)} SELECT batch1, cluster1, batch2, cluster2, cell1, cell2, round(dist, 6) + 0.0 AS dist FROM pd")
+    def pairwise(spark, d, metric=_metric):
+        return matching.pair_distances(_typed(spark, d), metric).withColumn("dist", r("dist"))
+
+    QUERIES[f"pairwise_{_metric}_dist"], SQL[f"pairwise_{_metric}_dist"] = QUERIES.pop("pairwise"), SQL.pop("pairwise")
+
+MEDIANS = f"{_pairs_sql('cor')}, md AS (SELECT batch1, cluster1, batch2, cluster2, median(dist) AS dist FROM pd GROUP BY 1, 2, 3, 4)"
+MUTUAL = f"""{MEDIANS}, rk AS (SELECT *, row_number() OVER (PARTITION BY batch1, batch2, cluster1 ORDER BY round(dist, 9), cluster2) AS ra, row_number() OVER (PARTITION BY batch1, batch2, cluster2 ORDER BY round(dist, 9), cluster1) AS rb FROM md)"""
+
+
+@query(f"WITH {MEDIANS} SELECT batch1, cluster1, batch2, cluster2, round(dist, 6) + 0.0 AS dist FROM md")
+def cluster_median_dist(spark, d):
+    return shown(matching.median_distances(matching.pair_distances(_typed(spark, d))), "batch1", "cluster1", "batch2", "cluster2", value="dist")
+
+
+@query(f"WITH {MUTUAL} SELECT batch1, cluster1, batch2, cluster2, round(dist, 6) + 0.0 AS dist FROM rk WHERE ra = 1 AND rb = 1")
+def mutual_nearest_clusters(spark, d):
+    return shown(matching.mutual_nearest(matching.median_distances(matching.pair_distances(_typed(spark, d)))), "batch1", "cluster1", "batch2", "cluster2", value="dist")
+
+
+@query(f"""WITH {MUTUAL.replace('vec_id % 3 AS batch', 'vec_id % 2 AS batch')}, mn AS (SELECT cluster1, cluster2 FROM rk WHERE ra = 1 AND rb = 1), nodes AS (SELECT DISTINCT batch, cell_type AS cluster FROM expr),
+grp AS (SELECT n.batch, n.cluster, CASE WHEN n.batch = 1 THEN coalesce((SELECT min(cluster1) FROM mn WHERE cluster2 = n.cluster) , 1000 + n.cluster) ELSE n.cluster END AS least_ FROM nodes n)
+SELECT DISTINCT expr.cell_id, 'Replicate_' || dense_rank() OVER (ORDER BY least_) AS replicate FROM expr JOIN grp ON grp.batch = expr.batch AND grp.cluster = expr.cell_type""")
+def mnc_replicate_labels(spark, d):
+    two = _typed(spark, d).withColumn("batch", F.col("cell_id") % 2)
+    return matching.match_labels(two.select("cell_id", "batch", "cluster", F.lit(0.0).alias("dist_prop")), matching.match_clusters(two, "cor")).select("cell_id", "replicate")
+
+
+# pseudo-bulk, assembly
+
+
+@query(f"""WITH {C}, {L}, s AS (SELECT cell_id, batch AS sample, CAST(dense_rank() OVER (PARTITION BY batch ORDER BY cell_type) AS INTEGER) AS cluster FROM cells), f AS (SELECT *, {FOLDS} FROM s),
+z AS (SELECT sample, cluster, fold, count(*) AS n_cells FROM f GROUP BY 1, 2, 3) SELECT sample, cluster, fold, n_cells, gene_id, round(sum(value) / n_cells, 6) + 0.0 AS value FROM expr JOIN f USING (cell_id) JOIN z USING (sample, cluster, fold) GROUP BY 1, 2, 3, 4, 5""")
+def pseudo_bulk_mean(spark, d):
+    cells = stats.codes(V.customers(spark, d).withColumn("sample", F.col("batch")), "sample", "cell_type", "cluster")
+    return shown(bulk.mean_bulk(V.counts(spark, d), cells), "sample", "cluster", "fold", "n_cells", "gene_id")
+
+
+LEVELS = "l1 AS (SELECT cell_id, gene_id, value + 1 AS value FROM expr WHERE cell_id % 2 = 0), l2 AS (SELECT cell_id, gene_id, value + 2 AS value FROM expr WHERE cell_id % 3 = 0)"
+
+
+@query(f"WITH {D}, {LEVELS} SELECT e.cell_id, e.gene_id, round(coalesce(l2.value, l1.value, e.value), 6) + 0.0 AS value FROM expr e LEFT JOIN l1 USING (cell_id, gene_id) LEFT JOIN l2 USING (cell_id, gene_id)")
+def level_coalesce(spark, d):
+    raw = V.blocks(spark, d).select("cell_id", "values")
+    plus = lambda m, n: raw.where(F.col("cell_id") % m == 0).withColumn("values", F.transform("values", lambda x: x + n))
+    return shown(linear.long(hierarchy.newest(raw, plus(2, 1.0), plus(3, 2.0))), "cell_id", "gene_id")
+
+
+@query("SELECT vec_id AS cell_id FROM embeddings WHERE vec_id % 2 <> 0")
+def uncovered_cells(spark, d):
+    raw = V.blocks(spark, d).select("cell_id")
+    return hierarchy.uncovered(raw, raw.where(F.col("cell_id") % 2 == 0))
+
+
+# factor removal
+
+
+@query(f"""WITH {D}, s AS (SELECT cell_type, gene_id, sum(value) AS s, count(*) AS n FROM expr GROUP BY 1, 2), yy AS (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.value * b.value) AS g FROM expr a JOIN expr b USING (cell_id) GROUP BY 1, 2),
+ss AS (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.s * b.s / a.n) AS h FROM s a JOIN s b USING (cell_type) GROUP BY 1, 2) SELECT i, j, round(g - h, 6) + 0.0 AS value FROM yy JOIN ss USING (i, j)""")
+def gram_matrix(spark, d):
+    g = linear.residual_gram(V.blocks(spark, d).withColumn("replicate", F.col("cell_type").cast("string")), "replicate")
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(g)], "i int, row array<double>")
+    return rows.select("i", F.posexplode("row").alias("j", "value")).withColumn("value", r("value"))
+
+
+def _alpha(k: int) -> np.ndarray:
+    """Given factors in whole numbers: (gene mod 7) - 3 and (gene mod 5) - 2."""
+    g = np.arange(64)
+    return np.stack([g % 7 - 3, g % 5 - 2])[:k].astype(float)
+
+
+A1 = "a AS (SELECT g AS gene_id, g % 7 - 3 AS a1, g % 5 - 2 AS a2 FROM range(64) t(g)), m AS (SELECT gene_id, avg(value) AS m FROM expr GROUP BY 1), y AS (SELECT cell_id, e.gene_id, value - m AS v FROM expr e JOIN m USING (gene_id)),"
+W1 = f"WITH {D}, {A1} w AS (SELECT cell_id, sum(v * a1) / (SELECT sum(a1 * a1) FROM a WHERE gene_id < 32) AS w FROM y JOIN a USING (gene_id) WHERE gene_id < 32 GROUP BY 1) SELECT cell_id, gene_id, round(value - w * a1, 6) + 0.0 AS value FROM expr JOIN w USING (cell_id) JOIN a USING (gene_id)"
+W2 = f"""WITH {D}, {A1} c AS (SELECT sum(a1 * a1) AS p, sum(a1 * a2) AS q, sum(a2 * a2) AS s FROM a WHERE gene_id < 32), b AS (SELECT cell_id, sum(v * a1) AS x1, sum(v * a2) AS x2 FROM y JOIN a USING (gene_id) WHERE gene_id < 32 GROUP BY 1),
+w AS (SELECT cell_id, (s * x1 - q * x2) / (p * s - q * q) AS w1, (p * x2 - q * x1) / (p * s - q * q) AS w2 FROM b, c) SELECT cell_id, gene_id, round(value - w1 * a1 - w2 * a2, 6) + 0.0 AS value FROM expr JOIN w USING (cell_id) JOIN a USING (gene_id)"""
+
+
+def _given(spark, d, k, keep=None):
+    b = V.blocks(spark, d).select("cell_id", "values")
+    return linear.long(linear.adjust(b, linear.projector(_alpha(k), CONTROLS, k), CONTROLS, linear.means(b), keep))
+
+
+@query(W1)
+def factors_given_one(spark, d):
+    return shown(_given(spark, d, 1), "cell_id", "gene_id")
+
+
+@query(W2)
+def factors_given_two(spark, d):
+    return shown(_given(spark, d, 2), "cell_id", "gene_id")
+
+
+@query(W1 + " WHERE gene_id >= 48")
+def factors_given_subset(spark, d):
+    got = _given(spark, d, 1, np.arange(64) >= 48)
+    return got.select("cell_id", (F.col("gene_id") + 48).alias("gene_id"), r("value").alias("value"))
+
+
+def _out(df: DataFrame) -> DataFrame:
+    return shown(linear.long(df), "cell_id", "gene_id")
+
+
+@query()
+def merge_supervised(spark, d):
+    return _out(merge.merge_cells(V.blocks(spark, d), CONTROLS, 20, cell_type="cell_type").blocks)
+
+
+def _merged(spark, d, **options):
+    b = V.blocks(spark, d)
+    labels = replicate.find_replicates(b, **({"cell_type": "cell_type"} | options))
+    return linear.adjust_scaled(b.join(labels, "cell_id"), "replicate", "batch", CONTROLS, [20]).blocks
+
+
+@query()
+def merge_matched_types(spark, d):
+    return _out(_merged(spark, d, match=True))
+
+
+@query()
+def merge_unsupervised(spark, d):
+    return _out(_merged(spark, d, cell_type=None, k={0: 4, 1: 4, 2: 4}))
+
+
+@query()
+def merge_semi_supervised(spark, d):
+    b = V.blocks(spark, d)
+    return _out(_merged(spark, d, k={0: 4, 1: 4, 2: 4}, known=b.where("cell_type < 3").select("cell_id"), wanted=b.select("cell_id", (F.col("cell_id") % 2).alias("wv"))))
+
+
+@query()
+def merge_bulk(spark, d):
+    return _out(bulk.merge_bulk(V.blocks(spark, d), CONTROLS, 10).blocks)
+
+
+@query()
+def merge_bulk_condition(spark, d):
+    return _out(bulk.merge_bulk(V.blocks(spark, d).withColumn("condition", F.when(F.col("cell_id") % 2 == 0, "x").otherwise("y")), CONTROLS, 10).blocks)
+
+
+@query()
+def merge_levels(spark, d):
+    b = V.blocks(spark, d).withColumn("batch", F.col("cell_id") % 4)
+    one = b.select(F.lit(1).alias("level"), (F.col("batch") % 2).cast("int").alias("dataset"), "cell_id", F.col("batch").alias("batch"))
+    two = b.select(F.lit(2).alias("level"), F.lit(0).alias("dataset"), "cell_id", (F.col("batch") % 2).alias("batch"))
+    return _out(hierarchy.merge_levels(b, one.union(two), CONTROLS, [5], _home(spark))[-1])
+
+
+def _home(spark) -> str:
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not home:
+        import tempfile
+
+        home = "file://" + tempfile.mkdtemp(prefix="weft-")
+    return home
+
+
+@query()
+def control_only(spark, d):
+    return _out(linear.control_only(V.blocks(spark, d).select("cell_id", "values"), CONTROLS, 5)[0])
+
+
+@query()
+def best_k(spark, d):
+    made = linear.adjust_scaled(V.blocks(spark, d).withColumn("replicate", F.col("cell_type").cast("string")), "replicate", "batch", CONTROLS, [2, 5])
+    return spark.createDataFrame([(k, round(float(s), 6), k == made.k) for k, s in made.scores.items()], "k int, score double, chosen boolean")
+
+
+@query(f"""WITH {D}, u AS (SELECT a.cell_id, a.batch AS own, b.batch AS other, b.cell_id AS c2, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS dist FROM expr a JOIN expr b USING (gene_id) GROUP BY 1, 2, 3, 4),
+n AS (SELECT batch AS other, count(DISTINCT cell_id) AS n FROM expr GROUP BY 1), g AS (SELECT cell_id, own, other, sum(dist) AS s, any_value(n) AS n FROM u JOIN n USING (other) GROUP BY 1, 2, 3),
+p AS (SELECT cell_id, max(CASE WHEN own = other THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM g GROUP BY 1) SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS silhouette FROM p""")
+def silhouette_avg(spark, d):
+    return spark.createDataFrame([(round(float(linear.silhouette(V.blocks(spark, d), "batch")), 6) + 0.0,)], "silhouette double")
+
+
+# variable and stable genes, clusters, simulation
+
+
+@query(f"""WITH {C}, {L}, lg AS (SELECT cell_id, gene_id, log2(value + 1) AS value FROM expr), sz AS (SELECT batch, count(*) AS n FROM cells GROUP BY 1), p AS (SELECT batch, gene_id, sum(value) AS s, sum(value * value) AS ss FROM lg JOIN cells USING (cell_id) GROUP BY 1, 2)
+SELECT gene_id, round(sum((ss - s * s / n) / (n - 1)), 6) AS variance FROM p JOIN sz USING (batch) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def hvg_topn(spark, d):
+    return features.top_variable(V.counts(spark, d).withColumn("value", F.log2(F.col("value") + 1)), V.customers(spark, d), 10)
+
+
+@query()
+def hvg_trend(spark, d):
+    return spark.createDataFrame([(g,) for g in features.variable_genes(V.counts(spark, d, True), V.customers(spark, d), most_zero=0.95)], "gene_id string")
+
+
+STAND_IN = f"""{P}, n AS (SELECT count(*) AS n FROM supplier), p AS (SELECT gene_id, avg(value) AS mu, stddev_samp(value) AS sigma, count(*) / n AS rho, 1 - count(*) / n AS zero_fraction FROM expr, n GROUP BY gene_id, n),
+q AS (SELECT *, (mu - min(mu) OVER ()) / (max(mu) OVER () - min(mu) OVER ()) AS mu_scaled FROM p), z AS (SELECT *, zero_fraction * mu_scaled AS zero FROM q)"""
+
+
+def _params(spark, d):
+    n = V.table(spark, d, "supplier").agg(F.count("*").alias("n"))
+    return V.supplier_counts(spark, d).groupBy("gene_id").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sigma"), F.count("*").alias("c")).crossJoin(F.broadcast(n)).select("gene_id", "mu", "sigma", (F.col("c") / F.col("n")).alias("rho"), (1 - F.col("c") / F.col("n")).alias("zero_fraction"))
+
+
+@query(f"WITH {STAND_IN} SELECT gene_id, round(mu_scaled, 6) + 0.0 AS mu_scaled FROM z")
+def minmax_mu(spark, d):
+    return shown(stats.minmax(_params(spark, d), "mu", "mu_scaled"), "gene_id", value="mu_scaled")
+
+
+def _rank_sql(c: str) -> str:
+    return f"(rank() OVER (ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY round({c}, 9)) - 1) / 2) / (count(*) OVER () + 1)"
+
+
+@query(f"WITH {STAND_IN} SELECT gene_id, round(({_rank_sql('rho')} + 1 - {_rank_sql('sigma')} + 1 - {_rank_sql('zero')}) / 3, 6) + 0.0 AS seg_idx FROM z")
+def seg_index_given_params(spark, d):
+    p = _params(spark, d)
+    return shown(stability.index(p.drop("zero_fraction"), p.select("gene_id", "zero_fraction")), "gene_id", value="seg_idx")
+
+
+@query()
+def seg_index_em(spark, d):
+    cells = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), (F.col("s_nationkey") % 3).alias("cell_type"))
+    lg = V.supplier_counts(spark, d).withColumn("value", F.log2(F.col("value") + 1))
+    return stability.stable_genes(lg, cells, by_type=True, return_all=True)
+
+
+@query()
+def kmeans_by_batch(spark, d):
+    return cluster.cluster_batches(V.blocks(spark, d), {0: 4, 1: 4, 2: 4})
+
+
+@query()
+def graph_clusters(spark, d):
+    return cluster.cluster_batches(V.blocks(spark, d))
+
+
+@query()
+def bulk_divided(spark, d):
+    cells = stats.codes(V.customers(spark, d).withColumn("sample", F.col("batch")), "sample", "cell_type", "cluster")
+    return shown(bulk.divided_bulk(V.counts(spark, d), cells), "sample", "cluster", "fold", "gene_id")
+
+
+@query()
+def bulk_pool_divided(spark, d):
+    cells = stats.codes(V.customers(spark, d).withColumn("sample", F.col("batch")), "sample", "cell_type", "cluster")
+    return shown(bulk.divided_bulk(V.counts(spark, d), cells, pool=True), "sample", "cluster", "fold", "gene_id")
+
+
+@query("SELECT g AS cell_id, 'type_' || (g % 3 + 1) AS cell_type, 'batch_' || (g % 2 + 1) AS batch FROM range(100) t(g)")
+def simulated_labels(spark, d):
+    return simulate.simulate(spark).select("cell_id", "cell_type", "batch")
+
+
+@query()
+def simulated_merge(spark, d):
+    b = simulate.simulate(spark, cells=120, genes=80, controls=40, k=3, lam=1.0)
+    labels = replicate.find_replicates(b, cell_type="cell_type")
+    return _out(linear.adjust_scaled(b.join(labels, "cell_id"), "replicate", "batch", np.arange(80) < 40, [3]).blocks)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
