@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import without
+
 #: The published pattern that splits text before merging (a fixed value of the file's pre-tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a worker remembers, and the longest one that it does.
@@ -125,6 +127,7 @@ def _send(df: DataFrame, path: str):
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of text_col as array<long> (null text: an empty array)."""
+    df = without(df, out)
     sent, names = _send(df, path), df.columns
     at = [n.lower() for n in names].index(text_col.lower())
 
@@ -140,6 +143,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the string that ids_col (an array of ids) stands for (null: empty)."""
+    df = without(df, out)
     sent, names = _send(df, path), df.columns
     at = [n.lower() for n in names].index(ids_col.lower())
 

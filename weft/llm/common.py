@@ -139,6 +139,12 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob)[0], dtype=U)
 
 
+def without(df: DataFrame, *outputs: str) -> DataFrame:
+    """df without the columns that an operator's outputs replace."""
+    taken = {o.lower() for o in outputs}
+    return df.select(*[df[c] for c in df.columns if c.lower() not in taken])
+
+
 def task_id() -> int:
     from pyspark import TaskContext
 

@@ -8,7 +8,8 @@ element, role or class) are bad beforehand and do not vote.
 
 Defined cases: null or empty html gives an empty text; text outside any element counts; unclosed and stray tags are
 tolerated; without any good block, short blocks of the article (or, without one, of the body) stay; scripts, styles,
-comments and other raw text never count; rows are independent.
+comments and other raw text never count; rows are independent;
+other columns are carried along except those that an output replaces.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import without
+
 #: Frequent function words of English, German, French and Spanish (fixed values).
 STOP_WORDS = frozenset(
     """the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which
@@ -177,6 +180,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text and n_chars, its number of code points."""
+    pages = without(pages, out, "n_chars")
     names = pages.columns
     at = [n.lower() for n in names].index(html_col.lower())
 

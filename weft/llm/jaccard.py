@@ -64,10 +64,10 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = 5) -> Iterator[np.n
         if b - a >= k:
             yield np.unique(grams[a : b - k + 1])
         elif b > a:
-            whole = U(int(b - a))
-            for w in words[a:b]:
-                whole = whole * GOLD + w
-            yield mix(np.array([whole ^ MIX1], U))
+            whole = np.full(1, b - a, U)
+            for j in range(a, b):
+                whole = whole * GOLD + words[j : j + 1]
+            yield mix(whole ^ MIX1)
         else:
             yield np.zeros(0, U)
 

@@ -9,7 +9,8 @@ spaced chains of at most CHAINS a document) on the driver; part of the chains ar
 is vectorised over flat bytes, without a Python step per word.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; without any labelled row everything is
-`und`; repeated rows are independent; other columns are ignored.
+`und`; repeated rows are independent; other columns are ignored or,
+in `identify`, carried along except those that an output replaces.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, U, crc_mod, flat, mix, prefix_hash, slices
+from .common import BYTE_TABLE, U, crc_mod, flat, mix, prefix_hash, slices, without
 
 #: Words of one chain.
 CHAIN = 64
@@ -201,6 +202,7 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its mean posterior."""
+    docs = without(docs, out, score)
     names = docs.columns
     at = [n.lower() for n in names].index(text_col.lower())
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import without
+
 UNKNOWN = "application/octet-stream"
 
 
@@ -249,6 +251,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def sniff_media(df: DataFrame, media_col: str, declared_col: str | None = None) -> DataFrame:
     """df with media_type (corrected) and embedded: array of (offset, length, type, sha256) of what can be carved."""
+    df = without(df, "media_type", "embedded")
     names = df.columns
     at, said = names.index(media_col), names.index(declared_col) if declared_col else None
 

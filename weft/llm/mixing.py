@@ -8,6 +8,7 @@ document.
 
 Defined cases: null text has size 0; the null source comes last and is a source of its own; a source without words has
 target 0; an empty table gives an empty one; repeated rows are mixed one by one. Equal input gives equal output.
+Other columns are carried along except those that an output replaces.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import materialize, parts, without
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Newton stops when every source's words are this near their target, as a share.
@@ -56,6 +57,7 @@ def balance(cells: DataFrame, wanted: DataFrame, rounds: int = 60) -> DataFrame:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """docs with size, source_size, target, copies and taken (= copies * size)."""
+    docs = without(docs, "size", "source_size", "target", "copies", "taken")
     names = docs.columns
     salts = parts(docs.sparkSession)
     sized = docs.select(

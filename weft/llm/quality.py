@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, crc_mod, flat, mix, prefix_hash, slices
+from .common import U, crc_mod, flat, mix, prefix_hash, slices, without
 from .jaccard import LOWER, word_spans
 
 #: Bound of the training sample, hash bits of words, rank of the interactions, bins of a statistic.
@@ -133,6 +133,7 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def score_texts(docs: DataFrame, model: dict, text_col: str = "text", chars_col: str | None = "n_chars", out: str = "score") -> DataFrame:
     """docs with the probability of label 1."""
+    docs = without(docs, out)
     names = docs.columns
     lower = [n.lower() for n in names]
     at = lower.index(text_col.lower())

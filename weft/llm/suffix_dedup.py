@@ -8,7 +8,8 @@ the runs of a bucket: entries compare by those lengths alone and only look at by
 merged order, the prefix groups of both sides give every window of 200 bytes that starts twice.
 
 Defined cases: null text is empty; texts under 200 bytes lose nothing; a text repeated (even under one id) matches its
-copy; a text may match itself, overlaps included; an empty table gives an empty one. Other columns are carried along.
+copy; a text may match itself, overlaps included; an empty table gives an empty one. Other columns are carried along,
+except those that an output replaces.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX64, POWERS, U, flat, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack
+from .common import MAX64, POWERS, U, flat, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, without
 
 #: Bytes of an anchor's gram.
 GRAM = 64
@@ -430,6 +431,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removed is each byte covered by a string of `length` bytes that starts anywhere else as well, judged on the input.
     """
+    docs = without(docs, "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256")
     names = docs.columns
     text_at = [n.lower() for n in names].index(text_col.lower())
     spark = docs.sparkSession
@@ -442,16 +444,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         source.mapInArrow(_requests(buckets, length, text_at), plan)
         .groupBy("key").applyInArrow(_again, back)
         .groupBy("batch").applyInArrow(_by_document, "k1 long, k2 long, found binary")
-        .groupBy("k1", "k2").agg(F.first("found").alias("found"))
+        .groupBy("k1", "k2").agg(F.first("found").alias("_weft_found"))
+        .withColumnsRenamed({"k1": "_weft_f1", "k2": "_weft_f2"})
     )
     spans = (
-        source.join(found, (source["_weft_k1"] == found["k1"]) & (source["_weft_k2"] == found["k2"]))
-        .select(*source.columns, "found")
+        source.join(found, (F.col("_weft_k1") == F.col("_weft_f1")) & (F.col("_weft_k2") == F.col("_weft_f2")))
+        .select(*source.columns, "_weft_found")
         .mapInArrow(_runs(buckets, length, text_at, len(names) + 2), plan)
         .groupBy("key").applyInArrow(_repeats(length), back)
         .groupBy("batch").applyInArrow(_spans, "k1 long, k2 long, spans binary")
-        .groupBy("k1", "k2").agg(F.first("spans").alias("spans"))
+        .groupBy("k1", "k2").agg(F.first("spans").alias("_weft_spans"))
+        .withColumnsRenamed({"k1": "_weft_s1", "k2": "_weft_s2"})
     )
-    joined = source.join(spans, (source["_weft_k1"] == spans["k1"]) & (source["_weft_k2"] == spans["k2"]), "left").select(*names, "spans")
+    joined = source.join(spans, (F.col("_weft_k1") == F.col("_weft_s1")) & (F.col("_weft_k2") == F.col("_weft_s2")), "left").select(*names, "_weft_spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
     return joined.mapInArrow(_cut(text_at, names), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
