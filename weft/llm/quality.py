@@ -95,7 +95,11 @@ def margin(model: dict, dense: np.ndarray, d: np.ndarray, b: np.ndarray, x: np.n
 
 def train(texts: list[bytes], n_chars: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.05, l2: float = 2e-4, seed: int = 3) -> dict:
     offs = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-    stats, d, b, x = describe(np.frombuffer(b"".join(texts), np.uint8), offs, n_chars)
+    got = []
+    for i, j in slices(offs, 1 << 20):  # so that flat arrays stay small
+        stats, d, b, x = describe(np.frombuffer(b"".join(texts[i:j]), np.uint8), offs[i : j + 1] - offs[i], n_chars[i:j])
+        got.append((stats, (d + i).astype(np.int32), b.astype(np.int32), x))
+    stats, d, b, x = (np.concatenate(c) for c in zip(*got, strict=True))
     scale = {"mean": stats.mean(0), "std": stats.std(0) + 1e-9, "edges": [np.quantile(c, np.arange(1, BINS) / BINS) for c in stats.T]}
     dense = spread(stats, scale)
     rng = np.random.default_rng(seed)
