@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 32
+#: Points of a leaf at most: a leaf is verified in one step, so large leaves spread the cost of the queue over more points.
+LEAF = 256
 
 
 def chi2_quantile(p: float, dof: int) -> float:
@@ -106,15 +107,17 @@ def _search(k: int, dims: int, confidence: float, seed: int):
                 continue
             tree = KdTree(proj[base])
             for q in np.flatnonzero(ask):
-                best = np.zeros(0, np.int64)
-                score = np.zeros(0)
+                best, score = np.zeros(0, np.int64), np.zeros(0)
                 for gap, rows in tree.leaves(proj[q]):
-                    if len(best) >= k and gap >= quantile * max(0.0, 2 - 2 * score[k - 1]):
+                    least = score[k - 1] if len(best) >= k else -np.inf
+                    if gap >= quantile * max(0.0, 2 - 2 * least):
                         break
                     new = base[rows]
-                    new = new[ids[new] != ids[q]]
-                    best = np.r_[best, new]
-                    score = np.r_[score, (x[new] @ x[q]) / (norm[new] * norm[q])]
+                    got = (x[new] @ x[q]) / (norm[new] * norm[q])
+                    near = (got >= least) & (ids[new] != ids[q])
+                    if not near.any():
+                        continue
+                    best, score = np.r_[best, new[near]], np.r_[score, got[near]]
                     o = np.lexsort((ids[best], -score))[:k]
                     best, score = best[o], score[o]
                 out += [(int(ids[q]), int(ids[b]), float(s)) for b, s in zip(best, score, strict=True)]
