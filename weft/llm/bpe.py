@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import without
+from .common import KEPT, lean_batches, without
 
 #: The published pattern that splits text before merging (a fixed value of the file's pre-tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -107,17 +107,14 @@ class Bpe(dict):
         return b"".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_LOADED: dict = {}
-
-
 def _model(sent) -> Bpe:
     """This worker's model, kept between tasks."""
     spec = sent.value
     key = hashlib.sha256(spec).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe(spec)
-    return _LOADED[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Bpe(spec)
+    return KEPT[key]
 
 
 def _send(df: DataFrame, path: str):
@@ -138,7 +135,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(ids, pa.list_(pa.int64()))], [*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(rows, f"{fields}, `{out}` array<long>")
+    return df.mapInArrow(lean_batches(rows, keep=True), f"{fields}, `{out}` array<long>")
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -154,7 +151,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decod
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(texts, pa.string())], [*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(rows, f"{fields}, `{out}` string")
+    return df.mapInArrow(lean_batches(rows, keep=True), f"{fields}, `{out}` string")
 
 
 def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,4 +170,4 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = df.select(df[id_col], df[text_col].cast("string"))
-    return kept.mapInArrow(rows, f"`{id_col}` {kept.schema.fields[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return kept.mapInArrow(lean_batches(rows, keep=True), f"`{id_col}` {kept.schema.fields[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +94,45 @@ class Powers:
 POWERS = Powers()
 
 
+#: Large tables that a worker keeps between tasks of one operator; tasks of others drop them.
+KEPT: dict = {}
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers outlive tasks and stages, and the next one needs the room."""
+    POWERS.up = POWERS.down = np.ones(1, U)
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        release(0)
+
+
+def lean(f: Callable) -> Callable:
+    """f of a group's table, leaving no memory behind in the worker."""
+
+    def run(table: pa.Table) -> pa.Table:
+        KEPT.clear()
+        try:
+            return f(table)
+        finally:
+            trim()
+
+    return run
+
+
+def lean_batches(f: Callable, keep: bool = False) -> Callable:
+    """f of a task's batches, leaving no memory behind in the worker; keep: what the worker keeps stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            KEPT.clear()
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def prefix_hash(buf: np.ndarray, table: np.ndarray = BYTE_TABLE) -> tuple[np.ndarray, np.ndarray]:
     """C, D with hash(buf[s:e]) = (C[e] - C[s]) * D[s] modulo 2**64."""
     up, down = POWERS.get(len(buf) + 1)

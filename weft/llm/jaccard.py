@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, GOLD, MIX1, U, flat, materialize, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, unpack_sorted
+from .common import BYTE_TABLE, GOLD, MIX1, U, flat, lean, lean_batches, materialize, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, unpack_sorted
 from .components import connected_components
 
 #: A-Z hash as a-z.
@@ -246,9 +246,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = (
-        source.mapInArrow(_shingles(parts(spark), k), "key int, batch long, kind int, blob binary")
-        .groupBy("key").applyInArrow(_shared, "batch long, kind int, blob binary")
-        .groupBy("batch").applyInArrow(_documents(percent), "doc_id long, n long, sid binary, shared binary, prefix binary, grp long")
+        source.mapInArrow(lean_batches(_shingles(parts(spark), k)), "key int, batch long, kind int, blob binary")
+        .groupBy("key").applyInArrow(lean(_shared), "batch long, kind int, blob binary")
+        .groupBy("batch").applyInArrow(lean(_documents(percent)), "doc_id long, n long, sid binary, shared binary, prefix binary, grp long")
     )
     table = materialize(rows, "shingles")
     reps = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"))

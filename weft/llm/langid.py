@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, U, crc_mod, flat, mix, prefix_hash, slices, without
+from .common import BYTE_TABLE, U, crc_mod, flat, lean_batches, mix, prefix_hash, slices, without
 
 #: Words of one chain.
 CHAIN = 64
@@ -220,7 +220,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", out: str = "l
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*names, out, score])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(rows, f"{fields}, `{out}` string, `{score}` double")
+    return docs.mapInArrow(lean_batches(rows), f"{fields}, `{out}` string, `{score}` double")
 
 
 def identify_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:

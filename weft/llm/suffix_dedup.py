@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX64, POWERS, U, flat, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, without
+from .common import MAX64, POWERS, U, flat, lean, lean_batches, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, without
 
 #: Bytes of an anchor's gram.
 GRAM = 64
@@ -441,21 +441,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plan = "key int, batch long, kind int, blob binary"
     back = "batch long, kind int, blob binary"
     found = (
-        source.mapInArrow(_requests(buckets, length, text_at), plan)
-        .groupBy("key").applyInArrow(_again, back)
-        .groupBy("batch").applyInArrow(_by_document, "k1 long, k2 long, found binary")
+        source.mapInArrow(lean_batches(_requests(buckets, length, text_at)), plan)
+        .groupBy("key").applyInArrow(lean(_again), back)
+        .groupBy("batch").applyInArrow(lean(_by_document), "k1 long, k2 long, found binary")
         .groupBy("k1", "k2").agg(F.first("found").alias("_weft_found"))
         .withColumnsRenamed({"k1": "_weft_f1", "k2": "_weft_f2"})
     )
     spans = (
         source.join(found, (F.col("_weft_k1") == F.col("_weft_f1")) & (F.col("_weft_k2") == F.col("_weft_f2")))
         .select(*source.columns, "_weft_found")
-        .mapInArrow(_runs(buckets, length, text_at, len(names) + 2), plan)
-        .groupBy("key").applyInArrow(_repeats(length), back)
-        .groupBy("batch").applyInArrow(_spans, "k1 long, k2 long, spans binary")
+        .mapInArrow(lean_batches(_runs(buckets, length, text_at, len(names) + 2)), plan)
+        .groupBy("key").applyInArrow(lean(_repeats(length)), back)
+        .groupBy("batch").applyInArrow(lean(_spans), "k1 long, k2 long, spans binary")
         .groupBy("k1", "k2").agg(F.first("spans").alias("_weft_spans"))
         .withColumnsRenamed({"k1": "_weft_s1", "k2": "_weft_s2"})
     )
     joined = source.join(spans, (F.col("_weft_k1") == F.col("_weft_s1")) & (F.col("_weft_k2") == F.col("_weft_s2")), "left").select(*names, "_weft_spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
-    return joined.mapInArrow(_cut(text_at, names), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
+    return joined.mapInArrow(lean_batches(_cut(text_at, names)), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
