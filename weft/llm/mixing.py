@@ -3,8 +3,8 @@
 Targets come from weights by water-filling under the cap. Document rates are exp(lambda of its source): the token-
 weighted entropy projection of the uniform mix onto the token constraints. Newton iterations solve the convex dual;
 each one reduces the documents' cells (source and size) and updates one multiplier a source. Rates become whole copies
-by systematic rounding along documents in order of size, so that a source's words miss its target by at most about one
-document.
+by systematic rounding along documents in order of size (of one size: in order of the id's MD5 prefix and the id), so
+that a source's words miss its target by at most about one document.
 
 Defined cases: null text has size 0; the null source comes last and is a source of its own; a source without words has
 target 0; an empty table gives an empty one; repeated rows are mixed one by one. Equal input gives equal output.
@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, without
+from .common import materialize, without
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Newton stops when every source's words are this near their target, as a share.
 TOLERANCE = 1e-13
+#: Documents of one source and size are ranked in as many slices as these hex digits of the id's MD5 tell apart.
+SALT_DIGITS = 2
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -59,13 +61,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with size, source_size, target, copies and taken (= copies * size)."""
     docs = without(docs, "size", "source_size", "target", "copies", "taken")
     names = docs.columns
-    salts = parts(docs.sparkSession)
     sized = docs.select(
         *[docs[c].alias(f"_c{i}") for i, c in enumerate(names)],
         docs[id_col].alias("_id"),
         F.when(docs[source_col].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs[source_col].cast("string"))).alias("skey"),
         F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.pmod(F.xxhash64(docs[id_col]), F.lit(salts)).cast("int").alias("salt"),
+        F.coalesce(F.substring(F.md5(docs[id_col].cast("string")), 1, SALT_DIGITS), F.lit("")).alias("salt"),
     )
     cell = ["skey", "size", "salt"]
     cells = materialize(sized.groupBy(*cell).agg(F.count("*").alias("docs")), "cells")
