@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.bpe import bpe_digests
 from weft.llm.common import crc_mod, materialize
-from weft.llm.jaccard import jaccard_components
+from weft.llm.jaccard import jaccard_sets
 from weft.llm.langid import identify, train_on
 from weft.llm.mixing import mix_sources
 from weft.llm.suffix_dedup import remove_repeats
@@ -29,10 +29,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of linked ones."""
-    comps = jaccard_components(docs)
-    keep = comps.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one row of each group of linked ones: that of least id (nulls last). Blank texts are linked with nothing and stay.
+
+    Rows are told apart by id and a hash of the other columns, so null or repeated ids do no harm.
+    """
+    docs = docs.select(*COLUMNS)
+    mark = F.xxhash64(*COLUMNS[1:])
+    table, sets = jaccard_sets(docs, mark=mark)
+    first = table.join(sets.where("no = component").select("sid", "rep"), "sid").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    keep = first.groupBy("sid").agg(F.min("doc_id").alias("kept_id"), F.min("mark").alias("kept_mark")).select("kept_id", "kept_mark", F.lit(False).alias("blank"))
+    keep = keep.union(table.where("sid is null").select("doc_id", "mark", F.lit(True)).distinct())
+    marked = docs.withColumn("mark", mark)
+    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["kept_id"]) & (marked["mark"] == keep["kept_mark"]))
+    own = F.when(F.col("blank"), F.monotonically_increasing_id())
+    return kept.withColumn("own", own).dropDuplicates(["doc_id", "mark", "own"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

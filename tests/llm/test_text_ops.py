@@ -270,3 +270,15 @@ def test_pipeline_stages(spark):
     assert set(three) == {i for i in ids if not (0 < cut[i][1] == cut[i][0])}
     assert all(three[i] == two[i] for i in three if not cut[i][1])
     assert steps[5].count() == steps[4].count() == len([r for r in corpus_pipeline.run(spark, dir_).collect()])
+
+
+def test_near_duplicates_keep_a_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a + " more"), (1, c), (1, d), (1, c), (2, e), (None, e), (3, None), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert got[0] == (0, "") and got[-2:] == [(3, ""), (3, "")] and len(got) == 8
+    assert (1, c) in got and (1, d) in got and (2, e) in got and (0, b) in got and ((0, a) in got) != ((0, a + " more") in got)

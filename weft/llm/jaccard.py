@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_TABLE, GOLD, MIX1, U, flat, lean, lean_batches, materialize, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, unpack_sorted
@@ -78,6 +78,7 @@ def _shingles(buckets: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         null: list = []
+        mark: list = []
         size: list = []
         sid: list = []
         grams: list = []
@@ -90,13 +91,13 @@ def _shingles(buckets: int, k: int):
             all_ = np.sort(np.concatenate(grams)) if grams else np.zeros(0, U)
             cuts = np.searchsorted(all_, np.array([((b << 48) // buckets + (1 if (b << 48) % buckets else 0)) << 16 for b in range(buckets)], U))
             cuts = np.r_[cuts, len(all_)]
-            keys, kinds, blobs = [batch % buckets], [1], [pack(np.array(ids, np.int64), np.array(null, np.uint8), np.array(size, np.int64), np.frombuffer(b"".join(sid), np.uint8))]
+            keys, kinds, blobs = [batch % buckets], [1], [pack(np.array(ids, np.int64), np.array(null, np.uint8), np.array(mark, np.int64), np.array(size, np.int64), np.frombuffer(b"".join(sid), np.uint8))]
             for b in range(buckets):
                 if (part := all_[cuts[b] : cuts[b + 1]]).size:
                     keys.append(b)
                     kinds.append(0)
                     blobs.append(pack(np.diff(part >> U(16), prepend=U(0)), (part & U(0xFFFF)).astype(np.uint16)))
-            for x in (ids, null, size, sid, grams, seen):
+            for x in (ids, null, mark, size, sid, grams, seen):
                 x.clear()
             held, serial = 0, serial + 1
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([batch] * len(keys), pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["key", "batch", "kind", "blob"])
@@ -106,6 +107,7 @@ def _shingles(buckets: int, k: int):
             data, offs = flat(rb.column(1))
             nulls = np.asarray(doc.is_null())
             doc = doc.fill_null(0).to_numpy(zero_copy_only=False)
+            marks = rb.column(2).to_numpy(zero_copy_only=False)
             for i, j in slices(offs):
                 for r, s in enumerate(shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k), i):
                     name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -115,6 +117,7 @@ def _shingles(buckets: int, k: int):
                         held += len(s)
                     ids.append(doc[r])
                     null.append(nulls[r])
+                    mark.append(marks[r])
                     size.append(len(s))
                     sid.append(name)
                     if held >= BATCH_SHINGLES or len(ids) >= BATCH_DOCS:
@@ -163,11 +166,11 @@ def least_overlap(n, percent: int):
 
 
 def _documents(percent: int):
-    """Rows (doc_id, n, sid, shared, prefix, grp) of a batch; the last three only where a link is possible."""
+    """Rows (doc_id, mark, n, sid, shared, prefix, grp) of a batch; the last three only where a link is possible."""
 
     def rows(table: pa.Table) -> pa.Table:
         kinds, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
-        ids, null, size, sid = unpack(blobs[kinds.index(1)])
+        ids, null, mark, size, sid = unpack(blobs[kinds.index(1)])
         sids = [sid[16 * r : 16 * r + 16].tobytes() if n else None for r, n in enumerate(size)]
         shared: list = [None] * len(ids)
         prefix: list = [None] * len(ids)
@@ -184,7 +187,7 @@ def _documents(percent: int):
                 if need > 0:
                     own = np.sort(g[a:b])
                     shared[r], prefix[r], group[r] = pack_sorted(own), pack_sorted(np.sort(g[a : a + need])), int(own[0])
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "n": pa.array(size, pa.int64()), "sid": pa.array(sids, pa.binary()), "shared": pa.array(shared, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "grp": pa.array(group, pa.int64())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "mark": pa.array(mark, pa.int64()), "n": pa.array(size, pa.int64()), "sid": pa.array(sids, pa.binary()), "shared": pa.array(shared, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "grp": pa.array(group, pa.int64())})
 
     return rows
 
@@ -238,20 +241,22 @@ def _open(percent: int):
     return rows
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents(doc_id, n, sid), representatives(sid, rep), links(a, b) between representatives' ids).
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, mark: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents(doc_id, mark, n, sid), representatives(sid, rep, no), links(a, b) between representatives' numbers).
 
-    sid names the shingle set (null: empty). Links within a component are thinned to a forest for each group opened.
+    sid names the shingle set (null: empty); rep is its least id, and no numbers the sets in the order of rep (null last).
+    mark, a long, tells rows of one id apart. Links within a component are thinned to a forest for each group opened.
     """
     spark = docs.sparkSession
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
     rows = (
         source.mapInArrow(lean_batches(_shingles(parts(spark), k)), "key int, batch long, kind int, blob binary")
         .groupBy("key").applyInArrow(lean(_shared), "batch long, kind int, blob binary")
-        .groupBy("batch").applyInArrow(lean(_documents(percent)), "doc_id long, n long, sid binary, shared binary, prefix binary, grp long")
+        .groupBy("batch").applyInArrow(lean(_documents(percent)), "doc_id long, mark long, n long, sid binary, shared binary, prefix binary, grp long")
     )
     table = materialize(rows, "shingles")
-    reps = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"))
+    reps = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")).orderBy(F.asc_nulls_last("rep"), "sid")
+    reps = materialize(reps.select("sid", "rep", F.monotonically_increasing_id().alias("no")), "representatives")
     sets = materialize(table.where("shared is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix")), "sets")
     posts = sets.select("sid", "n", "grp", "prefix").mapInArrow(_postings, "sid binary, n long, grp long, tok long")
     matrix = posts.groupBy("tok", F.col("grp").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
@@ -267,14 +272,21 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = bound.select("g").distinct()
     members = sets.withColumnRenamed("grp", "g").join(wanted, "g", "left_semi").join(blocks, "g").select("g", block.alias("block"), "sid", "n", "shared", F.lit(True).alias("member"))
     links = queries.union(members).groupBy("g", "block").applyInArrow(_open(percent), "a binary, b binary")
-    named = links.join(reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b")
-    return table.select("doc_id", "n", "sid"), reps, named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    named = links.join(reps.select(F.col("sid").alias("a"), F.col("no").alias("na")), "a").join(reps.select(F.col("sid").alias("b"), F.col("no").alias("nb")), "b")
+    return table.select("doc_id", "mark", "n", "sid"), reps, named.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+
+def jaccard_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents(doc_id, mark, n, sid), sets(sid, rep, no, component)): component is the smallest number reachable by links."""
+    table, reps, links = jaccard_links(docs, id_col, text_col, k, percent, mark)
+    comps = connected_components(links)
+    return table, materialize(reps.join(comps, reps["no"] == comps["node"], "left").select("sid", "rep", "no", F.coalesce("component", "no").alias("component")), "named")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links, its own included."""
-    table, reps, links = jaccard_links(docs, id_col, text_col, k, percent)
-    comps = connected_components(links)
-    named = materialize(reps.join(comps, reps["rep"] == comps["node"], "left").select("sid", F.coalesce("component", "rep").alias("component")), "named")
+    table, sets = jaccard_sets(docs, id_col, text_col, k, percent)
+    whole = sets.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = sets.join(whole, "component").select("sid", "component_id")
     own = table.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return table.where("sid is not null").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(own)
+    return table.where("sid is not null").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(own)
