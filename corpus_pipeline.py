@@ -17,15 +17,13 @@ from weft.llm.mixing import mix_sources
 from weft.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if no learned language reaches this mean posterior.
-LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those that no language explains; learns as op8 does."""
+    """Rejects documents that op8 calls `und` (null, or without a letter), and no others: mixed text stays; learns as op8 does."""
     docs = docs.select(*COLUMNS)
     model = train_on(docs.where(F.expr(crc_mod("doc_id", 5)) != 0))
-    return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return identify(docs, model).where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -282,3 +282,17 @@ def test_near_duplicates_keep_a_row_of_each_group(spark):
     got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
     assert got[0] == (0, "") and got[-2:] == [(3, ""), (3, "")] and len(got) == 8
     assert (1, c) in got and (1, d) in got and (2, e) in got and (0, b) in got and ((0, a) in got) != ((0, a + " more") in got)
+
+
+def test_language_stage_keeps_mixed_text(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    by: dict = {}
+    for r in docs.where("text is not null and lang is not null").orderBy("doc_id").collect():
+        by.setdefault(r["lang"], []).extend(r["text"].split())
+    parts = sorted(by)[:3]
+    mixed = " ".join(w for lang, n in zip(parts, (40, 35, 25), strict=True) for w in by[lang][:n])
+    extra = spark.createDataFrame([(10**6, mixed, None, "s", len(mixed)), (10**6 + 1, "1 2 3", None, "s", 5)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.union(extra), "").collect()}
+    assert 10**6 in kept and 10**6 + 1 not in kept
