@@ -296,3 +296,18 @@ def test_language_stage_keeps_mixed_text(spark):
     extra = spark.createDataFrame([(10**6, mixed, None, "s", len(mixed)), (10**6 + 1, "1 2 3", None, "s", 5)], docs.schema)
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.union(extra), "").collect()}
     assert 10**6 in kept and 10**6 + 1 not in kept
+
+
+def changed(text, *at):
+    return " ".join(f"new{i}" if i in at else w for i, w in enumerate(text.split()))
+
+
+def test_jaccard_links_give_every_pair(spark):
+    from weft.llm.jaccard import jaccard_links
+
+    base = prose(random.Random(13), 200)
+    texts = [base, *(changed(base, 20 * i) for i in range(1, 6)), base.upper(), "a b c d e f g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table, reps, links = jaccard_links(docs)
+    rep = {r["no"]: r["rep"] for r in reps.collect()}
+    assert sorted(tuple(sorted((rep[r["a"]], rep[r["b"]]))) for r in links.collect()) == [(a, b) for a in range(6) for b in range(a + 1, 6)]

@@ -199,8 +199,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([sid] * len(tok), pa.binary()), pa.array(np.full(len(tok), n)), pa.array(np.full(len(tok), grp)), pa.array(tok)], ["sid", "n", "grp", "tok"])
 
 
-def _open(percent: int):
-    """Links between the queries and the members of one block of a group; of links within a component, a tree."""
+def _open(percent: int, thin: bool):
+    """Links between the queries and the members of one block of a group; thin: of links within a component, a tree."""
 
     def rows(table: pa.Table) -> pa.Table:
         name, n, blob, member = (table[c].to_pylist() for c in ("sid", "n", "shared", "member"))
@@ -215,7 +215,7 @@ def _open(percent: int):
                 root[x] = x = root[root[x]]
             return x
 
-        out: list = []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if members:
             toks = np.concatenate([sets[m] for m in members])
             whose = np.repeat(np.arange(len(members)), [len(sets[m]) for m in members])
@@ -223,7 +223,7 @@ def _open(percent: int):
             toks, whose = toks[o], whose[o]
             sizes = np.array([size[m] for m in members])
             union = toks[np.r_[True, toks[1:] != toks[:-1]]]
-            for q in queries:
+            for i, q in enumerate(queries):
                 s, nq = sets[q], size[q]
                 at = np.minimum(np.searchsorted(union, s), len(union) - 1)
                 if (union[at] == s).sum() < least_overlap(nq, percent):
@@ -232,20 +232,27 @@ def _open(percent: int):
                 count = hi - lo
                 flat_at = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
                 both = np.bincount(whose[flat_at], minlength=len(members))
-                for m in np.flatnonzero(100 * both >= percent * (nq + sizes - both)):
-                    if (x := members[m]) != q and top(x) != top(q):
-                        root[top(x)] = top(q)
-                        out.append((q, x))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+                hits = np.flatnonzero(100 * both >= percent * (nq + sizes - both))
+                if thin:
+                    kept = []
+                    for m in hits:
+                        if (x := members[m]) != q and top(x) != top(q):
+                            root[top(x)] = top(q)
+                            kept.append(m)
+                    hits = np.array(kept, np.int64)
+                left.append(np.full(len(hits), i))
+                right.append(hits)
+        return pa.table({"a": pa.array(queries, pa.binary()).take(pa.array(np.concatenate(left))), "b": pa.array(members, pa.binary()).take(pa.array(np.concatenate(right)))})
 
     return rows
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, mark: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, mark: Column | None = None, thin: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents(doc_id, mark, n, sid), representatives(sid, rep, no), links(a, b) between representatives' numbers).
 
     sid names the shingle set (null: empty); rep is its least id, and no numbers the sets in the order of rep (null last).
-    mark, a long, tells rows of one id apart. Links within a component are thinned to a forest for each group opened.
+    mark, a long, tells rows of one id apart. Every pair of sets that are similar enough is there once, a < b; thin: links
+    within a component only as a forest for each group opened, which is enough for components.
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
@@ -271,14 +278,15 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     queries = opened.join(sets.select("sid", "n", "shared"), "sid").select("g", "block", "sid", "n", "shared", F.lit(False).alias("member"))
     wanted = bound.select("g").distinct()
     members = sets.withColumnRenamed("grp", "g").join(wanted, "g", "left_semi").join(blocks, "g").select("g", block.alias("block"), "sid", "n", "shared", F.lit(True).alias("member"))
-    links = queries.union(members).groupBy("g", "block").applyInArrow(_open(percent), "a binary, b binary")
+    links = queries.union(members).groupBy("g", "block").applyInArrow(_open(percent, thin), "a binary, b binary")
     named = links.join(reps.select(F.col("sid").alias("a"), F.col("no").alias("na")), "a").join(reps.select(F.col("sid").alias("b"), F.col("no").alias("nb")), "b")
-    return table.select("doc_id", "mark", "n", "sid"), reps, named.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    pairs = named.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    return table.select("doc_id", "mark", "n", "sid"), reps, pairs if thin else pairs.distinct()
 
 
 def jaccard_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents(doc_id, mark, n, sid), sets(sid, rep, no, component)): component is the smallest number reachable by links."""
-    table, reps, links = jaccard_links(docs, id_col, text_col, k, percent, mark)
+    table, reps, links = jaccard_links(docs, id_col, text_col, k, percent, mark, thin=True)
     comps = connected_components(links)
     return table, materialize(reps.join(comps, reps["no"] == comps["node"], "left").select("sid", "rep", "no", F.coalesce("component", "no").alias("component")), "named")
 
