@@ -311,3 +311,12 @@ def test_jaccard_links_give_every_pair(spark):
     table, reps, links = jaccard_links(docs)
     rep = {r["no"]: r["rep"] for r in reps.collect()}
     assert sorted(tuple(sorted((rep[r["a"]], rep[r["b"]]))) for r in links.collect()) == [(a, b) for a in range(6) for b in range(a + 1, 6)]
+
+
+def test_jaccard_links_through_null_ids(spark):
+    from weft.llm.jaccard import jaccard_components
+
+    base, other = prose(random.Random(17), 200), prose(random.Random(19), 200)
+    rows = [(None, base), (2, changed(base, 20, 40, 60, 80)), (1, changed(base, 100, 120, 140, 160)), (7, base + " a"), (7, other), (5, changed(other, 50)), (None, "a b c d e f"), (None, "a b c d e g")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (0, 1), (1, 1), (2, 1), (5, 5), (7, 1), (7, 5)]
