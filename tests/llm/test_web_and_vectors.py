@@ -101,3 +101,14 @@ def test_neighbours(spark):
     few = nearest(df.where("vec_id < 3"), df.where("vec_id < 1"), k=5).collect()
     assert [r["rank"] for r in few] == [1, 2]
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_main_text_in_other_languages():
+    from weft.llm.html_extract import main_text
+
+    russian = "Вчера вечером жители города собрались на площади, чтобы обсудить новый мост через реку и дорогу к старому вокзалу. " * 2
+    polish = "Wczoraj wieczorem mieszkańcy miasta zebrali się na placu, żeby omówić nowy most przez rzekę oraz drogę. " * 2
+    chinese = "昨天晚上市民们聚集在广场上讨论横跨河流的新桥以及通往旧火车站的道路。" * 5
+    for body in (russian, polish, chinese):
+        page = f"<html><body><div><a href='/'>{body[:90]}</a></div><div><h1>{body[:20]}</h1><p>{body}</p><p>{body[:80]}</p><p>{body}</p></div></body></html>"
+        assert main_text(page).split("\n") == [body[:20].strip(), body.strip(), body[:80].strip(), body.strip()]

@@ -3,7 +3,8 @@
 Blocks are runs of text between block-level tags. The first pass decides each one by its link density, its length and
 the density of stop words: `good`, `bad`, or `short` where that is not enough. The second pass gives short blocks the
 label of their nearest decided neighbours (both must agree, or the block stands nearer to the good one, or is a heading
-before good text). Blocks in page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, by
+before good text). Where a page has few of the known stop words, or a block is mostly in another script, link density,
+length and neighbours decide without them. Blocks in page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, by
 element, role or class) are bad beforehand and do not vote.
 
 Defined cases: null or empty html gives an empty text; text outside any element counts; unclosed and stray tags are
@@ -44,6 +45,8 @@ MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
+#: Letters beyond the Latin script, of which the stop words say nothing.
+BEYOND = re.compile(r"[^\W\d_\u0000-\u024f]")
 #: Thresholds of the first pass.
 LINK_SHARE, LONG, SHORT, STOP_HIGH, STOP_LOW = 0.5, 140, 60, 0.12, 0.05
 
@@ -134,10 +137,15 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block]) -> None:
     """First pass: rules on one block; second pass: neighbours decide the rest."""
+    shares = []
     for b in found:
-        n = len(b.text)
         words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+        shares.append(sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words))
+    body = [(len(b.text), s) for b, s in zip(found, shares, strict=True) if not b.furniture and b.linked <= LINK_SHARE * len(b.text)]
+    foreign = sum(n * s for n, s in body) < STOP_HIGH * sum(n for n, _ in body)
+    inside = any(b.article for b in found if not b.furniture)
+    for b, stops in zip(found, shares, strict=True):
+        n = len(b.text)
         if b.furniture or b.linked > LINK_SHARE * n:
             b.label = "bad"
         elif n < SHORT or b.heading:
@@ -146,6 +154,8 @@ def classify(found: list[Block]) -> None:
             b.label = "good"
         elif stops >= STOP_LOW or b.article:
             b.label = "short"
+        elif foreign or 2 * len(BEYOND.findall(b.text)) > n:
+            b.label = "good" if n >= LONG and not inside else "short"
         else:
             b.label = "bad" if n < LONG or not b.article else "short"
     flow = [b for b in found if not b.furniture]
