@@ -112,3 +112,15 @@ def test_main_text_in_other_languages():
     for body in (russian, polish, chinese):
         page = f"<html><body><div><a href='/'>{body[:90]}</a></div><div><h1>{body[:20]}</h1><p>{body}</p><p>{body[:80]}</p><p>{body}</p></div></body></html>"
         assert main_text(page).split("\n") == [body[:20].strip(), body.strip(), body[:80].strip(), body.strip()]
+
+
+def test_main_text_in_marked_wrappers():
+    from weft.llm.html_extract import main_text
+
+    body = "It was the first of the days, and the people of the town had come to see what it was that they had been told of by the others, and by him, for the time."
+    for mark in ("site has-sidebar", "no-sidebar", "content with-banner", "sidebar", "widget"):
+        for tag in ("article", "main"):
+            assert main_text(f"<body><div class='{mark}'><p>Near</p><{tag}><div class='entry-header'><h1>Head</h1></div><p>{body}</p></{tag}></div>").split("\n")[-2:] == ["Head", body]
+    for mark in ("site-footer", "cookie-notice", "main-nav", "sidebar"):
+        assert main_text(f"<body><article><p>{body}</p></article><div class='{mark}'><p>{body} No</p></div>") == body
+    assert main_text(f"<body><article><p>{body}</p></article><div class='comments'><article><p>{body} No</p></article></div>") == body

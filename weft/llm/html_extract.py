@@ -40,8 +40,12 @@ RAW = "script style noscript template textarea title iframe svg math object sele
 FURNITURE = frozenset("nav header footer aside form button dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class, id or role that mark furniture.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|contentinfo|cookies?|dialog|disqus|footer|header|masthead|menu\w*|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widgets?|complementary)(?:$|[\s_-])", re.I)
+#: Words that mark furniture as a class, id or role; and words that may stand beside them in one hyphenated token.
+MARK = r"(?:ads?|advert[a-z0-9]*|banner|breadcrumbs?|comments?|contentinfo|cookies?|dialog|disqus|footer|header|masthead|menu[a-z0-9]*|modal|nav[a-z0-9]*|newsletter|notices?|popup|promo[a-z0-9]*|related|search|share|sharing|sidebar|social|sponsor[a-z0-9]*|subscribe|toolbar|widgets?|complementary)"
+BESIDE = r"(?:site|main|global|top|bottom|left|right|primary|secondary|mobile|area|bar|box|block|list|links|items?|buttons?|icons?|form|consent|posts|section|\d+)"
+MARKS = re.compile(rf"(?:^|\s)(?:{BESIDE}[_-]+)*{MARK}(?:[_-]+(?:{MARK}|{BESIDE}))*(?:$|\s)", re.I)
+#: Marks that an article's own heading may carry.
+OWN = re.compile(r"\s*(?:header|masthead)\s*", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
@@ -54,7 +58,7 @@ LINK_SHARE, LONG, SHORT, STOP_HIGH, STOP_LOW = 0.5, 140, 60, 0.12, 0.05
 class Block:
     __slots__ = ("text", "linked", "heading", "furniture", "article", "label")
 
-    def __init__(self, text: str, linked: int, heading: bool, furniture: bool, article: bool) -> None:
+    def __init__(self, text: str, linked: int, heading: bool, furniture: list | bool, article: bool) -> None:
         self.text, self.linked, self.heading, self.furniture, self.article = text, linked, heading, furniture, article
         self.label = ""
 
@@ -62,7 +66,9 @@ class Block:
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[list] = []  # [tag, marked]
+    wrappers: list[list] = []  # marked elements around a main, or an article
+    outside = False
     links = furniture = article = linked = 0
     heading = ""
 
@@ -70,7 +76,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Block(text, linked, bool(heading), furniture > 0, article > 0))
+            out.append(Block(text, linked, bool(heading), [e for e in stack if e[1]] if furniture else [], article > 0))
         parts.clear()
         linked = 0
 
@@ -115,14 +121,23 @@ def blocks(page: str) -> list[Block]:
             if name not in INLINE:
                 links = 0
         elif name not in VOID and not m["attrs"].endswith("/"):
-            marked = name in FURNITURE or any(MARKS.search(a or b or c) for a, b, c in ATTRS.findall(m["attrs"])) and name not in ("html", "body", "article", "main")
+            marked = name in FURNITURE or name not in ("html", "body", "article", "main") and any(MARKS.search(v) and not (article and OWN.fullmatch(v)) for v in map("".join, ATTRS.findall(m["attrs"])))
             if name == "header" and article:
                 marked = False  # the article's own heading
             if marked and name in INLINE:
                 end()
             if name in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1][0] == name:
                 furniture -= stack.pop()[1]
-            stack.append((name, marked))
+            if name in ("article", "main") and not article:
+                around = [e for e in stack if e[1] and (e[0] == "form" or e[0] not in FURNITURE)]
+                if name == "main":
+                    for e in around:
+                        e[1] = False
+                    furniture -= len(around)
+                else:
+                    wrappers += around
+                outside |= not furniture
+            stack.append([name, marked])
             furniture += marked
             article += name in ("article", "main")
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -132,6 +147,11 @@ def blocks(page: str) -> list[Block]:
         cut = re.search(r"<[a-zA-Z/!]", rest)  # a tag that the page breaks off in
         text(rest[: cut.start()] if cut else rest)
     end()
+    if not outside:  # the page's article is in what looked like furniture
+        for e in wrappers:
+            e[1] = False
+    for b in out:
+        b.furniture = any(e[1] for e in b.furniture)
     return out
 
 
