@@ -124,3 +124,14 @@ def test_main_text_in_marked_wrappers():
     for mark in ("site-footer", "cookie-notice", "main-nav", "sidebar"):
         assert main_text(f"<body><article><p>{body}</p></article><div class='{mark}'><p>{body} No</p></div>") == body
     assert main_text(f"<body><article><p>{body}</p></article><div class='comments'><article><p>{body} No</p></article></div>") == body
+
+
+def test_main_text_without_closing_tags():
+    from weft.llm.html_extract import main_text
+
+    body = "It was the first of the days, and the people of the town had come to see what it was that they had been told of by the others, and by him, for the time."
+    head = "<html><head><meta charset='utf-8'><title>T</title><script>x('<div>')</script>"
+    assert main_text(f"{head}<body><p>{body}</p>") == main_text(f"{head}<p>{body}</p>") == main_text(f"{head}{body}") == body
+    assert main_text(f"{head}stray</head><body><p>{body}</p>") == body
+    for cut in ("<svg width='1' />", "<math/>", "<svg><text>no</text></svg>", "<canvas>"):
+        assert main_text(f"<article><p>{body}</p>{cut}<p>{body}</p></article><svg></svg>").split("\n") == [body, body]

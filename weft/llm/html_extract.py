@@ -36,7 +36,11 @@ STOP_WORDS = frozenset(
     hasta hay donde""".split()
 )
 #: Elements whose content is not text, elements of page furniture, and block-level elements (public HTML names).
-RAW = "script style noscript template textarea title iframe svg math object select datalist canvas xmp head".split()
+RAW = "script style textarea title iframe xmp".split()
+#: Elements that are left out as a whole if they are closed; else only their tag is.
+WHOLE = "noscript template svg math object select datalist canvas".split()
+#: What a head may hold; another tag ends it, closed or not.
+HEAD = frozenset("base basefont bgsound link meta noframes".split() + RAW + WHOLE)
 FURNITURE = frozenset("nav header footer aside form button dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +50,12 @@ BESIDE = r"(?:site|main|global|top|bottom|left|right|primary|secondary|mobile|ar
 MARKS = re.compile(rf"(?:^|\s)(?:{BESIDE}[_-]+)*{MARK}(?:[_-]+(?:{MARK}|{BESIDE}))*(?:$|\s)", re.I)
 #: Marks that an article's own heading may carry.
 OWN = re.compile(r"\s*(?:header|masthead)\s*", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+QUOTED = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])" + QUOTED + r"(?<=/)>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<whole>" + "|".join(WHOLE) + r")(?=[\s/>])[^>]*>(?:.*?</(?P=whole)\s*>)?"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>" + QUOTED + r")>|<[!?/][^>]*>", re.S | re.I)
 ATTRS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
 #: Letters beyond the Latin script, of which the stop words say nothing.
@@ -71,6 +80,7 @@ def blocks(page: str) -> list[Block]:
     outside = False
     links = furniture = article = linked = 0
     heading = ""
+    in_head = False
 
     def end() -> None:
         nonlocal linked
@@ -93,10 +103,20 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m["name"]
         if not name:
-            if m["raw"] and m["raw"].lower() == "head":
-                end()
             continue
         name = name.lower()
+        if name == "head":
+            if m["close"] and in_head:
+                parts.clear()  # stray text of a closed head
+                linked = 0
+            end()
+            in_head = not m["close"]
+            continue
+        if in_head:
+            if m["close"] and name != "html" or name in HEAD:
+                continue
+            in_head = False
+            end()
         if name in INLINE:
             if name == "a":
                 links = 0 if m["close"] else 1
