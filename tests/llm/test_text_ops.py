@@ -200,16 +200,50 @@ def test_mixing(docs, texts):
     sizes = collections.Counter()
     for i, t in enumerate(texts):
         sizes[f"s{i % 3}" if i % 5 else None] += len(WORDS.findall(t or ""))
-    want, got, largest = brute_targets(sizes), collections.Counter(), collections.Counter()
+    want, got, least = brute_targets(sizes), collections.Counter(), {}
     for r in rows:
         assert r["size"] == len(WORDS.findall(texts[r["doc_id"]] or "")) and r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
         got[r["source"]] += r["taken"]
-        largest[r["source"]] = max(largest[r["source"]], r["size"])
-    assert all(abs(got[s] - want[s]) <= largest[s] for s in want)
+        least[r["source"]] = min(least.get(r["source"], 10**9), r["size"] or 10**9)
+    assert all(abs(got[s] - want[s]) <= least[s] for s in want)
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_solves_the_dual(spark):
+    from weft.llm.mixing import balance, tilt
+    from pyspark.sql import functions as F
+
+    rng = random.Random(23)
+    sizes = {s: [rng.randint(1, 400) for _ in range(60)] for s in ("a", "b", "c")}
+    share = {"a": 0.2, "b": 1.7, "c": 2.0}
+    cells = spark.createDataFrame([(s, n, sizes[s].count(n)) for s in sizes for n in set(sizes[s])], "skey string, size long, docs long")
+    wanted = spark.createDataFrame([(s, sum(sizes[s]), share[s] * sum(sizes[s])) for s in sizes], "skey string, words long, target double")
+    lam = {r["skey"]: r["lam"] for r in balance(cells, wanted, 2.0).collect()}
+    rate = {(r["skey"], r["size"]): r["r"] / 1e9 for r in cells.join(balance(cells, wanted, 2.0), "skey").select("skey", "size", tilt(2.0).alias("r")).collect()}
+    for s, each in sizes.items():
+        low, high = -9.0, float(np.log(2))
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if sum(n * min(2.0, np.exp(mid * n)) for n in each) > share[s] * sum(each) else (mid, high)
+        assert s == "c" or abs(lam[s] - mid) < 1e-9
+        assert all(abs(rate[s, n] - min(2.0, np.exp(lam[s] * n))) < 2e-9 for n in each)
+        assert abs(sum(n * rate[s, n] for n in each) - share[s] * sum(each)) < 1e-5
+
+
+def test_mixing_repeats_blanks_and_clashing_columns(spark):
+    from weft.llm.mixing import mix_sources
+
+    rows = [(1, "a b c", "x", "own", 5)] * 7 + [(None, None, None, "own", 5), (2, "", "x", "own", 5), (3, "w " * 5000, None, "own", 5)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, Size string, copies int").repartition(3)).collect()
+    assert got[0].__fields__ == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"] and len(got) == 10
+    by = collections.Counter()
+    for r in got:
+        by[r["source"]] += r["taken"]
+        assert r["copies"] == 1 if not r["size"] else 0 <= r["copies"] <= 2
+    assert by["x"] == 42 and by[None] in (5000, 10000)
+
+
 def test_media(docs, texts):
     from weft.llm import media
 

@@ -1,28 +1,35 @@
 """Mixing sources to target weights by entropy balancing.
 
-Targets come from weights by water-filling under the cap. Document rates are exp(lambda of its source): the token-
-weighted entropy projection of the uniform mix onto the token constraints. Newton iterations solve the convex dual;
-each one reduces the documents' cells (source and size) and updates one multiplier a source. Rates become whole copies
-by systematic rounding along documents in order of size (of one size: in order of the id's MD5 prefix and the id), so
-that a source's words miss its target by at most about one document.
-
-Defined cases: null text has size 0; the null source comes last and is a source of its own; a source without words has
-target 0; an empty table gives an empty one; repeated rows are mixed one by one. Equal input gives equal output.
+Targets come from weights by water-filling under the cap. The mix is the one nearest to one copy of each document, in
+entropy over documents, that meets every source's token constraint with no rate above the cap: a document's rate is
+min(cap, exp(lambda of its source * its size)). Newton iterations solve the convex dual; each one sums the tilted words
+and their curvature over the cells (source and size) and moves one multiplier a source, inside a bracket that shrinks.
+
+Rates become whole copies cell by cell, from the longest documents to the shortest, and what a cell's rounding misses in
+words is carried to the next one, so that a source ends within about half of its shortest documents of its target.
+Within a cell the copies are dealt evenly in order of the id's MD5 prefix and the id.
+
+Sums are of whole numbers (rates in units of 1e-9), so equal input gives equal output whatever the partitions. A
+source's cells are its distinct sizes, fewer than the root of twice its words; only they are gathered, never documents.
+
+Defined cases: null text has size 0, and documents of size 0 have rate 1; the null source comes last and is a source of
+its own; a source without words has target 0; an empty table gives an empty one; repeated rows are mixed one by one.
 Other columns are carried along except those that an output replaces.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, without
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Newton stops when every source's words are this near their target, as a share.
-TOLERANCE = 1e-13
-#: Documents of one source and size are ranked in as many slices as these hex digits of the id's MD5 tell apart.
-SALT_DIGITS = 2
+#: Units of a rate; Newton stops when every source's words are this near their target, as a share.
+UNITS, TOLERANCE = 10**9, 1e-9
+#: Documents of one slice of a cell that a task ranks, about.
+SLICE = 20_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -43,21 +50,63 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return levelled.select("skey", "words", F.least(most, F.coalesce(level, F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
-def balance(cells: DataFrame, wanted: DataFrame, rounds: int = 60) -> DataFrame:
-    """(skey, rate): distributed Newton on the dual of the token constraints, over cells(skey, size, docs)."""
-    state = materialize(wanted.where("words > 0").select("skey", "target", F.lit(0.0).alias("lam")), "dual")
-    words = F.col("size") * F.col("docs")
+def balance(cells: DataFrame, wanted: DataFrame, cap: float, rounds: int = 100) -> DataFrame:
+    """(skey, target, lam): distributed Newton on the dual of the token constraints, over cells(skey, size, docs).
+
+    The gradient is the tilted words less the target, the curvature their derivative; a step is taken on the logarithm
+    of the words, and halves the bracket instead where it would leave it.
+    """
+    far = F.log(F.lit(cap)) / F.min("size")  # there every document has rate cap
+    least = cells.where("size > 0").groupBy("skey").agg(far.alias("high"))
+    start = wanted.where("words > 0").join(least, "skey")
+    full = F.col("target") >= F.col("words") * cap  # solved: every document at the cap
+    state = materialize(start.select("skey", "target", F.when(full, F.col("high")).otherwise(0.0).alias("lam"), F.lit(None).cast("double").alias("low"), "high"), "dual")
+    rate = tilt(cap)
+    whole = lambda c: F.sum(c.cast("decimal(38,0)")).cast("double")
     for _ in range(rounds):
-        tilted = cells.join(state, "skey").groupBy("skey", "target", "lam").agg(F.sum(words * F.exp("lam")).alias("got"))
-        step = (F.col("got") - F.col("target")) / F.col("got")
-        state = materialize(tilted.select("skey", "target", (F.col("lam") - F.greatest(F.lit(-1.0), step)).alias("lam"), (F.abs(F.col("got") - F.col("target")) / F.col("target")).alias("off")), "dual")
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
-            return state.select("skey", F.round(F.exp("lam"), 9).alias("rate"))
-        state = state.drop("off")
+        words = F.col("size") * F.col("docs")
+        slope = F.when(rate < cap * UNITS, rate.cast("decimal(20,0)") * words * F.col("size")).otherwise(F.lit(0))
+        summed = cells.where("size > 0").join(state, "skey").groupBy("skey", "target", "lam", "low", "high").agg(whole(rate.cast("decimal(20,0)") * words).alias("got"), whole(slope).alias("curve"))
+        got, over = F.col("got") / UNITS, F.col("got") / UNITS > F.col("target")
+        low, high = F.when(over, F.col("low")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("high"))
+        newton = F.col("lam") + F.log(F.col("target") / got) * F.col("got") / F.col("curve")
+        inside = (F.col("got") > 0) & (F.col("curve") > 0) & (newton < high) & (low.isNull() | (newton > low))
+        half = F.when(low.isNull(), F.least(high * 2, F.lit(-1e-6))).otherwise((low + high) / 2)
+        off = F.abs(got - F.col("target")) / F.col("target")
+        settled = (off <= TOLERANCE) | (low >= high)
+        state = materialize(summed.select("skey", "target", F.when(settled, F.col("lam")).when(inside, newton).otherwise(half).alias("lam"), low.alias("low"), high.alias("high"), settled.alias("settled")), "dual")
+        if state.where("not settled").isEmpty():
+            return state.select("skey", "target", "lam")
+        state = state.drop("settled")
     raise RuntimeError(f"the dual did not settle in {rounds} Newton rounds")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def tilt(cap: float):
+    """A document's rate in units."""
+    most = F.log(F.lit(cap))
+    return F.floor(F.exp(F.least(F.col("lam") * F.col("size"), most)) * UNITS + 0.5).cast("long")
+
+
+def whole_copies(rates: DataFrame, cap: int) -> DataFrame:
+    """(skey, size, copies): whole numbers for the cells of rates(skey, target, size, docs, rate), longest documents first."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending")])
+        size, docs, rate = (table[c].to_pylist() for c in ("size", "docs", "rate"))
+        target = table["target"][0].as_py()
+        carry = round(target * UNITS) - sum(s * d * r for s, d, r in zip(size, docs, rate, strict=True))
+        copies = []
+        for s, d, r in zip(size, docs, rate, strict=True):
+            ask = s * d * r + carry
+            n = min(max((2 * ask + s * UNITS) // (2 * s * UNITS), 0), cap * d) if s else d
+            carry = ask - n * s * UNITS
+            copies.append(n)
+        return pa.table({"skey": table["skey"], "size": table["size"], "copies": pa.array(copies, pa.int64())})
+
+    return rates.groupBy("skey").applyInArrow(rows, "skey string, size long, copies long")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: int = 2) -> DataFrame:
     """docs with size, source_size, target, copies and taken (= copies * size)."""
     docs = without(docs, "size", "source_size", "target", "copies", "taken")
     names = docs.columns
@@ -66,21 +115,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs[id_col].alias("_id"),
         F.when(docs[source_col].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs[source_col].cast("string"))).alias("skey"),
         F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.coalesce(F.substring(F.md5(docs[id_col].cast("string")), 1, SALT_DIGITS), F.lit("")).alias("salt"),
+        F.coalesce(F.md5(docs[id_col].cast("string")), F.lit("")).alias("mark"),
     )
-    cell = ["skey", "size", "salt"]
-    cells = materialize(sized.groupBy(*cell).agg(F.count("*").alias("docs")), "cells")
-    lengths = cells.groupBy("skey", "size").agg(F.sum("docs").alias("docs"))
-    wanted = materialize(targets(lengths.groupBy("skey").agg(F.sum(F.col("size") * F.col("docs")).alias("words")), weights, share, cap), "targets")
-    rates = balance(materialize(lengths, "lengths"), wanted)
-    before = Window.unboundedPreceding, -1
-    by_size = lengths.select("skey", "size", F.coalesce(F.sum("docs").over(Window.partitionBy("skey").orderBy("size").rowsBetween(*before)), F.lit(0)).alias("before_size"))
-    by_salt = cells.select(*cell, F.coalesce(F.sum("docs").over(Window.partitionBy("skey", "size").orderBy("salt").rowsBetween(*before)), F.lit(0)).alias("before_salt"))
-    starts = (
-        by_salt.join(by_size, ["skey", "size"]).join(wanted, "skey").join(rates, "skey", "left")
-        .select(*cell, (F.col("before_size") + F.col("before_salt")).alias("before"), "words", "target", F.least(F.coalesce("rate", F.lit(0.0)), F.lit(cap)).alias("rate"))
-    )
-    ranked = sized.withColumn("nth", F.row_number().over(Window.partitionBy(*cell).orderBy("_id"))).join(starts, cell)
-    nth = F.col("before") + F.col("nth")
-    copies = (F.floor(F.col("rate") * nth + 0.5) - F.floor(F.col("rate") * (nth - 1) + 0.5)).cast("long")
+    lengths = materialize(sized.groupBy("skey", "size").agg(F.count("*").alias("docs")), "lengths")
+    wanted = materialize(targets(lengths.groupBy("skey").agg(F.sum(F.col("size") * F.col("docs")).alias("words")), weights, share, float(cap)), "targets")
+    duals = balance(lengths, wanted, float(cap))
+    rates = lengths.join(duals, "skey").withColumn("rate", tilt(float(cap)))
+    dealt = lengths.join(whole_copies(rates, cap), ["skey", "size"], "left").join(wanted, "skey")
+    plan = materialize(dealt.select("skey", "size", "docs", F.coalesce("copies", "docs").alias("copies"), "words", "target"), "copies")
+    digits = len(f"{(plan.agg(F.max('docs')).first()[0] or 1) // SLICE:x}")  # of the mark, enough to slice the largest cell
+    slice_ = F.substring("mark", 1, digits).alias("slice")
+    before = Window.partitionBy("skey", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sized.groupBy("skey", "size", slice_).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    ranked = sized.withColumn("slice", slice_).withColumn("nth", F.row_number().over(Window.partitionBy("skey", "size", "slice").orderBy("mark", "_id")))
+    ranked = ranked.join(starts, ["skey", "size", "slice"]).join(plan, ["skey", "size"])
+    share_of = lambda n: F.expr(f"({n}) * copies div docs")
+    copies = (share_of("start + nth") - share_of("start + nth - 1")).cast("long")
     return ranked.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "size", F.col("words").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

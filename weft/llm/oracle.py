@@ -38,25 +38,43 @@ FROM d LEFT JOIN named n USING (rid) LEFT JOIN component c USING (name)
 """
 
 OP9 = r"""
-WITH d AS (
+WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    coalesce(substr(md5(doc_id::VARCHAR), 1, 2), '') AS salt
+    coalesce(md5(doc_id::VARCHAR), '') AS mark
   FROM documents),
 s AS (
-  SELECT skey, sum(size)::BIGINT AS words, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY skey) - 1) % 3 + 1)::INT]::DOUBLE AS w
+  SELECT skey, sum(size)::BIGINT AS words, min(size) FILTER (size > 0) AS least, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY skey) - 1) % 3 + 1)::INT]::DOUBLE AS w
   FROM d GROUP BY skey),
 levelled AS (
   SELECT *, words * 2.0::DOUBLE AS most,
     (1.5::DOUBLE * (sum(words) OVER ())::DOUBLE - coalesce(sum(words * 2.0::DOUBLE) OVER below, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER below, 0.0)) AS level
   FROM s WINDOW below AS (ORDER BY words * 2.0::DOUBLE / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 chosen AS (SELECT arg_min(level, (most / w, skey)) AS level FROM levelled WHERE level * w <= most),
-wanted AS (SELECT skey, words, least(most, coalesce((SELECT level FROM chosen), 'inf'::DOUBLE) * w) AS target FROM levelled),
-rated AS (SELECT *, CASE WHEN words > 0 THEN least(round(target / words, 9), 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM wanted),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY skey ORDER BY size, salt, doc_id) AS nth FROM d)
-SELECT doc_id, size, words AS source_size, target,
-  ((floor(rate * nth + 0.5) - floor(rate * (nth - 1) + 0.5)) * size)::BIGINT AS taken
-FROM ranked JOIN rated USING (skey)
+wanted AS MATERIALIZED (SELECT skey, words, least, least(most, coalesce((SELECT level FROM chosen), 'inf'::DOUBLE) * w) AS target FROM levelled),
+lengths AS MATERIALIZED (SELECT skey, size, count(*) AS docs FROM d GROUP BY ALL),
+halved AS (
+  SELECT skey, target, -60.0::DOUBLE / least AS low, ln(2.0::DOUBLE) / least AS high, 0 AS i FROM wanted WHERE words > 0 AND target < 2 * words
+  UNION ALL
+  SELECT skey, target, CASE WHEN got > target THEN low ELSE (low + high) / 2 END, CASE WHEN got > target THEN (low + high) / 2 ELSE high END, i + 1
+  FROM (
+    SELECT h.skey, target, low, high, i, sum(size * docs * exp(least((low + high) / 2 * size, ln(2.0::DOUBLE)))) AS got
+    FROM halved h JOIN lengths l ON l.skey = h.skey AND size > 0 WHERE i < 90 GROUP BY ALL)),
+rated AS (
+  SELECT l.skey, size, docs, wanted.target, CASE WHEN h.skey IS NULL THEN 2000000000 ELSE floor(exp(least((low + high) / 2 * size, ln(2.0::DOUBLE))) * 1e9 + 0.5) END::HUGEINT AS rate,
+    row_number() OVER (PARTITION BY l.skey ORDER BY size DESC) AS pos
+  FROM lengths l JOIN wanted ON wanted.skey = l.skey LEFT JOIN halved h ON h.skey = l.skey AND i = 90 WHERE size > 0),
+walk AS (
+  SELECT skey, 0::BIGINT AS pos, NULL::BIGINT AS size, NULL::BIGINT AS copies, (round(any_value(target) * 1e9)::HUGEINT - sum(size * docs * rate))::HUGEINT AS carry FROM rated GROUP BY skey
+  UNION ALL
+  SELECT skey, pos, size, copies::BIGINT, ask - copies * size * 1000000000
+  FROM (
+    SELECT w.skey, r.pos, r.size, (r.size * docs * rate + carry)::HUGEINT AS ask,
+      least(2 * docs, CASE WHEN 2 * ask + r.size * 1000000000 < 0 THEN 0 ELSE (2 * ask + r.size * 1000000000) // (2 * r.size * 1000000000::HUGEINT) END)::HUGEINT AS copies
+    FROM walk w JOIN rated r ON r.skey = w.skey AND r.pos = w.pos + 1)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY skey, size ORDER BY mark, doc_id) AS nth, count(*) OVER (PARTITION BY skey, size) AS docs FROM d)
+SELECT doc_id, size, words AS source_size, target, (((nth * copies) // docs - ((nth - 1) * copies) // docs) * size)::BIGINT AS taken
+FROM (SELECT r.*, words, target, coalesce(copies, r.docs) AS copies FROM ranked r JOIN wanted ON wanted.skey = r.skey LEFT JOIN walk k ON k.skey = r.skey AND k.size = r.size)
 """
 
 OP10 = """
