@@ -88,18 +88,26 @@ def tilt(cap: float):
 
 
 def whole_copies(rates: DataFrame, cap: int) -> DataFrame:
-    """(skey, size, copies): whole numbers for the cells of rates(skey, target, size, docs, rate), longest documents first."""
+    """(skey, size, copies): whole numbers for the cells of rates(skey, target, size, docs, rate), longest documents first.
+
+    A cell takes what it asks for, rounded, as far as the shorter documents can make up for the rest.
+    """
 
     def rows(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending")])
         size, docs, rate = (table[c].to_pylist() for c in ("size", "docs", "rate"))
         target = table["target"][0].as_py()
-        carry = round(target * UNITS) - sum(s * d * r for s, d, r in zip(size, docs, rate, strict=True))
+        rest, room = sum(s * d * r for s, d, r in zip(size, docs, rate, strict=True)), cap * UNITS * sum(s * d for s, d in zip(size, docs, strict=True))
+        carry = round(target * UNITS) - rest
         copies = []
         for s, d, r in zip(size, docs, rate, strict=True):
-            ask = s * d * r + carry
-            n = min(max((2 * ask + s * UNITS) // (2 * s * UNITS), 0), cap * d) if s else d
-            carry = ask - n * s * UNITS
+            ask, unit = s * d * r + carry, s * UNITS
+            rest, room = rest - s * d * r, room - cap * d * unit
+            n = d
+            if s:
+                n = max((2 * ask + unit) // (2 * unit), -((room - rest - ask) // unit))
+                n = min(max(min(n, (ask + rest) // unit), 0), cap * d)
+            carry = ask - n * unit
             copies.append(n)
         return pa.table({"skey": table["skey"], "size": table["size"], "copies": pa.array(copies, pa.int64())})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 OP3 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 q AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
@@ -61,22 +63,26 @@ halved AS (
     SELECT h.skey, target, low, high, i, sum(size * docs * exp(least((low + high) / 2 * size, ln(2.0::DOUBLE)))) AS got
     FROM halved h JOIN lengths l ON l.skey = h.skey AND size > 0 WHERE i < 90 GROUP BY ALL)),
 rated AS (
-  SELECT l.skey, size, docs, wanted.target, CASE WHEN h.skey IS NULL THEN 2000000000 ELSE floor(exp(least((low + high) / 2 * size, ln(2.0::DOUBLE))) * 1e9 + 0.5) END::HUGEINT AS rate,
-    row_number() OVER (PARTITION BY l.skey ORDER BY size DESC) AS pos
-  FROM lengths l JOIN wanted ON wanted.skey = l.skey LEFT JOIN halved h ON h.skey = l.skey AND i = 90 WHERE size > 0),
+  SELECT *, row_number() OVER down AS pos, coalesce(sum(size * docs * rate) OVER below, 0)::HUGEINT AS rest, coalesce(sum(size * docs) OVER below, 0)::HUGEINT * 2000000000 AS room
+  FROM (
+    SELECT l.skey, size, docs, wanted.target, CASE WHEN h.skey IS NULL THEN 2000000000 ELSE floor(exp(least((low + high) / 2 * size, ln(2.0::DOUBLE))) * 1e9 + 0.5) END::HUGEINT AS rate
+    FROM lengths l JOIN wanted ON wanted.skey = l.skey LEFT JOIN halved h ON h.skey = l.skey AND i = 90 WHERE size > 0)
+  WINDOW down AS (PARTITION BY skey ORDER BY size DESC), below AS (PARTITION BY skey ORDER BY size DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 walk AS (
   SELECT skey, 0::BIGINT AS pos, NULL::BIGINT AS size, NULL::BIGINT AS copies, (round(any_value(target) * 1e9)::HUGEINT - sum(size * docs * rate))::HUGEINT AS carry FROM rated GROUP BY skey
   UNION ALL
-  SELECT skey, pos, size, copies::BIGINT, ask - copies * size * 1000000000
+  SELECT skey, pos, size, copies::BIGINT, ask - copies * unit
   FROM (
-    SELECT w.skey, r.pos, r.size, (r.size * docs * rate + carry)::HUGEINT AS ask,
-      least(2 * docs, CASE WHEN 2 * ask + r.size * 1000000000 < 0 THEN 0 ELSE (2 * ask + r.size * 1000000000) // (2 * r.size * 1000000000::HUGEINT) END)::HUGEINT AS copies
-    FROM walk w JOIN rated r ON r.skey = w.skey AND r.pos = w.pos + 1)),
+    SELECT *, least(2 * docs, greatest(0, least(greatest(FLOORDIV(2 * ask + unit, 2 * unit), -FLOORDIV(room - rest - ask, unit)), FLOORDIV(ask + rest, unit))))::HUGEINT AS copies
+    FROM (SELECT w.skey, r.pos, r.size, docs, rest, room, r.size * 1000000000::HUGEINT AS unit, (r.size * docs * rate + carry)::HUGEINT AS ask FROM walk w JOIN rated r ON r.skey = w.skey AND r.pos = w.pos + 1))),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY skey, size ORDER BY mark, doc_id) AS nth, count(*) OVER (PARTITION BY skey, size) AS docs FROM d)
 SELECT doc_id, size, words AS source_size, target, (((nth * copies) // docs - ((nth - 1) * copies) // docs) * size)::BIGINT AS taken
 FROM (SELECT r.*, words, target, coalesce(copies, r.docs) AS copies FROM ranked r JOIN wanted ON wanted.skey = r.skey LEFT JOIN walk k ON k.skey = r.skey AND k.size = r.size)
 """
 
+#: // of whole numbers cuts off towards zero.
+OP9 = re.sub(r"FLOORDIV\(([^,()]+), ([^,()]+)\)", r"(CASE WHEN \1 < 0 THEN -((\2 - 1 - (\1)) // (\2)) ELSE (\1) // (\2) END)", OP9)
+
 OP10 = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 pieces AS (SELECT rid, n, lo, substr(h, 2 * lo + 1, 910) AS piece FROM (SELECT rid, n, h, unnest(range(0, n - 199, 256)) AS lo FROM d)),
