@@ -57,12 +57,15 @@ def test_warc_round_trip(spark):
 def test_normaliser_makes_members(tmp_path):
     from pyarrow import fs
 
-    from weft.llm.warc import normalise, parse, record, split_records
+    from weft.llm.warc import normalise, parse, read_index, read_record, record, split_records
 
     records = [record(i, f"http://x/{i}", b"p" * n, "d", n, None) for i, n in enumerate((0, 5, 200000))]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     (tmp_path / "a.gz").write_bytes(z.compress(b"".join(records)) + z.flush())
-    index = normalise(fs.LocalFileSystem(), str(tmp_path / "a.gz"), str(tmp_path / "b.gz"))
+    assert normalise(fs.LocalFileSystem(), str(tmp_path / "a.gz"), str(tmp_path / "b.gz")) == 3
+    index = list(read_index(fs.LocalFileSystem(), str(tmp_path / "b.gz")))
+    fields, block = read_record(str(tmp_path / "b.gz"), index[1][0])
+    assert fields["WARC-Target-URI"] == "http://x/1" and block.endswith(b"ppppp") and read_record(str(tmp_path / "b.gz"), "none") is None
     raw = (tmp_path / "b.gz").read_bytes()
     assert [zlib.decompress(raw[o : o + n], 31) for _, o, n in index] == records
     assert len((tmp_path / "b.gz.idx").read_text().splitlines()) == 3
@@ -71,6 +74,16 @@ def test_normaliser_makes_members(tmp_path):
         list(split_records(io.BytesIO(records[0][:-9])))
 
 
+def test_warc_null_ids_and_repeated_rows(spark):
+    from weft.llm.warc import read_archives, write_archives
+
+    page = "p" * 150
+    rows = [(None, "a", page), (4, "b", page), (4, "b", page), (8, None, page), (None, "c", "q" * 150), (None, "d", "small"), (9, "e", "z" * (3 << 20))]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, refers_to int").repartition(2)
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in read_archives(write_archives(pages)).collect())
+    assert got == [(0, "response", 0, 5), (0, "response", 0, 150), (0, "revisit", 4, 150), (4, "response", 0, 150), (4, "response", 0, 150), (8, "revisit", 4, 150), (9, "response", 0, 3 << 20)]
+
+
 def test_chi2_quantile():
     from weft.llm.ann import chi2_quantile
 

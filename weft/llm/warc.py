@@ -2,18 +2,22 @@
 
 An archive written as one gzip stream cannot be read at a record. The normaliser inflates the stream once, piece by
 piece, finds the records by their lengths, rewrites each one as a gzip member of its own and writes the members'
-offsets beside the archive. `write_archives` makes archives of a table of pages, `read_archives` reads them by the index.
+offsets beside the archive. `write_archives` makes archives of a table of pages; `read_archives` reads members at the
+offsets that the sidecars name, and `read_record` any one of them.
 Files go through Arrow's file systems to the shared folder; a task names its files by its attempt, so that one that
 runs again leaves the others alone.
 
 Defined cases: null html is an empty payload; payloads under 100 bytes are always responses; of equal longer ones the
 smallest id is the response; rows that repeat that id and payload are responses as well, rows without an id are
-revisits if any id has their payload; a null url is written as an empty one; an empty table makes no archive.
+revisits if any id has their payload; a null url is written as an empty one; an empty table makes no archive. Payloads
+don't move: only ids and digests are exchanged, and Spark broadcasts the digests that several pages have if their table
+is under its own limit (else that join sorts and shuffles).
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import uuid
 import zlib
@@ -52,26 +56,33 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, size: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    return dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    end = raw.index(b"\r\n\r\n")
+    fields = fields_of(raw[:end])
+    return fields, raw[end + 4 : end + 4 + int(fields["Content-Length"])]
 
 
 def split_records(stream) -> Iterator[bytes]:
     """Whole records of an inflated stream of pieces."""
     held = bytearray()
-    need = 0
+    need = seen = 0
     for piece in stream:
         held += piece
         while True:
             if not need:
-                if (end := held.find(b"\r\n\r\n")) < 0:
+                if (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+                    seen = len(held)
                     break
-                at = held.lower().find(b"\r\ncontent-length:", 0, end + 2)
-                if not held.startswith(b"WARC/") or at < 0:
+                seen = 0
+                head = bytes(held[: end + 2]).lower()
+                at = head.find(b"\r\ncontent-length:")
+                if not head.startswith(b"warc/") or at < 0:
                     raise ValueError("not a WARC record")
-                need = end + 4 + int(held[at + 17 : held.find(b"\r\n", at + 17)]) + 4
+                need = end + 4 + int(head[at + 17 : head.find(b"\r\n", at + 17)]) + 4
             if len(held) < need:
                 break
             yield bytes(held[:need])
@@ -86,12 +97,12 @@ def inflate(source) -> Iterator[bytes]:
     unzip = zlib.decompressobj(31)
     while piece := source.read(PIECE):
         while piece:
-            yield unzip.decompress(piece)
-            piece = unzip.unused_data
+            yield unzip.decompress(piece, 4 * PIECE)
             if unzip.eof:
-                unzip = zlib.decompressobj(31)
-            if not piece:
-                break
+                piece, unzip = unzip.unused_data, zlib.decompressobj(31)
+            else:
+                piece = unzip.unconsumed_tail
+    yield unzip.flush()
 
 
 def member(raw: bytes) -> bytes:
@@ -99,19 +110,35 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def normalise(system: fs.FileSystem, source: str, target: str) -> list[tuple[str, int, int]]:
-    """Rewrites one archive and writes target.idx, a line of JSON a record: (record id, offset, length)."""
-    index, at = [], 0
-    with system.open_input_stream(source, compression=None) as src, system.open_output_stream(target, compression=None) as out:
+def normalise(system: fs.FileSystem, source: str, target: str) -> int:
+    """Rewrites one archive and writes target.idx, a line of JSON a record: [record id, offset, length]; how many."""
+    at = n = 0
+    with system.open_input_stream(source, compression=None) as src, system.open_output_stream(target, compression=None) as out, system.open_output_stream(target + ".idx", compression=None) as idx:
         for raw in split_records(inflate(src)):
-            name = parse(raw)[0]["WARC-Record-ID"]
             z = member(raw)
             out.write(z)
-            index.append((name, at, len(z)))
+            idx.write((json.dumps([fields_of(raw[: raw.index(b"\r\n\r\n")])["WARC-Record-ID"], at, len(z)]) + "\n").encode())
             at += len(z)
-    with system.open_output_stream(target + ".idx", compression=None) as out:
-        out.write("".join(json.dumps(x) + "\n" for x in index).encode())
-    return index
+            n += 1
+    return n
+
+
+def read_index(system: fs.FileSystem, archive: str) -> Iterator[tuple[str, int, int]]:
+    """(record id, offset, length) of an archive's records, from its sidecar."""
+    with system.open_input_stream(archive + ".idx", compression=None) as src:
+        for line in io.BufferedReader(src):
+            yield tuple(json.loads(line))
+
+
+def read_record(archive: str, record_id: str) -> tuple[dict[str, str], bytes] | None:
+    """(fields, block) of one record, by its offset."""
+    system, path = place(archive)
+    for name, offset, length in read_index(system, path):
+        if name == record_id:
+            with system.open_input_file(path) as file:
+                file.seek(offset)
+                return parse(zlib.decompress(file.read(length), 31))
+    return None
 
 
 def _writer(folder: str):
@@ -124,9 +151,9 @@ def _writer(folder: str):
             out.write(z.flush())
             out.close()
             z = out = None
-            index = normalise(system, f"{name}.mono.gz", f"{name}.warc.gz")
+            n = normalise(system, f"{name}.mono.gz", f"{name}.warc.gz")
             system.delete_file(f"{name}.mono.gz")
-            return pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"] * len(index)), pa.array([x[1] for x in index], pa.int64()), pa.array([x[2] for x in index], pa.int64())], ["path", "offset", "length"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name[len(path) + 1:]}.warc.gz"]), pa.array([n], pa.int64())], ["path", "records"])
 
         for rb in batches:
             for page_id, url, payload, digest, size, refers in zip(*(rb.column(c) for c in ("page_id", "url", "payload", "digest", "size", "refers_to")), strict=True):
@@ -146,43 +173,50 @@ def _writer(folder: str):
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes archives to the shared folder; the index (path, offset, length) of their records."""
+    """Writes archives and their sidecars to the shared folder; (path, records) of each."""
     payload = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload")).withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "size": F.octet_length("payload").cast("long")})
     firsts = rows.where(f"size >= {LEAST}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    named = rows.join(firsts, "digest", "left").select(
+    named = rows.join(materialize(firsts, "digests"), "digest", "left").select(
         "page_id", "url", F.when((F.col("first") == F.col("page_id")) | F.col("first").isNull(), F.col("payload")).alias("payload"), "digest", "size",
         F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"),
     )
-    return materialize(named.mapInArrow(_writer(new_folder(pages.sparkSession, "warc")), "path string, offset long, length long"), "warc-index")
+    return materialize(named.mapInArrow(_writer(new_folder(pages.sparkSession, "warc")), "path string, records long"), "warc-archives")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    system, file, opened = None, None, None
     number = lambda s: int(n) if (n := s.rsplit(":", 1)[-1].rstrip(">")) else None
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    cols: list = [[] for _ in kinds]
+
+    def full() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        for c in cols:
+            c.clear()
+        return made
+
     for rb in batches:
-        cols: list = [[] for _ in range(6)]
-        for path, offset, length in zip(*(rb.column(c).to_pylist() for c in range(3)), strict=True):
-            if path != opened:
-                system, inner = place(path)
-                file, opened = system.open_input_file(inner), path
-            file.seek(offset)
-            fields, block = parse(zlib.decompress(file.read(length), 31))
-            http, _, payload = block.partition(b"\r\n\r\n")
-            kind = fields["WARC-Type"]
-            said = fields["WARC-Payload-Digest"].split(":")[1]
-            size = int(http.decode().lower().split("content-length: ")[1].split("\r\n")[0])
-            digest = hashlib.sha256(payload).hexdigest() if kind == "response" else said
-            if kind == "response" and (digest != said or size != len(payload)):
-                raise ValueError(f"record at {offset} of {path} does not hold its payload")
-            for c, v in zip(cols, (number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size, digest, kind, number(fields["WARC-Refers-To"]) if kind == "revisit" else None), strict=True):
-                c.append(v)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-
-def read_archives(index: DataFrame) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of the records that an index names."""
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    spread = index.select("path", "offset", "length").repartitionByRange(n, "path", "offset").sortWithinPartitions("path", "offset")
-    return spread.mapInArrow(_reader, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        for archive in rb.column(0).to_pylist():
+            system, path = place(archive)
+            with system.open_input_file(path) as file:
+                for name, offset, length in read_index(system, path):
+                    file.seek(offset)
+                    fields, block = parse(zlib.decompress(file.read(length), 31))
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    kind = fields["WARC-Type"]
+                    said = fields["WARC-Payload-Digest"].split(":")[1]
+                    size = int(http.decode().lower().split("content-length: ")[1].split("\r\n")[0])
+                    digest = hashlib.sha256(payload).hexdigest() if kind == "response" else said
+                    if fields["WARC-Record-ID"] != name or kind == "response" and (digest != said or size != len(payload)):
+                        raise ValueError(f"record at {offset} of {path} is not the one that its index names")
+                    for c, v in zip(cols, (number(name), fields["WARC-Target-URI"], size, digest, kind, number(fields["WARC-Refers-To"]) if kind == "revisit" else None), strict=True):
+                        c.append(v)
+                    if len(cols[0]) >= 10_000:
+                        yield full()
+    yield full()
+
+
+def read_archives(archives: DataFrame) -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of the records of archives(path), by their sidecars."""
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return archives.select("path").repartition(n, "path").mapInArrow(_reader, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
