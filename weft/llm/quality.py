@@ -4,12 +4,13 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^
 linear time. Words are counts of 2**BITS hashed buckets, scaled to length one; statistics of structure and the recorded
 number of characters enter as standardised values and as quantile bins.
 
-Training takes the SAMPLE labelled rows of least hash, on the driver, whole texts. Labels, language, source and id are
-never inputs of a score.
+Training takes the SAMPLE labelled rows of least hash (in a total order of id, text and n_chars), on the driver, whole
+texts. Labels, language, source and id are never inputs of a score.
 
 Defined cases: null text is empty and gets a score from its statistics; a null n_chars counts as the text's own length;
 of an id with several labels the mean decides (0.5 up is 1); null labels do not teach; without both labels every score
-is the share of label 1 (0.5 without labels); repeated rows are independent.
+is the share of label 1 (0.5 without labels); repeated rows are independent, and each of them may teach; an empty table
+gives an empty one; other columns are carried along except those that an output replaces.
 """
 
 from __future__ import annotations
@@ -123,16 +124,24 @@ def train(texts: list[bytes], n_chars: np.ndarray, y: np.ndarray, rounds: int =
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str | None = "n_chars") -> dict:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    there = docs.select(F.col(id_col).alias("i")).where("i is not null").distinct()
-    chosen = dict(tuple(r) for r in known.join(there, "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(SAMPLE).collect())
-    chars = F.col(chars_col) if chars_col else F.lit(None)
-    rows = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col), F.col(text_col), chars).limit(2 * SAMPLE).collect() if chosen else []
-    rows = sorted((r[0], r[1] or "", -1 if r[2] is None else r[2]) for r in rows)
-    y = np.array([chosen[r[0]] for r in rows], float)
+    chars = F.coalesce((F.col(chars_col) if chars_col else F.lit(None)).cast("long"), F.lit(-1))
+    own = [F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("t"), chars.alias("c")]
+    least = docs.select(*own).join(known, "i").orderBy(F.xxhash64("i"), "i", "t", "c").limit(SAMPLE)
+    chosen, label = {}, {}
+    for r in least.collect():
+        chosen[r["i"], r["t"], r["c"]] = chosen.get((r["i"], r["t"], r["c"]), 0) + 1
+        label[r["i"]] = r["y"]
+    if not chosen:
+        return {"share": 0.5}
+    # the chosen rows' texts, one for rows that are the same in all three
+    text = docs.where(F.col(id_col).isin(sorted(label))).groupBy(*own).agg(F.first(text_col).alias("text"))
+    wanted = docs.sparkSession.createDataFrame(list(chosen), docs.select(*own).schema)
+    rows = sorted((r["i"], r["t"], r["c"], r["text"] or "") for r in text.join(F.broadcast(wanted), ["i", "t", "c"], "left_semi").collect())
+    rows = [r for r in rows for _ in range(chosen[r[:3]])]
+    y = np.array([label[r[0]] for r in rows], float)
     if len(set(y)) < 2:
-        return {"share": float(y.mean()) if len(y) else 0.5}
-    texts = [r[1].encode() for r in rows]
-    return train(texts, np.array([len(r[1]) if r[2] < 0 else r[2] for r in rows], float), y)
+        return {"share": float(y.mean())}
+    return train([r[3].encode() for r in rows], np.array([len(r[3]) if r[2] < 0 else r[2] for r in rows], float), y)
 
 
 def score_texts(docs: DataFrame, model: dict, text_col: str = "text", chars_col: str | None = "n_chars", out: str = "score") -> DataFrame:
