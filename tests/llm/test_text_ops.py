@@ -172,12 +172,60 @@ def test_words_of_mixed_text_get_their_own_language(spark):
     buf, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
     starts, ends, first = langid.words_of(buf, offs)
     score = langid.emissions(*langid.features(buf, starts, ends), starts, ends, model["weights"])
-    grid, _ = langid.chains(first)
-    post, _, _ = langid.forward_backward(score[np.where(grid >= 0, grid, 0)], model["moves"], grid >= 0)
+    grid, doc = langid.segments(first)
+    post, _ = langid.forward_backward(score[np.where(grid >= 0, grid, 0)], model["moves"], grid >= 0, doc)
     best = post[0].argmax(1)
     assert (best[:30] == 0).mean() > 0.9 and (best[30:60] == 1).mean() > 0.9
 
 
+def naive_chain(score, moves):
+    """Posteriors and expected transitions of one chain, in logarithms, word by word."""
+    n, k = score.shape
+    fwd, bwd = np.zeros((n, k)), np.zeros((n, k))
+    lse = lambda x, axis: np.log(np.exp(x - x.max()).sum(axis)) + x.max()
+    fwd[0] = score[0] - np.log(k)
+    for t in range(1, n):
+        fwd[t] = lse(fwd[t - 1][:, None] + moves, 0) + score[t]
+    for t in range(n - 2, -1, -1):
+        bwd[t] = lse(moves + score[t + 1] + bwd[t + 1], 1)
+    z = lse(fwd[-1], 0)
+    trans = sum((np.exp(fwd[t - 1][:, None] + moves + score[t] + bwd[t] - z) for t in range(1, n)), np.zeros((k, k)))
+    return np.exp(fwd + bwd - z), trans
+
+
+def test_forward_backward_is_one_pass_over_each_chain():
+    import itertools
+
+    from weft.llm import langid
+
+    rng = np.random.default_rng(9)
+    lengths = [3, 64, 65, 200, 1, 128, 130]
+    first = np.r_[0, np.cumsum(lengths)]
+    score, moves = rng.normal(0, 2, (first[-1], 3)), rng.normal(0, 1, (3, 3))
+    grid, doc = langid.segments(first)
+    real = grid >= 0
+    post, trans = langid.forward_backward(score[np.where(real, grid, 0)], moves, real, doc)
+    naive = [naive_chain(score[a:b], moves) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert np.allclose(post[real], np.concatenate([p for p, _ in naive]), atol=1e-9)
+    assert np.allclose(trans, sum(t for _, t in naive), atol=1e-8)
+    paths = list(itertools.product(range(3), repeat=3))  # and the naive pass is an enumeration of all paths
+    weight = np.array([np.exp(sum(score[t, y[t]] for t in range(3)) + sum(moves[y[t - 1], y[t]] for t in (1, 2))) for y in paths])
+    for t in range(3):
+        assert np.allclose([weight[[y[t] == c for y in paths]].sum() / weight.sum() for c in range(3)], naive[0][0][t])
+
+
+def test_language_learns_from_rows_in_a_total_order(spark):
+    from weft.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    twice = docs.union(docs.withColumn("text", __import__("pyspark.sql.functions", fromlist=["x"]).reverse("text"))).withColumn("lang_pred", docs["lang"])
+    a, b = langid.train_on(twice.repartition(1)), langid.train_on(twice.repartition(5))
+    assert a["names"] == b["names"] and np.array_equal(a["weights"], b["weights"])
+    got = langid.identify(twice, a)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and got.count() == 120
+    assert langid.identify(docs.limit(0), a).count() == 0 and langid.identify_held_out(docs.limit(0)).count() == 0
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
@@ -285,6 +333,36 @@ def test_quality_held_out(spark):
     assert score_held_out(docs.limit(5), labels.limit(0)).first()["score"] == 0.5
 
 
+def test_factorisation_machine_sums_all_pairs():
+    from weft.llm import quality
+
+    rng = np.random.default_rng(4)
+    buckets, dense = 1 << quality.BITS, rng.normal(size=(3, 5))
+    m = {"w0": rng.normal(size=1), "w": rng.normal(size=buckets), "v": rng.normal(size=(buckets, quality.RANK)), "dw": rng.normal(size=5), "dv": rng.normal(size=(5, quality.RANK))}
+    d, b, x = np.array([0, 0, 0, 2, 2]), np.array([3, 9, 11, 3, 500]), rng.normal(size=5)
+    got, _ = quality.margin(m, dense, d, b, x)
+    for doc in range(3):
+        parts = [(m["w"][b[e]], m["v"][b[e]], x[e]) for e in np.flatnonzero(d == doc)] + [(m["dw"][i], m["dv"][i], dense[doc, i]) for i in range(5)]
+        want = m["w0"][0] + sum(w * v for w, _, v in parts) + sum((p[1] @ q[1]) * p[2] * q[2] for i, p in enumerate(parts) for q in parts[i + 1 :])
+        assert abs(got[doc] - want) < 1e-9
+
+
+def test_quality_learns_from_rows_in_a_total_order(spark):
+    from pyspark.sql import functions as F
+
+    from weft.llm import quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.union(docs.withColumn("text", F.reverse("text"))).withColumn("score", F.lit("own"))
+    a, b = quality.train_on(twice.repartition(1), labels), quality.train_on(twice.repartition(5), labels)
+    assert all(np.array_equal(a[k], b[k]) for k in ("w0", "w", "v", "dw", "dv"))
+    got = quality.score_texts(twice, a)
+    assert got.columns == [*docs.columns, "score"] and got.count() == 2 * docs.count() and dict(got.dtypes)["score"] == "double"
+    assert quality.score_held_out(docs.limit(0), labels).count() == 0
+    one = labels.where("quality = 1")
+    assert {r["score"] for r in quality.score_held_out(docs, one).collect()} == {1.0}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from weft.llm.common import materialize
