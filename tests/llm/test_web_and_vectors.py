@@ -148,3 +148,106 @@ def test_main_text_without_closing_tags():
     assert main_text(f"{head}stray</head><body><p>{body}</p>") == body
     for cut in ("<svg width='1' />", "<math/>", "<svg><text>no</text></svg>", "<canvas>"):
         assert main_text(f"<article><p>{body}</p>{cut}<p>{body}</p></article><svg></svg>").split("\n") == [body, body]
+
+
+def test_main_text_between_languages_and_links():
+    from weft.llm.html_extract import main_text
+
+    english = "It was the first of the days, and the people of the town had come to see what it was that they had been told of by the others, and by him, for the time."
+    russian = "Вчера вечером жители города собрались на площади, чтобы обсудить новый мост через реку и дорогу к старому вокзалу. " * 2
+    polish = "Wczoraj wieczorem mieszkańcy miasta zebrali się na placu, żeby omówić nowy most przez rzekę oraz drogę. " * 2
+    japanese = "昨夜、市民は広場に集まり、川に架かる新しい橋と古い駅への道について話し合った。" * 5
+    for body in (russian, polish, japanese):
+        assert main_text(f"<body><p>{body}</p><p>Short.</p><p>{body}</p></body>").split("\n") == [body.strip(), "Short.", body.strip()]
+        assert main_text(f"<body><p>{english}</p><p>{body}</p><p>{english}</p></body>").split("\n") == [english, body.strip(), english]
+    spaced = "&#32;&#x20;   \n\t" * 30
+    linked = f"<article><p>{english}</p><p>A word of <a href='x'>{spaced}&lt;link&gt; text here{spaced}</a> in a line.</p><p>{english}</p></article>"
+    assert main_text(linked).split("\n") == [english, "A word of <link> text here in a line.", english]
+    for mark in ("market share", "social history", "a search for truth"):
+        assert main_text(f"<body><p>{english}</p><p class='{mark}'>{english}</p></body>").split("\n") == [english] * 2
+    for mark in ("share", "social share", "related-posts", "search-form", "comments", "share-buttons bottom", "site-notice"):
+        assert main_text(f"<body><p>{english}</p><div class='{mark}'><p>{english}</p></div></body>") == english
+
+
+def test_main_text_of_broken_pages_in_linear_time():
+    import time
+
+    from weft.llm.html_extract import main_text
+
+    began = time.process_time()
+    for unit in ("<a x", "<svg>", "<a '><b \"> ", '<a ">" ', "<!--", "</", "<script ", "<p class='x", "<", "&", "<p>"):
+        main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 20
+    began = time.process_time()
+    assert main_text("<p>It is the end of it, and of the others as well.</p>" + "<a x" * 250_000) == "It is the end of it, and of the others as well."
+    assert time.process_time() - began < 2
+    body = "The whole of it was there for all of us to see, and it was as good as it had been before that day in the year that was the last of them. "
+    assert main_text(f"<p class=\"x>{body}</p><p>{body}</p>").split("\n")[-1] == body.strip()
+    assert main_text(f"<p>{body * 2000}</p>") == (body * 2000).strip()
+
+
+def test_extract_on_repeats_and_clashing_columns(spark):
+    from weft.llm.html_extract import extract
+
+    rows = spark.createDataFrame([(1, "own", "<p>One line.</p>")] * 3 + [(2, None, None)], "page_id long, Text string, html string")
+    got = extract(rows)
+    assert got.columns == ["page_id", "html", "text", "n_chars"] and sorted((r["page_id"], r["text"]) for r in got.collect()) == [(1, "One line.")] * 3 + [(2, "")]
+
+
+def test_main_text_equals_naive_two_passes():
+    from weft.llm import html_extract as H
+
+    def naive(found):
+        """The rules block by block, in the order in which the module's docstring has them."""
+        share = lambda b: sum(w.strip(".,;:!?\"'()") in H.STOP_WORDS for w in b.text.lower().split()) / len(b.text.split())
+        flow = [b for b in found if not b.furniture]
+        body = [b for b in flow if b.linked <= H.LINK_SHARE * len(b.text)]
+        foreign = sum(len(b.text) * share(b) for b in body) < H.STOP_HIGH * sum(len(b.text) for b in body)
+        inside = any(b.article for b in flow)
+
+        def first(b):
+            if b.linked > H.LINK_SHARE * len(b.text):
+                return "bad"
+            if len(b.text) < H.SHORT or b.heading:
+                return "short"
+            if share(b) >= H.STOP_HIGH and len(b.text) >= H.LONG:
+                return "good"
+            if share(b) >= H.STOP_LOW or b.article:
+                return "short"
+            if foreign or 2 * len(H.BEYOND.findall(b.text)) > len(b.text):
+                return "good" if len(b.text) >= H.LONG and not inside else "short"
+            return "short" if H.SENTENCE.search(b.text) else "bad"
+
+        label = [first(b) for b in flow]
+        out = []
+        for i, b in enumerate(flow):
+            kind = label[i]
+            if kind == "short":
+                before = next((j for j in range(i - 1, -1, -1) if label[j] != "short"), None)
+                after = next((j for j in range(i + 1, len(flow)) if label[j] != "short"), None)
+                if "good" not in label:
+                    kind = "good" if b.article or not inside else "bad"
+                elif before is None or after is None:
+                    kind = label[after if before is None else before]
+                elif label[before] == label[after]:
+                    kind = label[before]
+                elif b.heading or b.article:
+                    kind = "good"
+                else:
+                    kind = label[before] if i - before <= after - i else label[after]
+            if kind == "good":
+                out.append(b.text)
+        return "\n".join(out)
+
+    import random
+
+    rng = random.Random(3)
+    stop, rare = "the of and to in a is that for it".split(), "bridge harbour Lampe vista kolor źródło 町 река".split()
+    for _ in range(300):
+        page = ""
+        for _ in range(rng.randint(1, 12)):
+            words = " ".join(rng.choice(stop if rng.random() < rng.choice([0.0, 0.1, 0.4]) else rare) for _ in range(rng.choice([2, 8, 20, 40]))) + rng.choice([".", ""])
+            tag = rng.choice(["p", "p", "p", "h2", "li", "div class='sidebar'", "footer", "article"])
+            page += f"<{tag}>" + (f"<a href='#'>{words}</a>" if rng.random() < 0.2 else words) + f"</{tag.split()[0]}>"
+        found = H.blocks(page)
+        assert naive(found) == H.main_text(page)

@@ -3,19 +3,24 @@
 Blocks are runs of text between block-level tags. The first pass decides each one by its link density, its length and
 the density of stop words: `good`, `bad`, or `short` where that is not enough. The second pass gives short blocks the
 label of their nearest decided neighbours (both must agree, or the block stands nearer to the good one, or is a heading
-before good text). Where a page has few of the known stop words, or a block is mostly in another script, link density,
-length and neighbours decide without them. Blocks in page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, by
-element, role or class) are bad beforehand and do not vote.
+before good text). Stop words speak for a block, their lack does not speak against sentences: where a page has few of
+the known ones, or a block is in sentences or mostly in another script, link density, length and neighbours decide.
+Blocks in page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element, role or
+class) are bad beforehand and do not vote.
+
+A page is read once from left to right, in time that grows with its length whatever it holds.
 
 Defined cases: null or empty html gives an empty text; text outside any element counts; unclosed and stray tags are
 tolerated; without any good block, short blocks of the article (or, without one, of the body) stay; scripts, styles,
-comments and other raw text never count; rows are independent;
-other columns are carried along except those that an output replaces.
+comments and other raw text never count; a tag that the page breaks off in ends it; an attribute's quote that is never
+closed ends at the next `>`; rows are independent, repeated ones too; an empty table gives an empty one; other columns
+are carried along except those that an output replaces.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -44,22 +49,24 @@ HEAD = frozenset("base basefont bgsound link meta noframes".split() + RAW + WHOL
 FURNITURE = frozenset("nav header footer aside form button dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words that mark furniture as a class, id or role; and words that may stand beside them in one hyphenated token.
-MARK = r"(?:ads?|advert[a-z0-9]*|banner|breadcrumbs?|comments?|contentinfo|cookies?|dialog|disqus|footer|header|masthead|menu[a-z0-9]*|modal|nav[a-z0-9]*|newsletter|notices?|popup|promo[a-z0-9]*|related|search|share|sharing|sidebar|social|sponsor[a-z0-9]*|subscribe|toolbar|widgets?|complementary)"
+#: Words that mark furniture as a class, id or role; those that do so only if all tokens beside them are of this kind or
+#: the next; and words that may stand beside a mark.
+MARK = r"(?:ads?|advert[a-z0-9]*|banner|breadcrumbs?|contentinfo|cookies?|dialog|disqus|footer|header|masthead|menu[a-z0-9]*|modal|nav[a-z0-9]*|newsletter|popup|promo[a-z0-9]*|sidebar|sponsor[a-z0-9]*|subscribe|toolbar|widgets?|complementary)"
+WEAK = r"(?:comments?|notices?|related|search|share|sharing|social)"
 BESIDE = r"(?:site|main|global|top|bottom|left|right|primary|secondary|mobile|area|bar|box|block|list|links|items?|buttons?|icons?|form|consent|posts|section|\d+)"
-MARKS = re.compile(rf"(?:^|\s)(?:{BESIDE}[_-]+)*{MARK}(?:[_-]+(?:{MARK}|{BESIDE}))*(?:$|\s)", re.I)
+MARKS = re.compile(rf"(?:^|\s)(?:{BESIDE}[_-]+)*{MARK}(?:[_-]+(?:{MARK}|{WEAK}|{BESIDE}))*(?:$|\s)|(?:^|\s)(?:{BESIDE}[_-]+|{WEAK}[_-]+)*{WEAK}[_-]+{MARK}(?:$|\s)", re.I)
+WEAKS = re.compile(rf"\s*(?:(?:{MARK}|{WEAK}|{BESIDE})(?:[\s_-]+|$))*(?<![a-z0-9]){WEAK}(?:[\s_-]+(?:{MARK}|{WEAK}|{BESIDE}))*\s*", re.I)
 #: Marks that an article's own heading may carry.
 OWN = re.compile(r"\s*(?:header|masthead)\s*", re.I)
-QUOTED = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])" + QUOTED + r"(?<=/)>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<whole>" + "|".join(WHOLE) + r")(?=[\s/>])[^>]*>(?:.*?</(?P=whole)\s*>)?"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>" + QUOTED + r")>|<[!?/][^>]*>", re.S | re.I)
+TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW + WHOLE}
 ATTRS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
 #: Letters beyond the Latin script, of which the stop words say nothing.
 BEYOND = re.compile(r"[^\W\d_\u0000-\u024f]")
+#: Ends of sentences in several scripts.
+SENTENCE = re.compile(r"[.!?\u2026](?:\s|$|[\"'\u00bb\u201d])|[\u3002\uff01\uff1f\u0964\u06d4\u061f\u1362]")
 #: Thresholds of the first pass.
 LINK_SHARE, LONG, SHORT, STOP_HIGH, STOP_LOW = 0.5, 140, 60, 0.12, 0.05
 
@@ -72,54 +79,102 @@ class Block:
         self.label = ""
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closes, attributes) of tags; no name for what is left out whole. The last may break off."""
+    at, size = 0, len(page)
+    dead: set[int] = set()  # quotes from which no tag's end is reached
+    unclosed: set[str] = set()
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            yield start, at, "", False, ""
+            continue
+        m = TAG.match(page, start)
+        if not m:
+            if page[start + 1 : start + 2] not in ("!", "?", "/"):
+                at = start + 1
+                continue
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else size
+            yield start, at, "", False, ""
+            continue
+        name, closes = m[1].lower(), page[start + 1] == "/"
+        end, met = m.end(), []
+        while (stop := STOP.search(page, end)) and stop[0] != ">":
+            met.append(stop.start())
+            end = page.find(stop[0], stop.end()) + 1 if stop.start() not in dead else 0
+            if not end:
+                stop = None
+                break
+        if stop:
+            end = stop.end()
+        else:
+            dead.update(met)
+            end = page.find(">", m.end()) + 1
+        if not end:
+            yield start, size, "", False, ""
+            return
+        attrs = page[m.end() : end - 1]
+        at = end
+        if not closes and name in ENDS and not (name in ("svg", "math") and attrs.endswith("/")):
+            close = None if name in unclosed else ENDS[name].search(page, end)
+            if close:
+                at = close.end()
+                name = ""
+            elif name in RAW:
+                at, name = size, ""
+            else:
+                unclosed.add(name)
+        elif name in ENDS:
+            name = ""
+        yield start, at, name, closes, attrs
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    parts: list[str] = []
+    parts: list[tuple[str, bool]] = []
     stack: list[list] = []  # [tag, marked]
     wrappers: list[list] = []  # marked elements around a main, or an article
     outside = False
-    links = furniture = article = linked = 0
+    links = furniture = article = 0
     heading = ""
     in_head = False
 
+    def clean(raw: str) -> str:
+        return SPACE.sub(" ", html.unescape(raw)).strip()
+
     def end() -> None:
-        nonlocal linked
-        text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
+        text = clean("".join(p for p, _ in parts))
         if text:
+            linked = sum(len(clean("".join(p for p, _ in run))) for link, run in itertools.groupby(parts, key=lambda p: p[1]) if link)
             out.append(Block(text, linked, bool(heading), [e for e in stack if e[1]] if furniture else [], article > 0))
         parts.clear()
-        linked = 0
 
     def text(raw: str) -> None:
-        nonlocal linked
-        parts.append(raw)
-        if links:
-            linked += len(raw)
+        parts.append((raw, links > 0))
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
+    for start, after, name, closes, attrs in tokens(page):
+        if start > at:
+            text(page[at:start])
+        at = after
         if not name:
             continue
-        name = name.lower()
         if name == "head":
-            if m["close"] and in_head:
+            if closes and in_head:
                 parts.clear()  # stray text of a closed head
-                linked = 0
             end()
-            in_head = not m["close"]
+            in_head = not closes
             continue
         if in_head:
-            if m["close"] and name != "html" or name in HEAD:
+            if closes and name != "html" or name in HEAD:
                 continue
             in_head = False
             end()
         if name in INLINE:
             if name == "a":
-                links = 0 if m["close"] else 1
+                links = 0 if closes else 1
             elif name == "br":
                 text(" ")
             if name not in ("span", "label", "a"):
@@ -128,7 +183,7 @@ def blocks(page: str) -> list[Block]:
                 continue
         else:
             end()
-        if m["close"]:
+        if closes:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     for tag, mark in stack[i:]:
@@ -140,8 +195,8 @@ def blocks(page: str) -> list[Block]:
                 heading = ""
             if name not in INLINE:
                 links = 0
-        elif name not in VOID and not m["attrs"].endswith("/"):
-            marked = name in FURNITURE or name not in ("html", "body", "article", "main") and any(MARKS.search(v) and not (article and OWN.fullmatch(v)) for v in map("".join, ATTRS.findall(m["attrs"])))
+        elif name not in VOID and not attrs.endswith("/"):
+            marked = name in FURNITURE or name not in ("html", "body", "article", "main") and any((MARKS.search(v) or WEAKS.fullmatch(v)) and not (article and OWN.fullmatch(v)) for v in map("".join, ATTRS.findall(attrs)))
             if name == "header" and article:
                 marked = False  # the article's own heading
             if marked and name in INLINE:
@@ -163,9 +218,7 @@ def blocks(page: str) -> list[Block]:
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = name
     if at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!]", rest)  # a tag that the page breaks off in
-        text(rest[: cut.start()] if cut else rest)
+        text(page[at:])
     end()
     if not outside:  # the page's article is in what looked like furniture
         for e in wrappers:
@@ -197,7 +250,7 @@ def classify(found: list[Block]) -> None:
         elif foreign or 2 * len(BEYOND.findall(b.text)) > n:
             b.label = "good" if n >= LONG and not inside else "short"
         else:
-            b.label = "bad" if n < LONG or not b.article else "short"
+            b.label = "short" if SENTENCE.search(b.text) else "bad"
     flow = [b for b in found if not b.furniture]
     decided = [i for i, b in enumerate(flow) if b.label != "short"]
     labels = {i: flow[i].label for i in decided}
