@@ -105,7 +105,26 @@ def test_repeats(docs, texts):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [2, 9, 50])
+def test_short_repeats(spark, length):
+    from weft.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(length)
+    texts = ["".join(rng.choice("abcdefgh" if length < 50 else "ab") for _ in range(rng.randint(0, 300 if length == 50 else 40))) for _ in range(12)] + ["", None]
+    texts += [texts[0][:60] + "!" + texts[1]]
+    got = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), length=length).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == dict(enumerate(brute_removed(texts, length)))
+
+
 def test_repeated_rows_match_each_other(spark):
+    with pytest.raises(ValueError):
+        from weft.llm.suffix_dedup import gram_of
+
+        gram_of(1)
+    _repeated_rows(spark)
+
+
+def _repeated_rows(spark):
     from weft.llm.suffix_dedup import remove_repeats
 
     text = prose(random.Random(1), 90)
@@ -416,6 +435,30 @@ def changed(text, *at):
     return " ".join(f"new{i}" if i in at else w for i, w in enumerate(text.split()))
 
 
+def test_frequent_shingles_go_once(monkeypatch):
+    import pyarrow as pa
+
+    from weft.llm import jaccard
+
+    rng = random.Random(29)
+    line = "all of them have this one line in common here"
+    texts = [f"{line} {prose(rng, 12)}" for _ in range(40)] + [prose(rng, 30) for _ in range(5)] + [line, None, "x"]
+
+    def run(many):
+        monkeypatch.setattr(jaccard, "MANY", many)
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(range(a, b)), pa.int64()), pa.array(texts[a:b], pa.string()), pa.array([0] * (b - a), pa.int64())], ["doc_id", "text", "mark"]) for a, b in ((0, 30), (30, len(texts)))]
+        sent = pa.Table.from_batches([r for n, b in enumerate(batches) for r in jaccard._shingles(7, 5)(iter([b]))])
+        sent = sent.set_column(1, "batch", pa.array(np.cumsum(np.array(sent["kind"]) == 1) + 100))  # each call counts as a task
+        size = sum(map(len, sent.filter(pa.compute.equal(sent["kind"], 0))["blob"].to_pylist()))
+        back = pa.concat_tables([jaccard._shared(sent.filter(pa.compute.equal(sent["key"], k))) for k in range(max(sent["key"].to_pylist()) + 1)])
+        got = [jaccard._documents(80)(back.filter(pa.compute.equal(back["batch"], b))) for b in sorted(set(back["batch"].to_pylist()))]
+        return sorted(map(repr, pa.concat_tables(got).to_pylist())), size
+
+    pytest.importorskip("pyarrow.compute")
+    (some, small), (none, large) = run(10), run(10**9)
+    assert some == none and small < large
+
+
 def test_jaccard_links_give_every_pair(spark):
     from weft.llm.jaccard import jaccard_links
 

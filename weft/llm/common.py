@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 MAX64 = U(2**64 - 1)
@@ -22,10 +23,12 @@ BYTE_TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.ui
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names in spark.checkpoint.dir; where it is unset, a local one in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="weft-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -42,9 +45,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts(spark: SparkSession, per: int = 4) -> int:
-    """Number of hash buckets: a few per shuffle partition, so that uneven dealing evens out."""
-    return max(16, per * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Text of one hash bucket, about, in bytes.
+BUCKET_BYTES = 16 << 20
+
+
+def parts(df: DataFrame, text_col: str, per: int = 4) -> int:
+    """Number of hash buckets: by the bytes of all texts, and a few per shuffle partition at least, so that uneven dealing evens out."""
+    held = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(16, per * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-held // BUCKET_BYTES))
+
+
+def bounds(buckets: int, bits: int) -> np.ndarray:
+    """The least value of each bucket, where values of so many bits are dealt out in equal spans."""
+    return np.array([-(-(b << bits) // buckets) for b in range(buckets)], U)
 
 
 def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,14 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Shingles are counted once over all documents; a document keeps the shingles that some other document has as well.
-The rarest ones form its prefix: two documents with similarity >= t share a shingle of their prefixes. Documents are
-partitioned into groups of similar ones (by their smallest shared shingle); the matrix holds, for each group, the
-union of its members' prefix shingles with the span of set sizes. A query document bounds its overlap with a group by
-that matrix, opens only qualifying groups, and is checked there by exact overlap counts.
+The rarest ones form its prefix: two documents with similarity >= t have COMMON shingles of their prefixes in common (or
+as many as they must share at all). Documents are partitioned into groups of similar ones (by their smallest shared
+shingle); the matrix holds, for each group, the union of its members' prefix shingles with the span of set sizes of
+their holders. A query document bounds its overlap with a group by the shingles of that union it has, opens only groups
+where they are enough, and is checked there by exact overlap counts.
+
+A shingle that many documents of a batch have goes to its bucket once, with their number. Buckets are as many as the
+bytes of all texts ask for; a group is opened in blocks of members and of queries.
 
 Defined cases: a null or blank text has the empty set and is linked with nothing; a text of fewer than five words has
 one shingle, its whole sequence; equal sets collapse before any comparison; repeated ids keep a row each; a null id
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, GOLD, MIX1, U, flat, lean, lean_batches, materialize, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, unpack_sorted
+from .common import BYTE_TABLE, GOLD, MIX1, U, bounds, flat, lean, lean_batches, materialize, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, unpack_sorted
 from .components import connected_components
 
 #: A-Z hash as a-z.
@@ -32,8 +36,12 @@ WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
 #: Shingles of one packed batch, and documents of one (their index takes 16 bits).
 BATCH_SHINGLES, BATCH_DOCS = 4_000_000, 60_000
-#: Members of a group that one task opens at once.
-BLOCK = 2048
+#: Documents of a batch that make a shingle a frequent one there, and the index that stands for all of them.
+MANY, ALL = 512, 0xFFFF
+#: Prefix shingles that linked documents have in common.
+COMMON = 4
+#: Members of a group, and queries, that one task opens at once.
+BLOCK, ASKS = 1024, 2048
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,19 +92,27 @@ def _shingles(buckets: int, k: int):
         grams: list = []
         seen: set = set()
         held, serial, at = 0, 0, task_id() << 24
+        low = bounds(buckets, 48) << U(16)
 
         def flush() -> pa.RecordBatch:
             nonlocal held, serial
             batch = at + serial
             all_ = np.sort(np.concatenate(grams)) if grams else np.zeros(0, U)
-            cuts = np.searchsorted(all_, np.array([((b << 48) // buckets + (1 if (b << 48) % buckets else 0)) << 16 for b in range(buckets)], U))
-            cuts = np.r_[cuts, len(all_)]
-            keys, kinds, blobs = [batch % buckets], [1], [pack(np.array(ids, np.int64), np.array(null, np.uint8), np.array(mark, np.int64), np.array(size, np.int64), np.frombuffer(b"".join(sid), np.uint8))]
-            for b in range(buckets):
-                if (part := all_[cuts[b] : cuts[b + 1]]).size:
-                    keys.append(b)
-                    kinds.append(0)
-                    blobs.append(pack(np.diff(part >> U(16), prepend=U(0)), (part & U(0xFFFF)).astype(np.uint16)))
+            first = np.flatnonzero(np.r_[True, all_[1:] >> U(16) != all_[:-1] >> U(16)]) if len(all_) else np.zeros(0, np.int64)
+            count = np.diff(np.r_[first, len(all_)])
+            many = np.repeat(count >= MANY, count)
+            frequent = all_[many]
+            weight = np.where(count >= MANY, count, 0)  # of frequent ones only
+            all_ = np.sort(np.r_[all_[~many], all_[first[count >= MANY]] | U(ALL)])
+            weight = weight[weight > 0]
+            nth = np.r_[0, np.cumsum((all_ & U(0xFFFF)) == U(ALL))]
+            cuts = np.r_[np.searchsorted(all_, low), len(all_)]
+            keys, kinds, blobs = [batch % buckets], [1], [pack(np.array(ids, np.int64), np.array(null, np.uint8), np.array(mark, np.int64), np.array(size, np.int64), np.frombuffer(b"".join(sid), np.uint8), np.diff(frequent, prepend=U(0)))]
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                part = all_[cuts[b] : cuts[b + 1]]
+                keys.append(b)
+                kinds.append(0)
+                blobs.append(pack(np.diff(part >> U(16), prepend=U(0)), (part & U(0xFFFF)).astype(np.uint16), weight[nth[cuts[b]] : nth[cuts[b + 1]]]))
             for x in (ids, null, mark, size, sid, grams, seen):
                 x.clear()
             held, serial = 0, serial + 1
@@ -131,23 +147,26 @@ def _shingles(buckets: int, k: int):
 def _shared(table: pa.Table) -> pa.Table:
     """Of a bucket, the shingles that two documents have, sent back to their batches with the number of documents."""
     keys, kinds, blobs = [], [], []
-    grams, where, index = [], [], []
+    grams, where, index, weights = [], [], [], []
     for batch, kind, blob in zip(table["batch"].to_pylist(), table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True):
         if kind:
             keys.append(batch)
             kinds.append(1)
             blobs.append(blob)
         else:
-            d, i = unpack(blob)
+            d, i, frequent = unpack(blob)
             grams.append(np.cumsum(d, dtype=U))
             index.append(i)
+            weight = np.ones(len(i), np.int64)
+            weight[i == ALL] = frequent
+            weights.append(weight)
             where.append(np.full(len(i), batch, np.int64))
     if grams:
-        g, w, i = np.concatenate(grams), np.concatenate(where), np.concatenate(index)
+        g, w, i, each = np.concatenate(grams), np.concatenate(where), np.concatenate(index), np.concatenate(weights)
         o = np.argsort(g)
         g, w, i = g[o], w[o], i[o]
         new = np.r_[True, g[1:] != g[:-1]]
-        df = np.diff(np.r_[np.flatnonzero(new), len(g)])[np.cumsum(new) - 1]
+        df = np.add.reduceat(each[o], np.flatnonzero(new))[np.cumsum(new) - 1]
         keep = df > 1
         g, w, i, df = g[keep], w[keep], i[keep], np.minimum(df[keep], 65535).astype(np.uint16)
         o = np.argsort(w, kind="stable")
@@ -170,7 +189,8 @@ def _documents(percent: int):
 
     def rows(table: pa.Table) -> pa.Table:
         kinds, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
-        ids, null, mark, size, sid = unpack(blobs[kinds.index(1)])
+        ids, null, mark, size, sid, frequent = unpack(blobs[kinds.index(1)])
+        frequent = np.cumsum(frequent, dtype=U)
         sids = [sid[16 * r : 16 * r + 16].tobytes() if n else None for r, n in enumerate(size)]
         shared: list = [None] * len(ids)
         prefix: list = [None] * len(ids)
@@ -178,15 +198,23 @@ def _documents(percent: int):
         got = [unpack(b) for b, kind in zip(blobs, kinds, strict=True) if not kind]
         if got:
             g, i, df = np.concatenate([np.cumsum(x[0], dtype=U) for x in got]), np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
+            if len(frequent):  # every holder of a frequent shingle
+                whole = frequent >> U(16)
+                lot = np.flatnonzero(i == ALL)
+                lo, hi = np.searchsorted(whole, g[lot], "left"), np.searchsorted(whole, g[lot], "right")
+                at = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum())
+                rest = i != ALL
+                g, df = np.r_[g[rest], whole[at]], np.r_[df[rest], np.repeat(df[lot], hi - lo)]
+                i = np.r_[i[rest], (frequent[at] & U(0xFFFF)).astype(np.uint16)]
             o = np.lexsort((g, df, i))
             g, i = g[o], i[o]
             cut = np.r_[np.flatnonzero(np.r_[True, i[1:] != i[:-1]]), len(i)]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 n = int(size[r := i[a]])
-                need = n - least_overlap(n, percent) + 1 - (n - (b - a))
-                if need > 0:
+                least = least_overlap(n, percent)
+                if b - a >= least:
                     own = np.sort(g[a:b])
-                    shared[r], prefix[r], group[r] = pack_sorted(own), pack_sorted(np.sort(g[a : a + need])), int(own[0])
+                    shared[r], prefix[r], group[r] = pack_sorted(own), pack_sorted(np.sort(g[a : min(b, b - least + COMMON)])), int(own[0])
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "mark": pa.array(mark, pa.int64()), "n": pa.array(size, pa.int64()), "sid": pa.array(sids, pa.binary()), "shared": pa.array(shared, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "grp": pa.array(group, pa.int64())})
 
     return rows
@@ -254,11 +282,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mark, a long, tells rows of one id apart. Every pair of sets that are similar enough is there once, a < b; thin: links
     within a component only as a forest for each group opened, which is enough for components.
     """
-    spark = docs.sparkSession
+    buckets = parts(docs, text_col)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
     rows = (
-        source.mapInArrow(lean_batches(_shingles(parts(spark), k)), "key int, batch long, kind int, blob binary")
-        .groupBy("key").applyInArrow(lean(_shared), "batch long, kind int, blob binary")
+        source.mapInArrow(lean_batches(_shingles(buckets, k)), "key int, batch long, kind int, blob binary")
+        .repartition(buckets, "key").groupBy("key").applyInArrow(lean(_shared), "batch long, kind int, blob binary")
         .groupBy("batch").applyInArrow(lean(_documents(percent)), "doc_id long, mark long, n long, sid binary, shared binary, prefix binary, grp long")
     )
     table = materialize(rows, "shingles")
@@ -270,15 +298,18 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bound = (
         posts.join(matrix, "tok")
         .where(f"g >= grp and (g <> grp or members > 1) and 100 * most >= {percent} * n and 100 * n >= {percent} * least")
-        .select("sid", "g").distinct()
+        .groupBy("sid", "n", "g").agg(F.count("*").alias("overlap"))
+        .where(f"overlap >= least({COMMON}, ceil({percent} * n / 100))").select("sid", "g")
     )
-    blocks = sets.groupBy(F.col("grp").alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.hash("sid"), F.col("blocks"))
-    opened = bound.join(blocks, "g").select("sid", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    queries = opened.join(sets.select("sid", "n", "shared"), "sid").select("g", "block", "sid", "n", "shared", F.lit(False).alias("member"))
-    wanted = bound.select("g").distinct()
-    members = sets.withColumnRenamed("grp", "g").join(wanted, "g", "left_semi").join(blocks, "g").select("g", block.alias("block"), "sid", "n", "shared", F.lit(True).alias("member"))
-    links = queries.union(members).groupBy("g", "block").applyInArrow(_open(percent, thin), "a binary, b binary")
+    bound = materialize(bound, "bound")
+    size = sets.groupBy(F.col("grp").alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    size = materialize(bound.groupBy("g").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("asks")).join(size, "g"), "groups")
+    place = lambda n: F.pmod(F.hash("sid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    opened = bound.join(size, "g").select("sid", "g", every("blocks").alias("block"), place("asks").alias("ask"))
+    queries = opened.join(sets.select("sid", "n", "shared"), "sid").select("g", "block", "ask", "sid", "n", "shared", F.lit(False).alias("member"))
+    members = sets.withColumnRenamed("grp", "g").join(size, "g").select("g", place("blocks").alias("block"), every("asks").alias("ask"), "sid", "n", "shared", F.lit(True).alias("member"))
+    links = queries.union(members).groupBy("g", "block", "ask").applyInArrow(_open(percent, thin), "a binary, b binary")
     named = links.join(reps.select(F.col("sid").alias("a"), F.col("no").alias("na")), "a").join(reps.select(F.col("sid").alias("b"), F.col("no").alias("nb")), "b")
     pairs = named.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     return table.select("doc_id", "mark", "n", "sid"), reps, pairs if thin else pairs.distinct()

@@ -8,7 +8,8 @@ the runs of a bucket: entries compare by those lengths alone and only look at by
 merged order, the prefix groups of both sides give every window of 200 bytes that starts twice.
 
 Defined cases: null text is empty; texts under 200 bytes lose nothing; a text repeated (even under one id) matches its
-copy; a text may match itself, overlaps included; an empty table gives an empty one. Other columns are carried along,
+copy; a text may match itself, overlaps included; an empty table gives an empty one; a length under two is an error.
+Buckets are as many as the bytes of all texts ask for. Other columns are carried along,
 except those that an output replaces.
 """
 
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX64, POWERS, U, flat, lean, lean_batches, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, without
+from .common import MAX64, U, bounds, flat, lean, lean_batches, mix, pack, pack_sorted, parts, prefix_hash, slices, task_id, unpack, without
 
-#: Bytes of an anchor's gram.
+#: Bytes of an anchor's gram, at most.
 GRAM = 64
 #: Anchors of one packed batch; bytes of contexts that a task holds before it sends its sorted runs.
 BATCH_ANCHORS, BATCH_CONTEXT = 1_000_000, 24 << 20
@@ -41,7 +42,14 @@ def _sliding(a: np.ndarray, w: int, op, fill) -> np.ndarray:
     return op(suf[: n - w + 1], pre[w - 1 : n])
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def gram_of(length: int) -> int:
+    """Half the length for short strings, so that windows of several grams remain."""
+    if length < 2:
+        raise ValueError("repeats have two bytes at least")
+    return min(GRAM, (length + 1) // 2)
+
+
+def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions in buf of the grams that have the least hash of some window within one document."""
     w = length - gram + 1
     if len(buf) < length:
@@ -74,6 +82,7 @@ def _requests(buckets: int, length: int, text_at: int):
         k1: list = []
         k2: list = []
         held, serial, at = 0, 0, task_id() << 24
+        low = bounds(buckets, 64)
 
         def flush() -> pa.RecordBatch:
             nonlocal held, serial
@@ -85,13 +94,12 @@ def _requests(buckets: int, length: int, text_at: int):
             twice = (np.diff(np.r_[np.flatnonzero(new), len(hs)]) > 1)[np.cumsum(new) - 1] if len(hs) else new
             keys, kinds, blobs = [batch % buckets], [1], [pack(np.array(k1, np.int64), np.array(k2, np.int64), ds[twice], ps[twice])]
             hs, ds, ps = hs[new], ds[new], ps[new]
-            cut = np.r_[np.searchsorted(hs, np.array([-(-(b << 64) // buckets) for b in range(buckets)], U)), len(hs)]
-            for b in range(buckets):
+            cut = np.r_[np.searchsorted(hs, low), len(hs)]
+            for b in np.flatnonzero(np.diff(cut)).tolist():
                 x, y = cut[b], cut[b + 1]
-                if y > x:
-                    keys.append(b)
-                    kinds.append(0)
-                    blobs.append(pack(np.diff(hs[x:y], prepend=U(0)), ds[x:y], ps[x:y]))
+                keys.append(b)
+                kinds.append(0)
+                blobs.append(pack(np.diff(hs[x:y], prepend=U(0)), ds[x:y], ps[x:y]))
             for x in (h, d, p, k1, k2):
                 x.clear()
             held, serial = 0, serial + 1
@@ -102,7 +110,7 @@ def _requests(buckets: int, length: int, text_at: int):
             a, b = (np.asarray(rb.column(rb.num_columns - c)) for c in (2, 1))
             for i, j in slices(offs, 2 << 20):
                 o = offs[i : j + 1] - offs[i]
-                g, where = anchors(data[offs[i] : offs[j]], o, length)
+                g, where = anchors(data[offs[i] : offs[j]], o, length, gram_of(length))
                 doc = np.searchsorted(o, where, "right") - 1
                 used, idx = np.unique(doc, return_inverse=True)
                 h.append(g)
@@ -236,7 +244,8 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, b
 
 def _runs(buckets: int, length: int, text_at: int, found_at: int):
     """Rows (key, batch, kind, blob): a bucket's front-coded run of a batch's suffixes, or the batch's documents."""
-    left = length - GRAM
+    gram = gram_of(length)
+    left = length - gram
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -250,7 +259,7 @@ def _runs(buckets: int, length: int, text_at: int, found_at: int):
             keys, kinds, blobs = [batch % buckets], [1], [pack(np.array(k1, np.int64), np.array(k2, np.int64))]
             by: dict = {}
             for entry in held.items():
-                by.setdefault(zlib.crc32(entry[0][0][:GRAM]) % buckets, []).append(entry)
+                by.setdefault(zlib.crc32(entry[0][0][:gram]) % buckets, []).append(entry)
             for b, entries in by.items():
                 entries.sort(key=lambda e: e[0])
                 lefts = [e[0][1] for e in entries]
@@ -347,11 +356,12 @@ def _windows(lcp: np.ndarray, right: np.ndarray, lefts: list[bytes], times: np.n
     Entries are in the order of their suffixes; lcp has the common prefixes of neighbours. A window at offset o agrees
     in length - o bytes of the suffix and o bytes to the left, so it is a pair of prefix groups.
     """
-    n, most = len(lcp), length - GRAM
+    gram = gram_of(length)
+    n, most = len(lcp), length - gram
     low, high = np.full(n, length, np.int64), np.full(n, -1, np.int64)
-    same = np.r_[lcp[1:] >= GRAM, False]
+    same = np.r_[lcp[1:] >= gram, False]
     use = np.flatnonzero(same | np.r_[False, same[:-1]] | (times > 1))
-    # entries left out share under GRAM bytes with any other, and no window needs fewer than GRAM
+    # entries left out share less than a gram with any other, and no window needs less
     step = np.where(np.r_[True, np.diff(use) > 1], 0, lcp[use]).astype(np.int64) if len(use) else np.zeros(0, np.int64)
     wide = np.zeros((len(use), most), np.uint8)
     left = np.array([len(lefts[i]) for i in use], np.int64)
@@ -434,15 +444,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = without(docs, "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256")
     names = docs.columns
     text_at = [n.lower() for n in names].index(text_col.lower())
-    spark = docs.sparkSession
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     source = docs.select(*(text.alias(c) if i == text_at else docs[c] for i, c in enumerate(names)), F.coalesce(docs[id_col].cast("long"), F.lit(-1)).alias("_weft_k1"), F.xxhash64(text, docs[id_col].isNull()).alias("_weft_k2"))
-    buckets = parts(spark)
+    buckets = parts(docs, text_col)
     plan = "key int, batch long, kind int, blob binary"
     back = "batch long, kind int, blob binary"
     found = (
         source.mapInArrow(lean_batches(_requests(buckets, length, text_at)), plan)
-        .groupBy("key").applyInArrow(lean(_again), back)
+        .repartition(buckets, "key").groupBy("key").applyInArrow(lean(_again), back)
         .groupBy("batch").applyInArrow(lean(_by_document), "k1 long, k2 long, found binary")
         .groupBy("k1", "k2").agg(F.first("found").alias("_weft_found"))
         .withColumnsRenamed({"k1": "_weft_f1", "k2": "_weft_f2"})
@@ -451,7 +460,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         source.join(found, (F.col("_weft_k1") == F.col("_weft_f1")) & (F.col("_weft_k2") == F.col("_weft_f2")))
         .select(*source.columns, "_weft_found")
         .mapInArrow(lean_batches(_runs(buckets, length, text_at, len(names) + 2)), plan)
-        .groupBy("key").applyInArrow(lean(_repeats(length)), back)
+        .repartition(buckets, "key").groupBy("key").applyInArrow(lean(_repeats(length)), back)
         .groupBy("batch").applyInArrow(lean(_spans), "k1 long, k2 long, spans binary")
         .groupBy("k1", "k2").agg(F.first("spans").alias("_weft_spans"))
         .withColumnsRenamed({"k1": "_weft_s1", "k2": "_weft_s2"})
