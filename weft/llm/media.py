@@ -6,7 +6,9 @@ in are carved out. `store` puts bytes losslessly into an 8-bit mono WAV, `restor
 the samples back.
 
 Defined cases: null media are empty, of type `application/octet-stream`; truncated or merely look-alike media are not
-confirmed; of overlapping finds the first, then the longest, wins; rows are independent.
+confirmed; of overlapping finds the first, then the longest, wins; rows are independent, repeated ones too; an empty
+table gives an empty one. `text_media` takes null text as empty and ignores other columns; `sniff_media` carries them
+along except those that an output replaces.
 """
 
 from __future__ import annotations
@@ -96,13 +98,11 @@ def _jpeg(b: memoryview, at: int) -> int:
         framed |= 0xC0 <= kind <= 0xC2
         i += 2 + n
         if kind == 0xDA:
-            raw = bytes(b[i:])
-            j = 0
-            while (j := raw.find(b"\xff", j)) >= 0 and j + 1 < len(raw) and (raw[j + 1] == 0 or 0xD0 <= raw[j + 1] <= 0xD7):
-                j += 2
-            if j < 0:
+            raw = b.obj
+            while (i := raw.find(b"\xff", i)) >= 0 and i + 1 < len(raw) and (raw[i + 1] == 0 or 0xD0 <= raw[i + 1] <= 0xD7):
+                i += 2
+            if i < 0:
                 return 0
-            i += j
     return i + 2 - at if framed and i + 2 <= len(b) and b[i] == 0xFF and b[i + 1] == 0xD9 else 0
 
 
@@ -141,9 +141,13 @@ def _mp4(b: memoryview, at: int) -> int:
 
 
 def _pdf(b: memoryview, at: int) -> int:
-    raw = bytes(b[at:])
-    end = raw.find(b"%%EOF")
-    return end + 5 if raw[5:8] in (b"1.0", b"1.1", b"1.2", b"1.3", b"1.4", b"1.5", b"1.6", b"1.7", b"2.0") and end > 0 and b"startxref" in raw[:end] else 0
+    """To its last end mark before another header: updates append to a file, marks of their own included."""
+    raw = b.obj
+    if raw[at + 5 : at + 8] not in (b"1.0", b"1.1", b"1.2", b"1.3", b"1.4", b"1.5", b"1.6", b"1.7", b"2.0"):
+        return 0
+    stop = raw.find(b"%PDF-", at + 5)
+    end = raw.rfind(b"%%EOF", at, stop if stop >= 0 else len(raw))
+    return end + 5 - at if end > 0 and raw.find(b"startxref", at, end) > 0 else 0
 
 
 #: Public signatures (fixed values): magic bytes, how far they stand from the start, type, validator.
