@@ -339,6 +339,27 @@ def test_sniffing_and_carving(spark):
     assert [r["media_type"] for r in rows] == ["image/png", media.UNKNOWN]
 
 
+def test_media_features_repeats_and_updates(spark):
+    import time
+
+    from weft.llm import media
+
+    texts = ["", None, "abc", "abc", "ü" * 5000, "x" * 64, "%PDF-1.4 1 0 obj startxref 9 %%EOF more startxref 10 %%EOF tail", "BM RIFF GIF89a %PDF-1.9"]
+    rows = spark.createDataFrame([(i, t, "own", 1) for i, t in enumerate(texts)], "doc_id long, text string, feature string, n_bytes int")
+    got = {r["doc_id"]: r["feature"] for r in media.text_media(rows).collect()}
+    for i, t in enumerate(texts):
+        pay = np.frombuffer((t or "").encode() + b"\0" * (-len((t or "").encode()) % 64 or (0 if t else 64)), np.uint8).astype(int)
+        inside = "application/pdf" if i == 6 else "-"
+        assert got[i] == f"audio/wav;rate=8000;bits=8;samples={len(pay)};mean={pay.mean():.4f};crossings={(np.diff(pay >= 128) != 0).sum()};embedded={inside}"
+    assert got[2] == got[3] and media.text_media(rows.limit(0)).count() == 0
+    (_, kind, body), = media.carve(b"-" + texts[6].encode())
+    assert (kind, body) == ("application/pdf", texts[6].encode()[: -len(" tail")])
+    began = time.process_time()
+    assert media.sniff(b"%PDF-1.4 " * 100_000) == [] and time.process_time() - began < 3
+    clash = media.sniff_media(rows.selectExpr("doc_id", "cast(text as binary) m", "feature media_type"), "m")
+    assert clash.columns == ["doc_id", "m", "media_type", "embedded"] and clash.where("doc_id = 6").first()["media_type"] == "application/pdf"
+
+
 def test_quality_held_out(spark):
     from weft.llm.quality import score_held_out
 

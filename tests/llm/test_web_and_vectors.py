@@ -116,6 +116,56 @@ def test_neighbours(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def verified_share(vectors, n):
+    """(recall of five, share of all vectors that a query verified) against brute force."""
+    from weft.llm.ann import searched
+
+    rows = {r[0]: np.array(r[1], float) for r in vectors.collect()}
+    ids = np.array(sorted(rows))
+    unit = np.stack([rows[i] / np.linalg.norm(rows[i]) for i in ids])
+    found = searched(vectors, vectors.where("vec_id % 50 = 0"), 5, block=n).collect()
+    mine, seen, hits = {}, 0, 0
+    for r in found:
+        seen += r["verified"] or 0
+        if r["vec_id"] is not None:
+            mine.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    asks = [int(i) for i in ids if i % 50 == 0]
+    for q in asks:
+        s = unit @ unit[np.searchsorted(ids, q)]
+        s[np.searchsorted(ids, q)] = -2
+        hits += len({v for _, v in sorted(mine[q])[:5]} & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    return hits / 5 / len(asks), seen / len(asks) / len(ids)
+
+
+def test_the_stop_spares_vectors(spark):
+    plain = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    recall, share = verified_share(plain, 512)
+    assert recall >= 0.9 and share < 0.6  # uniform directions: no structure to use
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 64))[rng.integers(40, size=2000)] + rng.normal(0, 0.2, (2000, 64))
+    recall, share = verified_share(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), 256)
+    assert recall >= 0.9 and share < 0.1
+
+
+def test_neighbours_of_extreme_and_repeated_vectors(spark):
+    from weft.llm.ann import nearest
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8)) * 10.0 ** rng.choice([-170, 0, 160], 60)[:, None]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id % 50 = 0"), k=5, block=16).collect()
+    unit = [[v / m for v in r] for r in x.tolist() for m in [math.hypot(*r)]]
+    for q in (0, 50):
+        want = sorted((-sum(a * b for a, b in zip(unit[q], unit[i], strict=True)), i) for i in range(60) if i != q)[:5]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in want]
+    # one vector in a third of all rows, repeated ids, and columns of the outputs' names
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 else rng.normal(size=3).tolist(), "own") for i in range(900)] + [(0, [3.0, 2.0, 1.0], "own"), (50, [1.0, 2.0, 3.0], "own"), (50, [1.0, 2.0, 3.0], "own")]
+    hot = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(4)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest(hot, hot.where("vec_id % 50 = 0"), k=5, block=64).collect())
+    assert [g[1] for g in got] == [1, 2, 3, 4, 5] * 18 and len({(g[0], g[2]) for g in got}) == 90
+    assert [g[2] for g in got if g[0] == 50] == [1, 2, 4, 5, 7] and [g[2] for g in got if g[0] == 100] == [1, 2, 4, 5, 7]
+
+
 def test_main_text_in_other_languages():
     from weft.llm.html_extract import main_text
 

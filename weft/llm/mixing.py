@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import forget, materialize, without
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Units of a rate; Newton stops when every source's words are this near their target, as a share.
@@ -74,10 +74,10 @@ def balance(cells: DataFrame, wanted: DataFrame, cap: float, rounds: int = 100)
         half = F.when(low.isNull(), F.least(high * 2, F.lit(-1e-6))).otherwise((low + high) / 2)
         off = F.abs(got - F.col("target")) / F.col("target")
         settled = (off <= TOLERANCE) | (low >= high)
-        state = materialize(summed.select("skey", "target", F.when(settled, F.col("lam")).when(inside, newton).otherwise(half).alias("lam"), low.alias("low"), high.alias("high"), settled.alias("settled")), "dual")
+        old, state = state, materialize(summed.select("skey", "target", F.when(settled, F.col("lam")).when(inside, newton).otherwise(half).alias("lam"), low.alias("low"), high.alias("high"), settled.alias("settled")), "dual")
+        forget(old)
         if state.where("not settled").isEmpty():
             return state.select("skey", "target", "lam")
-        state = state.drop("settled")
     raise RuntimeError(f"the dual did not settle in {rounds} Newton rounds")
 
 
