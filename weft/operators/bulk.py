@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from . import linear
 from .cluster import cluster_batches
+from .features import top_by_trend
 from .matching import match_clusters, match_labels
 from .stats import codes, equal_width_bins, folds
+from .validate import check_blocks
 
 BUILDERS = ("mean", "divide", "pool_divide")
 
@@ -23,7 +26,7 @@ def sample_column(cells: DataFrame) -> DataFrame:
     label = F.concat_ws("_", "batch", "condition") if "condition" in cells.columns else F.col("batch").cast("string")
     named = cells.withColumn("sample", label)
     numbers = named.select("sample").distinct().select("sample", F.dense_rank().over(Window.orderBy("sample")).alias("sample_no"))
-    return named.join(F.broadcast(numbers), "sample")
+    return named.join(numbers, "sample")
 
 
 def mean_bulk(expr: DataFrame, cells: DataFrame, k: int = 30, seed: int = 1) -> DataFrame:
@@ -72,53 +75,71 @@ def _normalised(bulk: DataFrame) -> DataFrame:
 
 @dataclass
 class BulkMerge:
-    """Adjusted blocks (None if only the factors were asked for), bulk replicates, factors, gene means, controls."""
+    """Adjusted blocks (None if only the factors were asked for), bulk replicates, factors, gene means, controls, genes matched on."""
 
     blocks: DataFrame | None
     replicates: DataFrame
     alpha: np.ndarray
     mean: np.ndarray
     controls: np.ndarray
+    chosen: list[int] | None = None
 
 
-def merge_bulk(blocks: DataFrame, controls: np.ndarray, k: int = 20, cell_type: str | None = "cell_type", k_bulk: int = 30, k_neighbours: int = 10, cosine: bool = True, return_matrix: bool = True, keep: np.ndarray | None = None, builder: str = "mean", counts: DataFrame | None = None, seed: int = 1) -> BulkMerge:
+def unit_length(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-8)
+
+
+def merge_bulk(blocks: DataFrame, controls: np.ndarray, k: int = 20, cell_type: str | None = "cell_type", k_bulk: int = 30, k_neighbours: int = 10, cosine: bool = True, return_matrix: bool = True, keep: np.ndarray | None = None, builder: str = "mean", counts: DataFrame | None = None, seed: int = 1, chosen: list[int] | str = "trend", top: int = 2000, solver: str = "exact", neighbours: str = "exact") -> BulkMerge:
     """Merging through pseudo-bulk. blocks(cell_id, batch[, condition], values[, cell_type]).
 
     Cells are grouped within their sample, aggregated, matched across samples (within a condition), and the factors of
-    the bulk rows adjust every cell. Cosine normalisation comes after grouping.
+    the bulk rows adjust every cell. Cosine normalisation comes after grouping. chosen: positions of the genes that
+    grouping and matching look at; "trend" takes the `top` ones beyond the mean-variance trend, "all" every gene. Cells
+    that are zero throughout are dropped.
     """
     if builder not in BUILDERS:
         raise ValueError(f"builder is one of {BUILDERS}")
+    if builder != "mean" and counts is None:
+        raise ValueError("this builder needs counts")
+    given = chosen if not isinstance(chosen, str) else None
+    check_blocks(blocks, controls, cell_type, "condition" in blocks.columns, given, keep)
+    blocks = blocks.where(F.exists("values", lambda x: x != 0))
+    if chosen == "trend":
+        given = top_by_trend(blocks, top) or None
+    small = (lambda df: linear.transform(df, {"values": lambda y: y[:, np.asarray(given)]})) if given is not None else (lambda df: df)
     cells = sample_column(blocks.drop("values"))
     if cell_type:
         cells = codes(cells, "sample", cell_type, "cluster")
     else:
-        cells = cells.join(cluster_batches(blocks, None, k_neighbours).select("cell_id", "cluster"), "cell_id")
-    if cosine:
-        length = F.greatest(F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-8))
-        blocks = blocks.withColumn("_l", length).withColumn("values", F.transform("values", lambda x: x / F.col("_l"))).drop("_l")
-    genes = len(controls)
+        cells = cells.join(cluster_batches(small(blocks), None, k_neighbours, neighbours=neighbours).select("cell_id", "cluster"), "cell_id")
+    prep = unit_length if cosine else None
+    extra = ["condition"] if "condition" in cells.columns else []
     if builder == "mean":
-        bulk = mean_bulk(linear.long(blocks), cells, k_bulk, seed)
+        dealt = materialize(folds(cells.select("cell_id", "sample", "cluster", *extra), "sample", k_bulk, seed), "folds")
+        sums = linear.sum_arrays(blocks.select("cell_id", "values").join(dealt, "cell_id"), "sample", "cluster", "fold", *extra, prep=prep)
+        rows = sums.withColumn("values", F.transform("values", lambda x: x / F.col("n")))
     else:
         bulk = divided_bulk(counts, cells, k_bulk, builder == "pool_divide", seed)
-    rows = linear.arrays(bulk.withColumn("cell_id", F.concat_ws("\t", "sample", "cluster", "fold")), list(range(genes)), "sample", "cluster")
-    rows = rows.withColumn("batch", F.col("sample"))
-    if "condition" in cells.columns:
-        rows = rows.join(F.broadcast(cells.select("sample", "condition").distinct()), "sample")
-        parts = [r[0] for r in rows.select("condition").distinct().collect()]
-    else:
-        rows, parts = rows.withColumn("condition", F.lit("")), [""]
+        rows = linear.arrays(bulk.withColumn("cell_id", F.concat_ws("\t", "sample", "cluster", "fold")), list(range(len(controls))), "sample", "cluster", "fold").drop("cell_id")
+        if extra:
+            rows = rows.join(cells.select("sample", "condition").distinct(), "sample")
+    fine = lambda x: F.when(F.abs(x) == float("inf"), 0.0).otherwise(x)
+    rows = rows.select(F.concat_ws("\t", "sample", "cluster", "fold").alias("cell_id"), F.col("sample").alias("batch"), "cluster", F.col("condition") if extra else F.lit("").alias("condition"), F.transform("values", fine).alias("values"))
+    rows = materialize(rows, "bulk")
     labels = None
-    for part in sorted(parts):
+    for part in sorted(r[0] for r in rows.select("condition").distinct().collect()):
         here = rows.where(F.col("condition") == part)
-        matched = match_clusters(here, "cor") if here.select("batch").distinct().count() > 1 else None
+        matched = match_clusters(small(here), "cor") if here.select("batch").distinct().count() > 1 else None
         named = match_labels(here.select("cell_id", "batch", "cluster", F.lit(0.0).alias("dist_prop")), matched).select("cell_id", F.concat(F.lit(part), F.lit("|" if part else ""), "replicate").alias("replicate"))
         labels = named if labels is None else labels.union(named)
-    alpha = linear.fit(rows.select("cell_id", "values").join(labels, "cell_id"), "replicate", controls, k)
-    mean = linear.means(blocks)
-    made = linear.adjust(blocks, linear.projector(alpha, controls, k), controls, mean, keep) if return_matrix else None
-    return BulkMerge(made, labels, alpha, mean, controls)
+    labels = materialize(labels, "bulk-labels")
+    alpha = linear.fit(rows.select("cell_id", "values").join(labels, "cell_id"), "replicate", controls, k, solver, k)
+    mean = linear.means(blocks, prep)
+    made = None
+    if return_matrix:
+        step = linear.adjusted(linear.projector(alpha, controls, k), controls, mean, keep)
+        made = linear.transform(blocks, {"values": (lambda y: step(unit_length(y))) if cosine else step})
+    return BulkMerge(made, labels, alpha, mean, controls, given)
 
 
 def apply_factors(blocks: DataFrame, merged: BulkMerge, k: int = 20, keep: np.ndarray | None = None) -> DataFrame:

@@ -57,6 +57,31 @@ def neighbours(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
     return np.concatenate(out)
 
 
+def near_by_trees(x: np.ndarray, k: int, trees: int = 10, leaf: int = 64, seed: int = 1) -> np.ndarray:
+    """About the k nearest rows: the nearest of all that share a leaf of some random projection tree with a row."""
+    rng = np.random.default_rng(seed)
+    k = min(k, len(x) - 1)
+    seen: list[list[np.ndarray]] = [[] for _ in range(len(x))]
+    for _ in range(trees):
+        stack = [np.arange(len(x))]
+        while stack:
+            rows = stack.pop()
+            if len(rows) <= max(leaf, 2 * k + 2):
+                for r in rows:
+                    seen[r].append(rows)
+                continue
+            way = x[rows] @ rng.standard_normal(x.shape[1])
+            order = np.argsort(way, kind="stable")
+            stack += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+    out = np.empty((len(x), k), np.int64)
+    for r, lots in enumerate(seen):
+        others = np.unique(np.concatenate(lots))
+        others = others[others != r]
+        d = ((x[others] - x[r]) ** 2).sum(1)
+        out[r] = others[np.argsort(d, kind="stable")[:k]]
+    return out
+
+
 def shared_graph(near: np.ndarray) -> dict:
     """Edges weighed by the best common neighbour: k - (sum of its two ranks) / 2, a row being its own of rank 0."""
     n, k = near.shape
@@ -116,17 +141,24 @@ def louvain(n: int, weight: dict) -> list[int]:
     return [first[c] for c in node]
 
 
-def cluster_batches(blocks: DataFrame, k: dict | None = None, neighbours_k: int = 10, starts: int = 20, seed: int = 1) -> DataFrame:
-    """(cell_id, batch, cluster): k-means on ten directions with k[batch] centres (1: one cluster), or, without k, shared-neighbour communities."""
+BACK_ENDS = {"exact": neighbours, "approximate": near_by_trees}
+
+
+def cluster_batches(blocks: DataFrame, k: dict | None = None, neighbours_k: int = 10, starts: int = 20, seed: int = 1, neighbours: str = "exact") -> DataFrame:
+    """(cell_id, batch, cluster): k-means on ten directions with k[batch] centres (1: one cluster), or, without k, shared-neighbour
+    communities. neighbours: "exact", or "approximate" by random projection trees."""
+    if neighbours not in BACK_ENDS:
+        raise ValueError(f"neighbours is one of {tuple(BACK_ENDS)}")
+    find = BACK_ENDS[neighbours]
     kind = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
 
     def rows(table: pa.Table) -> pa.Table:
         table = table.sort_by("cell_id")
-        x, batch = matrix(table["values"].combine_chunks()), table["batch"][0].as_py()
+        x, batch = matrix(table["values"]), table["batch"][0].as_py()
         if k is not None:
             label = np.ones(len(x), int) if k[batch] == 1 else lloyd(directions(x), k[batch], starts, seed=seed)
         else:
-            label = np.array(louvain(len(x), shared_graph(neighbours(x, neighbours_k)))) if len(x) > 2 else np.ones(len(x), int)
+            label = np.array(louvain(len(x), shared_graph(find(x, neighbours_k)))) if len(x) > 2 else np.ones(len(x), int)
         return pa.table({"cell_id": table["cell_id"], "batch": table["batch"], "cluster": pa.array(label, pa.int32())})
 
     return blocks.select("cell_id", "batch", "values").groupBy("batch").applyInArrow(rows, f"cell_id {kind['cell_id']}, batch {kind['batch']}, cluster int")

@@ -43,8 +43,16 @@ def zero_fraction(expr: DataFrame, cells: DataFrame, by: str | None = None) -> D
 
 
 def expressed(expr: DataFrame, cells: DataFrame, most_zero: float, by: str | None = None) -> DataFrame:
-    """Genes (by batch) whose zero fraction is most_zero at most."""
-    return zero_fraction(expr, cells, by).where(F.round("zero_fraction", 9) <= most_zero).drop("zero_fraction")
+    """Genes (by batch) whose zero fraction is most_zero at most. One count of the values that are not zero."""
+    keys = [by] if by else []
+    size = cells.groupBy(*keys).agg(F.count("*").alias("n_cells"))
+    if most_zero >= 1:  # genes without any value count as well
+        return zero_fraction(expr, cells, by).drop("zero_fraction")
+    held = expr.where("value <> 0")
+    held = held.join(cells.select("cell_id", *keys), "cell_id") if by else held
+    some = held.groupBy(*keys, "gene_id").agg(F.count("*").alias("nnz"))
+    joined = some.join(size, keys) if by else some.crossJoin(size)
+    return joined.where(F.round(1 - F.col("nnz") / F.col("n_cells"), 9) <= most_zero).select(*keys, "gene_id")
 
 
 def subset(expr: DataFrame, genes: DataFrame) -> DataFrame:
@@ -56,14 +64,26 @@ def control_mask(genes: DataFrame, controls: DataFrame) -> DataFrame:
     return genes.join(controls.select("gene_id", F.lit(True).alias("is_ctl")).distinct(), "gene_id", "left").fillna(False, ["is_ctl"])
 
 
+def stack(parts: list[DataFrame], names: list[str] | None = None) -> DataFrame:
+    """Tables of cells (or of expressions) as one, with a batch column: the names given, or "batch 1", "batch 2", ... by position."""
+    names = names or [f"batch {i}" for i in range(1, len(parts) + 1)]
+    if len(names) != len(parts):
+        raise ValueError("as many batch names as tables are needed")
+    out = None
+    for part, name in zip(parts, names, strict=True):
+        one = part.drop("batch").withColumn("batch", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def combine(expr: DataFrame, cells: DataFrame, method: str = "intersect", batch_cut: float = 0.01, overall_cut: float = 0.01) -> DataFrame:
     """Batches on the genes that all of them express (intersect), or any of them and enough cells overall (union)."""
     if method not in ("intersect", "union"):
         raise ValueError("method is intersect or union")
     kept = expressed(expr, cells, 1 - batch_cut, "batch")
     if method == "intersect":
-        n = cells.agg(F.countDistinct("batch").alias("n"))
-        genes = kept.groupBy("gene_id").agg(F.countDistinct("batch").alias("c")).crossJoin(F.broadcast(n)).where("c = n").select("gene_id")
+        n = cells.agg(F.countDistinct("batch").alias("n"))  # one row
+        genes = kept.groupBy("gene_id").agg(F.countDistinct("batch").alias("c")).crossJoin(n).where("c = n").select("gene_id")
     else:
         genes = kept.select("gene_id").distinct().join(expressed(expr, cells, 1 - overall_cut), "gene_id", "left_semi")
     return subset(expr, genes)

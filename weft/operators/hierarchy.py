@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir
 from .bulk import merge_bulk
 from .validate import check_levels
 
@@ -30,9 +31,7 @@ def merge_levels(blocks: DataFrame, hierarchy: DataFrame, controls: np.ndarray,
     """The output of each level. hierarchy(level, dataset, cell_id, batch); ks is recycled. Levels are cut by written tables."""
     check_levels(hierarchy)
     spark = blocks.sparkSession
-    home = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if not home:
-        raise ValueError("spark.checkpoint.dir is not set")
+    home = folder or scratch_dir(spark)
     plan = sorted(tuple(r) for r in hierarchy.select("level", "dataset").distinct().collect())
     numbers = sorted({level for level, _ in plan})
     out: list[DataFrame] = []
@@ -41,7 +40,8 @@ def merge_levels(blocks: DataFrame, hierarchy: DataFrame, controls: np.ndarray,
         made = None
         for dataset in [d for n, d in plan if n == level]:
             mine = hierarchy.where((F.col("level") == level) & (F.col("dataset") == dataset)).select("cell_id", "batch")
-            part = merge_bulk(now.drop("batch").join(mine, "cell_id"), controls, ks[i % len(ks)], **options).blocks.select("cell_id", "values")
+            genes = options if i == 0 else options | {"chosen": "all"}  # values of higher levels are no expressions any more
+            part = merge_bulk(now.drop("batch").join(mine, "cell_id"), controls, ks[i % len(ks)], **genes).blocks.select("cell_id", "values")
             made = part if made is None else made.union(part)
         path = f"{str(home).rstrip('/')}/{PurePosixPath('weft') / 'levels'}-{uuid4().hex}"
         made.write.parquet(path)

@@ -1,12 +1,15 @@
 """Removal of unwanted variation. Cells are rows with an array of genes; nothing of the size of the cells is collected.
 
-The fit needs the gene-by-gene Gram matrix of the residuals about replicate means: partial Grams of the cells less the
-Gram of the replicate sums. The driver decomposes it (genes are bounded by `MAX_GENES`) and the adjustment is one pass.
+The fit needs the leading directions of the residuals about replicate means. Cells that are a replicate of their own
+leave no residual and take no part. With up to MAX_GENES genes the driver decomposes the gene-by-gene Gram matrix; with
+more genes and up to MAX_CELLS cells the cell-by-cell one; beyond both, or with solver "random", subspace iteration
+passes over the cells with a matrix of genes by factors. Partial sums are combined where they arise and added up by
+streams sorted by key, so that a task holds one running sum of a key. The adjustment is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,58 +17,181 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Genes whose Gram matrix the driver decomposes: 8000 take half a GB.
-MAX_GENES = 8000
+from ..sources.scratch import materialize
+
+#: Genes, or cells, whose Gram matrix the driver decomposes: 4096 genes take 128 MB, 8192 cells 512 MB.
+MAX_GENES, MAX_CELLS = 4096, 8192
+SOLVERS = ("exact", "random")
+#: Bytes of partial sums that a task holds before it sends them.
+HELD = 64 << 20
+#: Subspace iteration: directions beyond those asked for, passes of the random solver, and when the exact one has settled.
+SPARE, PASSES, SETTLED, MOST_PASSES = 12, 4, 1e-9, 200
+FLOATS = pa.list_(pa.float64())
+Prep = Callable[[np.ndarray], np.ndarray]
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a list array."""
+    x = np.ascontiguousarray(x, np.float64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(x.ravel())).cast(FLOATS)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+def fields(df: DataFrame, *names: str) -> str:
+    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join(f"`{n}` {kind[n]}" for n in names)
 
 
 def arrays(expr: DataFrame, genes: list, *keep: str) -> DataFrame:
     """Long rows as (cell_id, keep, values): an array in the order of genes, zeros filled in."""
-    if len(genes) > MAX_GENES:
-        raise ValueError(f"more than {MAX_GENES} genes")
-    got = expr.where(F.col("gene_id").isin(genes)).groupBy("cell_id", *keep).agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "value"))).alias("m"))
-    names = F.array(*[F.lit(g) for g in genes])
-    return got.select("cell_id", *keep, F.transform(names, lambda g: F.coalesce(F.element_at("m", g), F.lit(0.0))).alias("values"))
+    spark = expr.sparkSession
+    place = spark.createDataFrame(list(enumerate(genes)), f"pos int, {fields(expr, 'gene_id')}")
+    got = expr.join(F.broadcast(place), "gene_id").groupBy("cell_id", *keep).agg(F.collect_list("pos").alias("pos"), F.collect_list(F.col("value").cast("double")).alias("value"))
+    n = len(genes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            x = np.zeros((rb.num_rows, n))
+            pos, value = rb.column(rb.num_columns - 2), rb.column(rb.num_columns - 1)
+            row = np.repeat(np.arange(rb.num_rows), np.diff(pos.offsets.to_numpy()))
+            x[row, pos.flatten().to_numpy()] = value.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([*rb.columns[:-2], lists(x)], [*rb.schema.names[:-2], "values"])
+
+    return got.mapInArrow(rows, f"{fields(got, 'cell_id', *keep)}, values array<double>")
 
 
 def long(blocks: DataFrame, *keep: str) -> DataFrame:
     return blocks.select("cell_id", *keep, F.posexplode("values").alias("gene_id", "value"))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(float) if len(column) else np.zeros((0, 0))
+def _added(keys: list[str]):
+    """Rows sorted by their keys, with n and values added up by key."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, total = None, 0, None
 
-def gram(blocks: DataFrame, weight: str | None = None) -> np.ndarray:
-    """Sum of (weight) v v' over rows: partial Grams by task, added up by gene; genes squared reach the driver."""
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(now, kinds, strict=True)), pa.array([n], pa.int64()), lists(total[None])], [*keys, "n", "values"])
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
         for rb in batches:
-            x = matrix(rb.column(0))
-            if x.size:
-                w = rb.column(1).to_numpy(zero_copy_only=False)
-                g = (x * w[:, None]).T @ x
-                total = g if total is None else total + g
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+            kinds = [rb.schema.field(k).type for k in keys]
+            x, counts = matrix(rb.column("values")), rb.column("n").to_pylist()
+            for i, key in enumerate(zip(*(rb.column(k).to_pylist() for k in keys), strict=True)):
+                if key != now:
+                    if now is not None:
+                        yield out()
+                    now, n, total = key, 0, np.zeros(x.shape[1])
+                n += counts[i]
+                total += x[i]
+        if now is not None:
+            yield out()
+
+    return rows
+
+
+def added(partial: DataFrame, *keys: str) -> DataFrame:
+    """partial(keys, n, values) added up by key."""
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_added(list(keys)), f"{fields(partial, *keys)}, n long, values array<double>")
 
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"i": table["i"][:1], "row": pa.array([np.sum(matrix(table["row"].combine_chunks()), 0)], pa.list_(pa.float64()))})
+
+def sum_arrays(blocks: DataFrame, *keys: str, prep: Prep | None = None) -> DataFrame:
+    """(keys, n, values): rows counted and their arrays (by way of prep) added up by key; without keys by a key of 0."""
+    if not keys:
+        blocks, keys = blocks.withColumn("_all", F.lit(0)), ("_all",)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kinds: list = []
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], t) for i, t in enumerate(kinds)), pa.array([v[0] for v in sums.values()], pa.int64()), lists(np.stack([v[1] for v in sums.values()]))], [*keys, "n", "values"])
+            sums.clear()
+            return made
+
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            kinds = [rb.schema.field(k).type for k in keys]
+            x = matrix(rb.column("values"))
+            x = prep(x) if prep else x
+            of: dict = {}
+            code = np.array([of.setdefault(k, len(of)) for k in zip(*(rb.column(k).to_pylist() for k in keys), strict=True)])
+            o = np.argsort(code, kind="stable")
+            total = np.add.reduceat(x[o], np.searchsorted(code[o], np.arange(len(of))), axis=0)
+            for key, n, v in zip(of, np.bincount(code).tolist(), total, strict=True):
+                if key in sums:
+                    sums[key][0] += n
+                    sums[key][1] += v
+                else:
+                    sums[key] = [n, v.copy()]
+            if len(sums) * x.shape[1] * 8 > HELD:
+                yield out()
+        if sums:
+            yield out()
+
+    partial = blocks.select(*keys, "values").mapInArrow(rows, f"{fields(blocks, *keys)}, n long, values array<double>")
+    return added(partial, *keys)
+
+
+def _products(blocks: DataFrame, weight: str | None, prep: Prep | None, total: Callable[[np.ndarray, np.ndarray], np.ndarray], m: int | None, step: int) -> np.ndarray:
+    """Sum over rows of total(x, w), a matrix of genes by something: partial sums by task, in strips of genes."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for rb in batches:
+            if rb.num_rows:
+                x = matrix(rb.column(0))
+                x = prep(x) if prep else x
+                g = total(x, rb.column(1).to_numpy(zero_copy_only=False))
+                held = g if held is None else held + g
+        if held is not None:
+            for i in range(0, len(held), step):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([1], pa.int64()), lists(held[i : i + step].reshape(1, -1))], ["i", "n", "values"])
 
     w = F.col(weight) if weight else F.lit(1.0)
-    rows = blocks.select("values", w.cast("double").alias("w")).mapInArrow(part, "i int, row array<double>").groupBy("i").applyInArrow(add, "i int, row array<double>")
-    return np.array([r["row"] for r in sorted(rows.collect(), key=lambda r: r["i"])])
+    rows = blocks.select("values", w.cast("double").alias("w"))
+    if m is not None:  # not more partial sums than pay
+        rows = rows.coalesce(max(m, blocks.sparkSession.sparkContext.defaultParallelism))
+    got = added(rows.mapInArrow(part, "i int, n long, values array<double>"), "i").toArrow().sort_by("i")
+    return np.concatenate([matrix(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).ravel() for v in (got["values"].slice(r, 1).combine_chunks() for r in range(len(got)))]) if len(got) else np.zeros(0)
+
+
+def gram(blocks: DataFrame, weight: str | None = None, prep: Prep | None = None, m: int | None = None) -> np.ndarray:
+    """Sum of (weight) v v' over rows; genes squared reach the driver. m: how many rows there are, if known."""
+    flat = _products(blocks, weight, prep, lambda x, w: (x * w[:, None]).T @ x, m, 64)
+    n = int(round(len(flat) ** 0.5))
+    return flat.reshape(n, n)
+
 
+def times(blocks: DataFrame, q: np.ndarray, weight: str | None = None, prep: Prep | None = None) -> np.ndarray:
+    """Gram matrix times q, without the Gram matrix."""
+    sent = blocks.sparkSession.sparkContext.broadcast(q)
+    flat = _products(blocks, weight, prep, lambda x, w: x.T @ ((x @ sent.value) * w[:, None]), None, 1024)
+    return flat.reshape(-1, q.shape[1]) if len(flat) else np.zeros_like(q)
 
-def group_sums(blocks: DataFrame, by: str) -> DataFrame:
-    """(by, n, values): sums of arrays, combined on the map side gene by gene."""
-    sums = blocks.select(by, F.posexplode("values")).groupBy(by, "pos").agg(F.sum("col").alias("s"), F.count("*").alias("n"))
-    return sums.groupBy(by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("values"))
 
+def group_sums(blocks: DataFrame, by: str, prep: Prep | None = None) -> DataFrame:
+    """(by, n, values): sums of arrays, combined on the map side."""
+    return sum_arrays(blocks, by, prep=prep)
 
-def residual_gram(blocks: DataFrame, replicate: str) -> np.ndarray:
-    sums = group_sums(blocks.where(F.col(replicate).isNotNull()), replicate)
-    return gram(blocks) - gram(sums.withColumn("w", 1 / F.col("n")), "w")
+
+def in_groups(blocks: DataFrame, replicate: str) -> DataFrame:
+    """Cells whose replicate has another cell; the others are their own mean and leave no residual."""
+    several = materialize(blocks.where(F.col(replicate).isNotNull()).groupBy(replicate).agg(F.count("*").alias("n")).where("n > 1").select(replicate), "replicates")
+    return blocks.join(several, replicate, "left_semi")
+
+
+def residual_gram(blocks: DataFrame, replicate: str, prep: Prep | None = None, m: int | None = None) -> np.ndarray:
+    held = in_groups(blocks.select(replicate, "values"), replicate)
+    sums = materialize(group_sums(held, replicate, prep).withColumn("w", 1 / F.col("n")), "group-sums")
+    return gram(held, prep=prep, m=m) - gram(sums, "w")
 
 
 def svd_rank(m: int, groups: int, controls: int, svd_k: int | None = 50) -> int:
@@ -73,13 +199,85 @@ def svd_rank(m: int, groups: int, controls: int, svd_k: int | None = 50) -> int:
     return max(0, min(x for x in (m - groups, controls, svd_k) if x is not None))
 
 
-def fit(blocks: DataFrame, replicate: str, controls: np.ndarray, svd_k: int | None = 50) -> np.ndarray:
-    """Factors by genes, largest first; no rows if every cell is its own group."""
+def fit(blocks: DataFrame, replicate: str, controls: np.ndarray, svd_k: int | None = 50, solver: str = "exact", rank: int | None = None, prep: Prep | None = None) -> np.ndarray:
+    """Factors by genes, largest first; no rows if every cell is its own group. rank: how many are wanted at most."""
+    if solver not in SOLVERS:
+        raise ValueError(f"solver is one of {SOLVERS}")
     m, groups = blocks.agg(F.count("*"), F.countDistinct(replicate)).first()
     genes = len(controls)
     if groups >= m:
         return np.zeros((0, genes))
-    return factors(residual_gram(blocks, replicate), svd_rank(m, groups, int(controls.sum()), svd_k))
+    most = svd_rank(m, groups, int(controls.sum()), svd_k if solver == "exact" else None)
+    most = min(most, rank) if rank else most
+    if solver == "exact" and genes <= MAX_GENES:
+        return factors(residual_gram(blocks, replicate, prep, m // genes), most)
+    if solver == "exact" and m <= MAX_CELLS:
+        return cell_factors(blocks, replicate, most, prep)
+    return subspace(blocks, replicate, genes, most, solver == "random", prep)
+
+
+def subspace(blocks: DataFrame, replicate: str, genes: int, rank: int, fixed: bool, prep: Prep | None = None) -> np.ndarray:
+    """Leading factors of the residual Gram matrix, which is never formed."""
+    held = materialize(in_groups(blocks.select(replicate, "values"), replicate), "in-groups")
+    sums = materialize(group_sums(held, replicate, prep).withColumn("w", 1 / F.col("n")), "group-sums")
+    value, vector = leading(lambda q: times(held, q, prep=prep) - times(sums, q, "w"), genes, rank, fixed)
+    keep = value > 1e-16 * max(value[0], 1e-300)
+    return np.sqrt(value[keep])[:, None] * vector[:, keep].T
+
+
+def leading(apply: Callable[[np.ndarray], np.ndarray], n: int, rank: int, fixed: bool, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Largest eigenvalues and vectors of a symmetric matrix that can only be applied: a few passes, or until they settle."""
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, rank + SPARE))))[0]
+    last = None
+    for _ in range(PASSES if fixed else MOST_PASSES):
+        z = apply(q)
+        t = q.T @ z
+        value, turn = np.linalg.eigh((t + t.T) / 2)
+        value, vector = value[::-1][:rank], (q @ turn[:, ::-1])[:, :rank]
+        if not fixed and last is not None and np.abs(value - last).max() <= SETTLED * max(value[0], 1e-300):
+            break
+        last = value
+        q = np.linalg.qr(z)[0]
+    return value, vector
+
+
+def cell_factors(blocks: DataFrame, replicate: str, rank: int, prep: Prep | None = None, strip: int = 4096) -> np.ndarray:
+    """Leading factors by the cell-by-cell Gram matrix of the residuals, added up over strips of genes."""
+    held = in_groups(blocks.select("cell_id", replicate, "values"), replicate)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            x = matrix(rb.column(2))
+            x = prep(x) if prep else x
+            for i in range(0, x.shape[1] if len(x) else 0, strip):
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(x), pa.int32()), rb.column(0), rb.column(1), lists(x[:, i : i + strip])], ["i", "cell_id", "replicate", "values"])
+
+    def residuals(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        table = table.sort_by("cell_id")
+        x = matrix(table["values"]).copy()
+        of: dict = {}
+        code = np.array([of.setdefault(r, len(of)) for r in table["replicate"].to_pylist()])
+        o = np.argsort(code, kind="stable")
+        mean = np.add.reduceat(x[o], np.searchsorted(code[o], np.arange(len(of))), axis=0) / np.bincount(code)[:, None]
+        return table, x - mean[code]
+
+    def products(table: pa.Table) -> pa.Table:
+        _, x = residuals(table)
+        return pa.table({"i": pa.array(np.arange(len(x)), pa.int32()), "n": pa.array(np.ones(len(x)), pa.int64()), "values": lists(x @ x.T)})
+
+    strips = materialize(held.mapInArrow(cut, f"i int, {fields(blocks, 'cell_id')}, replicate {dict(blocks.dtypes)[replicate]}, values array<double>"), "strips")
+    k = matrix(added(strips.groupBy("i").applyInArrow(products, "i int, n long, values array<double>"), "i").toArrow().sort_by("i")["values"])
+    value, u = np.linalg.eigh((k + k.T) / 2)
+    value, u = value[::-1][:rank], u[:, ::-1][:, :rank]
+    u = u[:, value > 1e-16 * max(value[0], 1e-300)]
+    sent = blocks.sparkSession.sparkContext.broadcast(u)
+
+    def scores(table: pa.Table) -> pa.Table:
+        table, x = residuals(table)
+        return pa.table({"i": table["i"][:1], "values": lists((sent.value.T @ x).reshape(1, -1))})
+
+    got = strips.groupBy("i").applyInArrow(scores, "i int, values array<double>").toArrow().sort_by("i")
+    return np.concatenate([matrix(got["values"].slice(r, 1)).reshape(u.shape[1], -1) for r in range(len(got))], 1)
 
 
 def factors(g: np.ndarray, rank: int) -> np.ndarray:
@@ -96,75 +294,109 @@ def projector(alpha: np.ndarray, controls: np.ndarray, k: int) -> np.ndarray:
     return ac.T @ np.linalg.solve(ac @ ac.T, a) if len(a) else np.zeros((int(controls.sum()), alpha.shape[1]))
 
 
-def adjust(blocks: DataFrame, p: np.ndarray, controls: np.ndarray, mean: np.ndarray | None = None, keep: np.ndarray | None = None) -> DataFrame:
-    """values less (controls' values, centred by mean) times p: a pass without a shuffle, on streams as well."""
-    names = [c for c in blocks.columns if c != "values"]
-    mean = np.zeros(len(controls)) if mean is None else mean
-    p = p if keep is None else p[:, keep]
+def transform(blocks: DataFrame, made: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """blocks with a column for each of made, of their values: a pass without a shuffle, on streams as well."""
+    names = [c for c in blocks.columns if c != "values" and c not in made]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             if rb.num_rows:
                 y = matrix(rb.column(rb.num_columns - 1))
-                new = (y if keep is None else y[:, keep]) - (y - mean)[:, controls] @ p
-                yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(names))), pa.array(list(new), pa.list_(pa.float64()))], [*names, "values"])
+                yield pa.RecordBatch.from_arrays([*rb.columns[:-1], *(lists(f(y)) for f in made.values())], [*names, *made])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields if f.name != "values")
-    return blocks.select(*names, "values").mapInArrow(rows, f"{fields}, values array<double>")
+    schema = ", ".join([fields(blocks, *names)] * bool(names) + [f"`{c}` array<double>" for c in made])
+    return blocks.select(*names, "values").mapInArrow(rows, schema)
 
 
-def means(blocks: DataFrame) -> np.ndarray:
-    rows = blocks.select(F.posexplode("values")).groupBy("pos").agg(F.avg("col").alias("m")).collect()
-    return np.array([r["m"] for r in sorted(rows)])
+def adjusted(p: np.ndarray, controls: np.ndarray, mean: np.ndarray | None = None, keep: np.ndarray | None = None) -> Prep:
+    """values less (controls' values, centred by mean) times p; keep: a mask of the genes that stay."""
+    mean = np.zeros(len(controls)) if mean is None else mean
+    p = p if keep is None else p[:, keep]
+    return lambda y: (y if keep is None else y[:, keep]) - (y - mean)[:, controls] @ p
 
 
-def scale(blocks: DataFrame, batch: str) -> tuple[np.ndarray, np.ndarray]:
-    """Gene means and pooled within-batch deviations."""
-    from .stats import scaling
+def adjust(blocks: DataFrame, p: np.ndarray, controls: np.ndarray, mean: np.ndarray | None = None, keep: np.ndarray | None = None) -> DataFrame:
+    return transform(blocks, {"values": adjusted(p, controls, mean, keep)})
 
-    rows = sorted(scaling(long(blocks, batch), batch).collect(), key=lambda r: r["gene_id"])
-    return np.array([r["mean"] for r in rows]), np.array([r["sd"] for r in rows])
+
+def regress_genes(blocks: DataFrame, eta: np.ndarray, controls: np.ndarray, intercept: bool = True) -> DataFrame:
+    """Each cell's control values regressed on gene covariates eta (covariates by genes); what they predict is removed."""
+    eta = np.atleast_2d(np.asarray(eta, float))
+    if intercept and not (np.ptp(eta, 1) == 0).any():
+        eta = np.vstack([np.ones(eta.shape[1]), eta])
+    return adjust(blocks, projector(eta, controls, len(eta)), controls)
+
+
+def means(blocks: DataFrame, prep: Prep | None = None) -> np.ndarray:
+    row = sum_arrays(blocks.select("values"), prep=prep).first()
+    return np.array(row["values"]) / row["n"]
+
+
+def scale(blocks: DataFrame, batch: str) -> tuple[np.ndarray, np.ndarray]:
+    """Gene means and pooled within-batch deviations, of one pass."""
+    got = sum_arrays(blocks.select(batch, "values"), batch, prep=lambda x: np.hstack([x, x * x])).toArrow()
+    n, both = got["n"].to_numpy(), matrix(got["values"])
+    s, ss = np.split(both, 2, axis=1)
+    within = (ss - s * s / n[:, None]).sum(0) / max(n.sum() - len(n), 1)
+    return s.sum(0) / n.sum(), np.sqrt(np.maximum(within, 0))
 
 
 def affine(blocks: DataFrame, shift: np.ndarray, factor: np.ndarray) -> DataFrame:
     """values * factor + shift."""
-    f, s = F.lit([float(x) for x in factor]), F.lit([float(x) for x in shift])
-    return blocks.withColumn("values", F.zip_with(F.zip_with("values", f, lambda a, b: a * b), s, lambda a, b: a + b))
+    return transform(blocks, {"values": lambda y: y * factor + shift})
 
 
 @dataclass
 class Merged:
-    """Adjusted blocks, the factors, the k used, and a score for each k tried."""
+    """Adjusted blocks, the factors, the k used, a score for each k tried, and the positions of the genes left.
+
+    blocks holds the chosen result as values, and where results were named one column for each k.
+    """
 
     blocks: DataFrame
     alpha: np.ndarray
     k: int
     scores: dict[int, float]
+    genes: np.ndarray | None = None
 
 
-def adjust_scaled(blocks: DataFrame, replicate: str, batch: str, controls: np.ndarray, ks: list[int], svd_k: int = 50, cell_type: str = "cell_type") -> Merged:
-    """Standardise, fit once, adjust for each k, choose the best k by its score, and undo the scaling."""
+def adjust_scaled(blocks: DataFrame, replicate: str, batch: str, controls: np.ndarray, ks: list[int], svd_k: int = 50, cell_type: str | None = "cell_type", names: list[str] | None = None, solver: str = "exact", eta: np.ndarray | None = None) -> Merged:
+    """Standardise, fit once, adjust for each k, choose the best k by its score, and undo the scaling.
+
+    Without a cell_type the replicates stand in for it in the score. names: a column for the result of each k.
+    """
+    if names is not None and len(names) != len(ks):
+        raise ValueError("as many result names as values of k are needed")
     mean, sd = scale(blocks, batch)
     sd = np.where(sd > 0, sd, 1.0)
-    z = affine(blocks, -mean / sd, 1 / sd)
-    alpha = fit(z, replicate, controls, svd_k)
-    made = {k: adjust(z, projector(alpha, controls, k), controls) for k in ks}
-    scores = {k: batch_score(made[k], cell_type, batch) for k in ks} if len(ks) > 1 else {}
+    first = (lambda y: (y - mean) / sd) if eta is None else (lambda y: adjusted(*gene_fit)((y - mean) / sd))
+    if eta is not None:
+        eta = np.vstack([np.ones(len(controls)), np.atleast_2d(eta)])
+        gene_fit = (projector(eta, controls, len(eta)), controls)
+    alpha = fit(blocks, replicate, controls, svd_k, solver, max(ks), first)
+    step = {k: adjusted(projector(alpha, controls, k), controls) for k in ks}
+    scores: dict[int, float] = {}
+    if len(ks) > 1:
+        kind = cell_type if cell_type and cell_type in blocks.columns else replicate
+        scores = {k: batch_score(transform(blocks, {"values": lambda y, k=k: step[k](first(y))}), kind, batch) for k in ks}
     best = max(ks, key=lambda k: (scores.get(k, 0.0), -ks.index(k)))
-    return Merged(affine(made[best], mean, sd), alpha, best, scores)
+    back = lambda k: lambda y: step[k](first(y)) * sd + mean
+    made = {"values": back(best)} | {name: back(k) for name, k in zip(names or [], ks, strict=False)}
+    return Merged(transform(blocks, made), alpha, best, scores)
 
 
 def principal(blocks: DataFrame, n: int = 10) -> np.ndarray:
     """(mean, loadings): the n leading directions of the centred cells, by the covariance Gram."""
-    m = means(blocks)
-    g = gram(blocks) - blocks.count() * np.outer(m, m)
+    row = sum_arrays(blocks.select("values")).first()
+    m = np.array(row["values"]) / row["n"]
+    if len(m) > MAX_GENES:
+        return m, leading(lambda q: times(blocks, q, prep=lambda y: y - m), len(m), n, True)[1]
+    g = gram(blocks, m=row["n"] // len(m)) - row["n"] * np.outer(m, m)
     return m, np.linalg.eigh(g)[1][:, ::-1][:, :n]
 
 
 def project(blocks: DataFrame, mean: np.ndarray, load: np.ndarray) -> DataFrame:
-    p = F.lit([float(x) for x in mean])
-    cols = [F.aggregate(F.zip_with(F.zip_with("values", p, lambda a, b: a - b), F.lit([float(x) for x in c]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for c in load.T]
-    return blocks.withColumn("values", F.array(*cols))
+    return transform(blocks, {"values": lambda y: (y - mean) @ load})
 
 
 def silhouette(blocks: DataFrame, label: str, block: int = 1024) -> float:
@@ -177,7 +409,7 @@ def silhouette(blocks: DataFrame, label: str, block: int = 1024) -> float:
 
     def sums(table: pa.Table) -> pa.Table:
         side, ids, names = (table[c].to_numpy() for c in ("side", "cell_id", "label"))
-        x = matrix(table["values"].combine_chunks())
+        x = matrix(table["values"])
         p, q = x[side == 0], x[side == 1]
         cell, own, other = [], [], []
         total = []
@@ -207,16 +439,45 @@ def batch_score(blocks: DataFrame, cell_type: str, batch: str, dims: int = 10) -
     return 2 * t * b / (t + b) if t + b else 0.0
 
 
-def control_only(blocks: DataFrame, controls: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Removal by control genes alone: W from their decomposition (about the mean), alpha by least squares on W."""
+def residual_on(blocks: DataFrame, design: list[str], intercept: bool = True) -> DataFrame:
+    """blocks with values less what the design columns (and an intercept) predict of them over all cells; own: as they were."""
+    cols = [F.col(c).cast("double") for c in design] + [F.lit(1.0)] * intercept
+    if not cols:
+        return blocks.withColumn("own", F.col("values"))
+    ready = blocks.withColumn("_z", F.array(*cols))
+    q = len(cols)
+    both = _products(ready.select(F.concat("_z", "values").alias("values")), None, None, lambda x, _: x[:, :q].T @ x, None, 64).reshape(q, -1)
+    b = np.linalg.lstsq(both[:, :q], both[:, q:], rcond=None)[0]
+    names = [c for c in blocks.columns if c != "values"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if rb.num_rows:
+                y, z = matrix(rb.column("values")), matrix(rb.column("_z"))
+                yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), rb.column("values"), lists(y - z @ b)], [*names, "own", "values"])
+
+    return ready.mapInArrow(rows, f"{fields(blocks, *names)}, own array<double>, values array<double>")
+
+
+def control_only(blocks: DataFrame, controls: np.ndarray, k: int, design: list[str] | None = None, intercept: bool = True, eta: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Removal by control genes alone: W from their decomposition, after the design (by default an intercept) is taken
+    out of them, and alpha by least squares on W. eta: gene covariates that the controls are regressed on before that."""
     n_ctl = int(controls.sum())
     if k > n_ctl:
         raise ValueError("k is larger than the number of controls")
-    m = means(blocks)
-    n = blocks.count()
-    g = gram(blocks) - n * np.outer(m, m)
-    value, v = np.linalg.eigh(g[np.ix_(controls, controls)])
+    start = blocks if eta is None else regress_genes(blocks.withColumn("_raw", F.col("values")), eta, controls)
+    held = residual_on(start, design or [], intercept)
+    g = _products(held, None, None, lambda x, _: x[:, controls].T @ x, None, 64).reshape(n_ctl, -1)
+    value, v = np.linalg.eigh(g[:, controls])
     v, d = v[:, ::-1][:, :k], np.sqrt(np.maximum(value[::-1][:k], 1e-300))
     w = v / d  # W = Y_c w has orthonormal columns
-    alpha = w.T @ g[controls]
-    return adjust(blocks, w @ alpha, controls, m), alpha
+    alpha = w.T @ g
+    p, names = w @ alpha, [c for c in blocks.columns if c != "values"]
+    raw = "own" if eta is None else "_raw"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if rb.num_rows:
+                yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), lists(matrix(rb.column(raw)) - matrix(rb.column("values"))[:, controls] @ p)], [*names, "values"])
+
+    return held.mapInArrow(rows, f"{fields(blocks, *names)}, values array<double>"), alpha

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linear import matrix
+from ..sources.scratch import materialize
+from .linear import added, matrix
 
 METRICS = ("cor", "cosine", "euclidean")
 
@@ -29,37 +30,128 @@ def distances(p: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1 - p @ q.T
 
 
+def _sides(blocks: DataFrame, block: int) -> DataFrame:
+    """Every cell for each pair of blocks (left, right) it takes part in: blocks of a batch's cells meet those of the others."""
+    n = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    sizes = blocks.groupBy("batch").agg(F.count("*").alias("n")).select("batch", n.alias("parts"))
+    own = blocks.join(sizes, "batch").select("cell_id", "batch", "cluster", "values", F.concat_ws(":", "batch", F.pmod(F.xxhash64("cell_id"), F.col("parts"))).alias("block"))
+    names = materialize(own.select("batch", "block").distinct(), "blocks")
+    pairs = names.select(F.col("batch").alias("b1"), F.col("block").alias("left")).join(names.select(F.col("batch").alias("b2"), F.col("block").alias("right")), F.expr("b1 < b2")).select("left", "right")
+    return own.join(pairs, own["block"] == pairs["left"]).withColumn("side", F.lit(0)).union(own.join(pairs, own["block"] == pairs["right"]).withColumn("side", F.lit(1)))
+
+
+def _distances(table: pa.Table, metric: str):
+    """(rows of the left, rows of the right, their distances, columns) of a pair of blocks."""
+    table = table.sort_by("cell_id")
+    side = table["side"].to_numpy()
+    x = matrix(table["values"])
+    p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return p, q, distances(x[p], x[q], metric) if len(p) and len(q) else np.zeros((len(p), len(q))), table
+
+
+def _kinds(blocks: DataFrame) -> tuple[dict, str]:
+    kind = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    return kind, f"batch1 {kind['batch']}, cluster1 {kind['cluster']}, batch2 {kind['batch']}, cluster2 {kind['cluster']}"
+
+
 def pair_distances(blocks: DataFrame, metric: str = "cor", block: int = 1024) -> DataFrame:
     """(batch1, cluster1, batch2, cluster2, cell1, cell2, dist) of all cells of different batches, batch1 < batch2.
 
-    blocks(cell_id, batch, cluster, values). Blocks of a batch's cells meet the blocks of the others, a pair a task.
+    blocks(cell_id, batch, cluster, values). A pair of blocks is a task.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
-    n = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    sizes = blocks.groupBy("batch").agg(F.count("*").alias("n")).select("batch", n.alias("parts"))
-    own = blocks.join(F.broadcast(sizes), "batch").select("cell_id", "batch", "cluster", "values", F.concat_ws(":", "batch", F.pmod(F.xxhash64("cell_id"), F.col("parts"))).alias("block"))
-    names = own.select("batch", "block").distinct()
-    pairs = names.select(F.col("batch").alias("b1"), F.col("block").alias("left")).join(F.broadcast(names.select(F.col("batch").alias("b2"), F.col("block").alias("right"))), F.expr("b1 < b2")).select("left", "right")
-    sides = own.join(pairs, own["block"] == pairs["left"]).withColumn("side", F.lit(0)).union(own.join(pairs, own["block"] == pairs["right"]).withColumn("side", F.lit(1)))
 
     def rows(table: pa.Table) -> pa.Table:
-        side, ids, batch, cluster = (table[c].to_numpy() for c in ("side", "cell_id", "batch", "cluster"))
-        x = matrix(table["values"].combine_chunks())
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        p, q, d, table = _distances(table, metric)
+        ids, batch, cluster = (table[c].to_numpy() for c in ("cell_id", "batch", "cluster"))
         i, j = np.repeat(p, len(q)), np.tile(q, len(p))
-        d = distances(x[p], x[q], metric).ravel() if len(p) and len(q) else np.zeros(0)
-        return pa.table({"batch1": batch[i], "cluster1": cluster[i], "batch2": batch[j], "cluster2": cluster[j], "cell1": ids[i], "cell2": ids[j], "dist": d})
+        return pa.table({"batch1": batch[i], "cluster1": cluster[i], "batch2": batch[j], "cluster2": cluster[j], "cell1": ids[i], "cell2": ids[j], "dist": d.ravel()})
 
-    kind = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
-    out = f"batch1 {kind['batch']}, cluster1 {kind['cluster']}, batch2 {kind['batch']}, cluster2 {kind['cluster']}, cell1 {kind['cell_id']}, cell2 {kind['cell_id']}, dist double"
-    return sides.groupBy("left", "right").applyInArrow(rows, out)
+    kind, keys = _kinds(blocks)
+    return _sides(blocks, block).groupBy("left", "right").applyInArrow(rows, f"{keys}, cell1 {kind['cell_id']}, cell2 {kind['cell_id']}, dist double")
 
 
 def median_distances(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("batch1", "cluster1", "batch2", "cluster2").agg(F.median("dist").alias("dist"))
 
 
+#: Distances of a pair of clusters that leave the tasks one by one; more are counted in as many bins, again and again.
+SINGLY, BINS = 200_000, 1024
+
+
+def median_between(blocks: DataFrame, metric: str = "cor", block: int = 1024, singly: int = SINGLY) -> DataFrame:
+    """(batch1, cluster1, batch2, cluster2, dist): the exact median distance of the cells of two clusters.
+
+    Clusters with many pairs are counted into bins, and the bins around the median are cut up until few distances are
+    left in them: what leaves a task does not grow with the pairs. Only one row a pair of clusters reaches the driver.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {METRICS}")
+    sizes = {(r["batch"], r["cluster"]): r["n"] for r in blocks.groupBy("batch", "cluster").agg(F.count("*").alias("n")).collect()}
+    sides = _sides(blocks, block)
+    top = 2.000001 if metric != "euclidean" else 2.000001 * (blocks.agg(F.max(F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 0.0) + 1e-9
+    span = {(a, b): [-1e-6 * top, top, 0, n * m, n * m] for a, n in sizes.items() for b, m in sizes.items() if a[0] < b[0]}  # low, high, below, within, all
+    kind, keys = _kinds(blocks)
+
+    def each(table: pa.Table, spans: dict):
+        p, q, d, table = _distances(table, metric)
+        batch, cluster = (table[c].to_pylist() for c in ("batch", "cluster"))
+        left, right = {}, {}
+        for i, r in enumerate(p):
+            left.setdefault((batch[r], cluster[r]), []).append(i)
+        for j, r in enumerate(q):
+            right.setdefault((batch[r], cluster[r]), []).append(j)
+        for a, i in left.items():
+            for b, j in right.items():
+                if (a, b) in spans:
+                    yield a, b, d[np.ix_(i, j)].ravel()
+
+    while wide := {k: v for k, v in span.items() if v[3] > singly and v[1] - v[0] > 1e-12 * top}:
+
+        def counts(table: pa.Table) -> pa.Table:
+            out = []
+            for a, b, d in each(table, wide):  # noqa: B023
+                low, high = wide[a, b][:2]  # noqa: B023
+                inside = d[(d >= low) & (d < high)]
+                place = np.minimum(((inside - low) / (high - low) * BINS).astype(np.int64), BINS - 1)
+                out.append((*a, *b, 1, np.bincount(place, minlength=BINS).astype(float).tolist()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [table.schema.field(c).type for c in ("batch", "cluster")] * 2 + [pa.int64(), pa.list_(pa.float64())]
+            return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["batch1", "cluster1", "batch2", "cluster2", "n", "values"])
+
+        got = added(sides.groupBy("left", "right").applyInArrow(counts, f"{keys}, n long, values array<double>"), "batch1", "cluster1", "batch2", "cluster2")
+        for r in got.collect():
+            at = span[(r["batch1"], r["cluster1"]), (r["batch2"], r["cluster2"])]
+            low, high, below, _, n = at
+            total = below + np.cumsum(r["values"])
+            first, last = int(np.searchsorted(total, (n - 1) // 2, "right")), int(np.searchsorted(total, n // 2, "right"))
+            step = (high - low) / BINS
+            at[:4] = low + first * step, low + (last + 1) * step, int(total[first - 1]) if first else below, int(total[last] - (total[first - 1] if first else below))
+
+    def left_over(table: pa.Table) -> pa.Table:
+        out: list = [[], [], [], [], []]
+        for a, b, d in each(table, span):
+            low, high, _, within, _ = span[a, b]
+            d = d[(d >= low) & (d < high)]
+            if within > singly:  # of one value, as far as numbers tell
+                d = d[:1]
+            for c, v in zip(out, (*a, *b), strict=False):
+                c += [v] * len(d)
+            out[4] += d.tolist()
+        kinds = [table.schema.field(c).type for c in ("batch", "cluster")] * 2 + [pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["batch1", "cluster1", "batch2", "cluster2", "dist"])
+
+    rows = sides.groupBy("left", "right").applyInArrow(left_over, f"{keys}, dist double")
+    by = ["batch1", "cluster1", "batch2", "cluster2"]
+    if all(v[2] == 0 and v[3] == v[4] for v in span.values()):
+        return median_distances(rows)
+    lists_ = materialize(rows, "distances").groupBy(*by).agg(F.sort_array(F.collect_list("dist")).alias("d"))  # `singly` at most
+    known = blocks.sparkSession.createDataFrame([(*a, *b, (v[4] - 1) // 2 - v[2], v[4] // 2 - v[2], v[3] > singly) for (a, b), v in span.items()], f"{keys}, r1 long, r2 long, one boolean")
+    pick = lambda r: F.expr(f"element_at(d, cast(if(one, 1, {r} + 1) as int))")
+    return lists_.join(known, by).select(*by, ((pick("r1") + pick("r2")) / 2).alias("dist"))
+
+
 def mutual_nearest(medians: DataFrame, digits: int = 9) -> DataFrame:
     """Rows of medians where each cluster is the other's nearest in that batch; ties go to the smaller cluster."""
     d = F.round("dist", digits)
@@ -120,7 +212,7 @@ def match_clusters(blocks: DataFrame, metric: str = "euclidean") -> DataFrame |
     single = {b for b, c in count.items() if c == 1}
     if len(single) == len(count) == 2:
         return None
-    medians = median_distances(pair_distances(blocks, metric))
+    medians = materialize(median_between(blocks, metric), "medians")
     if len(single) == len(count):
         found = nearest_batches(medians)
     else:
@@ -140,6 +232,6 @@ def match_labels(cells: DataFrame, matched: DataFrame | None, prop: float = 1.0)
         label = F.concat_ws("_", F.lit("Replicate"), "batch", "cluster")
         joined = cells.withColumn("label", label)
     else:
-        joined = cells.join(F.broadcast(matched), ["batch", "cluster"], "left").withColumn("label", F.when(F.col("grp").isNotNull(), F.concat(F.lit("Replicate_"), "grp")))
+        joined = cells.join(matched, ["batch", "cluster"], "left").withColumn("label", F.when(F.col("grp").isNotNull(), F.concat(F.lit("Replicate_"), "grp")))
     core = F.col("label").isNotNull() & (F.col("dist_prop") <= prop)
     return joined.select(*cells.columns, F.when(core, F.col("label")).otherwise(F.concat(F.lit("cell:"), "cell_id")).alias("replicate"))

@@ -6,27 +6,37 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .cluster import cluster_batches, lloyd
-from .linear import long
+from .linear import long, transform
 from .matching import match_clusters, match_labels
 from .stats import centroid_rank
 
 
 def supervised(expr: DataFrame, prop: float = 1.0, label: str = "cell_type") -> DataFrame:
-    """(cell_id, replicate): the type's label for cells near its centroid, else the cell's own. expr: dense rows with label."""
+    """(cell_id, replicate): the type's label for cells near its centroid, else the cell's own. expr: dense rows with label.
+
+    With prop 1 every cell is near enough, and no distance is taken.
+    """
+    if prop >= 1:
+        return expr.select("cell_id", F.col(label).cast("string").alias("replicate")).distinct()
     ranked = centroid_rank(expr.select("cell_id", "gene_id", "value", label), label)
     return ranked.select("cell_id", F.when(F.round("dist_prop", 9) <= prop, F.col(label).cast("string")).otherwise(F.concat(F.lit("cell:"), "cell_id")).alias("replicate"))
 
 
-def clusters(blocks: DataFrame, k: dict | None, label: str | None = None) -> DataFrame:
-    """(cell_id, batch, cluster, dist_prop), from a label (ranked over all batches) or from k-means by batch."""
+def clusters(blocks: DataFrame, k: dict | None, label: str | None = None, prop: float = 1.0) -> DataFrame:
+    """(cell_id, batch, cluster, dist_prop, values), from a label (ranked over all batches) or from k-means by batch.
+
+    With prop 1 ranks don't matter and are 0.
+    """
     if label:
-        got = blocks.select("cell_id", "batch", F.col(label).alias("cluster"), "values")
-        rank = centroid_rank(long(got, "cluster"), "cluster").select("cell_id", "dist_prop")
+        got, by = blocks.select("cell_id", "batch", F.col(label).alias("cluster"), "values"), ["cluster"]
     else:
-        got = cluster_batches(blocks, k).join(blocks.select("cell_id", "values"), "cell_id")
-        rank = centroid_rank(long(got, "batch", "cluster"), "batch", "cluster").select("cell_id", "dist_prop")
-    return got.join(rank, "cell_id")
+        found = materialize(cluster_batches(blocks, k).select("cell_id", "cluster"), "clusters")
+        got, by = found.join(blocks.select("cell_id", "batch", "values"), "cell_id").select("cell_id", "batch", "cluster", "values"), ["batch", "cluster"]
+    if prop >= 1:
+        return got.withColumn("dist_prop", F.lit(0.0))
+    return got.join(centroid_rank(long(got, *by), *by).select("cell_id", "dist_prop"), "cell_id")
 
 
 def split_wanted(labels: DataFrame, wanted: DataFrame, high: list[str] | None = None) -> DataFrame:
@@ -52,29 +62,36 @@ def high_marker(expr: DataFrame, labels: DataFrame, markers: list) -> list[str]:
     return [n for n, c in zip(names, label, strict=True) if c == max((1, 2), key=votes.count)]
 
 
-def find_replicates(blocks: DataFrame, k: dict | None = None, prop: float = 1.0, cell_type: str | None = None, match: bool = False, known: DataFrame | None = None, wanted: DataFrame | None = None, markers: list | None = None, metric: str = "cor") -> DataFrame:
+def find_replicates(blocks: DataFrame, k: dict | None = None, prop: float = 1.0, cell_type: str | None = None, match: bool = False, known: DataFrame | None = None, wanted: DataFrame | None = None, markers: list | None = None, metric: str = "cor", genes: list[int] | None = None) -> DataFrame:
     """(cell_id, replicate). blocks(cell_id, batch, values, cell_type).
 
     cell_type alone: supervised. cell_type with match: clusters are types by batch, matched across batches. With known
     (cell_id): k-means and matching, then the known cells take their type. Otherwise k-means and matching. The last two
-    split replicates by wanted (cell_id, wv).
+    split replicates by wanted (cell_id, wv), those that markers are high in. genes: positions that clustering and
+    matching look at (all of them without it); see features.choose_genes.
     """
     if cell_type and match and known is not None:
         raise ValueError("matching of cell types takes no list of known cells")
     if cell_type and not match and known is None:
+        if prop >= 1:
+            return blocks.select("cell_id", F.col(cell_type).cast("string").alias("replicate"))
         return supervised(long(blocks, cell_type), prop, cell_type)
+    whole = blocks
+    if genes is not None:
+        at = np.asarray(genes, np.int64)
+        blocks = transform(blocks, {"values": lambda y: y[:, at]})
     if cell_type and match:
-        found = clusters(blocks, None, cell_type)
+        found = clusters(blocks, None, cell_type, prop)
         return match_labels(found.drop("values"), match_clusters(found, metric), prop).select("cell_id", "replicate")
     if k is None:
         raise ValueError("a number of clusters for each batch is needed")
-    found = clusters(blocks, k)
+    found = clusters(blocks, k, prop=prop)
     labels = match_labels(found.drop("values"), match_clusters(found, metric), prop).select("cell_id", "replicate")
     if known is not None:
         typed = known.select("cell_id").distinct().join(blocks.select("cell_id", F.col(cell_type).cast("string").alias("t")), "cell_id")
         labels = labels.join(typed, "cell_id", "left").select("cell_id", F.coalesce("t", "replicate").alias("replicate"))
     if wanted is not None:
-        labels = split_wanted(labels, wanted, high_marker(long(blocks), labels, markers) if markers else None)
+        labels = split_wanted(labels, wanted, high_marker(long(whole), labels, markers) if markers else None)
     return labels
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,36 @@ def check(expr: DataFrame, cells: DataFrame, controls: DataFrame | None = None,
         raise ValueError("no control gene is in the expression table")
 
 
+def check_blocks(blocks: DataFrame, controls: np.ndarray, cell_type: str | None = None, condition: bool = False, genes: list[int] | None = None, keep: np.ndarray | None = None, ks: list[int] | None = None, names: list[str] | None = None, value: str = "values", batch: str = "batch") -> None:
+    """What the entry points ask of blocks(cell_id, batch, values[, cell_type, condition]); one pass over them."""
+    for c in ("cell_id", batch, value, *([cell_type] if cell_type else []), *(["condition"] if condition else [])):
+        if c not in blocks.columns:
+            raise ValueError(f"there is no column {c}")
+    if ks is not None and (names is not None or len(ks) > 1) and len(names or []) != len(ks):
+        raise ValueError("as many result names as values of k are needed")
+    if not np.asarray(controls).any():
+        raise ValueError("no control gene")
+    if genes is not None and (not len(genes) or min(genes) < 0 or max(genes) >= len(controls)):
+        raise ValueError("no chosen gene is in the table, or some are beyond it")
+    if keep is not None and not np.asarray(keep).any():
+        raise ValueError("no gene would be left")
+    bad = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    found = blocks.agg(
+        F.count("*").alias("cells"), F.countDistinct("cell_id").alias("ids"), bad(F.col("cell_id").isNull()).alias("null ids"), bad(F.col(batch).isNull()).alias("cells without a batch"),
+        bad(F.col(cell_type).isNull() if cell_type else F.lit(False)).alias("cells without a type"), bad(F.col("condition").isNull() if condition else F.lit(False)).alias("cells without a condition"),
+        bad(F.coalesce(F.size(value) != len(controls), F.lit(True))).alias("cells of another number of genes"), bad(F.coalesce(F.exists(value, odd), F.lit(True))).alias("cells with values that are no finite numbers"),
+    ).first().asDict()
+    cells, ids = found.pop("cells"), found.pop("ids")
+    if not cells:
+        raise ValueError("there are no cells")
+    if ids != cells - found["null ids"]:
+        found["repeated cell ids"] = cells - ids
+    for name, n in found.items():
+        if n:
+            raise ValueError(f"{n} {name}")
+
+
 def check_levels(hierarchy: DataFrame) -> None:
     """hierarchy(level, dataset, cell_id, batch): every data set has two batches, no cell twice in a level."""
     if not hierarchy.groupBy("level", "dataset").agg(F.countDistinct("batch").alias("n")).where("n < 2").isEmpty():

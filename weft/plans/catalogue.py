@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bulk, cluster, features, filters, hierarchy, linear, matching, merge, replicate, simulate, stability, stats, validate
 from ..sources import views as V
+from ..sources.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -356,7 +357,7 @@ def merge_supervised(spark, d):
 
 def _merged(spark, d, **options):
     b = V.blocks(spark, d)
-    labels = replicate.find_replicates(b, **({"cell_type": "cell_type"} | options))
+    labels = materialize(replicate.find_replicates(b, **({"cell_type": "cell_type"} | options)).select("cell_id", "replicate"), "labels")
     return linear.adjust_scaled(b.join(labels, "cell_id"), "replicate", "batch", CONTROLS, [20]).blocks
 
 
@@ -391,16 +392,7 @@ def merge_levels(spark, d):
     b = V.blocks(spark, d).withColumn("batch", F.col("cell_id") % 4)
     one = b.select(F.lit(1).alias("level"), (F.col("batch") % 2).cast("int").alias("dataset"), "cell_id", F.col("batch").alias("batch"))
     two = b.select(F.lit(2).alias("level"), F.lit(0).alias("dataset"), "cell_id", (F.col("batch") % 2).alias("batch"))
-    return _out(hierarchy.merge_levels(b, one.union(two), CONTROLS, [5], _home(spark))[-1])
-
-
-def _home(spark) -> str:
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not home:
-        import tempfile
-
-        home = "file://" + tempfile.mkdtemp(prefix="weft-")
-    return home
+    return _out(hierarchy.merge_levels(b, one.union(two), CONTROLS, [5])[-1])
 
 
 @query()
