@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import bulk, cluster, filters, hierarchy, linear, matching, merge, replicate, simulate, stability, validate
+from weft.operators import bulk, cluster, features, filters, hierarchy, linear, matching, merge, replicate, simulate, stability, validate
 
 
 def frame(spark, x, batch, kind=None):
@@ -148,3 +148,135 @@ def test_validation(spark):
         filters.combine(expr, ok, "other")
     with pytest.raises(ValueError):
         stability.stable_genes(expr.union(spark.createDataFrame([(1, "h", 0.0)], expr.schema)), ok)
+
+
+def test_solvers_agree(spark, monkeypatch):
+    df = simulate.simulate(spark, cells=90, genes=150, controls=70, k=3, lam=1.0).withColumn("values", F.transform("values", lambda v: F.log2(v + 1)))
+    ctl = np.arange(150) < 70
+    want = linear.fit(df, "cell_type", ctl, rank=4)
+    span = lambda a: a.T @ np.linalg.solve(a @ a.T, a)
+    monkeypatch.setattr(linear, "MAX_GENES", 100)
+    by_cells = linear.fit(df, "cell_type", ctl, rank=4)
+    assert np.allclose(np.abs((by_cells * want).sum(1)), (want**2).sum(1), rtol=1e-6)
+    monkeypatch.setattr(linear, "MAX_CELLS", 10)
+    settled = linear.fit(df, "cell_type", ctl, rank=4)
+    assert np.allclose(np.abs((settled * want).sum(1)), (want**2).sum(1), rtol=1e-4)
+    quick = linear.fit(df, "cell_type", ctl, rank=4, solver="random")
+    assert np.abs(span(quick[:1]) - span(want[:1])).max() < 0.02
+    with pytest.raises(ValueError):
+        linear.fit(df, "cell_type", ctl, solver="other")
+
+
+def test_array_sums(spark):
+    rows = [(i % 3 if i % 7 else None, [float(i), 1.0, -float(i)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, values array<double>").repartition(5)
+    got = {r["k"]: (r["n"], r["values"]) for r in linear.sum_arrays(df, "k").collect()}
+    assert got == {k: (len(x), [sum(x), float(len(x)), -sum(x)]) for k in (None, 0, 1, 2) for x in [[r[1][0] for r in rows if r[0] == k]]}
+    assert linear.sum_arrays(df).first()["n"] == 200 and linear.sum_arrays(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("metric", matching.METRICS)
+def test_medians_by_bins_are_exact(spark, metric):
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.normal(size=(70, 5)), np.ones((20, 5)) + np.arange(5)]
+    rows = [(i, [float(v) for v in r], "ab"[i % 2], i % 3 if i < 70 else 9) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "cell_id long, values array<double>, batch string, cluster int").repartition(3)
+    key = lambda r: tuple(r)[:4]
+    want = {key(r): r["dist"] for r in matching.median_distances(matching.pair_distances(df, metric)).collect()}
+    for singly in (3, 20, 10**6):
+        got = {key(r): r["dist"] for r in matching.median_between(df, metric, block=16, singly=singly).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_entry_checks_and_drops_zeros(spark, cells):
+    x, df = cells
+    wide = df.withColumn("values", F.concat("values", F.array(F.lit(0.0)))).unionByName(df.limit(1).withColumn("cell_id", F.lit(99).cast("long")).withColumn("values", F.array_repeat(F.lit(0.0), 13)))
+    ctl = np.r_[CTL, True]
+    made = merge.merge_cells(wide, ctl, [1, 2], names=["one", "two"])
+    assert made.genes.tolist() == list(range(12)) and made.blocks.where("cell_id = 99").isEmpty() and set(made.scores) == {1, 2}
+    assert np.allclose(values(made.blocks.withColumn("values", F.col("two"))), values(merge.merge_cells(df, CTL, 2).blocks))
+    assert np.allclose(values(made.blocks), values(made.blocks.withColumn("values", F.col({1: "one", 2: "two"}[made.k]))))
+    named = df.withColumnRenamed("values", "logs").withColumnRenamed("batch", "plate")
+    assert np.allclose(values(merge.merge_cells(named, CTL, 2, value="logs", batch="plate").blocks), values(merge.merge_cells(df, CTL, 2).blocks))
+    null = lambda c: df.withColumn(c, F.when(F.col("cell_id") != 3, F.col(c)))
+    for bad in (df.union(df.limit(1)), null("batch"), null("cell_type"), null("cell_id"), null("values"), df.drop("batch"), df.drop("cell_type"), df.limit(0), df.withColumn("values", F.transform("values", lambda v: v * float("inf"))), df.withColumn("values", F.slice("values", 1, 5))):
+        with pytest.raises(ValueError):
+            merge.merge_cells(bad, CTL, 2)
+        with pytest.raises(ValueError):
+            bulk.merge_bulk(bad, CTL, 2)
+    for options in ({"ks": [1, 2]}, {"ks": [1, 2], "names": ["one"]}, {"marker": []}, {"marker": [40]}):
+        with pytest.raises(ValueError):
+            merge.merge_cells(df, CTL, **({"ks": 2} | options))
+    with pytest.raises(ValueError):
+        merge.merge_cells(df, np.zeros(12, bool), 2)
+    with pytest.raises(ValueError):
+        bulk.merge_bulk(df, CTL, 2, keep=np.zeros(12, bool))
+    assert merge.without_zeros(wide, genes=False)[0].count() == 60
+
+
+def test_genes_for_matching(spark, cells):
+    _, df = cells
+    with pytest.raises(ValueError):
+        features.union_of([]) or features.choose_genes(df.withColumn("values", F.array_repeat(F.lit(1.0), 12)))
+    assert features.choose_genes(df, [4, 2], [[1]]) == [4, 2] and features.choose_genes(df, None, {"b0": [4, 2], "b1": [2, 7]}) == [4, 2, 7]
+    rng = np.random.default_rng(5)
+    mean = rng.uniform(8, 30, 300)
+    x = rng.poisson(mean, (400, 300)).astype(float)
+    x[:, :20] *= np.where(np.arange(400) % 4 == 0, 5, 1)[:, None]  # beyond the technical trend
+    noisy = frame(spark, x, [f"b{i % 2}" for i in range(400)])
+    found = features.variable_positions(noisy)
+    assert set(range(20)) <= set(found) and len(found) < 30
+    logs = noisy.withColumn("values", F.transform("values", lambda v: F.log2(v + 1)))
+    top = features.top_by_trend(logs, 20)
+    assert len(set(top) & set(range(20))) >= 18
+    long = linear.long(noisy, "batch").withColumn("gene_id", F.col("gene_id").cast("string"))
+    assert sorted(map(int, features.variable_genes(long.drop("batch"), noisy.select("cell_id", "batch")))) == found
+    a = merge.merge_cells(df, CTL, 2, k={"b0": 3, "b1": 3}, cell_type=None, marker=[0, 1, 2, 3, 4, 5])
+    assert a.blocks.count() == 60 and bulk.merge_bulk(df, CTL, 2, chosen=[0, 1, 2, 3, 4]).chosen == [0, 1, 2, 3, 4]
+
+
+def test_chi_square_tail():
+    assert abs(features.chi2_tail(15.507313, 8) - 0.05) < 1e-7 and abs(features.chi2_tail(3.0, 8) - 0.9343575) < 1e-6
+    assert abs(features.chi2_tail(124.3421134, 100) - 0.05) < 1e-7 and features.chi2_tail(0, 3) == 1.0
+
+
+def test_gene_covariates_and_design(spark, cells):
+    x, df = cells
+    eta = np.arange(12) % 5.0
+    e = np.stack([np.ones(12), eta])
+    ec = e[:, CTL]
+    want = x - x[:, CTL] @ ec.T @ np.linalg.solve(ec @ ec.T, e)
+    assert np.allclose(values(linear.regress_genes(df, eta, CTL)), want, atol=1e-9)
+    got, _ = linear.control_only(df.withColumn("z", F.col("cell_id") % 3), CTL, 2, design=["z"], eta=eta)
+    z = np.stack([np.arange(60) % 3, np.ones(60)], 1)
+    y0 = want - z @ np.linalg.lstsq(z, want, rcond=None)[0]
+    w = np.linalg.svd(y0[:, CTL], full_matrices=False)[0][:, :2]
+    assert np.allclose(values(got), x - w @ (w.T @ y0), atol=1e-6)
+    out = linear.adjust_scaled(df.withColumn("replicate", F.col("cell_type")), "replicate", "batch", CTL, [1], eta=eta)
+    assert out.blocks.count() == 60 and np.isfinite(values(out.blocks)).all()
+
+
+def test_neighbour_back_ends():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 6))
+    exact, near = cluster.neighbours(x, 10), cluster.near_by_trees(x, 10)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(exact.tolist(), near.tolist(), strict=True)]) > 9
+
+
+def test_tables_stack_by_position(spark, cells):
+    _, df = cells
+    got = filters.stack([df.where("cell_id < 9"), df.where("cell_id >= 9")])
+    assert {(r["batch"], r["count"]) for r in got.groupBy("batch").count().collect()} == {("batch 1", 9), ("batch 2", 51)}
+    assert {r["batch"] for r in filters.stack([df, df], ["x", "y"]).select("batch").distinct().collect()} == {"x", "y"}
+    with pytest.raises(ValueError):
+        filters.stack([df], ["x", "y"])
+
+
+def test_factors_on_a_stream(spark, cells, tmp_path):
+    from weft.streaming import apply
+
+    _, df = cells
+    made = bulk.merge_bulk(df, CTL, 2, cosine=False, chosen="all")
+    df.select("cell_id", "values").write.parquet(f"{tmp_path}/in")
+    stream = apply.adjusted_stream(apply.cell_stream(spark, f"{tmp_path}/in", "cell_id long, values array<double>"), made, 2)
+    assert np.allclose(values(apply.run_once(stream, str(tmp_path))), values(made.blocks), atol=1e-9)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,14 +83,15 @@ def _added(keys: list[str]):
 
         for rb in batches:
             kinds = [rb.schema.field(k).type for k in keys]
-            x, counts = matrix(rb.column("values")), rb.column("n").to_pylist()
+            at, flat, counts = np.r_[0, np.cumsum(pc.list_value_length(rb.column("values")).to_numpy())], rb.column("values").flatten().to_numpy(), rb.column("n").to_pylist()
             for i, key in enumerate(zip(*(rb.column(k).to_pylist() for k in keys), strict=True)):
+                x = flat[at[i] : at[i + 1]]  # keys may differ in length
                 if key != now:
                     if now is not None:
                         yield out()
-                    now, n, total = key, 0, np.zeros(x.shape[1])
+                    now, n, total = key, 0, np.zeros(len(x))
                 n += counts[i]
-                total += x[i]
+                total += x
         if now is not None:
             yield out()
 
@@ -185,7 +187,7 @@ def group_sums(blocks: DataFrame, by: str, prep: Prep | None = None) -> DataFram
 def in_groups(blocks: DataFrame, replicate: str) -> DataFrame:
     """Cells whose replicate has another cell; the others are their own mean and leave no residual."""
     several = materialize(blocks.where(F.col(replicate).isNotNull()).groupBy(replicate).agg(F.count("*").alias("n")).where("n > 1").select(replicate), "replicates")
-    return blocks.join(several, replicate, "left_semi")
+    return blocks.join(several, replicate, "left_semi").select(*blocks.columns)
 
 
 def residual_gram(blocks: DataFrame, replicate: str, prep: Prep | None = None, m: int | None = None) -> np.ndarray:
@@ -424,7 +426,7 @@ def silhouette(blocks: DataFrame, label: str, block: int = 1024) -> float:
 
     parts = left.unionByName(right).drop("own").groupBy("a", "b").applyInArrow(sums, "cell_id long, own string, other string, s double")
     sizes = base.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
-    dist = parts.groupBy("cell_id", "own", "other").agg(F.sum("s").alias("s")).join(F.broadcast(sizes), "other")
+    dist = parts.groupBy("cell_id", "own", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
     mine = F.col("own") == F.col("other")
     per = dist.groupBy("cell_id").agg(F.max(F.when(mine, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.max(F.when(mine, F.col("n"))).alias("n"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
     value = F.when((F.col("n") == 1) | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))

@@ -91,8 +91,10 @@ def median_between(blocks: DataFrame, metric: str = "cor", block: int = 1024, si
     sizes = {(r["batch"], r["cluster"]): r["n"] for r in blocks.groupBy("batch", "cluster").agg(F.count("*").alias("n")).collect()}
     sides = _sides(blocks, block)
     top = 2.000001 if metric != "euclidean" else 2.000001 * (blocks.agg(F.max(F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 0.0) + 1e-9
-    span = {(a, b): [-1e-6 * top, top, 0, n * m, n * m] for a, n in sizes.items() for b, m in sizes.items() if a[0] < b[0]}  # low, high, below, within, all
+    # low, high, below, within, rank: of the lower and the upper median, the range that holds it
+    span = {(a, b, r): [-1e-6 * top, top, 0, n * m, r] for a, n in sizes.items() for b, m in sizes.items() if a[0] < b[0] for r in {(n * m - 1) // 2, n * m // 2}}
     kind, keys = _kinds(blocks)
+    names = ["batch1", "cluster1", "batch2", "cluster2", "rank"]
 
     def each(table: pa.Table, spans: dict):
         p, q, d, table = _distances(table, metric)
@@ -102,54 +104,48 @@ def median_between(blocks: DataFrame, metric: str = "cor", block: int = 1024, si
             left.setdefault((batch[r], cluster[r]), []).append(i)
         for j, r in enumerate(q):
             right.setdefault((batch[r], cluster[r]), []).append(j)
-        for a, i in left.items():
-            for b, j in right.items():
-                if (a, b) in spans:
-                    yield a, b, d[np.ix_(i, j)].ravel()
+        for (a, b, r), (low, high, *_) in spans.items():
+            if a in left and b in right:
+                some = d[np.ix_(left[a], right[b])].ravel()
+                yield (*a, *b, r), low, high, some[(some >= low) & (some < high)]
 
+    def made(table: pa.Table, out: list, *more: tuple) -> pa.Table:
+        kinds = [table.schema.field(c).type for c in ("batch", "cluster")] * 2 + [pa.int64(), *(t for _, t in more)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*names, *(n for n, _ in more)])
+
+    # every pass makes a range BINS times as narrow, so ties end it as well
     while wide := {k: v for k, v in span.items() if v[3] > singly and v[1] - v[0] > 1e-12 * top}:
 
         def counts(table: pa.Table) -> pa.Table:
             out = []
-            for a, b, d in each(table, wide):  # noqa: B023
-                low, high = wide[a, b][:2]  # noqa: B023
-                inside = d[(d >= low) & (d < high)]
-                place = np.minimum(((inside - low) / (high - low) * BINS).astype(np.int64), BINS - 1)
-                out.append((*a, *b, 1, np.bincount(place, minlength=BINS).astype(float).tolist()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [table.schema.field(c).type for c in ("batch", "cluster")] * 2 + [pa.int64(), pa.list_(pa.float64())]
-            return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["batch1", "cluster1", "batch2", "cluster2", "n", "values"])
-
-        got = added(sides.groupBy("left", "right").applyInArrow(counts, f"{keys}, n long, values array<double>"), "batch1", "cluster1", "batch2", "cluster2")
-        for r in got.collect():
-            at = span[(r["batch1"], r["cluster1"]), (r["batch2"], r["cluster2"])]
-            low, high, below, _, n = at
+            for key, low, high, d in each(table, wide):  # noqa: B023
+                place = np.minimum(((d - low) / (high - low) * BINS).astype(np.int64), BINS - 1)
+                out.append((*key, 1, np.bincount(place, minlength=BINS).astype(float).tolist()))
+            return made(table, out, ("n", pa.int64()), ("values", pa.list_(pa.float64())))
+
+        for r in added(sides.groupBy("left", "right").applyInArrow(counts, f"{keys}, rank long, n long, values array<double>"), *names).collect():
+            at = span[(r["batch1"], r["cluster1"]), (r["batch2"], r["cluster2"]), r["rank"]]
+            low, high, below, _, rank = at
             total = below + np.cumsum(r["values"])
-            first, last = int(np.searchsorted(total, (n - 1) // 2, "right")), int(np.searchsorted(total, n // 2, "right"))
+            i = min(int(np.searchsorted(total, rank, "right")), BINS - 1)
+            before = int(total[i - 1]) if i else below
             step = (high - low) / BINS
-            at[:4] = low + first * step, low + (last + 1) * step, int(total[first - 1]) if first else below, int(total[last] - (total[first - 1] if first else below))
+            at[:4] = low + i * step, low + (i + 1) * step if i < BINS - 1 else high, before, int(total[i]) - before
 
     def left_over(table: pa.Table) -> pa.Table:
-        out: list = [[], [], [], [], []]
-        for a, b, d in each(table, span):
-            low, high, _, within, _ = span[a, b]
-            d = d[(d >= low) & (d < high)]
-            if within > singly:  # of one value, as far as numbers tell
+        out = []
+        for key, _, _, d in each(table, span):
+            if span[(key[0], key[1]), (key[2], key[3]), key[4]][3] > singly:  # of one value, as far as numbers tell
                 d = d[:1]
-            for c, v in zip(out, (*a, *b), strict=False):
-                c += [v] * len(d)
-            out[4] += d.tolist()
-        kinds = [table.schema.field(c).type for c in ("batch", "cluster")] * 2 + [pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["batch1", "cluster1", "batch2", "cluster2", "dist"])
-
-    rows = sides.groupBy("left", "right").applyInArrow(left_over, f"{keys}, dist double")
-    by = ["batch1", "cluster1", "batch2", "cluster2"]
-    if all(v[2] == 0 and v[3] == v[4] for v in span.values()):
-        return median_distances(rows)
-    lists_ = materialize(rows, "distances").groupBy(*by).agg(F.sort_array(F.collect_list("dist")).alias("d"))  # `singly` at most
-    known = blocks.sparkSession.createDataFrame([(*a, *b, (v[4] - 1) // 2 - v[2], v[4] // 2 - v[2], v[3] > singly) for (a, b), v in span.items()], f"{keys}, r1 long, r2 long, one boolean")
-    pick = lambda r: F.expr(f"element_at(d, cast(if(one, 1, {r} + 1) as int))")
-    return lists_.join(known, by).select(*by, ((pick("r1") + pick("r2")) / 2).alias("dist"))
+            out += [(*key, v) for v in d.tolist()]
+        return made(table, out, ("dist", pa.float64()))
+
+    rows = sides.groupBy("left", "right").applyInArrow(left_over, f"{keys}, rank long, dist double")
+    few = materialize(rows, "distances").groupBy(*names).agg(F.sort_array(F.collect_list("dist")).alias("d"))  # `singly` at most
+    known = blocks.sparkSession.createDataFrame([(*a, *b, r, 0 if v[3] > singly else r - v[2]) for (a, b, r), v in span.items()], f"{keys}, rank long, place long")
+    nth = F.element_at("d", F.least(F.col("place") + 1, F.size("d")).cast("int"))
+    return few.join(known, names).groupBy(*names[:4]).agg(F.avg(nth).alias("dist"))
 
 
 def mutual_nearest(medians: DataFrame, digits: int = 9) -> DataFrame:

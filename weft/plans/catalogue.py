@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import bulk, cluster, features, filters, hierarchy, linear, matching, merge, replicate, simulate, stability, stats, validate
 from ..sources import views as V
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, scratch_dir
+from ..streaming import apply as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -238,11 +240,11 @@ def _typed(spark, d):
     return V.blocks(spark, d).withColumnRenamed("cell_type", "cluster").select("cell_id", "batch", "cluster", "values")
 
 
-def _pairs_sql(metric: str) -> str:
+def _pairs_sql(metric: str, genes: str = "true") -> str:
     value = {"cor": "value - avg(value) OVER (PARTITION BY cell_id)", "cosine": "value", "euclidean": "value"}[metric]
     dist = "sqrt(sum((a.v - b.v) * (a.v - b.v)))" if metric == "euclidean" else "1 - sum(a.v * b.v)"
     norm = "v" if metric == "euclidean" else "v / sqrt(sum(v * v) OVER (PARTITION BY cell_id))"
-    return f"""{D}, c AS (SELECT cell_id, batch, cell_type, gene_id, {value} AS v FROM expr), u AS (SELECT cell_id, batch, cell_type, gene_id, {norm} AS v FROM c),
+    return f"""{D}, c AS (SELECT cell_id, batch, cell_type, gene_id, {value} AS v FROM expr WHERE {genes}), u AS (SELECT cell_id, batch, cell_type, gene_id, {norm} AS v FROM c),
 pd AS (SELECT a.batch AS batch1, a.cell_type AS cluster1, b.batch AS batch2, b.cell_type AS cluster2, a.cell_id AS cell1, b.cell_id AS cell2, {dist} AS dist FROM u a JOIN u b ON a.gene_id = b.gene_id AND a.batch < b.batch GROUP BY ALL)"""
 
 
@@ -276,6 +278,37 @@ def mnc_replicate_labels(spark, d):
     return matching.match_labels(two.select("cell_id", "batch", "cluster", F.lit(0.0).alias("dist_prop")), matching.match_clusters(two, "cor")).select("cell_id", "replicate")
 
 
+MARKERS = [1, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37]
+
+
+@query(f"""WITH {_pairs_sql('cor', f'gene_id IN {tuple(MARKERS)}')}, md AS (SELECT batch1, cluster1, batch2, cluster2, median(dist) AS dist FROM pd GROUP BY 1, 2, 3, 4),
+rk AS (SELECT *, row_number() OVER (PARTITION BY batch1, batch2, cluster1 ORDER BY round(dist, 9), cluster2) AS ra, row_number() OVER (PARTITION BY batch1, batch2, cluster2 ORDER BY round(dist, 9), cluster1) AS rb FROM md)
+SELECT batch1, cluster1, batch2, cluster2, round(dist, 6) + 0.0 AS dist FROM rk WHERE ra = 1 AND rb = 1""")
+def marker_nearest_clusters(spark, d):
+    genes = features.choose_genes(V.blocks(spark, d), marker_list={0: MARKERS[:7], 1: MARKERS[3:9], 2: MARKERS[5:]})
+    typed = linear.transform(_typed(spark, d), {"values": lambda y: y[:, np.array(genes)]})
+    return shown(matching.mutual_nearest(matching.median_between(typed, singly=500)), "batch1", "cluster1", "batch2", "cluster2", value="dist")
+
+
+@query("SELECT row_number() OVER (ORDER BY first_list, spot) - 1 AS place, gene_id FROM (SELECT gene_id, min(list_no) AS first_list, arg_min(spot, list_no) AS spot FROM (VALUES (0, 0, 5), (0, 1, 2), (1, 0, 9), (1, 1, 5), (2, 0, 2), (2, 1, 1)) t(list_no, spot, gene_id) GROUP BY 1)")
+def marker_union(spark, d):
+    return spark.createDataFrame(list(enumerate(features.union_of([[5, 2], [9, 5], [2, 1]]))), "place long, gene_id int")
+
+
+@query(f"""WITH {_pairs_sql('euclidean')}, md AS (SELECT batch1, batch2, median(dist) AS dist FROM pd GROUP BY 1, 2), ways AS (SELECT * FROM md UNION ALL SELECT batch2, batch1, dist FROM md),
+best AS (SELECT *, row_number() OVER (PARTITION BY batch1 ORDER BY round(dist, 9), batch2) AS r FROM ways)
+SELECT a.batch1, a.batch2, round(a.dist, 6) + 0.0 AS dist FROM best a JOIN best b ON a.batch1 = b.batch2 AND a.batch2 = b.batch1 WHERE a.r = 1 AND b.r = 1 AND a.batch1 < a.batch2""")
+def single_cluster_batches(spark, d):
+    one = _typed(spark, d).withColumn("cluster", F.lit(1))
+    return shown(matching.nearest_batches(matching.median_between(one, "euclidean", singly=1000)), "batch1", "batch2", value="dist")
+
+
+@query("SELECT c_custkey AS cell_id, 'batch ' || (c_custkey % 3 + 1) AS batch FROM customer")
+def batches_by_position(spark, d):
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"))
+    return filters.stack([c.where(F.col("cell_id") % 3 == i) for i in range(3)])
+
+
 # pseudo-bulk, assembly
 
 
@@ -346,6 +379,77 @@ def factors_given_subset(spark, d):
     return got.select("cell_id", (F.col("gene_id") + 48).alias("gene_id"), r("value").alias("value"))
 
 
+@query(f"""WITH {D}, h AS (SELECT gene_id, gene_id % 7 - 3 AS h FROM range(64) t(gene_id)),
+b AS (SELECT cell_id, regr_slope(value, h) AS b1, regr_intercept(value, h) AS b0 FROM expr JOIN h USING (gene_id) WHERE gene_id < 32 GROUP BY 1)
+SELECT cell_id, gene_id, round(value - b0 - b1 * h, 6) + 0.0 AS value FROM expr JOIN h USING (gene_id) JOIN b USING (cell_id)""")
+def regress_gene_covariate(spark, d):
+    return shown(linear.long(linear.regress_genes(V.blocks(spark, d).select("cell_id", "values"), _alpha(1), CONTROLS)), "cell_id", "gene_id")
+
+
+@query(W1)
+def stream_factors_given(spark, d):
+    b = V.blocks(spark, d).select("cell_id", "values")
+    given = bulk.BulkMerge(None, b, _alpha(1), linear.means(b), CONTROLS)
+    cells = streaming.cell_stream(spark, d, "vec_id long, embedding array<float>, label int", "embeddings.parquet")
+    made = streaming.adjusted_stream(cells.select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("values")), given, 1)
+    return shown(linear.long(streaming.run_once(made, f"{scratch_dir(spark)}/weft/stream-{uuid.uuid4().hex}")), "cell_id", "gene_id")
+
+
+def _top_sql(gram: str, out: str, rounds: int = 16) -> str:
+    """CTEs that give `out`(gene_id, a), the leading eigenvector of gram(i, j, x), up to sign: the matrix squared again and again."""
+    return f"""{out}_p AS (SELECT i, j, x / (SELECT max(abs(x)) FROM {gram}) AS x, 0 AS n FROM {gram} UNION ALL
+  SELECT i, j, x / max(abs(x)) OVER () AS x, n + 1 FROM (SELECT l.i, r.j, sum(l.x * r.x) AS x, any_value(l.n) AS n FROM {out}_p l JOIN {out}_p r ON l.j = r.i WHERE l.n < {rounds} GROUP BY l.i, r.j)),
+{out}_c AS (SELECT i, x FROM {out}_p WHERE n = {rounds} AND j = (SELECT arg_max(j, x) FROM {out}_p WHERE n = {rounds} AND i = j)),
+{out} AS (SELECT i AS gene_id, x / sqrt((SELECT sum(x * x) FROM {out}_c)) AS a FROM {out}_c)"""
+
+
+SUPERVISED = f"""WITH RECURSIVE {STANDARD}, z AS MATERIALIZED (SELECT cell_id, gene_id, cell_type, (value - mean) / sd AS z, mean, sd FROM expr JOIN sc USING (gene_id)),
+res AS MATERIALIZED (SELECT cell_id, gene_id, z - avg(z) OVER (PARTITION BY cell_type, gene_id) AS v FROM z),
+g1 AS MATERIALIZED (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS x FROM res a JOIN res b USING (cell_id) GROUP BY 1, 2), {_top_sql('g1', 'v1')},
+l1 AS (SELECT sum(x * p.a * q.a) AS l FROM g1 JOIN v1 p ON p.gene_id = i JOIN v1 q ON q.gene_id = j),
+g2 AS MATERIALIZED (SELECT i, j, x - l * p.a * q.a AS x FROM g1 JOIN v1 p ON p.gene_id = i JOIN v1 q ON q.gene_id = j, l1), {_top_sql('g2', 'v2')},
+a AS (SELECT v1.gene_id, v1.a AS a1, v2.a AS a2 FROM v1 JOIN v2 USING (gene_id)),
+c AS (SELECT sum(a1 * a1) AS p, sum(a1 * a2) AS q, sum(a2 * a2) AS s FROM a WHERE gene_id < 32),
+b AS (SELECT cell_id, sum(z * a1) AS x1, sum(z * a2) AS x2 FROM z JOIN a USING (gene_id) WHERE gene_id < 32 GROUP BY 1)"""
+
+
+@query(f"""{SUPERVISED} SELECT cell_id, gene_id, round((z - x1 / p * a1) * sd + mean, 5) + 0.0 AS one,
+round((z - (s * x1 - q * x2) / (p * s - q * q) * a1 - (p * x2 - q * x1) / (p * s - q * q) * a2) * sd + mean, 5) + 0.0 AS two FROM z JOIN a USING (gene_id) JOIN b USING (cell_id), c""")
+def merge_supervised_named(spark, d):
+    made = merge.merge_cells(V.blocks(spark, d), CONTROLS, [1, 2], names=["one", "two"]).blocks
+    return made.select("cell_id", F.posexplode(F.arrays_zip("one", "two")).alias("gene_id", "both")).select("cell_id", "gene_id", r("both.one", 5).alias("one"), r("both.two", 5).alias("two"))
+
+
+ONLY = f"""WITH RECURSIVE {D}, y AS MATERIALIZED (SELECT cell_id, gene_id, value, value - avg(value) OVER (PARTITION BY gene_id) AS v FROM expr),
+g AS MATERIALIZED (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS x FROM y a JOIN y b USING (cell_id) WHERE a.gene_id < 32 AND b.gene_id < 32 GROUP BY 1, 2), {_top_sql('g', 'v')},
+w AS (SELECT cell_id, sum(y.v * a) AS w FROM y JOIN v USING (gene_id) GROUP BY 1),
+al AS (SELECT gene_id, sum(y.v * w) / (SELECT sum(w * w) FROM w) AS al FROM y JOIN w USING (cell_id) GROUP BY 1)"""
+
+
+@query(f"{ONLY} SELECT cell_id, gene_id, round(value - w * al, 5) + 0.0 AS value FROM y JOIN w USING (cell_id) JOIN al USING (gene_id)")
+def control_only_one(spark, d):
+    return linear.long(linear.control_only(V.blocks(spark, d).select("cell_id", "values"), CONTROLS, 1)[0]).select("cell_id", "gene_id", r("value", 5).alias("value"))
+
+
+BULK = f"""WITH RECURSIVE {D.replace('vec_id % 3 AS batch', 'vec_id % 2 AS batch')}, cosine AS MATERIALIZED (SELECT cell_id, gene_id, batch AS sample, cell_type AS cluster, value / greatest(sqrt(sum(value * value) OVER (PARTITION BY cell_id)), 1e-8) AS v FROM expr),
+fd AS (SELECT cell_id, {FOLDS.replace('sample', 'batch')} FROM (SELECT DISTINCT cell_id, batch FROM expr)),
+bk AS MATERIALIZED (SELECT sample, cluster, fold, gene_id, avg(v) AS v FROM cosine JOIN fd USING (cell_id) GROUP BY 1, 2, 3, 4),
+ct AS (SELECT *, v - avg(v) OVER (PARTITION BY sample, cluster, fold) AS c FROM bk), u AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY sample, cluster, fold)) AS n FROM ct),
+pd AS (SELECT a.cluster AS c1, b.cluster AS c2, 1 - sum(a.n * b.n) AS dist FROM u a JOIN u b ON a.gene_id = b.gene_id AND a.sample = 0 AND b.sample = 1 GROUP BY a.cluster, a.fold, b.cluster, b.fold),
+md AS (SELECT c1, c2, median(dist) AS dist FROM pd GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY round(dist, 9), c2) AS ra, row_number() OVER (PARTITION BY c2 ORDER BY round(dist, 9), c1) AS rb FROM md),
+mate AS (SELECT c1, c2 FROM rk WHERE ra = 1 AND rb = 1),
+gr AS (SELECT bk.*, CASE WHEN sample = 0 THEN cluster ELSE coalesce((SELECT min(c1) FROM mate WHERE c2 = cluster), 1000 + cluster) END AS grp FROM bk),
+res AS MATERIALIZED (SELECT sample, cluster, fold, gene_id, v - avg(v) OVER (PARTITION BY grp, gene_id) AS v FROM gr),
+g AS MATERIALIZED (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS x FROM res a JOIN res b USING (sample, cluster, fold) GROUP BY 1, 2), {_top_sql('g', 'v1')},
+m AS (SELECT gene_id, avg(v) AS m FROM cosine GROUP BY 1), w AS (SELECT cell_id, sum((v - m) * a) / (SELECT sum(a * a) FROM v1 WHERE gene_id < 32) AS w FROM cosine JOIN m USING (gene_id) JOIN v1 USING (gene_id) WHERE gene_id < 32 GROUP BY 1)"""
+
+
+@query(f"{BULK} SELECT cell_id, gene_id, round(v - w * a, 5) + 0.0 AS value FROM cosine JOIN w USING (cell_id) JOIN v1 USING (gene_id)")
+def merge_bulk_one(spark, d):
+    two = V.blocks(spark, d).withColumn("batch", F.col("cell_id") % 2)
+    return linear.long(bulk.merge_bulk(two, CONTROLS, 1, chosen="all").blocks).select("cell_id", "gene_id", r("value", 5).alias("value"))
+
+
 def _out(df: DataFrame) -> DataFrame:
     return shown(linear.long(df), "cell_id", "gene_id")
 

@@ -7,6 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.bulk import BulkMerge, apply_factors
 
 
-def adjusted_stream(spark: SparkSession, path: str, schema: str, merged: BulkMerge, k: int = 20) -> DataFrame:
-    """A streaming DataFrame of adjusted cells read from a folder of Parquet files (cell_id, values, ...)."""
-    return apply_factors(spark.readStream.schema(schema).parquet(path), merged, k)
+def adjusted_stream(cells: DataFrame, merged: BulkMerge, k: int = 20) -> DataFrame:
+    """A stream (or a table) of cells (cell_id, values, ...) adjusted by the factors of a merge."""
+    return apply_factors(cells, merged, k)
+
+
+def cell_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
+    """A stream of the Parquet files of a folder whose names match the pattern."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+
+
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """Writes what the stream has now below folder, exactly once over restarts, and reads it."""
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/cells").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/cells")
