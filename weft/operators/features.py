@@ -106,9 +106,12 @@ def variable_positions(blocks: DataFrame, most_zero: float = 0.9, fdr: float = 0
 
 
 def smoothed(x: np.ndarray, y: np.ndarray, span: float = 0.3, bins: int = 200) -> np.ndarray:
-    """A local linear trend of y over x (tricube weights), at quantile bins of x, read off between them."""
+    """A local linear trend of y over x (tricube weights), at medians of quantile bins of x, read off between them.
+
+    Bins hold 20 values at least, so that a few outliers among them don't bend the trend.
+    """
     order = np.argsort(x, kind="stable")
-    parts = np.array_split(order, min(bins, len(order)))
+    parts = np.array_split(order, max(1, min(bins, len(order) // 20)))
     cx, cy, cw = (np.array(v) for v in zip(*((x[p].mean(), np.median(y[p]), len(p)) for p in parts), strict=True))
     k = min(len(cx), max(4, math.ceil(span * len(cx))))
     fit = np.empty(len(cx))
