@@ -35,7 +35,7 @@ LOWER[65:91] = BYTE_TABLE[97:123]
 WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
 #: Shingles of one packed batch, and documents of one (their index takes 16 bits).
-BATCH_SHINGLES, BATCH_DOCS = 4_000_000, 60_000
+BATCH_SHINGLES, BATCH_DOCS = 2_000_000, 60_000
 #: Documents of a batch that make a shingle a frequent one there, and the index that stands for all of them.
 MANY, ALL = 512, 0xFFFF
 #: Prefix shingles that linked documents have in common.
@@ -97,22 +97,27 @@ def _shingles(buckets: int, k: int):
         def flush() -> pa.RecordBatch:
             nonlocal held, serial
             batch = at + serial
-            all_ = np.sort(np.concatenate(grams)) if grams else np.zeros(0, U)
-            first = np.flatnonzero(np.r_[True, all_[1:] >> U(16) != all_[:-1] >> U(16)]) if len(all_) else np.zeros(0, np.int64)
-            count = np.diff(np.r_[first, len(all_)])
-            many = np.repeat(count >= MANY, count)
-            frequent = all_[many]
-            weight = np.where(count >= MANY, count, 0)  # of frequent ones only
-            all_ = np.sort(np.r_[all_[~many], all_[first[count >= MANY]] | U(ALL)])
-            weight = weight[weight > 0]
-            nth = np.r_[0, np.cumsum((all_ & U(0xFFFF)) == U(ALL))]
+            all_ = np.concatenate(grams) if grams else np.zeros(0, U)
+            grams.clear()
+            all_.sort()
+            low_of = lambda g: np.searchsorted(all_, g << U(16))
+            often = np.unique(all_[MANY - 1 :][all_[MANY - 1 :] >> U(16) == all_[: max(0, len(all_) - MANY + 1)] >> U(16)] >> U(16))
+            weight = low_of(often + U(1)) - low_of(often)
+            frequent = np.zeros(0, U)
+            if len(often):
+                rest = np.ones(len(all_), bool)
+                for x, n in zip(low_of(often).tolist(), weight.tolist(), strict=True):
+                    rest[x : x + n] = False
+                frequent, all_ = all_[~rest], np.r_[all_[rest], often << U(16) | U(ALL)]
+                all_.sort()
             cuts = np.r_[np.searchsorted(all_, low), len(all_)]
+            of = np.searchsorted(low, often << U(16), "right") - 1  # a frequent one's bucket
             keys, kinds, blobs = [batch % buckets], [1], [pack(np.array(ids, np.int64), np.array(null, np.uint8), np.array(mark, np.int64), np.array(size, np.int64), np.frombuffer(b"".join(sid), np.uint8), np.diff(frequent, prepend=U(0)))]
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 part = all_[cuts[b] : cuts[b + 1]]
                 keys.append(b)
                 kinds.append(0)
-                blobs.append(pack(np.diff(part >> U(16), prepend=U(0)), (part & U(0xFFFF)).astype(np.uint16), weight[nth[cuts[b]] : nth[cuts[b + 1]]]))
+                blobs.append(pack(np.diff(part >> U(16), prepend=U(0)), (part & U(0xFFFF)).astype(np.uint16), weight[of == b]))
             for x in (ids, null, mark, size, sid, grams, seen):
                 x.clear()
             held, serial = 0, serial + 1
@@ -124,7 +129,7 @@ def _shingles(buckets: int, k: int):
             nulls = np.asarray(doc.is_null())
             doc = doc.fill_null(0).to_numpy(zero_copy_only=False)
             marks = rb.column(2).to_numpy(zero_copy_only=False)
-            for i, j in slices(offs):
+            for i, j in slices(offs, 1 << 20):
                 for r, s in enumerate(shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k), i):
                     name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if len(s) and name not in seen:
