@@ -423,9 +423,46 @@ def test_pipeline_stages(spark):
     three = {r["doc_id"]: r["text"] for r in steps[3].collect()}
     assert set(three) == {i for i in ids if not (0 < cut[i][1] == cut[i][0])}
     assert all(three[i] == two[i] for i in three if not cut[i][1])
+    sizes = collections.Counter()
+    source = {r["doc_id"]: (r["source"], len(WORDS.findall(r["text"] or ""))) for r in steps[3].collect()}
+    for name, n in source.values():
+        sizes[name] += n
+    taken, words = collections.Counter(), collections.Counter()
+    four = steps[4].collect()
+    for r in four:
+        taken[r["doc_id"]] += 1
+        words[r["source"]] += source[r["doc_id"]][1]
+        assert r["text"] == three[r["doc_id"]]
+    assert max(taken.values()) <= 2 and all(words[name] <= 2 * sizes[name] for name in sizes)
+    assert abs(sum(words.values()) - sum(brute_targets(sizes).values())) < 0.05 * sum(sizes.values())
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for r in four for ids in [library.encode(r["text"] or "", add_special_tokens=False).ids])
+    assert sorted(tuple(r)[:3] for r in steps[5].select("doc_id", "n_tokens", "ids_sha256").collect()) == want
     assert steps[5].count() == steps[4].count() == len([r for r in corpus_pipeline.run(spark, dir_).collect()])
 
 
+def test_pipeline_on_empty_tables_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(40)
+    rng = random.Random(31)
+    a, b = prose(rng, 90), prose(rng, 90)
+    odd = [(None, a, None, None, None), (None, b, "en", None, 3), (7, prose(rng, 50), None, "x", 1), (7, prose(rng, 60), None, "x", 1), (None, None, None, None, None), (9, "", "en", "x", 0), (10, "1 2", "en", "x", 3), (11, prose(rng, 20000), None, "x", None)]
+    docs.union(spark.createDataFrame(odd, schema)).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        kept = stage(spark, kept, f"{tmp_path}/odd")
+    texts = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert {(i, t) for i, t, *_ in odd if t and any(c.isalpha() for c in t)} <= texts and not any(t is None or not any(c.isalpha() for c in t) for _, t in texts)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() > 0
+
+
 def test_near_duplicates_keep_a_row_of_each_group(spark):
     import corpus_pipeline
 
