@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 All but the last return the columns of documents.
+
+Defined cases: an empty table passes through all stages; rows without an id, and rows that share one, are documents of
+their own unless their texts are near duplicates; null and letterless texts go in the first stage.
 """
 
 from __future__ import annotations
@@ -44,19 +47,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts (halves of characters too); documents that become empty go."""
+    """Takes repeated passages out of the texts (halves of characters too); documents that become empty go. Null ids do no harm."""
     cut = remove_repeats(docs.select(*COLUMNS))
     return cut.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))).where("n_removed = 0 or length(text) > 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it; documents without a source are a source of their own."""
     mixed = mix_sources(docs.select(*COLUMNS)).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of each document's tokens, and the digest of what they decode to."""
+    """Number and digest of each document's tokens, and the digest of what they decode to; a row for each copy."""
     import public_tokenizers
 
     return bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
