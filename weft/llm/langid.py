@@ -66,13 +66,20 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return own, tri.astype(np.int64)
 
 
-def emissions(own: np.ndarray, tri: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A row of language scores for each word; weights: (2, 2**BITS, languages), of words' and bytes' features."""
-    total = np.zeros((len(tri) + 1, weights.shape[2]))
-    np.cumsum(weights[1][tri], axis=0, out=total[1:])
-    out = (total[ends] - total[starts]) / np.maximum(ends - starts, 1)[:, None] ** 0.5
-    for k in range(own.shape[1]):
-        out += weights[0][own[:, k]]
+def emissions(own: np.ndarray, tri: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, lot: int = 16_384) -> np.ndarray:
+    """A row of language scores for each word; weights: (2, 2**BITS, languages), of words' and bytes' features.
+
+    Words go lot by lot, so that sums over bytes stay small.
+    """
+    out = np.empty((len(starts), weights.shape[2]))
+    for a in range(0, len(starts), lot):
+        s, e = starts[a : a + lot], ends[a : a + lot]
+        total = np.zeros((e[-1] - s[0] + 1, weights.shape[2]))
+        np.cumsum(weights[1][tri[s[0] : e[-1]]], axis=0, out=total[1:])
+        part = (total[e - s[0]] - total[s - s[0]]) / np.maximum(e - s, 1)[:, None] ** 0.5
+        for k in range(own.shape[1]):
+            part += weights[0][own[a : a + lot, k]]
+        out[a : a + lot] = part
     return out
 
 
@@ -279,7 +286,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", out: str = "l
         for rb in batches:
             data, offs = flat(rb.column(at).cast(pa.string()))
             langs, scores = [], []
-            for i, j in slices(offs, 1 << 20):
+            for i, j in slices(offs, 1 << 19):
                 best, s = predict(model, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 langs += label[best].tolist()
                 scores.append(s)
