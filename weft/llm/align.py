@@ -29,7 +29,7 @@ from .bpe import byte_chars
 from .common import KEPT, U, lean, lean_batches, materialize, mix, pack, task_id, unpack
 
 #: Bytes of text that are aligned at once, pieces that a worker remembers and the longest one that it does.
-LOT, MEMO, MEMO_CHARS = 12 << 20, 500_000, 64
+LOT, MEMO, MEMO_CHARS = 3 << 20, 400_000, 64
 #: Most buckets of pairs: the vocabularies, not the texts, bound how many pairs there are.
 MOST_BUCKETS = 512
 SCOPES = ("ends", "group")
