@@ -101,4 +101,17 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
 FROM d JOIN kept USING (rid) LEFT JOIN counts USING (rid)
 """
 
-SQL = {"op3_warc": OP3, "op5_ngram_jaccard": OP5, "op9_source_mixing": OP9, "op10_suffix_dedup": OP10}
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+items AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+postings AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM d) GROUP BY rid, term),
+whole AS (SELECT count(DISTINCT rid) AS n_docs, sum(tf)::BIGINT AS total FROM postings),
+spread AS (SELECT rid, 50 + (50 * sum(tf)::BIGINT * n_docs) // total AS m FROM postings, whole GROUP BY rid, n_docs, total),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, whole GROUP BY term, n_docs),
+asked AS (SELECT DISTINCT q, term FROM (SELECT q, unnest(terms) AS term FROM items)),
+scored AS (SELECT q, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN spread USING (rid) GROUP BY q, rid),
+ranked AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (q) WHERE rank <= 50
+"""
+
+SQL = {"op3_warc": OP3, "op5_ngram_jaccard": OP5, "op9_source_mixing": OP9, "op10_suffix_dedup": OP10, "op12_ranked_search": OP12}

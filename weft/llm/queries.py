@@ -81,6 +81,20 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import build, search
+
+    return search(build(_read(spark, sf_dir, "documents").select("doc_id", "text")), _read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
