@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ LOT, MEMO, MEMO_CHARS = 3 << 20, 400_000, 64
 #: Most buckets of pairs: the vocabularies, not the texts, bound how many pairs there are.
 MOST_BUCKETS = 512
 SCOPES = ("ends", "group")
+#: White space of any kind (a text that has one before a space takes the longer way to its pieces).
+BLANK = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
 
 def ends_of(lengths: np.ndarray) -> np.ndarray:
@@ -64,7 +67,7 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray, scope: str = "ends") -> tuple[
 
 
 class Both(dict):
-    """Maps a piece of text (with its leading space) to A's ids, B's ids and whether both spell it."""
+    """Maps a piece of text to A's ids, B's ids and whether both spell it; remembers a bounded number of pieces."""
 
     def __init__(self, spec_a: bytes, spec_b: bytes) -> None:
         import sentencepiece
@@ -92,46 +95,58 @@ class Both(dict):
         self.shown = [*(s + "," for s in shown), *(s + "|" for s in shown), *(s + "," for s in shown), *(s + ";" for s in shown)]
         self.step = len(shown)
 
-    def make(self, piece: str) -> tuple[bytes, bytes, bool]:
-        a = self.a.encode(piece, add_special_tokens=False).ids
-        b = self.b.encode(piece[1:]) or [self.space]
-        raw = piece.encode()
-        same = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-        return np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes(), same
-
-    def __missing__(self, piece: str) -> tuple[bytes, bytes, bool]:
-        got = self.make(piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = got
-        return got
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A's and B's ids of a text; none if they don't spell space+text."""
+    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """A's ids and B's ids of each piece (its leading space left out), and whether both spell it."""
+        if not pieces:
+            return {}
+        raw = [(" " + p).encode() for p in pieces]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        b = [ids or [self.space] for ids in self.b.encode(pieces, num_threads=1)]
+        made, same = [], np.ones(len(pieces), bool)
+        for ids, strings, sizes in ((a, self.bytes_a, self.len_a), (b, self.bytes_b, self.len_b)):
+            flat = np.fromiter(chain.from_iterable(ids), "<i4")
+            end = np.cumsum([len(x) for x in ids])
+            if not np.array_equal(np.r_[0, np.cumsum(sizes[flat])][end], np.cumsum([len(x) for x in raw])) or b"".join([strings[i] for i in flat]) != b"".join(raw):
+                same &= [b"".join([strings[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)]
+            held = flat.tobytes()
+            made.append([held[4 * (e - len(x)) : 4 * e] for e, x in zip(end.tolist(), ids, strict=True)])
+        return dict(zip(pieces, zip(*made, same.tolist(), strict=True), strict=True))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A's and B's ids of each text; none where they don't spell space+text. New pieces are encoded together."""
+        cut = [pieces_of(t) if t else [] for t in texts]
+        new = {p for c in cut for p in c if p not in self}
+        if len(self) + len(new) > MEMO:
+            self.clear()
+            new = {p for c in cut for p in c}
+        long = self.learn([p for p in new if len(p) > MEMO_CHARS])
+        self.update(self.learn([p for p in new if len(p) <= MEMO_CHARS]))
         none = np.zeros(0, np.int32)
-        if not text:
-            return none, none
-        got = [self[p] for p in pieces_of(text)]
-        a, b = (np.frombuffer(b"".join([g[s] for g in got]), "<i4") for s in (0, 1))
-        if not all([g[2] for g in got]):
-            raw = (" " + text).encode()
-            if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
-                return none, none
-        return a, b
+        out = []
+        for t, c in zip(texts, cut, strict=True):
+            got = [self.get(p) or long[p] for p in c]
+            a, b = (np.frombuffer(b"".join([g[s] for g in got]), "<i4") for s in (0, 1))
+            if not all([g[2] for g in got]):
+                raw = (" " + t).encode()
+                if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
+                    a = b = none
+            out.append((a, b))
+        return out
 
 
 def pieces_of(text: str) -> list[str]:
-    """space+text cut before each space that follows no white space."""
+    """space+text cut before each space that follows no white space; each piece without the space it starts with."""
     cut = text.split(" ")
+    if text[0] != " " and not any(c + " " in text for c in BLANK):
+        return cut
     out, held = [], [cut[0]]
     for p in cut[1:]:
         if not held[-1] or held[-1][-1].isspace():
             held.append(p)
         else:
-            out.append(" " + " ".join(held) if len(held) > 1 else " " + held[0])
+            out.append(" ".join(held))
             held = [p]
-    out.append(" " + " ".join(held))
+    out.append(" ".join(held))
     return out
 
 
@@ -174,7 +189,7 @@ class Lot:
     """A lot's tokens, groups and links; documents are spans of each."""
 
     def __init__(self, model: Both, texts: list[str], scope: str) -> None:
-        made = [model.encode(t) for t in texts]
+        made = model.encode(texts)
         self.a, self.b = (np.concatenate([m[s] for m in made]) for s in (0, 1))
         self.n_a, self.n_b = (np.array([len(m[s]) for m in made]) for s in (0, 1))
         self.ends_a, self.ends_b = ends_of(model.len_a[self.a]), ends_of(model.len_b[self.b])
@@ -237,8 +252,8 @@ def _lots(df: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, s
             shas = np.frombuffer(b"".join([hashlib.sha256(t.encode()).digest() if t else bytes(32) for t in lot.texts(model)]), np.uint8)
             keys, inverse, n = np.unique(lot.a[lot.i].astype(np.int64) * width + lot.b[lot.j], return_inverse=True, return_counts=True)
             doc = np.searchsorted(lot.size, lot.ends_a[lot.i])
-            order = np.lexsort((inverse, doc))
-            steps = np.diff(inverse[order], prepend=0).astype(np.int32)
+            own = np.sort(doc * max(len(keys), 1) + inverse) % max(len(keys), 1)  # by document, then by pair
+            steps = np.diff(own, prepend=0).astype(np.int32)
             own = (task_id() << 32) | number
             blob = pack(lot.n_a.astype(np.int32), lot.n_b.astype(np.int32), np.diff(lot.group_end, prepend=0).astype(np.int32), np.diff(lot.link_end, prepend=0).astype(np.int32), shas, steps, keys.view(U) % U(width))
             bucket = bucket_of(keys % width, buckets)
