@@ -89,6 +89,22 @@ def unit_length(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-8)
 
 
+def bulk_factors(rows: DataFrame, controls: np.ndarray, k: int, small, solver: str = "exact") -> tuple[np.ndarray, DataFrame]:
+    """Factors of pseudo-bulk rows(sample, cluster, fold[, condition], values) and their replicates, matched within a condition; small picks genes."""
+    fine = lambda x: F.when(F.abs(x) == float("inf"), 0.0).otherwise(x)
+    condition = F.col("condition") if "condition" in rows.columns else F.lit("")
+    rows = rows.select(F.concat_ws("\t", "sample", "cluster", "fold").alias("cell_id"), F.col("sample").alias("batch"), "cluster", condition.alias("condition"), F.transform("values", fine).alias("values"))
+    rows = materialize(rows, "bulk")
+    labels = None
+    for part in sorted(r[0] for r in rows.select("condition").distinct().collect()):
+        here = rows.where(F.col("condition") == part)
+        matched = match_clusters(small(here), "cor") if here.select("batch").distinct().count() > 1 else None
+        named = match_labels(here.select("cell_id", "batch", "cluster", F.lit(0.0).alias("dist_prop")), matched).select("cell_id", F.concat(F.lit(part), F.lit("|" if part else ""), "replicate").alias("replicate"))
+        labels = named if labels is None else labels.union(named)
+    labels = materialize(labels, "bulk-labels")
+    return linear.fit(rows.select("cell_id", "values").join(labels, "cell_id"), "replicate", controls, k, solver, k), labels
+
+
 def merge_bulk(blocks: DataFrame, controls: np.ndarray, k: int = 20, cell_type: str | None = "cell_type", k_bulk: int = 30, k_neighbours: int = 10, cosine: bool = True, return_matrix: bool = True, keep: np.ndarray | None = None, builder: str = "mean", counts: DataFrame | None = None, seed: int = 1, chosen: list[int] | str = "trend", top: int = 2000, solver: str = "exact", neighbours: str = "exact") -> BulkMerge:
     """Merging through pseudo-bulk. blocks(cell_id, batch[, condition], values[, cell_type]).
 
@@ -123,17 +139,7 @@ def merge_bulk(blocks: DataFrame, controls: np.ndarray, k: int = 20, cell_type:
         rows = linear.arrays(bulk.withColumn("cell_id", F.concat_ws("\t", "sample", "cluster", "fold")), list(range(len(controls))), "sample", "cluster", "fold").drop("cell_id")
         if extra:
             rows = rows.join(cells.select("sample", "condition").distinct(), "sample")
-    fine = lambda x: F.when(F.abs(x) == float("inf"), 0.0).otherwise(x)
-    rows = rows.select(F.concat_ws("\t", "sample", "cluster", "fold").alias("cell_id"), F.col("sample").alias("batch"), "cluster", F.col("condition") if extra else F.lit("").alias("condition"), F.transform("values", fine).alias("values"))
-    rows = materialize(rows, "bulk")
-    labels = None
-    for part in sorted(r[0] for r in rows.select("condition").distinct().collect()):
-        here = rows.where(F.col("condition") == part)
-        matched = match_clusters(small(here), "cor") if here.select("batch").distinct().count() > 1 else None
-        named = match_labels(here.select("cell_id", "batch", "cluster", F.lit(0.0).alias("dist_prop")), matched).select("cell_id", F.concat(F.lit(part), F.lit("|" if part else ""), "replicate").alias("replicate"))
-        labels = named if labels is None else labels.union(named)
-    labels = materialize(labels, "bulk-labels")
-    alpha = linear.fit(rows.select("cell_id", "values").join(labels, "cell_id"), "replicate", controls, k, solver, k)
+    alpha, labels = bulk_factors(rows, controls, k, small, solver)
     mean = linear.means(blocks, prep)
     made = None
     if return_matrix:

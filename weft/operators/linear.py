@@ -2,8 +2,8 @@
 
 The fit needs the leading directions of the residuals about replicate means. Cells that are a replicate of their own
 leave no residual and take no part. With up to MAX_GENES genes the driver decomposes the gene-by-gene Gram matrix; with
-more genes and up to MAX_CELLS cells the cell-by-cell one; beyond both, or with solver "random", subspace iteration
-passes over the cells with a matrix of genes by factors. Partial sums are combined where they arise and added up by
+more genes and up to MAX_CELLS cells the cell-by-cell one; beyond both, or with solver "lanczos", block Lanczos, and with
+solver "random" a few rounds of subspace iteration, pass over the cells with a matrix of genes by factors. Partial sums are combined where they arise and added up by
 streams sorted by key, so that a task holds one running sum of a key. The adjustment is one pass without a shuffle.
 """
 
@@ -22,11 +22,13 @@ from ..sources.scratch import materialize
 
 #: Genes, or cells, whose Gram matrix the driver decomposes: 4096 genes take 128 MB, 8192 cells 512 MB.
 MAX_GENES, MAX_CELLS = 4096, 8192
-SOLVERS = ("exact", "random")
+SOLVERS = ("exact", "random", "lanczos")
 #: Bytes of partial sums that a task holds before it sends them.
 HELD = 64 << 20
 #: Subspace iteration: directions beyond those asked for, passes of the random solver, and when the exact one has settled.
 SPARE, PASSES, SETTLED, MOST_PASSES = 12, 4, 1e-9, 200
+#: Residual of an eigenpair, against the largest value, at which Lanczos ends: values are right to about its square.
+LANCZOS_SETTLED = 1e-7
 FLOATS = pa.list_(pa.float64())
 Prep = Callable[[np.ndarray], np.ndarray]
 
@@ -215,14 +217,15 @@ def fit(blocks: DataFrame, replicate: str, controls: np.ndarray, svd_k: int | No
         return factors(residual_gram(blocks, replicate, prep, m // genes), most)
     if solver == "exact" and m <= MAX_CELLS:
         return cell_factors(blocks, replicate, most, prep)
-    return subspace(blocks, replicate, genes, most, solver == "random", prep)
+    return by_passes(blocks, replicate, genes, most, solver == "random", prep)
 
 
-def subspace(blocks: DataFrame, replicate: str, genes: int, rank: int, fixed: bool, prep: Prep | None = None) -> np.ndarray:
-    """Leading factors of the residual Gram matrix, which is never formed."""
+def by_passes(blocks: DataFrame, replicate: str, genes: int, rank: int, quick: bool, prep: Prep | None = None) -> np.ndarray:
+    """Leading factors of the residual Gram matrix, which is never formed: a few random passes, or Lanczos until it has settled."""
     held = materialize(in_groups(blocks.select(replicate, "values"), replicate), "in-groups")
     sums = materialize(group_sums(held, replicate, prep).withColumn("w", 1 / F.col("n")), "group-sums")
-    value, vector = leading(lambda q: times(held, q, prep=prep) - times(sums, q, "w"), genes, rank, fixed)
+    apply = lambda q: times(held, q, prep=prep) - times(sums, q, "w")
+    value, vector = leading(apply, genes, rank, True) if quick else lanczos(apply, genes, rank)[:2]
     keep = value > 1e-16 * max(value[0], 1e-300)
     return np.sqrt(value[keep])[:, None] * vector[:, keep].T
 
@@ -243,6 +246,52 @@ def leading(apply: Callable[[np.ndarray], np.ndarray], n: int, rank: int, fixed:
     return value, vector
 
 
+def lanczos_steps(n: int, rank: int, width: int | None = None, blocks: int = 10, seed: int = 1):
+    """Generator that yields columns, is sent the Gram matrix times them, and returns what lanczos() does."""
+    width = min(n, width or rank + 4)
+    most = max(blocks * width, rank + 3 * width)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
+    held, t, passes = np.zeros((n, 0)), np.zeros((0, 0)), 0
+    while True:
+        w = yield q
+        passes += 1
+        held = np.hstack([held, q])
+        h = held.T @ w
+        old = len(t)
+        t = np.block([[t, h[:old]], [h[:old].T, (h[old:] + h[old:].T) / 2]])
+        w = w - held @ h
+        w -= held @ (held.T @ w)
+        value, turn = np.linalg.eigh(t)
+        value, turn = value[::-1], turn[:, ::-1]
+        left = np.linalg.norm(w @ turn[old:, :rank], axis=0)
+        room = n - held.shape[1]
+        if room == 0 or left.max(initial=0) <= LANCZOS_SETTLED * max(value[0], 1e-300) or passes >= MOST_PASSES:
+            return value[:rank], held @ turn[:, :rank], passes
+        if held.shape[1] + width > most:
+            keep = min(rank + width // 2, len(value))
+            held, t = held @ turn[:, :keep], np.diag(value[:keep])
+        q = np.linalg.qr(w)[0]
+        q -= held @ (held.T @ q)
+        q = np.linalg.qr(q)[0][:, : n - held.shape[1]]
+
+
+def lanczos(apply: Callable[[np.ndarray], np.ndarray], n: int, rank: int, width: int | None = None, blocks: int = 10, seed: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
+    """Largest eigenvalues and vectors of a Gram matrix that can only be applied, and the passes it took.
+
+    One-sided block Lanczos bidiagonalisation: the projected matrix is B'B of the bidiagonal B, the long side (cells) is
+    never kept, and the short side (genes by width columns a pass) is orthogonalised twice against all columns held. When
+    `blocks` blocks are held the search restarts from the best Ritz vectors. Ends when the residuals of all wanted pairs
+    are small against the largest value, or the columns span everything.
+    """
+    steps = lanczos_steps(n, rank, width, blocks, seed)
+    q = next(steps)
+    while True:
+        try:
+            q = steps.send(apply(q))
+        except StopIteration as end:
+            return end.value
+
+
 def cell_factors(blocks: DataFrame, replicate: str, rank: int, prep: Prep | None = None, strip: int = 4096) -> np.ndarray:
     """Leading factors by the cell-by-cell Gram matrix of the residuals, added up over strips of genes."""
     held = in_groups(blocks.select("cell_id", replicate, "values"), replicate)
