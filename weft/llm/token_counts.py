@@ -39,7 +39,9 @@ SPACE = [chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000,
 LOWER = {"\ua7cb": "\u0264", "\ua7dc": "\u019b"} | {chr(c): chr(c + 32) for c in range(0x10D50, 0x10D66)}
 END = "</w>"
 #: Pieces and words that a worker remembers, the longest one that it does, and pairs of tokens.
-MEMO, MEMO_CHARS, PAIRS = 400_000, 64, 2_000_000
+MEMO, MEMO_CHARS, PAIRS = 500_000, 64, 2_000_000
+#: Bytes of text whose new pieces are learnt together.
+LOT = 8 << 20
 
 
 class Prefixes:
@@ -65,14 +67,14 @@ class Prefixes:
             if a in self.left and b in self.left and self.apart(a, b, i):  # else its letters never become this token
                 self.left[a + b] = [(a + b, i), *self.left[a]]
                 self.right[a + b] = [(a + b, i), *self.right[b]]
-        #: Every beginning of a token: the token it is within a word, and the one that it is at the end.
-        self.known: dict[str, tuple[str | None, str | None]] = {}
+        #: Every ending of a token's letters: the token it is within a word, and the one that it is at the end.
+        self.endings: dict[str, tuple[str | None, str | None]] = {}
         for t in self.left:
             letters = t.removesuffix(END)
             for n in range(1, len(letters) + 1):
-                self.known.setdefault(letters[:n], (None, None))
-            within, end = self.known[letters]
-            self.known[letters] = (within, t) if t.endswith(END) else (t, end)
+                self.endings.setdefault(letters[-n:], (None, None))
+            within, end = self.endings[letters]
+            self.endings[letters] = (within, t) if t.endswith(END) else (t, end)
         self.added = [t["content"] for t in made["added_tokens"]]
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
         self.words = regex.compile(PATTERN).findall
@@ -102,47 +104,72 @@ class Prefixes:
 
     def fits(self, before: str, token: str) -> bool:
         """Whether before and token stay as they are when their letters are merged."""
-        key = (before, token)
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.apart(before, token, len(self.rank))
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
+        known = self.apart(before, token, len(self.rank))
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[before, token] = known
         return known
 
+    def learn_words(self, words: set[str]) -> dict[str, list[int]]:
+        """Tokens of word[:1], word[:2], ..., each as a word that ends there, for every word.
+
+        Words go in order of their letters, so that each goes on from the prefix that it shares with the one before.
+        """
+        chars, endings, pairs, fits = self.chars, self.endings, self.pairs, self.fits
+        out, old = {}, ""
+        last, count, closed = [""], [0], [0]
+        for text, word in sorted(("".join([chars[b] for b in w.encode()]), w) for w in words):
+            m, n = 0, len(text)
+            for x, y in zip(old, text, strict=False):
+                if x != y:
+                    break
+                m += 1
+            del last[m + 1 :], count[m + 1 :], closed[m + 1 :]
+            for p in range(m + 1, n + 1):
+                found = ended = 0
+                token = ""
+                for q in range(p - 1, -1, -1):
+                    got = endings.get(text[q:p])
+                    if got is None:
+                        break
+                    within, end = got
+                    before = last[q]
+                    if within is not None and not found:
+                        fine = pairs.get((before, within)) if q else True
+                        if fine or (fine is None and fits(before, within)):
+                            found, token = count[q] + 1, within
+                            if ended:
+                                break
+                    if end is not None and not ended:
+                        fine = pairs.get((before, end)) if q else True
+                        if fine or (fine is None and fits(before, end)):
+                            ended = count[q] + 1
+                            if found:
+                                break
+                last.append(token)
+                count.append(found)
+                closed.append(ended)
+            raw = word.encode() if n != len(word) else b""
+            out[word] = [closed[p] for p in range(1, n + 1) if p == n or raw[p] & 0xC0 != 0x80] if raw else closed[1:]
+            old = text
+        return out
+
     def word(self, word: str) -> list[int]:
-        """Tokens of word[:1], word[:2], ..., each as a word that ends there."""
         made = self.word_memo.get(word)
-        if made is not None:
-            return made
-        raw = word.encode()
-        text, n = "".join([self.chars[b] for b in raw]), len(raw)
-        known, fits = self.known, self.fits
-        last: list[str | None] = [None] * (n + 1)
-        count, closed = [0] * (n + 1), [0] * (n + 1)
-        for q in range(n):
-            before, more = last[q], count[q] + 1
-            for p in range(q + 1, n + 1):
-                got = known.get(text[q:p])
-                if got is None:
-                    break
-                within, end = got
-                if within is not None and last[p] is None and (not q or fits(before, within)):
-                    last[p], count[p] = within, more
-                if end is not None and not closed[p] and (not q or fits(before, end)):
-                    closed[p] = more
-        made = closed[1:] if n == len(word) else [closed[p] for p in range(1, n + 1) if p == n or raw[p] & 0xC0 != 0x80]
-        if len(word) <= MEMO_CHARS:
-            if len(self.word_memo) >= MEMO:
-                self.word_memo.clear()
-            self.word_memo[word] = made
-        return made
-
-    def words_of(self, text: str) -> list[int]:
-        """Tokens of text[:1], text[:2], ...; text is normalised and without white space."""
+        return made if made is not None else self.learn_words({word})[word]
+
+    def words_in(self, text: str) -> list[str]:
+        """The words of normalised text without white space, the parts of 're among them if it has one."""
+        if text.isalpha():
+            return [text]
+        if text[:-1].isalpha() and text[-1] in ",.;:!?":
+            return [text[:-1], text[-1]]
+        return self.words(text)
+
+    def counts_of(self, words: list[str]) -> list[int]:
+        """Tokens of each prefix of the words written one after the other."""
         out, base = [], 0
-        for word in self.words(text):
+        for word in words:
             counts = self.word(word)
             if len(word) > 1 and word[0] == "'" and word[1].isalpha():  # within 're the quote and the r are words
                 quote = self.word("'")[0]
@@ -151,36 +178,56 @@ class Prefixes:
             base = out[-1]
         return out
 
-    def piece(self, piece: str) -> tuple[bytes, int, int]:
-        """Tokens of piece[:1], piece[:2], ..., and with a space after it, as 32-bit integers (-1 within a composed
-        character); of all of it; and how many entries these are."""
-        if piece.isascii():
-            counts = self.words_of(piece.lower())
+    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, int, int]]:
+        """For each piece: tokens of piece[:1], piece[:2], ..., and with a space after it, as 32-bit integers (-1 within
+        a composed character); of all of it; and how many entries these are."""
+        ready = []
+        for piece in pieces:
+            if piece.isascii():
+                ready.append((piece, None, self.words_in(piece.lower())))
+            else:
+                clusters = [*piece] if unicodedata.is_normalized("NFC", piece) else composed(piece)
+                lower = ["".join([LOWER.get(c) or c.lower() for c in unicodedata.normalize("NFC", x)]) for x in clusters]
+                same = len(clusters) == len(piece) == sum(map(len, lower))
+                ready.append((piece, None if same else (clusters, lower), self.words_in("".join(lower))))
+        if len(self.word_memo) > MEMO:
+            self.word_memo.clear()
+        known = self.word_memo
+        made = self.learn_words({w for r in ready for w in r[2] if w not in known})
+        self.word_memo.update(made)
+        out = {}
+        for piece, parts, words in ready:
+            counts = self.counts_of(words)
             total = counts[-1]
-            made = array("i", [*counts, total]).tobytes()
-        else:
-            clusters = [*piece] if unicodedata.is_normalized("NFC", piece) else composed(piece)
-            lower = ["".join([LOWER.get(c) or c.lower() for c in unicodedata.normalize("NFC", x)]) for x in clusters]
-            counts = np.array(self.words_of("".join(lower)), "<i4")
-            out = np.full(len(piece) + 1, -1, "<i4")
-            out[np.cumsum([len(x) for x in clusters]) - 1] = counts[np.cumsum([len(x) for x in lower]) - 1]
-            out[-1] = total = int(counts[-1])
-            made = out.tobytes()
-        got = made, total, len(piece) + 1
-        if len(piece) <= MEMO_CHARS:
-            if len(self.piece_memo) >= MEMO:
-                self.piece_memo.clear()
-                self.piece_memo[""] = (bytes(4), 0, 1)
-            self.piece_memo[piece] = got
-        return got
+            if parts is None:
+                out[piece] = array("i", [*counts, total]).tobytes(), total, len(piece) + 1
+            else:
+                clusters, lower = parts
+                held = np.full(len(piece) + 1, -1, "<i4")
+                held[np.cumsum([len(x) for x in clusters]) - 1] = np.array(counts, "<i4")[np.cumsum([len(x) for x in lower]) - 1]
+                held[-1] = total
+                out[piece] = held.tobytes(), total, len(piece) + 1
+        for word in [w for w in made if len(w) > MEMO_CHARS]:
+            del self.word_memo[word]
+        return out
+
+    def piece(self, piece: str) -> tuple[bytes, int, int]:
+        return self.piece_memo.get(piece) or self.learn([piece])[piece]
+
+    def prepare(self, texts: list[str]) -> None:
+        """Learns the new pieces of some texts together (long ones are left to their text)."""
+        memo = self.piece_memo
+        new = {p for t in texts for p in blanks(t).split(" ") if p not in memo}
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            memo[""] = (bytes(4), 0, 1)
+            new = {p for t in texts for p in blanks(t).split(" ") if p}
+        memo.update(self.learn([p for p in new if len(p) <= MEMO_CHARS]))
 
     def plain(self, text: str) -> np.ndarray:
         """Tokens of each prefix of one character or more, added tokens being plain text."""
-        for c in SPACE:
-            if c in text and c != " ":
-                text = text.replace(c, " ")
         memo = self.piece_memo.get
-        inner, total, size = zip(*[memo(p) or self.piece(p) for p in text.split(" ")], strict=True)
+        inner, total, size = zip(*[memo(p) or self.piece(p) for p in blanks(text).split(" ")], strict=True)
         inner, total = np.frombuffer(b"".join(inner), "<i4")[:-1], np.array(total, np.int32)
         base = np.repeat(np.cumsum(total, dtype=np.int32) - total, size)[:-1]
         return np.where(inner < 0, -1, inner + base) if len(inner) and inner.min() < 0 else inner + base
@@ -201,6 +248,27 @@ class Prefixes:
         return np.concatenate(out)
 
 
+def blanks(text: str) -> str:
+    """text with every white space as a space."""
+    for c in SPACE:
+        if c in text and c != " ":
+            text = text.replace(c, " ")
+    return text
+
+
+def in_lots(batches: Iterator[pa.RecordBatch], at: int, model: Prefixes) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of batches with their texts (null: empty), whose pieces the model has learnt."""
+    for rb in batches:
+        size = pc.fill_null(pc.binary_length(rb.column(at)), 0).to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(np.diff(np.cumsum(size) // LOT, prepend=0)).tolist()
+        for i, j in zip([0, *edge], [*edge, rb.num_rows], strict=True):
+            if i < j:
+                some = rb.slice(i, j - i)
+                texts = [t or "" for t in some.column(at).to_pylist()]
+                model.prepare(texts)
+                yield some, texts
+
+
 _SECOND: set[str] = set()
 
 
@@ -248,8 +316,8 @@ def _with(df: DataFrame, path: str, text_col: str, out: str, kind: str, arrow: p
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent)
-        for rb in batches:
-            made = [f(t, model.counts(t)) for t in (x.as_py() or "" for x in rb.column(at))]
+        for rb, texts in in_lots(batches, at, model):
+            made = [f(t, model.counts(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(made, arrow)], [*names, out])
 
     fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema.fields)
@@ -297,8 +365,8 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent)
-        for rb in batches:
-            n = np.array([model.counts(t.as_py() or "")[-1] for t in rb.column(1)], np.int64)
+        for rb, texts in in_lots(batches, 1, model):
+            n = np.array([model.counts(t)[-1] for t in texts], np.int64)
             size = pc.fill_null(pc.binary_length(rb.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([rb.column(0), size, pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
