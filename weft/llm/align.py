@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,7 +31,9 @@ from .bpe import byte_chars
 from .common import KEPT, U, lean, lean_batches, materialize, mix, pack, task_id, unpack
 
 #: Bytes of text that are aligned at once, pieces that a worker remembers and the longest one that it does.
-LOT, MEMO, MEMO_CHARS = 3 << 20, 400_000, 64
+LOT, MEMO, MEMO_CHARS = 2 << 20, 300_000, 64
+#: Pieces that the libraries encode at once: their results take far more room than ids.
+TOGETHER = 2048
 #: Most buckets of pairs: the vocabularies, not the texts, bound how many pairs there are.
 MOST_BUCKETS = 512
 SCOPES = ("ends", "group")
@@ -74,6 +77,7 @@ class Both(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_str(spec_a.decode())
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -100,7 +104,9 @@ class Both(dict):
         if not pieces:
             return {}
         raw = [(" " + p).encode() for p in pieces]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        a = []
+        for i in range(0, len(pieces), TOGETHER):
+            a += [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces[i : i + TOGETHER]], add_special_tokens=False)]
         b = [ids or [self.space] for ids in self.b.encode(pieces, num_threads=1)]
         made, same = [], np.ones(len(pieces), bool)
         for ids, strings, sizes in ((a, self.bytes_a, self.len_a), (b, self.bytes_b, self.len_b)):
@@ -120,7 +126,9 @@ class Both(dict):
             self.clear()
             new = {p for c in cut for p in c}
         long = self.learn([p for p in new if len(p) > MEMO_CHARS])
-        self.update(self.learn([p for p in new if len(p) <= MEMO_CHARS]))
+        short = [p for p in new if len(p) <= MEMO_CHARS]
+        for i in range(0, len(short), 16 * TOGETHER):
+            self.update(self.learn(short[i : i + 16 * TOGETHER]))
         none = np.zeros(0, np.int32)
         out = []
         for t, c in zip(texts, cut, strict=True):
