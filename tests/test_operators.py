@@ -256,13 +256,6 @@ def test_gene_covariates_and_design(spark, cells):
     assert out.blocks.count() == 60 and np.isfinite(values(out.blocks)).all()
 
 
-def test_neighbour_back_ends():
-    rng = np.random.default_rng(8)
-    x = rng.normal(size=(600, 6))
-    exact, near = cluster.neighbours(x, 10), cluster.near_by_trees(x, 10)
-    assert np.mean([len(set(a) & set(b)) for a, b in zip(exact.tolist(), near.tolist(), strict=True)]) > 9
-
-
 def test_tables_stack_by_position(spark, cells):
     _, df = cells
     got = filters.stack([df.where("cell_id < 9"), df.where("cell_id >= 9")])

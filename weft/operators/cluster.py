@@ -1,25 +1,20 @@
-"""Clusters within a batch: principal directions, k-means, and shared-neighbour graphs. A batch is a grouped map."""
+"""Clusters within batches: k-means on principal directions, or communities of shared-neighbour graphs.
 
-from __future__ import annotations
+All batches go through the same passes and no batch is gathered in a task; see pca, kmeans, neighbours and communities.
+lloyd() is for small matrices on the driver (marker means of replicates).
+"""
 
-from collections import defaultdict
+from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .linear import matrix
+from .communities import communities, shared_edges
+from .kmeans import kmeans
+from .neighbours import nearest_cells
+from .pca import batch_scores
 
-
-def directions(x: np.ndarray, n: int = 10) -> np.ndarray:
-    """Scores on the n leading directions of the scaled, centred columns."""
-    z = x - x.mean(0)
-    sd = z.std(0, ddof=1) if len(z) > 1 else np.ones(x.shape[1])
-    z = z[:, sd > 0] / sd[sd > 0]
-    if not z.size:
-        return np.zeros((len(x), 1))
-    v = np.linalg.eigh(z.T @ z)[1][:, ::-1][:, :n]
-    return z @ v
+BACK_ENDS = ("exact", "approximate")
 
 
 def lloyd(x: np.ndarray, k: int, starts: int = 20, rounds: int = 100, seed: int = 1) -> np.ndarray:
@@ -47,118 +42,13 @@ def lloyd(x: np.ndarray, k: int, starts: int = 20, rounds: int = 100, seed: int
     return np.array([order[v] for v in best.tolist()])
 
 
-def neighbours(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
-    """Exact k nearest rows (not the row itself) by Euclidean distance, a block at a time."""
-    out = []
-    for i in range(0, len(x), block):
-        d = (x[i : i + block] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[i : i + block] @ x.T
-        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        out.append(np.argsort(d, 1, kind="stable")[:, : min(k, len(x) - 1)])
-    return np.concatenate(out)
-
-
-def near_by_trees(x: np.ndarray, k: int, trees: int = 10, leaf: int = 64, seed: int = 1) -> np.ndarray:
-    """About the k nearest rows: the nearest of all that share a leaf of some random projection tree with a row."""
-    rng = np.random.default_rng(seed)
-    k = min(k, len(x) - 1)
-    seen: list[list[np.ndarray]] = [[] for _ in range(len(x))]
-    for _ in range(trees):
-        stack = [np.arange(len(x))]
-        while stack:
-            rows = stack.pop()
-            if len(rows) <= max(leaf, 2 * k + 2):
-                for r in rows:
-                    seen[r].append(rows)
-                continue
-            way = x[rows] @ rng.standard_normal(x.shape[1])
-            order = np.argsort(way, kind="stable")
-            stack += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-    out = np.empty((len(x), k), np.int64)
-    for r, lots in enumerate(seen):
-        others = np.unique(np.concatenate(lots))
-        others = others[others != r]
-        d = ((x[others] - x[r]) ** 2).sum(1)
-        out[r] = others[np.argsort(d, kind="stable")[:k]]
-    return out
-
-
-def shared_graph(near: np.ndarray) -> dict:
-    """Edges weighed by the best common neighbour: k - (sum of its two ranks) / 2, a row being its own of rank 0."""
-    n, k = near.shape
-    ranks: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    for i in range(n):
-        ranks[i].append((i, 0))
-        for r, j in enumerate(near[i].tolist(), 1):
-            ranks[j].append((i, r))
-    weight: dict = {}
-    for holders in ranks:
-        for a, (i, r) in enumerate(holders):
-            for j, s in holders[a + 1 :]:
-                key = (min(i, j), max(i, j))
-                weight[key] = max(weight.get(key, 1e-6), k - (r + s) / 2)
-    return weight
-
-
-def louvain(n: int, weight: dict) -> list[int]:
-    """Modularity communities by local moves and aggregation, in a fixed order; labels 1.. by first node."""
-    node = list(range(n))
-    graph: dict = defaultdict(lambda: defaultdict(float))
-    for (i, j), w in weight.items():
-        graph[i][j] += w
-        graph[j][i] += w
-    total = sum(weight.values()) or 1.0
-    size = n
-    while True:
-        com = list(range(size))
-        deg = [sum(graph[i].values()) + graph[i].get(i, 0.0) for i in range(size)]
-        tot = deg[:]
-        moved = any_move = True
-        any_move = False
-        while moved:
-            moved = False
-            for i in range(size):
-                own = com[i]
-                links: dict = defaultdict(float)
-                for j, w in graph[i].items():
-                    if j != i:
-                        links[com[j]] += w
-                tot[own] -= deg[i]
-                best = max([own, *sorted(links)], key=lambda c: (round(links.get(c, 0.0) - tot[c] * deg[i] / (2 * total), 12), c == own))
-                tot[best] += deg[i]
-                if best != own:
-                    com[i], moved, any_move = best, True, True
-        names = {c: a for a, c in enumerate(dict.fromkeys(com))}
-        node = [names[com[v]] for v in node]
-        if not any_move:
-            break
-        new: dict = defaultdict(lambda: defaultdict(float))
-        for i in range(size):
-            for j, w in graph[i].items():
-                a, b = names[com[i]], names[com[j]]
-                new[a][b] += w if a != b or i == j else w / 2
-        graph, size = new, len(names)
-    first = {c: a for a, c in enumerate(dict.fromkeys(node), 1)}
-    return [first[c] for c in node]
-
-
-BACK_ENDS = {"exact": neighbours, "approximate": near_by_trees}
-
-
 def cluster_batches(blocks: DataFrame, k: dict | None = None, neighbours_k: int = 10, starts: int = 20, seed: int = 1, neighbours: str = "exact") -> DataFrame:
     """(cell_id, batch, cluster): k-means on ten directions with k[batch] centres (1: one cluster), or, without k, shared-neighbour
-    communities. neighbours: "exact", or "approximate" by random projection trees."""
+    communities. neighbours: "exact" (all pairs of blocks), or "approximate" (a forest and an exchange between neighbours)."""
     if neighbours not in BACK_ENDS:
-        raise ValueError(f"neighbours is one of {tuple(BACK_ENDS)}")
-    find = BACK_ENDS[neighbours]
-    kind = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
-
-    def rows(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cell_id")
-        x, batch = matrix(table["values"]), table["batch"][0].as_py()
-        if k is not None:
-            label = np.ones(len(x), int) if k[batch] == 1 else lloyd(directions(x), k[batch], starts, seed=seed)
-        else:
-            label = np.array(louvain(len(x), shared_graph(find(x, neighbours_k)))) if len(x) > 2 else np.ones(len(x), int)
-        return pa.table({"cell_id": table["cell_id"], "batch": table["batch"], "cluster": pa.array(label, pa.int32())})
-
-    return blocks.select("cell_id", "batch", "values").groupBy("batch").applyInArrow(rows, f"cell_id {kind['cell_id']}, batch {kind['batch']}, cluster int")
+        raise ValueError(f"neighbours is one of {BACK_ENDS}")
+    if k is not None:
+        return kmeans(batch_scores(blocks), k, starts, seed)
+    near = nearest_cells(blocks.select("cell_id", "batch", "values"), neighbours_k, neighbours, seed=seed)
+    cells = blocks.select("cell_id", "batch")
+    return communities(shared_edges(near, neighbours_k), cells)

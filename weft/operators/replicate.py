@@ -10,17 +10,17 @@ from ..sources.scratch import materialize
 from .cluster import cluster_batches, lloyd
 from .linear import long, transform
 from .matching import match_clusters, match_labels
-from .stats import centroid_rank
+from .medians import centroid_rank
 
 
-def supervised(expr: DataFrame, prop: float = 1.0, label: str = "cell_type") -> DataFrame:
-    """(cell_id, replicate): the type's label for cells near its centroid, else the cell's own. expr: dense rows with label.
+def supervised(blocks: DataFrame, prop: float = 1.0, label: str = "cell_type") -> DataFrame:
+    """(cell_id, replicate): the type's label for cells near its centroid, else the cell's own. blocks(cell_id, label, values).
 
     With prop 1 every cell is near enough, and no distance is taken.
     """
     if prop >= 1:
-        return expr.select("cell_id", F.col(label).cast("string").alias("replicate")).distinct()
-    ranked = centroid_rank(expr.select("cell_id", "gene_id", "value", label), label)
+        return blocks.select("cell_id", F.col(label).cast("string").alias("replicate")).distinct()
+    ranked = centroid_rank(blocks, label)
     return ranked.select("cell_id", F.when(F.round("dist_prop", 9) <= prop, F.col(label).cast("string")).otherwise(F.concat(F.lit("cell:"), "cell_id")).alias("replicate"))
 
 
@@ -36,7 +36,7 @@ def clusters(blocks: DataFrame, k: dict | None, label: str | None = None, prop:
         got, by = found.join(blocks.select("cell_id", "batch", "values"), "cell_id").select("cell_id", "batch", "cluster", "values"), ["batch", "cluster"]
     if prop >= 1:
         return got.withColumn("dist_prop", F.lit(0.0))
-    return got.join(centroid_rank(long(got, *by), *by).select("cell_id", "dist_prop"), "cell_id")
+    return got.join(centroid_rank(got, *by).select("cell_id", "dist_prop"), "cell_id")
 
 
 def split_wanted(labels: DataFrame, wanted: DataFrame, high: list[str] | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def find_replicates(blocks: DataFrame, k: dict | None = None, prop: float = 1.0,
     if cell_type and not match and known is None:
         if prop >= 1:
             return blocks.select("cell_id", F.col(cell_type).cast("string").alias("replicate"))
-        return supervised(long(blocks, cell_type), prop, cell_type)
+        return supervised(blocks, prop, cell_type)
     whole = blocks
     if genes is not None:
         at = np.asarray(genes, np.int64)

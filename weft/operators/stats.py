@@ -1,10 +1,12 @@
-"""Statistics, normalisations and ranks: grouped aggregates and windows."""
+"""Statistics, normalisations and ranks: grouped aggregates, and ranges with prefix sums."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def totals(expr: DataFrame, by: str = "cell_id") -> DataFrame:
     return expr.groupBy(by).agg(F.sum("value").alias("total"))
@@ -81,38 +83,70 @@ def minmax(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def average_rank(order: Column, *by: str) -> Column:
-    """Rank with ties averaged."""
+    """Rank with ties averaged, by windows: for tables of names (genes). Cells are ranked by average_ranks()."""
     w = Window.partitionBy(*by).orderBy(order)
     peers = F.count("*").over(Window.partitionBy(*by, order))
     return F.rank().over(w) + (peers - 1) / 2
 
 
-def equal_width_bins(df: DataFrame, value: str, by: str, k: int) -> DataFrame:
+def _ranges(df: DataFrame, by: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df in written ranges of (by, order), numbered _p, and (by, _p, _before, _total): rows of the group in earlier ranges, and in all.
+
+    A group is spread over as many ranges as it needs; the second table has a row for each group and range.
+    """
+    held = materialize(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    size = held.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    past = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return held, size.select(*by, "_p", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_total"))
+
+
+def row_numbers(df: DataFrame, by: list[str], order: list[str], out: str, total: str) -> DataFrame:
+    """df with each row's number within by, from 1, and how many rows its group has. by and order tell rows apart.
+
+    No task holds more than a range: numbers within ranges, and sums of the ranges before.
+    """
+    held, ranges = _ranges(df, by, order)
+    number = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order))
+    return held.withColumn(out, number).join(ranges, [*by, "_p"]).withColumn(out, F.col(out) + F.col("_before")).withColumnRenamed("_total", total).drop("_p", "_before")
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, key: str = "cell_id", **more: str) -> DataFrame:
+    """df with _rank, the rank of value within by (ties averaged), and _total, the rows of the group; more: least="..." and most="..." name columns of the group's extreme ranks.
+
+    Equal values may fill many ranges: runs of a value are counted by range, added up by value, and joined by (range, value).
+    """
+    held, ranges = _ranges(df, by, [value, key])
+    runs = held.groupBy(*by, "_p", value).agg(F.count("*").alias("_n"))
+    past = Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_start", F.coalesce(F.sum("_n").over(past), F.lit(0))).join(ranges, [*by, "_p"])
+    whole = runs.groupBy(*by, value).agg(F.min(F.col("_before") + F.col("_start")).alias("_low"), F.sum("_n").alias("_peers"))
+    whole = whole.select(*by, value, (F.col("_low") + (F.col("_peers") + 1) / 2).alias("_rank"))
+    if more:
+        ends = whole.groupBy(*by).agg(*([F.min("_rank").alias(more["least"])] if "least" in more else []), *([F.max("_rank").alias(more["most"])] if "most" in more else []))
+        whole = whole.join(ends, by)
+    placed = runs.select(*by, "_p", value, "_total").join(whole, [*by, value])
+    return held.join(placed, [*by, "_p", value]).drop("_p")
+
+
+def equal_width_bins(df: DataFrame, value: str, by: str, k: int, key: str = "cell_id") -> DataFrame:
     """bin 1..k: the rank of value within by, cut into k spans of equal width (closed on the right)."""
-    ranked = df.withColumn("_r", average_rank(F.col(value), by))
-    span = Window.partitionBy(by)
-    lo, hi = F.min("_r").over(span), F.max("_r").over(span)
-    return ranked.withColumn("bin", F.when(hi == lo, 1).otherwise(F.least(F.lit(k), F.greatest(F.lit(1), F.ceil((F.col("_r") - lo) * k / (hi - lo))))).cast("int")).drop("_r")
+    ranked = average_ranks(df, [by], value, key, least="_lo", most="_hi")
+    span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    place = F.least(F.lit(k), F.greatest(F.lit(1), F.ceil((F.col("_rank") - F.col("_lo")) * k / span)))
+    return ranked.withColumn("bin", F.when(span.isNull(), 1).otherwise(place).cast("int")).select(*df.columns, "bin")
 
 
 def folds(cells: DataFrame, by: str, k: int, seed: int = 1) -> DataFrame:
     """fold 0..min(k, cells)-1: balanced, in a portable pseudo-random order."""
-    order = Window.partitionBy(by).orderBy((F.col("cell_id") * 7919 + seed) % 1000003, "cell_id")
-    n = F.count("*").over(Window.partitionBy(by))
-    return cells.withColumn("fold", ((F.row_number().over(order) - 1) % F.least(n, F.lit(k))).cast("int"))
+    mixed = cells.withColumn("_mixed", (F.col("cell_id") * 7919 + seed) % 1000003)
+    dealt = row_numbers(mixed, [by], ["_mixed", "cell_id"], "_nth", "_all")
+    return dealt.withColumn("fold", ((F.col("_nth") - 1) % F.least(F.col("_all"), F.lit(k))).cast("int")).select(*cells.columns, "fold")
 
 
 def codes(df: DataFrame, by: str, label: str, out: str) -> DataFrame:
-    """Labels renumbered 1, 2, ... within by, in their order."""
-    return df.withColumn(out, F.dense_rank().over(Window.partitionBy(by).orderBy(label)))
-
-
-def centroid_rank(expr: DataFrame, *by: str) -> DataFrame:
-    """(by, cell_id, distance, dist_prop): squared distance to the median centroid, and its rank over the group's size."""
-    mid = expr.groupBy(*by, "gene_id").agg(F.median("value").alias("m"))
-    dist = expr.join(mid, [*by, "gene_id"]).groupBy(*by, "cell_id").agg(F.sum((F.col("value") - F.col("m")) ** 2).alias("distance"))
-    rounded = dist.withColumn("distance", F.round("distance", 9))
-    return rounded.withColumn("dist_prop", average_rank(F.col("distance"), *by) / F.count("*").over(Window.partitionBy(*by)))
+    """Labels renumbered 1, 2, ... within by, in their order; only names go through a window."""
+    names = df.select(by, label).distinct().withColumn(out, F.dense_rank().over(Window.partitionBy(by).orderBy(label)))
+    return df.join(names, [by, label]).select(*df.columns, out)
 
 
 def f_measure(a: Column, b: Column) -> Column:

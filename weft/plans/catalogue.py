@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bulk, cluster, features, filters, hierarchy, linear, matching, merge, replicate, simulate, stability, stats, validate
+from ..operators import bulk, cluster, communities, features, filters, hierarchy, kmeans, linear, matching, medians, merge, neighbours, pca, replicate, simulate, sparse, stability, stats, validate
 from ..sources import views as V
 from ..sources.scratch import materialize, scratch_dir
 from ..streaming import apply as streaming
@@ -187,7 +187,7 @@ rk AS (SELECT *, (rank() OVER (PARTITION BY cell_type ORDER BY distance) + (coun
 
 @query(f"WITH {CENTROID} SELECT cell_type, cell_id, round(distance, 6) + 0.0 AS distance, round(dist_prop, 6) + 0.0 AS dist_prop FROM rk")
 def centroid_dist_rank(spark, d):
-    return stats.centroid_rank(V.dense(spark, d).select("cell_id", "gene_id", "value", "cell_type"), "cell_type").select("cell_type", "cell_id", r("distance").alias("distance"), r("dist_prop").alias("dist_prop"))
+    return medians.centroid_rank(V.blocks(spark, d), "cell_type").select("cell_type", "cell_id", r("distance").alias("distance"), r("dist_prop").alias("dist_prop"))
 
 
 @query(f"""WITH {C}, {L}, t AS (SELECT cell_id, batch, sum(value) AS total FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2),
@@ -222,12 +222,12 @@ def f_measure(spark, d):
 
 @query(f"WITH {CENTROID} SELECT cell_id, CASE WHEN round(dist_prop, 9) <= 0.5 THEN CAST(cell_type AS VARCHAR) ELSE 'cell:' || cell_id END AS replicate FROM rk")
 def supervised_replicates(spark, d):
-    return replicate.supervised(V.dense(spark, d), 0.5)
+    return replicate.supervised(V.blocks(spark, d), 0.5)
 
 
 @query(f"WITH {CENTROID} SELECT cell_id, CASE WHEN round(dist_prop, 9) <= 0.5 THEN CAST(cell_type AS VARCHAR) ELSE 'cell:' || cell_id END AS replicate, 1 AS member FROM rk")
 def replicate_matrix(spark, d):
-    return replicate.indicator(replicate.supervised(V.dense(spark, d), 0.5))
+    return replicate.indicator(replicate.supervised(V.blocks(spark, d), 0.5))
 
 
 @query("SELECT vec_id AS cell_id, CAST(label AS VARCHAR) || '_' || (vec_id % 2) AS replicate FROM embeddings")
@@ -413,13 +413,64 @@ c AS (SELECT sum(a1 * a1) AS p, sum(a1 * a2) AS q, sum(a2 * a2) AS s FROM a WHER
 b AS (SELECT cell_id, sum(z * a1) AS x1, sum(z * a2) AS x2 FROM z JOIN a USING (gene_id) WHERE gene_id < 32 GROUP BY 1)"""
 
 
-@query(f"""{SUPERVISED} SELECT cell_id, gene_id, round((z - x1 / p * a1) * sd + mean, 5) + 0.0 AS one,
-round((z - (s * x1 - q * x2) / (p * s - q * q) * a1 - (p * x2 - q * x1) / (p * s - q * q) * a2) * sd + mean, 5) + 0.0 AS two FROM z JOIN a USING (gene_id) JOIN b USING (cell_id), c""")
-def merge_supervised_named(spark, d):
-    made = merge.merge_cells(V.blocks(spark, d), CONTROLS, [1, 2], names=["one", "two"]).blocks
+NAMED = f"""{SUPERVISED} SELECT cell_id, gene_id, round((z - x1 / p * a1) * sd + mean, 5) + 0.0 AS one,
+round((z - (s * x1 - q * x2) / (p * s - q * q) * a1 - (p * x2 - q * x1) / (p * s - q * q) * a2) * sd + mean, 5) + 0.0 AS two FROM z JOIN a USING (gene_id) JOIN b USING (cell_id), c"""
+
+
+def _named(spark, d, **options):
+    made = merge.merge_cells(V.blocks(spark, d), CONTROLS, [1, 2], names=["one", "two"], **options).blocks
     return made.select("cell_id", F.posexplode(F.arrays_zip("one", "two")).alias("gene_id", "both")).select("cell_id", "gene_id", r("both.one", 5).alias("one"), r("both.two", 5).alias("two"))
 
 
+@query(NAMED)
+def merge_supervised_named(spark, d):
+    return _named(spark, d)
+
+
+@query(NAMED)
+def merge_lanczos_named(spark, d):
+    return _named(spark, d, solver="lanczos")
+
+
+SPARSE = f"""WITH RECURSIVE {S}, {L}, lg AS (SELECT cell_id, gene_id, log2(value + 1) AS v FROM expr), c AS (SELECT cell_id, batch, cell_type FROM cells WHERE cell_id IN (SELECT cell_id FROM lg)), gn AS (SELECT DISTINCT gene_id FROM lg),
+filled AS MATERIALIZED (SELECT c.cell_id, batch, cell_type, gn.gene_id, coalesce(v, 0) AS value FROM c CROSS JOIN gn LEFT JOIN lg ON lg.cell_id = c.cell_id AND lg.gene_id = gn.gene_id),
+per AS (SELECT gene_id, batch, count(*) AS n, sum(value) AS s, sum(value * value) AS ss FROM filled GROUP BY 1, 2), sc AS (SELECT gene_id, sum(s) / sum(n) AS mean, sqrt(sum(ss - s * s / n) / (sum(n) - count(*))) AS sd FROM per GROUP BY 1),
+z AS MATERIALIZED (SELECT cell_id, cell_type, gene_id, (value - mean) / sd AS z, mean, sd FROM filled JOIN sc USING (gene_id)), res AS MATERIALIZED (SELECT cell_id, gene_id, z - avg(z) OVER (PARTITION BY cell_type, gene_id) AS v FROM z),
+g AS MATERIALIZED (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS x FROM res a JOIN res b USING (cell_id) GROUP BY 1, 2), {_top_sql('g', 'v1')},
+w AS (SELECT cell_id, sum(z * a) / (SELECT sum(a * a) FROM v1 WHERE gene_id LIKE 'Brand#1%') AS w FROM z JOIN v1 USING (gene_id) WHERE gene_id LIKE 'Brand#1%' GROUP BY 1)"""
+
+
+def _sparse_counts(spark, d):
+    """(rows, names of the genes by position): logarithms of the sparse counts."""
+    lg = V.counts(spark, d, True).withColumn("value", F.log2(F.col("value") + 1)).join(V.customers(spark, d), "cell_id")
+    names = sorted(r[0] for r in V.table(spark, d, "part").select(F.concat_ws("|", "p_brand", "p_type")).distinct().collect())
+    genes = spark.createDataFrame(list(enumerate(names)), "pos int, gene_id string")
+    held = lg.select("gene_id").distinct().join(genes, "gene_id")  # genes that somebody bought
+    names = [r["gene_id"] for r in held.orderBy("pos").collect()]
+    genes = spark.createDataFrame(list(enumerate(names)), "pos int, gene_id string")
+    return materialize(sparse.sparse_rows(lg, genes, "batch", "cell_type"), "sparse"), names
+
+
+def _sparse_out(spark, blocks, names):
+    genes = spark.createDataFrame(list(enumerate(names)), "pos int, gene_id string")
+    return linear.long(blocks).withColumnRenamed("gene_id", "pos").join(F.broadcast(genes), "pos").select("cell_id", "gene_id", r("value", 5).alias("value"))
+
+
+@query(f"{SPARSE} SELECT cell_id, gene_id, round((z - w * a) * sd + mean, 5) + 0.0 AS value FROM z JOIN v1 USING (gene_id) JOIN w USING (cell_id)")
+def merge_sparse_one(spark, d):
+    rows, names = _sparse_counts(spark, d)
+    made = sparse.merge_sparse(rows, len(names), np.array([n.startswith("Brand#1") for n in names]), 1)
+    return _sparse_out(spark, made.blocks(), names)
+
+
+@query(f"{SPARSE} SELECT cell_id, gene_id, round((z - w * a) * sd + mean, 5) + 0.0 AS value FROM z JOIN v1 USING (gene_id) JOIN w USING (cell_id) WHERE gene_id LIKE 'Brand#2%'")
+def merge_sparse_subset(spark, d):
+    rows, names = _sparse_counts(spark, d)
+    made = sparse.merge_sparse(rows, len(names), np.array([n.startswith("Brand#1") for n in names]), 1, solver="lanczos")
+    some = np.array([n.startswith("Brand#2") for n in names])
+    return _sparse_out(spark, made.blocks(some), [n for n in names if n.startswith("Brand#2")])
+
+
 ONLY = f"""WITH RECURSIVE {D}, y AS MATERIALIZED (SELECT cell_id, gene_id, value, value - avg(value) OVER (PARTITION BY gene_id) AS v FROM expr),
 g AS MATERIALIZED (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS x FROM y a JOIN y b USING (cell_id) WHERE a.gene_id < 32 AND b.gene_id < 32 GROUP BY 1, 2), {_top_sql('g', 'v')},
 w AS (SELECT cell_id, sum(y.v * a) AS w FROM y JOIN v USING (gene_id) GROUP BY 1),
@@ -562,6 +613,52 @@ def seg_index_em(spark, d):
     return stability.stable_genes(lg, cells, by_type=True, return_all=True)
 
 
+def _direction_sql(b: int) -> str:
+    return f"""g{b} AS MATERIALIZED (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS x FROM sz a JOIN sz b USING (cell_id) WHERE a.batch = {b} GROUP BY 1, 2), {_top_sql(f'g{b}', f'v{b}', 18)}"""
+
+
+@query(f"""WITH RECURSIVE {D}, sz AS MATERIALIZED (SELECT cell_id, batch, gene_id, (value - avg(value) OVER (PARTITION BY batch, gene_id)) / stddev_samp(value) OVER (PARTITION BY batch, gene_id) AS v FROM expr),
+{_direction_sql(0)}, {_direction_sql(1)}, {_direction_sql(2)}, way AS (SELECT 0 AS batch, * FROM v0 UNION ALL SELECT 1, * FROM v1 UNION ALL SELECT 2, * FROM v2)
+SELECT cell_id, round(abs(sum(v * a)), 4) + 0.0 AS score FROM sz JOIN way USING (batch, gene_id) GROUP BY 1""")
+def batch_direction_scores(spark, d):
+    got = pca.batch_scores(V.blocks(spark, d), 1)
+    return got.select("cell_id", r(F.abs(F.col("values")[0]), 4).alias("score"))
+
+
+def _round_sql(i: int) -> str:
+    """Centres after round i from those before it: the cells of each centre, averaged."""
+    near = f"n{i} AS MATERIALIZED (SELECT cell_id, arg_min(k, d) AS k FROM (SELECT e.cell_id, k, sum((value - v) * (value - v)) AS d FROM expr e JOIN c{i} c ON c.batch = e.batch AND c.gene_id = e.gene_id GROUP BY 1, 2) GROUP BY 1)"
+    return f"{near}, c{i + 1} AS MATERIALIZED (SELECT batch, k, gene_id, avg(value) AS v FROM expr JOIN n{i} USING (cell_id) GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH {D}, f AS (SELECT DISTINCT batch, cell_id FROM expr), c0 AS (SELECT f.batch, k, gene_id, value AS v FROM (SELECT batch, cell_id, row_number() OVER (PARTITION BY batch ORDER BY cell_id) - 1 AS k FROM f) f JOIN expr USING (cell_id) WHERE k < 4),
+{', '.join(map(_round_sql, range(6)))} SELECT cell_id, CAST(k AS INTEGER) AS centre FROM n5""")
+def kmeans_given_start(spark, d):
+    b = V.blocks(spark, d)
+    first = b.withColumn("k", F.row_number().over(Window.partitionBy("batch").orderBy("cell_id"))).where("k <= 4").orderBy("batch", "k").select("batch", "values").collect()
+    start = {i: np.array([[r["values"] for r in first if r["batch"] == i]]) for i in {r["batch"] for r in first}}
+    centres, _ = kmeans.lloyd_rounds(b, start, 5)
+    return kmeans.assign(b, {i: c[0] for i, c in centres.items()}).select("cell_id", "centre")
+
+
+NEAR = f"""{D}, pd AS (SELECT a.cell_id AS i, b.cell_id AS j, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS dist FROM expr a JOIN expr b ON a.gene_id = b.gene_id AND a.batch = b.batch AND a.cell_id <> b.cell_id GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT i, j, r FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(dist, 12), j) AS r FROM pd) WHERE r <= 10)"""
+
+
+def _near(spark, d):
+    return neighbours.nearest_cells(V.blocks(spark, d).select("cell_id", "batch", "values"), 10)
+
+
+@query(f"WITH {NEAR} SELECT i AS cell_id, CAST(r AS INTEGER) AS rank, j AS other FROM near")
+def nearest_in_batch(spark, d):
+    return _near(spark, d).select("cell_id", F.posexplode("near").alias("rank", "other")).withColumn("rank", F.col("rank") + 1)
+
+
+@query(f"WITH {NEAR}, held AS (SELECT i, r, j AS c FROM near UNION ALL SELECT DISTINCT i, 0, i FROM near) SELECT a.i, b.i AS j, round(greatest(max(10 - (a.r + b.r) / 2), 1e-6), 6) + 0.0 AS w FROM held a JOIN held b USING (c) WHERE a.i < b.i GROUP BY 1, 2")
+def shared_neighbour_graph(spark, d):
+    return communities.shared_edges(_near(spark, d), 10).select("i", "j", r("w").alias("w"))
+
+
 @query()
 def kmeans_by_batch(spark, d):
     return cluster.cluster_batches(V.blocks(spark, d), {0: 4, 1: 4, 2: 4})
