@@ -20,8 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 SPACE = [chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 LOWER = {"\ua7cb": "\u0264", "\ua7dc": "\u019b"} | {chr(c): chr(c + 32) for c in range(0x10D50, 0x10D66)}
 END = "</w>"
+#: What a byte holds where there is no count, and marks that often end a piece.
+NONE, MARKS = 255, ",.;:!?"
+Held = bytes | np.ndarray
 #: Pieces and words that a worker remembers, the longest one that it does, and pairs of tokens.
-MEMO, MEMO_CHARS, PAIRS = 500_000, 64, 2_000_000
+MEMO, MEMO_CHARS, PAIRS = 900_000, 64, 2_000_000
 #: Bytes of text whose new pieces are learnt together.
 LOT = 8 << 20
 
@@ -79,8 +81,8 @@ class Prefixes:
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
         self.words = regex.compile(PATTERN).findall
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.word_memo: dict[str, list[int]] = {}
-        self.piece_memo: dict[str, tuple[bytes, int, int]] = {"": (bytes(4), 0, 1)}
+        self.word_memo: dict[str, Sequence[int]] = {}
+        self.piece_memo: dict[str, Held] = {"": bytes(1)}
 
     def apart(self, a: str, b: str, until: int) -> bool:
         """Whether no merge across the edge of a and b comes before they are whole, or after that and before rank until.
@@ -110,7 +112,7 @@ class Prefixes:
         self.pairs[before, token] = known
         return known
 
-    def learn_words(self, words: set[str]) -> dict[str, list[int]]:
+    def learn_words(self, words: set[str]) -> dict[str, Sequence[int]]:
         """Tokens of word[:1], word[:2], ..., each as a word that ends there, for every word.
 
         Words go in order of their letters, so that each goes on from the prefix that it shares with the one before.
@@ -150,27 +152,20 @@ class Prefixes:
                 count.append(found)
                 closed.append(ended)
             raw = word.encode() if n != len(word) else b""
-            out[word] = [closed[p] for p in range(1, n + 1) if p == n or raw[p] & 0xC0 != 0x80] if raw else closed[1:]
+            made = [closed[p] for p in range(1, n + 1) if p == n or raw[p] & 0xC0 != 0x80] if raw else closed[1:]
+            out[word] = bytes(made) if n <= 255 else made
             old = text
         return out
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> Sequence[int]:
         made = self.word_memo.get(word)
         return made if made is not None else self.learn_words({word})[word]
 
-    def words_in(self, text: str) -> list[str]:
-        """The words of normalised text without white space, the parts of 're among them if it has one."""
-        if text.isalpha():
-            return [text]
-        if text[:-1].isalpha() and text[-1] in ",.;:!?":
-            return [text[:-1], text[-1]]
-        return self.words(text)
-
     def counts_of(self, words: list[str]) -> list[int]:
         """Tokens of each prefix of the words written one after the other."""
         out, base = [], 0
         for word in words:
-            counts = self.word(word)
+            counts = list(self.word(word))
             if len(word) > 1 and word[0] == "'" and word[1].isalpha():  # within 're the quote and the r are words
                 quote = self.word("'")[0]
                 counts = [quote, *(quote + c for c in self.word(word[1:])[:-1]), counts[-1]]
@@ -178,41 +173,55 @@ class Prefixes:
             base = out[-1]
         return out
 
-    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, int, int]]:
-        """For each piece: tokens of piece[:1], piece[:2], ..., and with a space after it, as 32-bit integers (-1 within
-        a composed character); of all of it; and how many entries these are."""
-        ready = []
+    def learn(self, pieces: list[str]) -> dict[str, Held]:
+        """For each piece: tokens of piece[:1], piece[:2], ..., and with a space after it; a byte each (NONE within a
+        composed character), or 32-bit integers (-1) where bytes don't hold them."""
+        plain, marked, others = [], [], []
         for piece in pieces:
-            if piece.isascii():
-                ready.append((piece, None, self.words_in(piece.lower())))
-            else:
-                clusters = [*piece] if unicodedata.is_normalized("NFC", piece) else composed(piece)
-                lower = ["".join([LOWER.get(c) or c.lower() for c in unicodedata.normalize("NFC", x)]) for x in clusters]
-                same = len(clusters) == len(piece) == sum(map(len, lower))
-                ready.append((piece, None if same else (clusters, lower), self.words_in("".join(lower))))
+            if piece.isascii() or (unicodedata.is_normalized("NFC", piece) and max(piece) < "\ua7ca" and "Σ" not in piece):
+                low = piece.lower()
+                if len(low) == len(piece):
+                    if low.isalpha():
+                        plain.append((piece, low))
+                    elif low[-1] in MARKS and low[:-1].isalpha():
+                        marked.append((piece, low[:-1], low[-1]))
+                    else:
+                        others.append((piece, None, self.words(low)))
+                    continue
+            clusters = [*piece] if unicodedata.is_normalized("NFC", piece) else composed(piece)
+            lower = ["".join([LOWER.get(c) or c.lower() for c in unicodedata.normalize("NFC", x)]) for x in clusters]
+            others.append((piece, (clusters, lower), self.words("".join(lower))))
         if len(self.word_memo) > MEMO:
             self.word_memo.clear()
-        known = self.word_memo
-        made = self.learn_words({w for r in ready for w in r[2] if w not in known})
-        self.word_memo.update(made)
-        out = {}
-        for piece, parts, words in ready:
+        memo = self.word_memo
+        asked = {x[1] for x in plain} | {w for x in marked for w in x[1:]} | {w for x in others for w in x[2]}
+        made = self.learn_words({w for w in asked if w not in memo})
+        memo.update(made)
+        out: dict[str, Held] = {}
+        for piece, word in plain:
+            counts = memo[word]
+            out[piece] = counts + counts[-1:] if type(counts) is bytes and counts[-1] < NONE else np.array([*counts, counts[-1]], np.int32)
+        for piece, word, mark in marked:
+            counts = memo[word]
+            total = counts[-1] + memo[mark][-1]
+            out[piece] = counts + bytes((total, total)) if type(counts) is bytes and total < NONE else np.array([*counts, total, total], np.int32)
+        for piece, parts, words in others:
             counts = self.counts_of(words)
-            total = counts[-1]
-            if parts is None:
-                out[piece] = array("i", [*counts, total]).tobytes(), total, len(piece) + 1
-            else:
+            counts.append(counts[-1])
+            if parts is not None:
                 clusters, lower = parts
-                held = np.full(len(piece) + 1, -1, "<i4")
-                held[np.cumsum([len(x) for x in clusters]) - 1] = np.array(counts, "<i4")[np.cumsum([len(x) for x in lower]) - 1]
-                held[-1] = total
-                out[piece] = held.tobytes(), total, len(piece) + 1
+                held = np.full(len(piece) + 1, -1, np.int32)
+                held[np.cumsum([len(x) for x in clusters]) - 1] = np.array(counts, np.int32)[np.cumsum([len(x) for x in lower]) - 1]
+                held[-1] = counts[-1]
+                counts = held.tolist()
+            out[piece] = bytes([c if c >= 0 else NONE for c in counts]) if counts[-1] < NONE and max(counts) < NONE else np.array(counts, np.int32)
         for word in [w for w in made if len(w) > MEMO_CHARS]:
-            del self.word_memo[word]
+            del memo[word]
         return out
 
-    def piece(self, piece: str) -> tuple[bytes, int, int]:
-        return self.piece_memo.get(piece) or self.learn([piece])[piece]
+    def piece(self, piece: str) -> Held:
+        got = self.piece_memo.get(piece)
+        return self.learn([piece])[piece] if got is None else got
 
     def prepare(self, texts: list[str]) -> None:
         """Learns the new pieces of some texts together (long ones are left to their text)."""
@@ -220,16 +229,25 @@ class Prefixes:
         new = {p for t in texts for p in blanks(t).split(" ") if p not in memo}
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            memo[""] = (bytes(4), 0, 1)
+            memo[""] = bytes(1)
             new = {p for t in texts for p in blanks(t).split(" ") if p}
         memo.update(self.learn([p for p in new if len(p) <= MEMO_CHARS]))
 
     def plain(self, text: str) -> np.ndarray:
         """Tokens of each prefix of one character or more, added tokens being plain text."""
-        memo = self.piece_memo.get
-        inner, total, size = zip(*[memo(p) or self.piece(p) for p in blanks(text).split(" ")], strict=True)
-        inner, total = np.frombuffer(b"".join(inner), "<i4")[:-1], np.array(total, np.int32)
+        memo = self.piece_memo
+        pieces = blanks(text).split(" ")
+        got = [memo[p] if p in memo else self.piece(p) for p in pieces]
+        if all([type(g) is bytes for g in got]):
+            inner = np.frombuffer(b"".join(got), np.uint8).astype(np.int32)
+            inner[inner == NONE] = -1
+        else:
+            wide = [np.frombuffer(g, np.uint8).astype(np.int32) if type(g) is bytes else g for g in got]
+            inner = np.concatenate([np.where(w == NONE, -1, w) if type(g) is bytes else w for g, w in zip(got, wide, strict=True)])
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        total = inner[np.cumsum(size) - 1]
         base = np.repeat(np.cumsum(total, dtype=np.int32) - total, size)[:-1]
+        inner = inner[:-1]
         return np.where(inner < 0, -1, inner + base) if len(inner) and inner.min() < 0 else inner + base
 
     def counts(self, text: str) -> np.ndarray:
