@@ -30,14 +30,16 @@ def pages():
 
 
 @pytest.mark.parametrize("empty", [False, True])
-@pytest.mark.parametrize("name", ["op3_warc", "op5_ngram_jaccard", "op9_source_mixing", "op10_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op3_warc", "op5_ngram_jaccard", "op9_source_mixing", "op10_suffix_dedup", "op12_ranked_search"])
 def test_rows_equal_sql(spark, tmp_path, name, empty):
     from weft.llm import queries
 
     spark.createDataFrame([] if empty else documents(), DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([] if empty else pages(), "page_id long, url string, html string").repartition(2).write.parquet(f"{tmp_path}/pages.parquet")
+    items = [(1, "the quick ZETA era12"), (2, None), (3, "ß ο λόγος"), (1, "changed one"), (None, ".,")]
+    spark.createDataFrame([] if empty else items, "item_id long, text string").repartition(2).write.parquet(f"{tmp_path}/benchmark.parquet")
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in found.description]
