@@ -72,6 +72,9 @@ def test_one_level_is_a_plain_merge(spark, cells, tmp_path):
     assert np.allclose(values(out), values(bulk.merge_bulk(df, CTL, 2).blocks), atol=1e-8)
     with pytest.raises(ValueError):
         validate.check_levels(plan.where("batch = 'b0'"))
+    zero = df.withColumn("values", F.when(F.col("cell_id") == 4, F.array_repeat(F.lit(0.0), 12)).otherwise(F.col("values")))
+    with pytest.raises(ValueError, match="zero"):
+        hierarchy.merge_levels(zero, plan, CTL, [2], f"file://{tmp_path}")
 
 
 def test_three_batches_of_one_cluster(spark):
@@ -104,6 +107,9 @@ def test_replicate_routes(spark, cells):
     for options in ({"cell_type": "cell_type"}, {"cell_type": "cell_type", "match": True}, {"k": k}, {"k": k, "cell_type": "cell_type", "known": df.where("cell_id < 5").select("cell_id")}, {"k": k, "wanted": df.select("cell_id", (F.col("cell_id") % 2).alias("wv")), "markers": [0, 1]}):
         got = replicate.find_replicates(df, **options)
         assert got.count() == got.select("cell_id").distinct().count() == 60
+    whole = replicate.replicates_of(df, cell_type="cell_type", match=True)
+    assert {(r["batch"], r["cluster"]) for r in whole.groups.collect()} == {(f"b{i}", f"t{j}") for i in range(2) for j in range(3)}
+    assert whole.clusters.count() == whole.matrix().count() == 60 and whole.genes is None
     half = replicate.find_replicates(df, cell_type="cell_type", prop=0.5)
     assert half.where("replicate like 'cell:%'").count() == 30
     with pytest.raises(ValueError):
@@ -129,6 +135,10 @@ def test_mixture_and_digamma():
     got = stability.mixture(np.r_[rng.normal(8, 0.5, 600), rng.gamma(2, 0.5, 400)])
     assert abs(got["mu"] - 8) < 0.1 and abs(got["rho"] - 0.6) < 0.05
     assert stability.mixture(np.array([1.0, 0.0, 2.0])) is None
+    some = np.log2(rng.poisson(6, 501) + 1.0)
+    value, n = np.unique(some, return_counts=True)
+    runs, single = stability.mixture(value, n), stability.mixture(some)
+    assert all(abs(runs[k] - single[k]) < 1e-9 * max(1, abs(single[k])) for k in single)
 
 
 def test_validation(spark):
@@ -235,6 +245,25 @@ def test_genes_for_matching(spark, cells):
     assert a.blocks.count() == 60 and bulk.merge_bulk(df, CTL, 2, chosen=[0, 1, 2, 3, 4]).chosen == [0, 1, 2, 3, 4]
 
 
+def test_silhouettes_of_many_in_one_pass(cells):
+    x, df = cells
+    wide = df.withColumn("half", F.slice("values", 1, 5))
+    got = linear.silhouettes(wide, ["cell_type", "batch"], ["values", "half"], block=16)
+    few = linear.sampled_silhouettes(wide, ["cell_type", "batch"], ["values", "half"], sample=60)
+    part = linear.sampled_silhouettes(wide, ["cell_type"], ["values"], sample=30)["values", "cell_type"]
+    for array, y in (("values", x), ("half", x[:, :5])):
+        d = np.sqrt(((y[:, None] - y) ** 2).sum(2))
+        for label, names in (("cell_type", np.arange(60) // 20), ("batch", np.arange(60) % 2)):
+            own = names[:, None] == names
+            a = (d * own).sum(1) / (own.sum(1) - 1)
+            b = np.min([np.where(names == c, np.inf, d[:, names == c].mean(1)) for c in set(names)], 0)
+            want = ((b - a) / np.maximum(a, b)).mean()
+            assert abs(got[array, label] - want) < 1e-9
+            assert abs(few[array, label][0] - want) < 1e-9 and few[array, label][1] == 0
+    assert 0 < part[1] and abs(part[0] - got["values", "cell_type"]) < 6 * part[1]
+    assert linear.silhouette(df.where("cell_id = 1"), "batch") == 0
+
+
 def test_chi_square_tail():
     assert abs(features.chi2_tail(15.507313, 8) - 0.05) < 1e-7 and abs(features.chi2_tail(3.0, 8) - 0.9343575) < 1e-6
     assert abs(features.chi2_tail(124.3421134, 100) - 0.05) < 1e-7 and features.chi2_tail(0, 3) == 1.0

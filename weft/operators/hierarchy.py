@@ -30,6 +30,9 @@ def uncovered(raw: DataFrame, level: DataFrame) -> DataFrame:
 def merge_levels(blocks: DataFrame, hierarchy: DataFrame, controls: np.ndarray, ks: list[int], folder: str | None = None, **options) -> list[DataFrame]:
     """The output of each level. hierarchy(level, dataset, cell_id, batch); ks is recycled. Levels are cut by written tables."""
     check_levels(hierarchy)
+    empty = blocks.where(~F.exists("values", lambda x: x != 0)).count()
+    if empty:
+        raise ValueError(f"{empty} cells are zero throughout; remove them before merging in levels")
     spark = blocks.sparkSession
     home = folder or scratch_dir(spark)
     plan = sorted(tuple(r) for r in hierarchy.select("level", "dataset").distinct().collect())

@@ -411,10 +411,11 @@ class Merged:
     genes: np.ndarray | None = None
 
 
-def adjust_scaled(blocks: DataFrame, replicate: str, batch: str, controls: np.ndarray, ks: list[int], svd_k: int = 50, cell_type: str | None = "cell_type", names: list[str] | None = None, solver: str = "exact", eta: np.ndarray | None = None) -> Merged:
+def adjust_scaled(blocks: DataFrame, replicate: str, batch: str, controls: np.ndarray, ks: list[int], svd_k: int = 50, cell_type: str | None = "cell_type", names: list[str] | None = None, solver: str = "exact", eta: np.ndarray | None = None, score_cells: int | None = None) -> Merged:
     """Standardise, fit once, adjust for each k, choose the best k by its score, and undo the scaling.
 
     Without a cell_type the replicates stand in for it in the score. names: a column for the result of each k.
+    score_cells: how many cells' silhouettes the score takes (all of them without it).
     """
     if names is not None and len(names) != len(ks):
         raise ValueError("as many result names as values of k are needed")
@@ -429,7 +430,9 @@ def adjust_scaled(blocks: DataFrame, replicate: str, batch: str, controls: np.nd
     scores: dict[int, float] = {}
     if len(ks) > 1:
         kind = cell_type if cell_type and cell_type in blocks.columns else replicate
-        scores = {k: batch_score(transform(blocks, {"values": lambda y, k=k: step[k](first(y))}), kind, batch) for k in ks}
+        tried = transform(blocks, {f"_k{k}": lambda y, k=k: step[k](first(y)) for k in ks})
+        found = scores_of(tried, kind, batch, [f"_k{k}" for k in ks], sample=score_cells)
+        scores = {k: found[f"_k{k}"] for k in ks}
     best = max(ks, key=lambda k: (scores.get(k, 0.0), -ks.index(k)))
     back = lambda k: lambda y: step[k](first(y)) * sd + mean
     made = {"values": back(best)} | {name: back(k) for name, k in zip(names or [], ks, strict=False)}
@@ -450,44 +453,129 @@ def project(blocks: DataFrame, mean: np.ndarray, load: np.ndarray) -> DataFrame:
     return transform(blocks, {"values": lambda y: (y - mean) @ load})
 
 
-def silhouette(blocks: DataFrame, label: str, block: int = 1024) -> float:
-    """Mean Euclidean silhouette, exact: blocks of cells meet all blocks; sums by cell and label are what leaves a task."""
+def silhouettes(blocks: DataFrame, labels: list[str], arrays: list[str] | None = None, block: int = 1024) -> dict[tuple[str, str], float]:
+    """{(array, label): mean Euclidean silhouette}, exact, of several value columns and labels in one pass over pairs.
+
+    Blocks of cells meet all blocks once, whatever is asked; sums by cell and label are what leaves a task. A cell that
+    is alone with its label, or whose label is the only one, counts as 0.
+    """
+    arrays = arrays or ["values"]
     n = max(1, -(-blocks.count() // block))
     place = F.pmod(F.xxhash64("cell_id"), F.lit(n)).cast("int")
-    base = blocks.select("cell_id", F.col(label).cast("string").alias("label"), "values", place.alias("own"))
-    left = base.withColumn("a", F.col("own")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(0))
-    right = base.withColumn("b", F.col("own")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(1))
+    base = blocks.select("cell_id", *(F.col(c).cast("string").alias(f"_l{i}") for i, c in enumerate(labels)), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(arrays)), place.alias("own"))
+    base = materialize(base, "points")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = base.withColumn("a", F.col("own")).withColumn("b", every).withColumn("side", F.lit(0))
+    right = base.withColumn("b", F.col("own")).withColumn("a", every).withColumn("side", F.lit(1))
 
     def sums(table: pa.Table) -> pa.Table:
-        side, ids, names = (table[c].to_numpy() for c in ("side", "cell_id", "label"))
-        x = matrix(table["values"])
-        p, q = x[side == 0], x[side == 1]
-        cell, own, other = [], [], []
-        total = []
-        if len(p) and len(q):
-            d = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (q**2).sum(1) - 2 * p @ q.T, 0))
-            for lab in sorted(set(names[side == 1])):
-                cell += ids[side == 0].tolist()
-                own += names[side == 0].tolist()
-                other += [lab] * len(p)
-                total += d[:, names[side == 1] == lab].sum(1).tolist()
-        return pa.table({"cell_id": pa.array(cell, pa.int64()), "own": pa.array(own, pa.string()), "other": pa.array(other, pa.string()), "s": pa.array(total, pa.float64())})
-
-    parts = left.unionByName(right).drop("own").groupBy("a", "b").applyInArrow(sums, "cell_id long, own string, other string, s double")
-    sizes = base.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
-    dist = parts.groupBy("cell_id", "own", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
+        side, ids = table["side"].to_numpy(), table["cell_id"].to_numpy()
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out: list[list] = [[], [], [], [], []]
+        for v in range(len(arrays)) if len(p) and len(q) else []:
+            x = matrix(table[f"_v{v}"])
+            d = np.sqrt(np.maximum((x[p] ** 2).sum(1)[:, None] + (x[q] ** 2).sum(1) - 2 * x[p] @ x[q].T, 0))
+            for i in range(len(labels)):
+                names = table[f"_l{i}"].to_numpy()
+                for lab in sorted(set(names[q])):
+                    for held, some in zip(out, ([v * len(labels) + i] * len(p), ids[p].tolist(), names[p].tolist(), [lab] * len(p), d[:, names[q] == lab].sum(1).tolist()), strict=True):
+                        held += some
+        kinds = pa.int32(), table.schema.field("cell_id").type, pa.string(), pa.string(), pa.float64()
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["which", "cell_id", "own", "other", "s"])
+
+    kind = dict(blocks.dtypes)["cell_id"]
+    parts = left.unionByName(right).drop("own").groupBy("a", "b").applyInArrow(sums, f"which int, cell_id {kind}, own string, other string, s double")
+    sizes = None
+    for w in range(len(arrays) * len(labels)):
+        one = base.groupBy(F.col(f"_l{w % len(labels)}").alias("other")).agg(F.count("*").alias("n")).withColumn("which", F.lit(w))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    dist = parts.groupBy("which", "cell_id", "own", "other").agg(F.sum("s").alias("s")).join(sizes, ["which", "other"])
     mine = F.col("own") == F.col("other")
-    per = dist.groupBy("cell_id").agg(F.max(F.when(mine, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.max(F.when(mine, F.col("n"))).alias("n"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
-    value = F.when((F.col("n") == 1) | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.agg(F.avg(value)).first()[0]
+    per = dist.groupBy("which", "cell_id").agg(F.max(F.when(mine, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.max(F.when(mine, F.col("n"))).alias("n"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
+    top = F.greatest("a", "b")
+    value = F.when((F.col("n") == 1) | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.when(top != 0, top))
+    return {(arrays[r["which"] // len(labels)], labels[r["which"] % len(labels)]): r["v"] for r in per.groupBy("which").agg(F.avg(value).alias("v")).collect()}
+
+
+def silhouette(blocks: DataFrame, label: str, block: int = 1024) -> float:
+    """Mean Euclidean silhouette, exact."""
+    return silhouettes(blocks, [label], block=block)["values", label]
+
+
+def sampled_silhouettes(blocks: DataFrame, labels: list[str], arrays: list[str] | None = None, sample: int = 2000, seed: int = 1) -> dict[tuple[str, str], tuple[float, float]]:
+    """{(array, label): (estimate, standard error)} of the mean silhouette: about `sample` cells, by a hash of their id, are
+    compared with all cells, so each one's own value is exact. One pass without an exchange of cells; work grows with the cells, not their square.
+    """
+    arrays = arrays or ["values"]
+    n = blocks.count()
+    base = blocks.select("cell_id", *(F.col(c).cast("string").alias(f"_l{i}") for i, c in enumerate(labels)), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(arrays)))
+    order = F.xxhash64("cell_id", F.lit(seed))
+    few = base.orderBy(order, "cell_id").limit(min(n, sample)).toArrow() if n else None
+    if few is None:
+        return {}
+    names = [few[f"_l{i}"].to_pylist() for i in range(len(labels))]
+    xs = [matrix(few[f"_v{v}"]) for v in range(len(arrays))]
+    sent = blocks.sparkSession.sparkContext.broadcast(xs)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            for v, x in enumerate(sent.value):
+                y = matrix(rb.column(f"_v{v}"))
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
+                for i in range(len(labels)):
+                    lab = np.array(rb.column(f"_l{i}").to_pylist(), object)
+                    for one in dict.fromkeys(lab.tolist()):
+                        key, at = (v * len(labels) + i, one), lab == one
+                        count, total = held.get(key, (0, 0.0))
+                        held[key] = count + int(at.sum()), total + d[:, at].sum(1)
+        for (w, one), (count, total) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([one], pa.string()), pa.array([count], pa.int64()), lists(total.reshape(1, -1))], ["which", "other", "n", "values"])
+
+    got = added(base.drop("cell_id").mapInArrow(part, "which int, other string, n long, values array<double>"), "which", "other").collect()
+    out = {}
+    for v, array in enumerate(arrays):
+        for i, label in enumerate(labels):
+            rows = {r["other"]: (r["n"], np.array(r["values"])) for r in got if r["which"] == v * len(labels) + i}
+            score = np.zeros(len(xs[v]))
+            for j, own in enumerate(names[i]):
+                m, total = rows[own]
+                others = [t[j] / k for o, (k, t) in rows.items() if o != own]
+                if m > 1 and others:
+                    a, b = total[j] / (m - 1), min(others)
+                    score[j] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
+            spread = score.std(ddof=1) if len(score) > 1 else 0.0
+            out[array, label] = float(score.mean()), float(spread * np.sqrt(max(1 - len(score) / n, 0) / len(score)))
+    return out
 
 
 def batch_score(blocks: DataFrame, cell_type: str, batch: str, dims: int = 10) -> float:
     """F measure of how well types stay apart and batches don't, on the leading directions."""
-    m, load = principal(blocks, dims)
-    pcs = project(blocks, m, load)
-    t, b = (silhouette(pcs, cell_type) + 1) / 2, 1 - (silhouette(pcs, batch) + 1) / 2
-    return 2 * t * b / (t + b) if t + b else 0.0
+    return scores_of(blocks, cell_type, batch, ["values"], dims)["values"]
+
+
+def scores_of(blocks: DataFrame, cell_type: str, batch: str, arrays: list[str], dims: int = 10, sample: int | None = None) -> dict[str, float]:
+    """batch_score of several value columns: directions of each, then one pass over pairs for all of them and both labels.
+
+    sample: cells whose silhouettes are taken (all of them without it).
+    """
+    loads = {c: principal(blocks.select(F.col(c).alias("values")), dims) for c in arrays}
+    keep = [c for c in dict.fromkeys(["cell_id", cell_type, batch])]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if rb.num_rows:
+                yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), *(lists((matrix(rb.column(c)) - loads[c][0]) @ loads[c][1]) for c in arrays)], [*keep, *arrays])
+
+    pcs = blocks.select(*keep, *arrays).mapInArrow(rows, ", ".join([fields(blocks, *keep), *(f"`{c}` array<double>" for c in arrays)]))
+    found = silhouettes(pcs, [cell_type, batch], arrays) if sample is None else {k: v[0] for k, v in sampled_silhouettes(pcs, [cell_type, batch], arrays, sample).items()}
+    out = {}
+    for c in arrays:
+        t, b = (found[c, cell_type] + 1) / 2, 1 - (found[c, batch] + 1) / 2
+        out[c] = 2 * t * b / (t + b) if t + b else 0.0
+    return out
 
 
 def residual_on(blocks: DataFrame, design: list[str], intercept: bool = True) -> DataFrame:

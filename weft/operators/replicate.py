@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +64,27 @@ def high_marker(expr: DataFrame, labels: DataFrame, markers: list) -> list[str]:
     return [n for n, c in zip(names, label, strict=True) if c == max((1, 2), key=votes.count)]
 
 
-def find_replicates(blocks: DataFrame, k: dict | None = None, prop: float = 1.0, cell_type: str | None = None, match: bool = False, known: DataFrame | None = None, wanted: DataFrame | None = None, markers: list | None = None, metric: str = "cor", genes: list[int] | None = None) -> DataFrame:
-    """(cell_id, replicate). blocks(cell_id, batch, values, cell_type).
+@dataclass
+class Replicates:
+    """All that finding replicates made: labels(cell_id, replicate), the groups of clusters (grp, batch, cluster; None where
+    nothing was matched), each cell's cluster (cell_id, batch, cluster, dist_prop), and the positions of the genes looked at."""
+
+    labels: DataFrame
+    groups: DataFrame | None
+    clusters: DataFrame | None
+    genes: list[int] | None
+
+    def matrix(self) -> DataFrame:
+        return indicator(self.labels)
+
+
+def find_replicates(blocks: DataFrame, **options) -> DataFrame:
+    """(cell_id, replicate) of replicates_of()."""
+    return replicates_of(blocks, **options).labels
+
+
+def replicates_of(blocks: DataFrame, k: dict | None = None, prop: float = 1.0, cell_type: str | None = None, match: bool = False, known: DataFrame | None = None, wanted: DataFrame | None = None, markers: list | None = None, metric: str = "cor", genes: list[int] | None = None) -> Replicates:
+    """Replicates of blocks(cell_id, batch, values, cell_type).
 
     cell_type alone: supervised. cell_type with match: clusters are types by batch, matched across batches. With known
     (cell_id): k-means and matching, then the known cells take their type. Otherwise k-means and matching. The last two
@@ -74,25 +95,27 @@ def find_replicates(blocks: DataFrame, k: dict | None = None, prop: float = 1.0,
         raise ValueError("matching of cell types takes no list of known cells")
     if cell_type and not match and known is None:
         if prop >= 1:
-            return blocks.select("cell_id", F.col(cell_type).cast("string").alias("replicate"))
-        return supervised(blocks, prop, cell_type)
+            return Replicates(blocks.select("cell_id", F.col(cell_type).cast("string").alias("replicate")), None, None, genes)
+        return Replicates(supervised(blocks, prop, cell_type), None, None, genes)
     whole = blocks
     if genes is not None:
         at = np.asarray(genes, np.int64)
         blocks = transform(blocks, {"values": lambda y: y[:, at]})
     if cell_type and match:
         found = clusters(blocks, None, cell_type, prop)
-        return match_labels(found.drop("values"), match_clusters(found, metric), prop).select("cell_id", "replicate")
+        groups = match_clusters(found, metric)
+        return Replicates(match_labels(found.drop("values"), groups, prop).select("cell_id", "replicate"), groups, found.drop("values"), genes)
     if k is None:
         raise ValueError("a number of clusters for each batch is needed")
     found = clusters(blocks, k, prop=prop)
-    labels = match_labels(found.drop("values"), match_clusters(found, metric), prop).select("cell_id", "replicate")
+    groups = match_clusters(found, metric)
+    labels = match_labels(found.drop("values"), groups, prop).select("cell_id", "replicate")
     if known is not None:
         typed = known.select("cell_id").distinct().join(blocks.select("cell_id", F.col(cell_type).cast("string").alias("t")), "cell_id")
         labels = labels.join(typed, "cell_id", "left").select("cell_id", F.coalesce("t", "replicate").alias("replicate"))
     if wanted is not None:
         labels = split_wanted(labels, wanted, high_marker(long(whole), labels, markers) if markers else None)
-    return labels
+    return Replicates(labels, groups, found.drop("values"), genes)
 
 
 def indicator(labels: DataFrame) -> DataFrame:

@@ -43,25 +43,31 @@ def inverse_digamma(y: float) -> float:
     return x
 
 
-def mixture(values: np.ndarray) -> dict | None:
+def mixture(values: np.ndarray, counts: np.ndarray | None = None) -> dict | None:
     """EM of rho * normal(mu, sigma) + (1 - rho) * gamma(shape, rate) over positive values; None for too few.
 
-    Starts from the upper half as the normal part, so that a fit is the same on every run.
+    counts: how often each value is there (once). Starts from the upper half as the normal part (a value across the
+    middle by its share), so that a fit is the same on every run, and the same from runs of values as from single ones.
     """
-    x = np.sort(values[values > 0])
-    if len(x) < LEAST_POINTS:
+    counts = np.ones(len(values)) if counts is None else np.asarray(counts, float)
+    order = np.argsort(values, kind="stable")
+    order = order[values[order] > 0]
+    x, c = values[order], counts[order]
+    n = c.sum()
+    if n < LEAST_POINTS:
         return None
     logs = np.log(x)
-    part = (np.arange(len(x)) >= len(x) / 2).astype(float)
+    part = np.clip(np.cumsum(c) - np.ceil(n / 2), 0, c) / c
     shape, old = 1.0, None
     for _ in range(ROUNDS):
-        weight, rest = max(part.sum(), 1e-12), max((1 - part).sum(), 1e-12)
-        mu = float(part @ x / weight)
-        var = max(float(part @ (x - mu) ** 2 / weight), 1e-11)
-        rate = shape * rest / max(float((1 - part) @ x), 1e-12)
-        mean_log = float((1 - part) @ logs) / rest
+        own, others = c * part, c * (1 - part)
+        weight, rest = max(own.sum(), 1e-12), max(others.sum(), 1e-12)
+        mu = float(own @ x / weight)
+        var = max(float(own @ (x - mu) ** 2 / weight), 1e-11)
+        rate = shape * rest / max(float(others @ x), 1e-12)
+        mean_log = float(others @ logs) / rest
         shape = min(inverse_digamma(min(math.log(rate) + mean_log, 6.0)), MAX_SHAPE)
-        rho = min(max(float(part.mean()), 1e-12), 1 - 1e-12)
+        rho = min(max(float(own.sum() / n), 1e-12), 1 - 1e-12)
         normal = math.log(rho) - 0.5 * math.log(2 * math.pi * var) - (x - mu) ** 2 / (2 * var)
         gamma = math.log(1 - rho) + shape * math.log(rate) - math.lgamma(shape) + (shape - 1) * logs - rate * x
         part = 1 / (1 + np.exp(np.clip(gamma - normal, -700, 700)))
@@ -69,20 +75,24 @@ def mixture(values: np.ndarray) -> dict | None:
         if old is not None and max(abs(a - b) for a, b in zip(new, old, strict=True)) <= SETTLED:
             break
         old = new
-    loglik = float(np.logaddexp(normal, gamma).sum())
-    hard = float(-2 * np.log(np.maximum(np.maximum(part, 1 - part), 1e-300)).sum())
-    return {"mu": mu, "sigma": math.sqrt(var), "shape": shape, "rate": rate, "rho": rho, "loglik": loglik, "aic": 2 * 5 - 2 * loglik, "bic": 5 * math.log(len(x)) - 2 * loglik, "icl": 5 * math.log(len(x)) - 2 * loglik + hard}
+    loglik = float(c @ np.logaddexp(normal, gamma))
+    hard = float(-2 * (c @ np.log(np.maximum(np.maximum(part, 1 - part), 1e-300))))
+    return {"mu": mu, "sigma": math.sqrt(var), "shape": shape, "rate": rate, "rho": rho, "loglik": loglik, "aic": 2 * 5 - 2 * loglik, "bic": 5 * math.log(n) - 2 * loglik, "icl": 5 * math.log(n) - 2 * loglik + hard}
 
 
 def parameters(expr: DataFrame) -> DataFrame:
-    """(gene_id, mu, sigma, rho) of each gene's positive values; nulls where there are too few."""
+    """(gene_id, mu, sigma, rho) of each gene's positive values; nulls where there are too few.
+
+    Values go as runs with their counts, combined where they arise: a task has a gene's different values, not its cells.
+    """
     kind = dict(expr.dtypes)["gene_id"]
 
     def rows(table: pa.Table) -> pa.Table:
-        got = mixture(table["value"].to_numpy()) or {}
+        got = mixture(table["value"].to_numpy(), table["n"].to_numpy()) or {}
         return pa.table({"gene_id": table["gene_id"][:1], **{c: pa.array([got.get(c)], pa.float64()) for c in ("mu", "sigma", "rho")}})
 
-    return expr.where("value > 0").select("gene_id", "value").groupBy("gene_id").applyInArrow(rows, f"gene_id {kind}, mu double, sigma double, rho double")
+    runs = expr.where("value > 0").groupBy("gene_id", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+    return runs.groupBy("gene_id").applyInArrow(rows, f"gene_id {kind}, mu double, sigma double, rho double")
 
 
 def index(params: DataFrame, zeros: DataFrame, f_stats: DataFrame | None = None, digits: int = 9) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bulk, cluster, communities, features, filters, hierarchy, kmeans, linear, matching, medians, merge, neighbours, pca, replicate, simulate, sparse, stability, stats, validate
+from ..operators import bulk, cluster, communities, features, filters, hierarchy, kmeans, linear, matching, medians, merge, neighbours, pca, replicate, sparse, stability, stats, validate
 from ..sources import views as V
 from ..sources.scratch import materialize, scratch_dir
 from ..streaming import apply as streaming
@@ -211,10 +211,10 @@ def dense_labels(spark, d):
     return stats.codes(V.customers(spark, d), "batch", "cell_type", "cluster").select("cell_id", "cluster")
 
 
-@query("SELECT k, round(2 * a * b / (a + b), 6) AS f FROM (VALUES (1, (0.2 + 1) / 2, 1 - (0.1 + 1) / 2), (2, (0.5 + 1) / 2, 1 - (-0.3 + 1) / 2)) t(k, a, b)")
+@query(f"WITH {D}, s AS (SELECT batch, avg(CASE WHEN gene_id = 0 THEN value END) AS a, avg(CASE WHEN gene_id = 1 THEN value END) AS b FROM expr GROUP BY 1), z AS (SELECT batch, (a + 1) / 2 AS a, 1 - (b + 1) / 2 AS b FROM s) SELECT batch, round(2 * a * b / (a + b), 6) + 0.0 AS f FROM z")
 def f_measure(spark, d):
-    rows = spark.createDataFrame([(1, 0.2, 0.1), (2, 0.5, -0.3)], "k int, a double, b double")
-    return rows.select("k", r(stats.f_measure(stats.zero_one(F.col("a")), 1 - stats.zero_one(F.col("b")))).alias("f"))
+    b = V.blocks(spark, d).groupBy("batch").agg(F.avg(F.col("values")[0]).alias("a"), F.avg(F.col("values")[1]).alias("b"))
+    return b.select("batch", r(stats.f_measure(stats.zero_one(F.col("a")), 1 - stats.zero_one(F.col("b")))).alias("f"))
 
 
 # replicates and matching
@@ -278,6 +278,14 @@ def mnc_replicate_labels(spark, d):
     return matching.match_labels(two.select("cell_id", "batch", "cluster", F.lit(0.0).alias("dist_prop")), matching.match_clusters(two, "cor")).select("cell_id", "replicate")
 
 
+@query(f"""WITH {MUTUAL.replace('vec_id % 3 AS batch', 'vec_id % 2 AS batch')}, mn AS (SELECT cluster1, cluster2 FROM rk WHERE ra = 1 AND rb = 1), nodes AS (SELECT DISTINCT batch, cell_type AS cluster FROM expr),
+grp AS (SELECT batch, cluster, CASE WHEN batch = 1 THEN coalesce((SELECT min(cluster1) FROM mn WHERE cluster2 = cluster), 1000 + cluster) ELSE cluster END AS least_ FROM nodes)
+SELECT CAST(dense_rank() OVER (ORDER BY least_) AS INTEGER) AS grp, batch, cluster FROM grp""")
+def replicate_groups(spark, d):
+    two = V.blocks(spark, d).withColumn("batch", F.col("cell_id") % 2)
+    return replicate.replicates_of(two, cell_type="cell_type", match=True).groups
+
+
 MARKERS = [1, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37]
 
 
@@ -290,9 +298,14 @@ def marker_nearest_clusters(spark, d):
     return shown(matching.mutual_nearest(matching.median_between(typed, singly=500)), "batch1", "cluster1", "batch2", "cluster2", value="dist")
 
 
-@query("SELECT row_number() OVER (ORDER BY first_list, spot) - 1 AS place, gene_id FROM (SELECT gene_id, min(list_no) AS first_list, arg_min(spot, list_no) AS spot FROM (VALUES (0, 0, 5), (0, 1, 2), (1, 0, 9), (1, 1, 5), (2, 0, 2), (2, 1, 1)) t(list_no, spot, gene_id) GROUP BY 1)")
+@query(f"""WITH {D}, t AS (SELECT batch, gene_id, row_number() OVER (PARTITION BY batch ORDER BY round(sum(value * value), 9) DESC, gene_id) - 1 AS spot FROM expr GROUP BY 1, 2)
+SELECT row_number() OVER (ORDER BY first_list, spot) - 1 AS place, gene_id FROM (SELECT gene_id, min(batch) AS first_list, arg_min(spot, batch) AS spot FROM t WHERE spot < 6 GROUP BY 1)""")
 def marker_union(spark, d):
-    return spark.createDataFrame(list(enumerate(features.union_of([[5, 2], [9, 5], [2, 1]]))), "place long, gene_id int")
+    top = Window.partitionBy("batch").orderBy(F.desc("s"), "gene_id")
+    sums = V.dense(spark, d).groupBy("batch", "gene_id").agg(F.round(F.sum(F.col("value") * F.col("value")), 9).alias("s"))
+    rows = sums.withColumn("spot", F.row_number().over(top)).where("spot <= 6").orderBy("batch", "spot").collect()
+    marker = features.union_of([[r["gene_id"] for r in rows if r["batch"] == b] for b in sorted({r["batch"] for r in rows})])
+    return spark.createDataFrame(list(enumerate(marker)), "place long, gene_id int")
 
 
 @query(f"""WITH {_pairs_sql('euclidean')}, md AS (SELECT batch1, batch2, median(dist) AS dist FROM pd GROUP BY 1, 2), ways AS (SELECT * FROM md UNION ALL SELECT batch2, batch1, dist FROM md),
@@ -681,18 +694,6 @@ def bulk_pool_divided(spark, d):
     return shown(bulk.divided_bulk(V.counts(spark, d), cells, pool=True), "sample", "cluster", "fold", "gene_id")
 
 
-@query("SELECT g AS cell_id, 'type_' || (g % 3 + 1) AS cell_type, 'batch_' || (g % 2 + 1) AS batch FROM range(100) t(g)")
-def simulated_labels(spark, d):
-    return simulate.simulate(spark).select("cell_id", "cell_type", "batch")
-
-
-@query()
-def simulated_merge(spark, d):
-    b = simulate.simulate(spark, cells=120, genes=80, controls=40, k=3, lam=1.0)
-    labels = replicate.find_replicates(b, cell_type="cell_type")
-    return _out(linear.adjust_scaled(b.join(labels, "cell_id"), "replicate", "batch", np.arange(80) < 40, [3]).blocks)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
