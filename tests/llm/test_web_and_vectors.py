@@ -257,7 +257,7 @@ def test_main_text_equals_naive_two_passes():
 
         def first(b):
             if b.linked > H.LINK_SHARE * len(b.text):
-                return "bad"
+                return "doubt" if b.article and b.linked < H.WHOLLY * len(b.text) and H.SENTENCE.search(b.text) else "bad"
             if len(b.text) < H.SHORT or b.heading:
                 return "short"
             if share(b) >= H.STOP_HIGH and len(b.text) >= H.LONG:
@@ -266,16 +266,18 @@ def test_main_text_equals_naive_two_passes():
                 return "short"
             if foreign or 2 * len(H.BEYOND.findall(b.text)) > len(b.text):
                 return "good" if len(b.text) >= H.LONG and not inside else "short"
-            return "short" if H.SENTENCE.search(b.text) else "bad"
+            return "short" if H.SENTENCE.search(b.text) else "doubt"
 
         label = [first(b) for b in flow]
         out = []
         for i, b in enumerate(flow):
             kind = label[i]
-            if kind == "short":
-                before = next((j for j in range(i - 1, -1, -1) if label[j] != "short"), None)
-                after = next((j for j in range(i + 1, len(flow)) if label[j] != "short"), None)
-                if "good" not in label:
+            if kind in ("short", "doubt"):
+                before = next((j for j in range(i - 1, -1, -1) if label[j] in ("good", "bad")), None)
+                after = next((j for j in range(i + 1, len(flow)) if label[j] in ("good", "bad")), None)
+                if kind == "doubt":
+                    kind = "good" if before is not None and after is not None and label[before] == label[after] == "good" else "bad"
+                elif "good" not in label:
                     kind = "good" if b.article or not inside else "bad"
                 elif before is None or after is None:
                     kind = label[after if before is None else before]
@@ -301,3 +303,52 @@ def test_main_text_equals_naive_two_passes():
             page += f"<{tag}>" + (f"<a href='#'>{words}</a>" if rng.random() < 0.2 else words) + f"</{tag.split()[0]}>"
         found = H.blocks(page)
         assert naive(found) == H.main_text(page)
+
+
+LONG = "The harbour plan was discussed by the council and it was decided that the old pier will be rebuilt with the help of the city. " * 3
+
+
+@pytest.mark.parametrize("page", ["<p class='" + "share " * 160_000 + "z!'>x</p>", "<p class='" + "share-" * 160_000 + "z!'>x</p>", "<div class=ad>x" * 65_000, "<div>" * 100_000 + "</x>" * 120_000, "<div class=ad>" * 33_000 + "<main></main>" * 38_000, "<div class=ad>" * 33_000 + "<article></article>" * 28_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    from weft.llm.html_extract import main_text
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 10  # about a second
+
+
+def test_a_form_around_the_page_is_no_furniture():
+    from weft.llm.html_extract import main_text
+
+    body = f"<div><p>{LONG}</p><p>{LONG}!</p></div>"
+    want = f"{LONG.strip()}\n{LONG.strip()} !"
+    assert main_text(f"<html><body><form id='aspnetForm'>{body}</form></body></html>") == want
+    assert main_text(f"<html><body><form><div class='sidebar'><p>{LONG}</p></div>{body}</form></body></html>") == want
+    assert main_text(f"<html><body>{body}<form><p>{LONG} Subscribe.</p></form></body></html>") == want
+    assert main_text("<form><p>Name</p><input><p>Send</p></form>") == ""
+
+
+@pytest.mark.parametrize("mark", ["class='user-comments'", "class='commentlist'", "class='comment-body'", "id='responses'", "class='comments post-1x comment_thread'", "id=respond"])
+def test_reader_comments_are_left_out(mark):
+    from weft.llm.html_extract import main_text
+
+    assert main_text(f"<body><div><p>{LONG}</p></div><div {mark}><p>{LONG} I agree.</p></div></body>") == LONG.strip()
+
+
+def test_names_that_only_sound_like_marks():
+    from weft.llm.html_extract import marks
+
+    assert not any(map(marks, ["", "commentary", "no-comments", "post comment-open", "heading", "sharebox x", "article-body", "ad-hoc-report", "-", "notices board", "download"]))
+    assert all(map(marks, ["ads", "top-ad", "MENU2", "x main-nav", "share", "social share", "search-form", "related-posts", "comments", "nav_bar", "reader-comments x"]))
+
+
+def test_blocks_that_speak_against_themselves_need_good_neighbours():
+    from weft.llm.html_extract import main_text
+
+    fruit = "Apples, pears, plums, cherries, quinces, medlars, grapes, figs, oranges, lemons, limes, dates, melons"
+    see = "See <a href=x>the full report on the harbour plan here</a>."
+    assert fruit in main_text(f"<p>{LONG}</p><p>{fruit}</p><p>{LONG}</p>") and fruit not in main_text(f"<p>{LONG}</p><p>{fruit}</p>")
+    assert "full report" in main_text(f"<article><p>{LONG}</p><p>{see}</p><p>{LONG}</p></article>")
+    assert "full report" not in main_text(f"<article><p>{LONG}</p><p>{see}</p></article>") and "full report" not in main_text(f"<article><p>{LONG}</p><p><a>The full report on the harbour.</a></p><p>{LONG}</p></article>")

@@ -3,10 +3,11 @@
 Blocks are runs of text between block-level tags. The first pass decides each one by its link density, its length and
 the density of stop words: `good`, `bad`, or `short` where that is not enough. The second pass gives short blocks the
 label of their nearest decided neighbours (both must agree, or the block stands nearer to the good one, or is a heading
-before good text). Stop words speak for a block, their lack does not speak against sentences: where a page has few of
+before good text); a block that speaks against itself (no sentence, or mostly links within an article) needs good text
+on both sides. Stop words speak for a block, their lack does not speak against sentences: where a page has few of
 the known ones, or a block is in sentences or mostly in another script, link density, length and neighbours decide.
 Blocks in page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element, role or
-class) are bad beforehand and do not vote.
+class) are bad beforehand and do not vote; a form around most of the page's long text is none.
 
 A page is read once from left to right, in time that grows with its length whatever it holds.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,15 +51,17 @@ HEAD = frozenset("base basefont bgsound link meta noframes".split() + RAW + WHOL
 FURNITURE = frozenset("nav header footer aside form button dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words that mark furniture as a class, id or role; those that do so only if all tokens beside them are of this kind or
-#: the next; and words that may stand beside a mark.
-MARK = r"(?:ads?|advert[a-z0-9]*|banner|breadcrumbs?|contentinfo|cookies?|dialog|disqus|footer|header|masthead|menu[a-z0-9]*|modal|nav[a-z0-9]*|newsletter|popup|promo[a-z0-9]*|sidebar|sponsor[a-z0-9]*|subscribe|toolbar|widgets?|complementary)"
-WEAK = r"(?:comments?|notices?|related|search|share|sharing|social)"
-BESIDE = r"(?:site|main|global|top|bottom|left|right|primary|secondary|mobile|area|bar|box|block|list|links|items?|buttons?|icons?|form|consent|posts|section|\d+)"
-MARKS = re.compile(rf"(?:^|\s)(?:{BESIDE}[_-]+)*{MARK}(?:[_-]+(?:{MARK}|{WEAK}|{BESIDE}))*(?:$|\s)|(?:^|\s)(?:{BESIDE}[_-]+|{WEAK}[_-]+)*{WEAK}[_-]+{MARK}(?:$|\s)", re.I)
-WEAKS = re.compile(rf"\s*(?:(?:{MARK}|{WEAK}|{BESIDE})(?:[\s_-]+|$))*(?<![a-z0-9]){WEAK}(?:[\s_-]+(?:{MARK}|{WEAK}|{BESIDE}))*\s*", re.I)
+#: Words of a class, id or role (each name is cut at - and _): those that mark furniture, beginnings of such words, those
+#: that do so only if all names beside them are of these kinds, those of reader comments, and those that may stand beside.
+MARK = frozenset("ad ads banner breadcrumb breadcrumbs contentinfo cookie cookies dialog disqus footer header masthead modal newsletter popup sidebar subscribe toolbar widget widgets complementary".split())
+MARK_STEMS = ("advert", "menu", "nav", "promo", "sponsor")
+WEAK = frozenset("comment comments notice notices related search share sharing social".split())
+COMMENT = frozenset("comment comments commentlist commenter commenters commentform responses respond replies".split())
+OF_COMMENT = frozenset("user users reader readers body text content author meta thread threads wrap wrapper container inner outer children reply entry holder title count header".split())
+BESIDE = frozenset("site main global top bottom left right primary secondary mobile area bar box block list link links item items button buttons icon icons form consent posts section".split())
 #: Marks that an article's own heading may carry.
-OWN = re.compile(r"\s*(?:header|masthead)\s*", re.I)
+OWN = frozenset(("header", "masthead"))
+PARTS = re.compile(r"[_-]+")
 TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 STOP = re.compile(r"[>\"']")
 ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW + WHOLE}
@@ -69,14 +73,48 @@ BEYOND = re.compile(r"[^\W\d_\u0000-\u024f]")
 SENTENCE = re.compile(r"[.!?\u2026](?:\s|$|[\"'\u00bb\u201d])|[\u3002\uff01\uff1f\u0964\u06d4\u061f\u1362]")
 #: Thresholds of the first pass.
 LINK_SHARE, LONG, SHORT, STOP_HIGH, STOP_LOW = 0.5, 140, 60, 0.12, 0.05
+#: From this share of links on a block of an article is nothing but links.
+WHOLLY = 0.9
+
+
+class Element:
+    """An open element: its name, whether it marks furniture, and the nearest one around it that did when it was opened."""
+
+    __slots__ = ("tag", "marked", "around", "inside")
+
+    def __init__(self, tag: str, marked: bool, around: Element | None) -> None:
+        self.tag, self.marked, self.around = tag, marked, around
+        self.inside = 0  # 1 within furniture, 2 within forms alone
 
 
 class Block:
-    __slots__ = ("text", "linked", "heading", "furniture", "article", "label")
+    __slots__ = ("text", "linked", "heading", "around", "article", "furniture", "label")
+
+    def __init__(self, text: str, linked: int, heading: bool, around: Element | None, article: bool) -> None:
+        self.text, self.linked, self.heading, self.around, self.article = text, linked, heading, around, article
+        self.furniture, self.label = False, ""
 
-    def __init__(self, text: str, linked: int, heading: bool, furniture: list | bool, article: bool) -> None:
-        self.text, self.linked, self.heading, self.furniture, self.article = text, linked, heading, furniture, article
-        self.label = ""
+
+def marks(value: str) -> bool:
+    """Whether a class, id or role names furniture: one name of marks and words that stand beside them, or all names of these kinds and a weak mark among them."""
+    all_known = some_weak = False
+    for i, name in enumerate(value.lower().split()):
+        known = of_comment = True
+        mark = comment = weak = False
+        for word in PARTS.split(name):
+            is_mark = word in MARK or (word.startswith(MARK_STEMS) and word.isascii() and word.isalnum())
+            is_weak = word in WEAK
+            mark |= is_mark
+            weak |= is_weak
+            comment |= word in COMMENT
+            plain = is_mark or is_weak or word in BESIDE or (word.isascii() and word.isdigit())
+            known &= plain
+            of_comment &= plain or word in COMMENT or word in OF_COMMENT
+        if (known and mark) or (of_comment and comment):
+            return True
+        all_known = known and (all_known or not i)
+        some_weak |= weak
+    return all_known and some_weak
 
 
 def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -134,8 +172,12 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[list] = []  # [tag, marked]
-    wrappers: list[list] = []  # marked elements around a main, or an article
+    stack: list[Element] = []
+    made: list[Element] = []  # all that were marked, in the order of their tags
+    open_tags: Counter = Counter()
+    held: list[Element] = []  # open marked ones that a main or an article inside makes a wrapper
+    told = 0  # how many of these are among the wrappers
+    wrappers: list[Element] = []
     outside = False
     links = furniture = article = 0
     heading = ""
@@ -148,9 +190,21 @@ def blocks(page: str) -> list[Block]:
         text = clean("".join(p for p, _ in parts))
         if text:
             linked = sum(len(clean("".join(p for p, _ in run))) for link, run in itertools.groupby(parts, key=lambda p: p[1]) if link)
-            out.append(Block(text, linked, bool(heading), [e for e in stack if e[1]] if furniture else [], article > 0))
+            out.append(Block(text, linked, bool(heading), chain(), article > 0))
         parts.clear()
 
+    def chain() -> Element | None:
+        return None if not stack else stack[-1] if stack[-1].marked else stack[-1].around
+
+    def leave(e: Element) -> None:
+        nonlocal furniture, article, told
+        furniture -= e.marked
+        article -= e.tag in ("article", "main")
+        open_tags[e.tag] -= 1
+        if held and held[-1] is e:
+            held.pop()
+            told = min(told, len(held))
+
     def text(raw: str) -> None:
         parts.append((raw, links > 0))
 
@@ -184,36 +238,40 @@ def blocks(page: str) -> list[Block]:
         else:
             end()
         if closes:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for tag, mark in stack[i:]:
-                        furniture -= mark
-                        article -= tag in ("article", "main")
-                    del stack[i:]
+            while open_tags[name]:
+                leave(e := stack.pop())
+                if e.tag == name:
                     break
             if name == heading:
                 heading = ""
             if name not in INLINE:
                 links = 0
         elif name not in VOID and not attrs.endswith("/"):
-            marked = name in FURNITURE or name not in ("html", "body", "article", "main") and any((MARKS.search(v) or WEAKS.fullmatch(v)) and not (article and OWN.fullmatch(v)) for v in map("".join, ATTRS.findall(attrs)))
+            marked = name in FURNITURE or name not in ("html", "body", "article", "main") and any(marks(v) and not (article and v.strip().lower() in OWN) for v in map("".join, ATTRS.findall(attrs)))
             if name == "header" and article:
                 marked = False  # the article's own heading
             if marked and name in INLINE:
                 end()
-            if name in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1][0] == name:
-                furniture -= stack.pop()[1]
+            if name in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1].tag == name:
+                leave(stack.pop())
             if name in ("article", "main") and not article:
-                around = [e for e in stack if e[1] and (e[0] == "form" or e[0] not in FURNITURE)]
                 if name == "main":
-                    for e in around:
-                        e[1] = False
-                    furniture -= len(around)
+                    for e in held:
+                        e.marked = False
+                    furniture -= len(held)
+                    held.clear()
+                    told = 0
                 else:
-                    wrappers += around
+                    wrappers += held[told:]
+                    told = len(held)
                 outside |= not furniture
-            stack.append([name, marked])
+            stack.append(e := Element(name, marked, chain()))
+            open_tags[name] += 1
             furniture += marked
+            if marked:
+                made.append(e)
+                if name == "form" or name not in FURNITURE:
+                    held.append(e)
             article += name in ("article", "main")
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = name
@@ -222,9 +280,15 @@ def blocks(page: str) -> list[Block]:
     end()
     if not outside:  # the page's article is in what looked like furniture
         for e in wrappers:
-            e[1] = False
+            e.marked = False
+    for e in made:  # an element's surroundings come before it
+        inside = e.around.inside if e.around else 0
+        e.inside = inside if not e.marked or inside == 1 else 2 if e.tag == "form" else 1
+    room = [b for b in out if len(b.text) >= LONG and b.linked <= LINK_SHARE * len(b.text)]
+    within = sum(len(b.text) for b in room if b.around and b.around.inside == 2)
+    around_all = within > sum(len(b.text) for b in room if not b.around or not b.around.inside)  # a form around the page
     for b in out:
-        b.furniture = any(e[1] for e in b.furniture)
+        b.furniture = bool(b.around) and b.around.inside in ((1,) if around_all else (1, 2))
     return out
 
 
@@ -240,7 +304,7 @@ def classify(found: list[Block]) -> None:
     for b, stops in zip(found, shares, strict=True):
         n = len(b.text)
         if b.furniture or b.linked > LINK_SHARE * n:
-            b.label = "bad"
+            b.label = "doubt" if not b.furniture and b.article and b.linked < WHOLLY * n and SENTENCE.search(b.text) else "bad"
         elif n < SHORT or b.heading:
             b.label = "short"
         elif stops >= STOP_HIGH and n >= LONG:
@@ -250,19 +314,22 @@ def classify(found: list[Block]) -> None:
         elif foreign or 2 * len(BEYOND.findall(b.text)) > n:
             b.label = "good" if n >= LONG and not inside else "short"
         else:
-            b.label = "short" if SENTENCE.search(b.text) else "bad"
+            b.label = "short" if SENTENCE.search(b.text) else "doubt"
     flow = [b for b in found if not b.furniture]
-    decided = [i for i, b in enumerate(flow) if b.label != "short"]
+    decided = [i for i, b in enumerate(flow) if b.label in ("good", "bad")]
     labels = {i: flow[i].label for i in decided}
     any_good = "good" in labels.values()
     has_article = any(b.article for b in flow)
     k = 0
     for i, b in enumerate(flow):
-        if b.label != "short":
+        if b.label in ("good", "bad"):
             k += 1
             continue
         before = decided[k - 1] if k else None
         after = decided[k] if k < len(decided) else None
+        if b.label == "doubt":
+            b.label = "good" if before is not None and after is not None and labels[before] == labels[after] == "good" else "bad"
+            continue
         if not any_good:
             b.label = "good" if b.article or not has_article else "bad"
             continue
