@@ -352,3 +352,37 @@ def test_blocks_that_speak_against_themselves_need_good_neighbours():
     assert fruit in main_text(f"<p>{LONG}</p><p>{fruit}</p><p>{LONG}</p>") and fruit not in main_text(f"<p>{LONG}</p><p>{fruit}</p>")
     assert "full report" in main_text(f"<article><p>{LONG}</p><p>{see}</p><p>{LONG}</p></article>")
     assert "full report" not in main_text(f"<article><p>{LONG}</p><p>{see}</p></article>") and "full report" not in main_text(f"<article><p>{LONG}</p><p><a>The full report on the harbour.</a></p><p>{LONG}</p></article>")
+
+
+def test_gif_walks_are_shared():
+    import random
+    import time
+
+    from weft.llm.media import sniff
+
+    def walked(m, at):
+        """The published layout, block by block."""
+        i = at + 13 + (3 << (m[at + 10] & 7) + 1 if len(m) > at + 10 and m[at + 10] & 128 else 0)
+        while len(m) >= at + 13 and i < len(m):
+            if m[i] == 0x3B:
+                return i + 1 - at
+            if m[i] == 0x21:
+                i += 2
+            elif m[i] == 0x2C and i + 10 <= len(m):
+                i += 11 + (3 << (m[i + 9] & 7) + 1 if m[i + 9] & 128 else 0)
+            else:
+                return 0
+            while i < len(m) and m[i]:
+                i += 1 + m[i]
+            i += 1
+        return 0
+
+    rng = random.Random(2)
+    for _ in range(400):
+        m = b"".join(rng.choice([b"GIF89a", b"GIF87a", b"\x2c" + bytes(9), b"\x21\xf9", b"\x3b", b"\0", bytes([rng.randrange(1, 9)] * 5), b"GIF89a" + bytes(4) + b"\0\0\0"]) for _ in range(rng.randrange(1, 40)))
+        want = [(i, n, "image/gif") for i in range(len(m)) if m[i : i + 6] in (b"GIF87a", b"GIF89a") and (n := walked(m, i))]
+        assert [x for x in sniff(m) if x[2] == "image/gif"] == want
+    for m in ((b"GIF89aABCD\0AA,\1\1\1\1\1\1\1\1\1\1" + b"~" * 40) * 16_000, (b"GIF89aABCD\0AA!A" + b"\x7f" * 30) * 20_000):
+        began = time.process_time()
+        sniff(m)
+        assert time.process_time() - began < 4  # a fraction of a second

@@ -28,7 +28,7 @@ from .common import without
 UNKNOWN = "application/octet-stream"
 
 
-def _png(b: memoryview, at: int) -> int:
+def _png(b: memoryview, at: int, known: dict) -> int:
     i = at + 8
     first = True
     while i + 12 <= len(b):
@@ -45,7 +45,7 @@ def _png(b: memoryview, at: int) -> int:
 
 
 def _riff(form: bytes, needed: bytes) -> Callable:
-    def check(b: memoryview, at: int) -> int:
+    def check(b: memoryview, at: int, known: dict) -> int:
         if len(b) < at + 12 or bytes(b[at + 8 : at + 12]) != form:
             return 0
         end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -63,29 +63,40 @@ def _riff(form: bytes, needed: bytes) -> Callable:
     return check
 
 
-def _gif(b: memoryview, at: int) -> int:
+def _gif(b: memoryview, at: int, known: dict) -> int:
+    """known: where walks from a place in these bytes have ended, so that no place is walked from twice."""
     if len(b) < at + 13:
         return 0
-    i = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
 
     def blocks(i: int) -> int:
-        while i < len(b) and b[i]:
+        passed = []
+        while i < len(b) and b[i] and (i, "sub") not in known:
+            passed.append((i, "sub"))
             i += 1 + b[i]
-        return i + 1
+        end = known.get((i, "sub"), i + 1)
+        known.update(dict.fromkeys(passed, end))
+        return end
 
+    i, passed, end = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0), [], 0
     while i < len(b):
+        if (end := known.get((i, "gif"), -1)) >= 0:
+            break
+        passed.append((i, "gif"))
+        end = 0
         if b[i] == 0x3B:
-            return i + 1 - at
+            end = i + 1
+            break
         if b[i] == 0x21:
             i = blocks(i + 2)
         elif b[i] == 0x2C and i + 10 <= len(b):
             i = blocks(i + 11 + (3 << (b[i + 9] & 7) + 1 if b[i + 9] & 128 else 0))
         else:
-            return 0
-    return 0
+            break
+    known.update(dict.fromkeys(passed, end))
+    return end - at if end else 0
 
 
-def _jpeg(b: memoryview, at: int) -> int:
+def _jpeg(b: memoryview, at: int, known: dict) -> int:
     i = at + 2
     framed = False
     while i + 4 <= len(b) and b[i] == 0xFF:
@@ -106,7 +117,7 @@ def _jpeg(b: memoryview, at: int) -> int:
     return i + 2 - at if framed and i + 2 <= len(b) and b[i] == 0xFF and b[i + 1] == 0xD9 else 0
 
 
-def _bmp(b: memoryview, at: int) -> int:
+def _bmp(b: memoryview, at: int, known: dict) -> int:
     if len(b) < at + 54:
         return 0
     size, zero, start, head, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -115,7 +126,7 @@ def _bmp(b: memoryview, at: int) -> int:
     return size if fine and at + size <= len(b) else 0
 
 
-def _flac(b: memoryview, at: int) -> int:
+def _flac(b: memoryview, at: int, known: dict) -> int:
     """Metadata only: frames have no length of their own, so the rest belongs to it."""
     i = at + 4
     if len(b) < i + 38 or b[i] & 127 or int.from_bytes(b[i + 1 : i + 4], "big") != 34:
@@ -128,7 +139,7 @@ def _flac(b: memoryview, at: int) -> int:
     return 0
 
 
-def _mp4(b: memoryview, at: int) -> int:
+def _mp4(b: memoryview, at: int, known: dict) -> int:
     """From the length before `ftyp`: boxes as far as they hold."""
     i, kinds = at, set()
     while i + 8 <= len(b):
@@ -140,7 +151,7 @@ def _mp4(b: memoryview, at: int) -> int:
     return i - at if kinds & {b"moov", b"mdat", b"meta"} and b"ftyp" in kinds else 0
 
 
-def _pdf(b: memoryview, at: int) -> int:
+def _pdf(b: memoryview, at: int, known: dict) -> int:
     """To its last end mark before another header: updates append to a file, marks of their own included."""
     raw = b.obj
     if raw[at + 5 : at + 8] not in (b"1.0", b"1.1", b"1.2", b"1.3", b"1.4", b"1.5", b"1.6", b"1.7", b"2.0"):
@@ -183,12 +194,11 @@ def automaton():
 
 def sniff(media: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of the confirmed media, embedded ones included, in order."""
-    view = memoryview(media)
-    out = []
+    view, known, out = memoryview(media), {}, []
     for end, formats in automaton().iter(media.decode("latin-1")):
         for back, kind, check in formats:
             at = end - back
-            if at >= 0 and (n := check(view, at)):
+            if at >= 0 and (n := check(view, at, known)):
                 out.append((at, n, kind))
     return sorted(out, key=lambda x: (x[0], -x[1], x[2]))
 
