@@ -77,7 +77,7 @@ def median_distances(pairs: DataFrame) -> DataFrame:
 
 
 #: Distances of a pair of clusters that leave the tasks one by one; more are counted in as many bins, again and again.
-SINGLY, BINS = 200_000, 1024
+SINGLY, BINS = 200_000, 8192
 
 
 def median_between(blocks: DataFrame, metric: str = "cor", block: int = 1024, singly: int = SINGLY) -> DataFrame:
@@ -90,6 +90,8 @@ def median_between(blocks: DataFrame, metric: str = "cor", block: int = 1024, si
         raise ValueError(f"metric is one of {METRICS}")
     sizes = {(r["batch"], r["cluster"]): r["n"] for r in blocks.groupBy("batch", "cluster").agg(F.count("*").alias("n")).collect()}
     sides = _sides(blocks, block)
+    if max((n * m for a, n in sizes.items() for b, m in sizes.items() if a[0] < b[0]), default=0) > singly:
+        sides = materialize(sides, "sides")  # more than one pass reads them
     top = 2.000001 if metric != "euclidean" else 2.000001 * (blocks.agg(F.max(F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 0.0) + 1e-9
     # low, high, below, within, rank: of the lower and the upper median, the range that holds it
     span = {(a, b, r): [-1e-6 * top, top, 0, n * m, r] for a, n in sizes.items() for b, m in sizes.items() if a[0] < b[0] for r in {(n * m - 1) // 2, n * m // 2}}
@@ -114,8 +116,8 @@ def median_between(blocks: DataFrame, metric: str = "cor", block: int = 1024, si
         cols = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*names, *(n for n, _ in more)])
 
-    # every pass makes a range BINS times as narrow, so ties end it as well
-    while wide := {k: v for k, v in span.items() if v[3] > singly and v[1] - v[0] > 1e-12 * top}:
+    # every pass makes a range BINS times as narrow, down to what rounding leaves of it, so ties end it as well
+    while wide := {k: v for k, v in span.items() if v[3] > singly and v[1] - v[0] > 2e-13 * BINS * top}:
 
         def counts(table: pa.Table) -> pa.Table:
             out = []

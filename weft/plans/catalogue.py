@@ -514,6 +514,43 @@ def merge_bulk_one(spark, d):
     return linear.long(bulk.merge_bulk(two, CONTROLS, 1, chosen="all").blocks).select("cell_id", "gene_id", r("value", 5).alias("value"))
 
 
+CONDITION = f"""WITH RECURSIVE {D.replace('vec_id % 3 AS batch', 'vec_id % 2 AS batch')}, cosine AS MATERIALIZED (SELECT cell_id, gene_id, batch AS sample, CASE WHEN (cell_id // 2) % 2 = 0 THEN 'x' ELSE 'y' END AS cond, cell_type AS cluster, value / greatest(sqrt(sum(value * value) OVER (PARTITION BY cell_id)), 1e-8) AS v FROM expr),
+fd AS (SELECT cell_id, {FOLDS.replace('sample', 'sample, cond')} FROM (SELECT DISTINCT cell_id, sample, cond FROM cosine)),
+bk AS MATERIALIZED (SELECT sample, cond, cluster, fold, gene_id, avg(v) AS v FROM cosine JOIN fd USING (cell_id) GROUP BY ALL),
+ct AS (SELECT *, v - avg(v) OVER (PARTITION BY sample, cond, cluster, fold) AS c FROM bk), u AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY sample, cond, cluster, fold)) AS n FROM ct),
+pd AS (SELECT a.cond, a.cluster AS c1, b.cluster AS c2, 1 - sum(a.n * b.n) AS dist FROM u a JOIN u b ON a.gene_id = b.gene_id AND a.cond = b.cond AND a.sample = 0 AND b.sample = 1 GROUP BY a.cond, a.cluster, a.fold, b.cluster, b.fold),
+md AS (SELECT cond, c1, c2, median(dist) AS dist FROM pd GROUP BY 1, 2, 3), rk AS (SELECT *, row_number() OVER (PARTITION BY cond, c1 ORDER BY round(dist, 9), c2) AS ra, row_number() OVER (PARTITION BY cond, c2 ORDER BY round(dist, 9), c1) AS rb FROM md),
+mate AS (SELECT cond AS mc, c1, c2 FROM rk WHERE ra = 1 AND rb = 1),
+gr AS (SELECT bk.*, CASE WHEN sample = 0 THEN cluster ELSE coalesce((SELECT min(c1) FROM mate WHERE c2 = cluster AND mc = cond), 1000 + cluster) END AS grp FROM bk),
+res AS MATERIALIZED (SELECT sample, cond, cluster, fold, gene_id, v - avg(v) OVER (PARTITION BY cond, grp, gene_id) AS v FROM gr),
+g AS MATERIALIZED (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS x FROM res a JOIN res b USING (sample, cond, cluster, fold) GROUP BY 1, 2), {_top_sql('g', 'v1', 18)},
+m AS (SELECT gene_id, avg(v) AS m FROM cosine GROUP BY 1), w AS (SELECT cell_id, sum((v - m) * a) / (SELECT sum(a * a) FROM v1 WHERE gene_id < 32) AS w FROM cosine JOIN m USING (gene_id) JOIN v1 USING (gene_id) WHERE gene_id < 32 GROUP BY 1)"""
+
+
+@query(f"{CONDITION} SELECT cell_id, gene_id, round(v - w * a, 5) + 0.0 AS value FROM cosine JOIN w USING (cell_id) JOIN v1 USING (gene_id)")
+def merge_bulk_condition_one(spark, d):
+    half = F.floor(F.col("cell_id") / 2) % 2
+    two = V.blocks(spark, d).withColumn("batch", F.col("cell_id") % 2).withColumn("condition", F.when(half == 0, "x").otherwise("y"))
+    return linear.long(bulk.merge_bulk(two, CONTROLS, 1, chosen="all").blocks).select("cell_id", "gene_id", r("value", 5).alias("value"))
+
+
+MATCHED = f"""WITH RECURSIVE {MUTUAL.replace('vec_id % 3 AS batch', 'vec_id % 2 AS batch')}, mn AS (SELECT cluster1, cluster2 FROM rk WHERE ra = 1 AND rb = 1), nodes AS (SELECT DISTINCT batch, cell_type AS cluster FROM expr),
+grp AS (SELECT batch, cluster, CASE WHEN batch = 1 THEN coalesce((SELECT min(cluster1) FROM mn WHERE cluster2 = cluster), 1000 + cluster) ELSE cluster END AS rep FROM nodes),
+per AS (SELECT gene_id, batch, count(*) AS n, sum(value) AS s, sum(value * value) AS ss FROM expr GROUP BY 1, 2), sc AS (SELECT gene_id, sum(s) / sum(n) AS mean, sqrt(sum(ss - s * s / n) / (sum(n) - count(*))) AS sd FROM per GROUP BY 1),
+z AS MATERIALIZED (SELECT cell_id, gene_id, rep, (value - mean) / sd AS z, mean, sd FROM expr JOIN sc USING (gene_id) JOIN grp ON grp.batch = expr.batch AND grp.cluster = expr.cell_type),
+res AS MATERIALIZED (SELECT cell_id, gene_id, z - avg(z) OVER (PARTITION BY rep, gene_id) AS v FROM z),
+g AS MATERIALIZED (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS x FROM res a JOIN res b USING (cell_id) GROUP BY 1, 2), {_top_sql('g', 'v1', 18)},
+w AS (SELECT cell_id, sum(z * a) / (SELECT sum(a * a) FROM v1 WHERE gene_id < 32) AS w FROM z JOIN v1 USING (gene_id) WHERE gene_id < 32 GROUP BY 1)"""
+
+
+@query(f"{MATCHED} SELECT cell_id, gene_id, round((z - w * a) * sd + mean, 5) + 0.0 AS value FROM z JOIN v1 USING (gene_id) JOIN w USING (cell_id)")
+def merge_matched_one(spark, d):
+    two = V.blocks(spark, d).withColumn("batch", F.col("cell_id") % 2)
+    labels = materialize(replicate.find_replicates(two, cell_type="cell_type", match=True).select("cell_id", "replicate"), "labels")
+    made = linear.adjust_scaled(two.join(labels, "cell_id"), "replicate", "batch", CONTROLS, [1]).blocks
+    return linear.long(made).select("cell_id", "gene_id", r("value", 5).alias("value"))
+
+
 def _out(df: DataFrame) -> DataFrame:
     return shown(linear.long(df), "cell_id", "gene_id")
 
