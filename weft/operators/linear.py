@@ -56,7 +56,7 @@ def arrays(expr: DataFrame, genes: list, *keep: str) -> DataFrame:
     """Long rows as (cell_id, keep, values): an array in the order of genes, zeros filled in."""
     spark = expr.sparkSession
     place = spark.createDataFrame(list(enumerate(genes)), f"pos int, {fields(expr, 'gene_id')}")
-    got = expr.join(F.broadcast(place), "gene_id").groupBy("cell_id", *keep).agg(F.collect_list("pos").alias("pos"), F.collect_list(F.col("value").cast("double")).alias("value"))
+    got = expr.join(place, "gene_id").groupBy("cell_id", *keep).agg(F.collect_list("pos").alias("pos"), F.collect_list(F.col("value").cast("double")).alias("value"))
     n = len(genes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +144,22 @@ def sum_arrays(blocks: DataFrame, *keys: str, prep: Prep | None = None) -> DataF
     return added(partial, *keys)
 
 
+#: Partitions whose sums one task adds up before the driver adds these.
+FAN_IN = 64
+
+
+def total_arrays(blocks: DataFrame, prep: Prep | None = None) -> tuple[int, np.ndarray]:
+    """Rows counted and their arrays added up: by FAN_IN partitions in tasks, then one sum after the other on the driver."""
+    some = blocks.select("values", (F.spark_partition_id() / FAN_IN).cast("int").alias("_fan"))
+    n, total = 0, None
+    for r in sum_arrays(some, "_fan", prep=prep).toLocalIterator():
+        x = np.array(r["values"])
+        n, total = n + r["n"], x if total is None else total + x
+    if total is None:
+        raise ValueError("there are no cells")
+    return n, total
+
+
 def _products(blocks: DataFrame, weight: str | None, prep: Prep | None, total: Callable[[np.ndarray, np.ndarray], np.ndarray], m: int | None, step: int) -> np.ndarray:
     """Sum over rows of total(x, w), a matrix of genes by something: partial sums by task, in strips of genes."""
 
@@ -379,8 +395,8 @@ def regress_genes(blocks: DataFrame, eta: np.ndarray, controls: np.ndarray, inte
 
 
 def means(blocks: DataFrame, prep: Prep | None = None) -> np.ndarray:
-    row = sum_arrays(blocks.select("values"), prep=prep).first()
-    return np.array(row["values"]) / row["n"]
+    n, total = total_arrays(blocks, prep)
+    return total / n
 
 
 def scale(blocks: DataFrame, batch: str) -> tuple[np.ndarray, np.ndarray]:
@@ -441,11 +457,11 @@ def adjust_scaled(blocks: DataFrame, replicate: str, batch: str, controls: np.nd
 
 def principal(blocks: DataFrame, n: int = 10) -> np.ndarray:
     """(mean, loadings): the n leading directions of the centred cells, by the covariance Gram."""
-    row = sum_arrays(blocks.select("values")).first()
-    m = np.array(row["values"]) / row["n"]
+    cells, total = total_arrays(blocks)
+    m = total / cells
     if len(m) > MAX_GENES:
         return m, leading(lambda q: times(blocks, q, prep=lambda y: y - m), len(m), n, True)[1]
-    g = gram(blocks, m=row["n"] // len(m)) - row["n"] * np.outer(m, m)
+    g = gram(blocks, m=cells // len(m)) - cells * np.outer(m, m)
     return m, np.linalg.eigh(g)[1][:, ::-1][:, :n]
 
 

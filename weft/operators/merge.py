@@ -18,7 +18,7 @@ def without_zeros(blocks: DataFrame, genes: bool = True) -> tuple[DataFrame, np.
     kept = blocks.where(F.exists("values", lambda x: x != 0))
     if not genes:
         return kept, None
-    some = np.array(linear.sum_arrays(blocks.select("values"), prep=lambda x: (x != 0).astype(float)).first()["values"]) > 0
+    some = linear.total_arrays(blocks, lambda x: (x != 0).astype(float))[1] > 0
     return (kept, None) if some.all() else (linear.transform(kept, {"values": lambda y: y[:, some]}), some)
 
 

@@ -102,6 +102,14 @@ def unit_rows(m: Csr) -> Csr:
     return Csr(m.pos, m.val / np.maximum(length, 1e-8)[m.row()], m.start)
 
 
+def means(rows: DataFrame, n: int, unit: bool = False) -> np.ndarray:
+    """Gene means, zeros counted; see linear.total_arrays."""
+    cells, total = 0, np.zeros(n)
+    for r in sums(rows.select("pos", "val", (F.spark_partition_id() / linear.FAN_IN).cast("int").alias("_fan")), n, "_fan", unit=unit).toLocalIterator():
+        cells, total = cells + r["n"], total + np.array(r["values"])
+    return total / max(cells, 1)
+
+
 def sums(rows: DataFrame, n: int, *keys: str, squares: bool = False, unit: bool = False) -> DataFrame:
     """(keys, n, values): rows counted, and their values (and squares, behind them) added up by key; a task holds HELD bytes at most."""
     width = n * (1 + squares)
@@ -121,8 +129,7 @@ def sums(rows: DataFrame, n: int, *keys: str, squares: bool = False, unit: bool
             m = csr(rb)
             m = unit_rows(m) if unit else m
             of: dict = {}
-            code = np.array([of.setdefault(k, len(of)) for k in zip(*(rb.column(k).to_pylist() for k in keys), strict=True)]) if keys else np.zeros(rb.num_rows, int)
-            of = of or {(): 0}
+            code = np.array([of.setdefault(k, len(of)) for k in zip(*(rb.column(k).to_pylist() for k in keys), strict=True)])
             count, row = np.bincount(code), m.row()
             by = np.argsort(code[row], kind="stable")
             edge = np.searchsorted(code[row][by], np.arange(len(of) + 1))
@@ -141,9 +148,6 @@ def sums(rows: DataFrame, n: int, *keys: str, squares: bool = False, unit: bool
             yield out()
 
     named = rows.select(*keys, "pos", "val")
-    if not keys:
-        some = named.mapInArrow(part, "n long, values array<double>").withColumn("_all", F.lit(0)).select("_all", "n", "values")
-        return added(some, "_all").drop("_all")
     return added(named.mapInArrow(part, f"{fields(rows, *keys)}, n long, values array<double>"), *keys)
 
 
@@ -300,6 +304,5 @@ def merge_bulk_sparse(rows: DataFrame, n: int, controls: np.ndarray, k: int = 20
     bulk = total.withColumn("values", F.transform("values", lambda x: x / F.col("n")))
     small = (lambda df: linear.transform(df, {"values": lambda y: y[:, np.asarray(chosen)]})) if chosen is not None else (lambda df: df)
     alpha, _ = bulk_factors(bulk, controls, k, small, solver)
-    row = sums(rows, n, unit=cosine).first()
-    mean = np.array(row["values"]) / row["n"]
+    mean = means(rows, n, cosine)
     return SparseMerged(with_factors(rows, alpha, controls, k, mean, unit=cosine), alpha[:k], alpha)
