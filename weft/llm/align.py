@@ -31,7 +31,9 @@ from .bpe import byte_chars
 from .common import KEPT, U, lean, lean_batches, materialize, mix, pack, task_id, unpack
 
 #: Bytes of text that are aligned at once, pieces that a worker remembers and the longest one that it does.
-LOT, MEMO, MEMO_CHARS = 2 << 20, 300_000, 64
+LOT, MEMO, MEMO_CHARS = 2 << 20, 500_000, 64
+#: What marks a piece that its ids don't spell.
+ODD = 1 << 30
 #: Pieces that the libraries encode at once: their results take far more room than ids.
 TOGETHER = 2048
 #: Most buckets of pairs: the vocabularies, not the texts, bound how many pairs there are.
@@ -70,7 +72,7 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray, scope: str = "ends") -> tuple[
 
 
 class Both(dict):
-    """Maps a piece of text to A's ids, B's ids and whether both spell it; remembers a bounded number of pieces."""
+    """Maps a piece of text to A's and B's ids (see learn); remembers a bounded number of pieces."""
 
     def __init__(self, spec_a: bytes, spec_b: bytes) -> None:
         import sentencepiece
@@ -99,8 +101,8 @@ class Both(dict):
         self.shown = [*(s + "," for s in shown), *(s + "|" for s in shown), *(s + "," for s in shown), *(s + ";" for s in shown)]
         self.step = len(shown)
 
-    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
-        """A's ids and B's ids of each piece (its leading space left out), and whether both spell it."""
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """For each piece (its leading space left out) 32-bit numbers: how many ids A has (plus ODD if the ids don't spell it), A's ids, B's ids."""
         if not pieces:
             return {}
         raw = [(" " + p).encode() for p in pieces]
@@ -108,18 +110,24 @@ class Both(dict):
         for i in range(0, len(pieces), TOGETHER):
             a += [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces[i : i + TOGETHER]], add_special_tokens=False)]
         b = [ids or [self.space] for ids in self.b.encode(pieces, num_threads=1)]
-        made, same = [], np.ones(len(pieces), bool)
-        for ids, strings, sizes in ((a, self.bytes_a, self.len_a), (b, self.bytes_b, self.len_b)):
-            flat = np.fromiter(chain.from_iterable(ids), "<i4")
-            end = np.cumsum([len(x) for x in ids])
-            if not np.array_equal(np.r_[0, np.cumsum(sizes[flat])][end], np.cumsum([len(x) for x in raw])) or b"".join([strings[i] for i in flat]) != b"".join(raw):
-                same &= [b"".join([strings[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)]
-            held = flat.tobytes()
-            made.append([held[4 * (e - len(x)) : 4 * e] for e, x in zip(end.tolist(), ids, strict=True)])
-        return dict(zip(pieces, zip(*made, same.tolist(), strict=True), strict=True))
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """A's and B's ids of each text; none where they don't spell space+text. New pieces are encoded together."""
+        n = [np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b)]
+        size, whole, odd = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))), b"".join(raw), np.zeros(len(pieces), bool)
+        total = 1 + n[0] + n[1]
+        end = np.cumsum(total)
+        out, first = np.empty(int(end[-1]), "<i4"), end - total + 1
+        for ids, many, strings, sizes in ((a, n[0], self.bytes_a, self.len_a), (b, n[1], self.bytes_b, self.len_b)):
+            flat = list(chain.from_iterable(ids))
+            numbers, last = np.array(flat, np.int64), np.cumsum(many)
+            if not np.array_equal(np.r_[0, np.cumsum(sizes[numbers])][last], size) or b"".join([strings[i] for i in flat]) != whole:
+                odd |= [b"".join([strings[i] for i in x]) != r for x, r in zip(ids, raw, strict=True)]
+            out[np.arange(len(flat)) + np.repeat(first - (last - many), many)] = numbers
+            first = first + many
+        out[end - total] = n[0] + odd * ODD
+        held, edge = out.tobytes(), (4 * end).tolist()
+        return dict(zip(pieces, [held[i:j] for i, j in zip([0, *edge], edge, strict=False)], strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A's and B's ids of all texts, and how many each text has; none where they don't spell space+text. New pieces are encoded together."""
         cut = [pieces_of(t) if t else [] for t in texts]
         new = {p for c in cut for p in c if p not in self}
         if len(self) + len(new) > MEMO:
@@ -129,17 +137,26 @@ class Both(dict):
         short = [p for p in new if len(p) <= MEMO_CHARS]
         for i in range(0, len(short), 16 * TOGETHER):
             self.update(self.learn(short[i : i + 16 * TOGETHER]))
-        none = np.zeros(0, np.int32)
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            got = [self.get(p) or long[p] for p in c]
-            a, b = (np.frombuffer(b"".join([g[s] for g in got]), "<i4") for s in (0, 1))
-            if not all([g[2] for g in got]):
-                raw = (" " + t).encode()
-                if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
-                    a = b = none
-            out.append((a, b))
-        return out
+        get = self.get
+        held = [get(p) or long[p] for c in cut for p in c]
+        flat = np.frombuffer(b"".join(held), "<i4")
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        start = np.cumsum(size) - size
+        head = flat[start].astype(np.int64)
+        n_a = head % ODD
+        text = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+        place = np.arange(len(flat)) - np.repeat(start, size)
+        is_a = (place > 0) & (place <= np.repeat(n_a, size))
+        is_b = place > np.repeat(n_a, size)
+        n_b = size - 1 - n_a
+        edge = np.r_[0, np.cumsum(size)][np.searchsorted(text, np.arange(len(texts) + 1))]
+        for t in np.unique(text[head >= ODD]).tolist():
+            span, raw = slice(edge[t], edge[t + 1]), (" " + texts[t]).encode()
+            if any(b"".join([strings[i] for i in flat[span][some[span]].tolist()]) != raw for some, strings in ((is_a, self.bytes_a), (is_b, self.bytes_b))):
+                is_a[span] = is_b[span] = False
+                n_a[text == t] = n_b[text == t] = 0
+        many = [np.bincount(text, x, len(texts)).astype(np.int64) for x in (n_a, n_b)]
+        return flat[is_a], flat[is_b], *many
 
 
 def pieces_of(text: str) -> list[str]:
@@ -197,9 +214,7 @@ class Lot:
     """A lot's tokens, groups and links; documents are spans of each."""
 
     def __init__(self, model: Both, texts: list[str], scope: str) -> None:
-        made = model.encode(texts)
-        self.a, self.b = (np.concatenate([m[s] for m in made]) for s in (0, 1))
-        self.n_a, self.n_b = (np.array([len(m[s]) for m in made]) for s in (0, 1))
+        self.a, self.b, self.n_a, self.n_b = model.encode(texts)
         self.ends_a, self.ends_b = ends_of(model.len_a[self.a]), ends_of(model.len_b[self.b])
         size = np.r_[0, self.ends_a][np.cumsum(self.n_a)]  # bytes up to the end of each document
         self.cuts, self.group_a, self.group_b = cut_groups(self.ends_a, self.ends_b)
