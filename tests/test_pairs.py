@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import matching, pairs
+from weft.operators import linear, matching, neighbours, pairs
 from weft.plans import catalogue
 
 
@@ -54,3 +54,58 @@ def test_medians_make_no_row_a_pair(spark, monkeypatch, name):
 
     monkeypatch.setattr(matching, "pair_distances", none)
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").where(F.col("dist") >= 0).count()
+
+
+def often(monkeypatch, module, run, frames):
+    """Rows that a step deals to pairs of blocks, for each cell, of each frame."""
+    monkeypatch.setattr(pairs, "LEAST", 4)
+    dealt, seen = pairs.dealt, []
+
+    def counted(points, *args):
+        out = dealt(points, *args)
+        seen.append(out.count() / points.count())
+        return out
+
+    monkeypatch.setattr(module, "dealt", counted)
+    for df in frames:
+        run(df)
+    return seen
+
+
+def test_silhouettes_deal_each_cell_as_often(spark, monkeypatch):
+    seen = often(monkeypatch, linear, lambda df: linear.silhouette(df, "cluster"), [some(spark, n)[1] for n in (300, 900)])
+    assert seen[1] <= 1.1 * seen[0]
+
+
+def test_neighbours_deal_each_cell_as_often(spark, monkeypatch):
+    seen = often(monkeypatch, neighbours, lambda df: neighbours.all_pairs(df, 3).count(), [some(spark, n)[1] for n in (300, 900)])
+    assert seen[1] <= 1.1 * seen[0]
+
+
+@pytest.mark.parametrize("held", [linear.HELD, 0])
+def test_silhouettes_of_many_labels_and_tiles(spark, monkeypatch, held):
+    monkeypatch.setattr(linear, "HELD", held)
+    monkeypatch.setattr(linear, "ROWS", 7)
+    monkeypatch.setattr(linear, "COLUMNS", 11)
+    x, df = some(spark, 220)
+    df = df.withColumn("many", F.col("cell_id") % 75).withColumn("own", F.col("cell_id"))
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    got = linear.silhouettes(df, ["cluster", "many", "own"], block=90)
+    for name, lab in (("cluster", np.arange(220) % 5), ("many", np.arange(220) % 75), ("own", np.arange(220))):
+        size = np.bincount(lab)
+        mean = np.stack([d[:, lab == c].sum(1) for c in range(len(size))], 1)
+        a = mean[np.arange(220), lab] / np.maximum(size[lab] - 1, 1)
+        rest = mean / size
+        rest[np.arange(220), lab] = np.inf
+        s = np.where(size[lab] == 1, 0, (rest.min(1) - a) / np.maximum(rest.min(1), a))
+        assert abs(got["values", name] - s.mean()) < 1e-9
+
+
+def test_neighbours_by_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 5)
+    monkeypatch.setattr(neighbours, "COLUMNS", 9)
+    x, df = some(spark, 120)
+    got = {r["cell_id"]: r["near"] for r in neighbours.merged(neighbours.all_pairs(df, 6, 16), 6).collect()}
+    for i in range(120):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        assert got[i] == [j for j in np.lexsort((np.arange(120), d)).tolist() if j != i and j % 3 == i % 3][:6]

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from .pairs import block_cells, dealt
 
 #: Genes, or cells, whose Gram matrix the driver decomposes: 4096 genes take 128 MB, 8192 cells 512 MB.
 MAX_GENES, MAX_CELLS = 4096, 8192
@@ -469,51 +470,96 @@ def project(blocks: DataFrame, mean: np.ndarray, load: np.ndarray) -> DataFrame:
     return transform(blocks, {"values": lambda y: (y - mean) @ load})
 
 
-def silhouettes(blocks: DataFrame, labels: list[str], arrays: list[str] | None = None, block: int = 1024) -> dict[tuple[str, str], float]:
+#: Labels whose sums share a row of a silhouette's exchange; cells by cells whose distances are there at once.
+LABELS, ROWS, COLUMNS = 16, 512, 2048
+
+
+def _by_label(d: np.ndarray, code: np.ndarray, width: int) -> np.ndarray:
+    """Columns of d added up by code."""
+    if width <= 64:
+        return d @ (code[:, None] == np.arange(width)).astype(float)
+    out, order = np.zeros((len(d), width)), np.argsort(code, kind="stable")
+    names, first = np.unique(code[order], return_index=True)
+    out[:, names] = np.add.reduceat(d[:, order], first, axis=1)
+    return out
+
+
+def silhouettes(blocks: DataFrame, labels: list[str], arrays: list[str] | None = None, block: int | None = None) -> dict[tuple[str, str], float]:
     """{(array, label): mean Euclidean silhouette}, exact, of several value columns and labels in one pass over pairs.
 
-    Blocks of cells meet all blocks once, whatever is asked; sums by cell and label are what leaves a task. A cell that
-    is alone with its label, or whose label is the only one, counts as 0.
+    Blocks of cells meet each other once, whatever is asked, and their distances count for both; what leaves a task is a
+    sum for each cell and label, and tasks are as many as the cores ask for (see pairs). A cell that is alone with its
+    label, or whose label is the only one, counts as 0. block: cells of a block.
     """
     arrays = arrays or ["values"]
-    n = max(1, -(-blocks.count() // block))
-    place = F.pmod(F.xxhash64("cell_id"), F.lit(n)).cast("int")
-    base = blocks.select("cell_id", *(F.col(c).cast("string").alias(f"_l{i}") for i, c in enumerate(labels)), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(arrays)), place.alias("own"))
+    base, sizes = blocks.select("cell_id", *(F.col(c).cast("string").alias(f"_n{i}") for i, c in enumerate(labels)), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(arrays))), None
     base = materialize(base, "points")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.withColumn("a", F.col("own")).withColumn("b", every).withColumn("side", F.lit(0))
-    right = base.withColumn("b", F.col("own")).withColumn("a", every).withColumn("side", F.lit(1))
-
-    def sums(table: pa.Table) -> pa.Table:
-        side, ids = table["side"].to_numpy(), table["cell_id"].to_numpy()
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out: list[list] = [[], [], [], [], []]
+    for i in range(len(labels)):  # names become numbers: from LABELS of them on another row begins
+        found = base.groupBy(F.col(f"_n{i}").alias("_name")).agg(F.count("*").alias("n")).withColumn("code", F.row_number().over(Window.orderBy("_name")) - 1)
+        found = materialize(found.withColumn("of", F.lit(i)), "labels")
+        base = base.join(found.select("_name", F.col("code").alias(f"_l{i}")), F.col(f"_n{i}").eqNullSafe(F.col("_name"))).drop("_name")
+        sizes = found if sizes is None else sizes.unionByName(found)
+    base = base.select("cell_id", *(f"_l{i}" for i in range(len(labels))), *(f"_v{i}" for i in range(len(arrays))))
+    n, kind, sums = base.count(), dict(blocks.dtypes)["cell_id"], [f"s{i}" for i in range(LABELS)]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        side, ids, one = table["side"].to_numpy(), table["cell_id"].to_numpy(), table.schema.field("cell_id").type
+        codes = [table[f"_l{i}"].to_numpy() for i in range(len(labels))]
+        p = np.flatnonzero(side == 0)
+        q = p if table["left"][0] == table["right"][0] else np.flatnonzero(side == 1)
+        there = {s: [np.unique(c[at], return_inverse=True) for c in codes] for s, at in (("p", p), ("q", q))}
+
+        def out(which: int, i: int, own: np.ndarray, names: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for c in np.unique(names // LABELS):
+                some = names // LABELS == c
+                wide = np.zeros((len(own), LABELS))
+                wide[:, names[some] % LABELS] = total[:, some]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), which, np.int32)), pa.array(ids[own], one), pa.array(codes[i][own], pa.int32()), pa.array(np.full(len(own), c, np.int32)), *(pa.array(wide[:, j].copy()) for j in range(LABELS))], ["which", "cell_id", "own", "lot", *sums])
+
+        back = q is not p and len(q) * sum(len(names) for names, _ in there["p"]) * 8 <= HELD  # else distances are taken once for each side
+        ways = [(p, q, there["p"], there["q"])] + [(q, p, there["q"], there["p"])] * (q is not p and not back)
         for v in range(len(arrays)) if len(p) and len(q) else []:
             x = matrix(table[f"_v{v}"])
-            d = np.sqrt(np.maximum((x[p] ** 2).sum(1)[:, None] + (x[q] ** 2).sum(1) - 2 * x[p] @ x[q].T, 0))
-            for i in range(len(labels)):
-                names = table[f"_l{i}"].to_numpy()
-                for lab in sorted(set(names[q])):
-                    for held, some in zip(out, ([v * len(labels) + i] * len(p), ids[p].tolist(), names[p].tolist(), [lab] * len(p), d[:, names[q] == lab].sum(1).tolist()), strict=True):
-                        held += some
-        kinds = pa.int32(), table.schema.field("cell_id").type, pa.string(), pa.string(), pa.float64()
-        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["which", "cell_id", "own", "other", "s"])
-
-    kind = dict(blocks.dtypes)["cell_id"]
-    parts = left.unionByName(right).drop("own").groupBy("a", "b").applyInArrow(sums, f"which int, cell_id {kind}, own string, other string, s double")
-    sizes = None
-    for w in range(len(arrays) * len(labels)):
-        one = base.groupBy(F.col(f"_l{w % len(labels)}").alias("other")).agg(F.count("*").alias("n")).withColumn("which", F.lit(w))
-        sizes = one if sizes is None else sizes.unionByName(one)
-    dist = parts.groupBy("which", "cell_id", "own", "other").agg(F.sum("s").alias("s")).join(sizes, ["which", "other"])
-    mine = F.col("own") == F.col("other")
-    per = dist.groupBy("which", "cell_id").agg(F.max(F.when(mine, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.max(F.when(mine, F.col("n"))).alias("n"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
+            square = (x**2).sum(1)
+            for own, other, by_own, by_other in ways:
+                held = [np.zeros((len(other), len(names))) for names, _ in by_own] if back else []
+                for a in range(0, len(own), ROWS):
+                    at = own[a : a + ROWS]
+                    total = [np.zeros((len(at), len(names))) for names, _ in by_other]
+                    for b in range(0, len(other), COLUMNS):
+                        to = other[b : b + COLUMNS]
+                        d = np.sqrt(np.maximum(square[at][:, None] + square[to] - 2 * x[at] @ x[to].T, 0))
+                        if q is p:
+                            d[at[:, None] == to] = 0
+                        for i, t in enumerate(total):
+                            t += _by_label(d, by_other[i][1][b : b + COLUMNS], t.shape[1])
+                        for i, t in enumerate(held):
+                            t[b : b + COLUMNS] += _by_label(d.T, by_own[i][1][a : a + ROWS], t.shape[1])
+                    for i, t in enumerate(total):
+                        yield from out(v * len(labels) + i, i, at, by_other[i][0], t)
+                for i, t in enumerate(held):
+                    for b in range(0, len(other), COLUMNS):
+                        yield from out(v * len(labels) + i, i, other[b : b + COLUMNS], by_own[i][0], t[b : b + COLUMNS])
+
+    dealt_out = dealt(base.withColumn("_all", F.lit(0)), {0: n}, False, block or block_cells(base, n, "_v0"), "_all") if n else None
+    if dealt_out is None:
+        return {}
+    parts = dealt_out.groupBy("left", "right").applyInArrow(part, f"which int, cell_id {kind}, own int, lot int, " + ", ".join(f"{c} double" for c in sums))
+    total = parts.groupBy("which", "cell_id", "own", "lot").agg(*(F.sum(c).alias(c) for c in sums))
+    rows = sizes.groupBy(F.col("of"), F.floor(F.col("code") / LABELS).cast("int").alias("lot")).agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("there"))
+    known = total.withColumn("of", F.col("which") % len(labels)).join(rows, ["of", "lot"])
+    each = F.zip_with("there", F.slice(F.array(*sums), 1, F.size("there")), lambda t, s: F.struct((t["code"] == F.col("own")).alias("mine"), t["n"].alias("n"), s.alias("s")))
+    known = known.select("which", "cell_id", each.alias("each"))
+    mine, rest = F.filter("each", lambda x: x["mine"]), F.filter("each", lambda x: ~x["mine"])
+    known = known.select("which", "cell_id", F.get(mine, F.lit(0)).alias("m"), F.array_min(F.transform(rest, lambda x: x["s"] / x["n"])).alias("b"))
+    per = known.groupBy("which", "cell_id").agg(F.max(F.col("m.s") / F.greatest(F.col("m.n") - 1, F.lit(1))).alias("a"), F.max("m.n").alias("n"), F.min("b").alias("b"))
     top = F.greatest("a", "b")
     value = F.when((F.col("n") == 1) | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.when(top != 0, top))
     return {(arrays[r["which"] // len(labels)], labels[r["which"] % len(labels)]): r["v"] for r in per.groupBy("which").agg(F.avg(value).alias("v")).collect()}
 
 
-def silhouette(blocks: DataFrame, label: str, block: int = 1024) -> float:
+def silhouette(blocks: DataFrame, label: str, block: int | None = None) -> float:
     """Mean Euclidean silhouette, exact."""
     return silhouettes(blocks, [label], block=block)["values", label]
 
