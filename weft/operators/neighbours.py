@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 from .linear import fields, lists, matrix
+from .pairs import block_cells, dealt
 
-#: Cells of a batch that the cuts of its trees are taken from; rows of a block; members of a group of an exchange.
-SAMPLE, BLOCK, GROUP = 4096, 1024, 128
+#: Cells of a batch that the cuts of its trees are taken from; members of a group of an exchange.
+SAMPLE, GROUP = 4096, 128
+#: Cells by cells that all pairs compare at once.
+ROWS, COLUMNS = 512, 4096
 TREES, LEAF = 12, 256
 #: Directions of a level; nodes beyond share them.
 WAYS = 64
@@ -55,22 +58,40 @@ def _schema(points: DataFrame) -> str:
     return f"batch {kind['batch']}, cell_id {kind['cell_id']}, other {kind['cell_id']}, dist double"
 
 
-def all_pairs(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """Candidates (batch, cell_id, other, dist): each cell's k nearest in every block of its batch."""
-    parts = points.groupBy("batch").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    own = points.join(parts, "batch").withColumn("own", F.pmod(F.xxhash64("cell_id"), F.col("parts")).cast("int"))
-    all_ = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = own.select("batch", "cell_id", "values", F.col("own").alias("a"), all_.alias("b"), F.lit(0).alias("side"))
-    right = own.select("batch", "cell_id", "values", all_.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"))
+def all_pairs(points: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """Candidates (batch, cell_id, other, dist): each cell's k nearest in every block of its batch.
 
-    def pair(table: pa.Table) -> pa.Table:
-        side, ids, x = table["side"].to_numpy(), table["cell_id"].to_numpy(), matrix(table["values"])
-        p, q = side == 0, side == 1
-        kind = table.schema.field("cell_id").type
-        row, other, d = _top(x[p], ids[p], x[q], ids[q], k) if p.any() and q.any() else (np.zeros(0, int), ids[:0], np.zeros(0))
-        return _rows(table, kind, ids[p][row], other, d, table["batch"][0].as_py())
+    Two blocks meet once, for the neighbours of both; see pairs. block: cells of a block.
+    """
+    cells = points.select("batch", "cell_id", "values")
+    sizes = {r["batch"]: r["n"] for r in cells.groupBy("batch").agg(F.count("*").alias("n")).collect()}
 
-    return left.unionByName(right).groupBy("batch", "a", "b").applyInArrow(pair, _schema(points))
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        side, ids, x = table["side"].to_numpy(), table["cell_id"].to_numpy(), matrix(table["values"])
+        p = np.flatnonzero(side == 0)
+        q = p if table["left"][0] == table["right"][0] else np.flatnonzero(side == 1)
+        kind, batch = table.schema.field("cell_id").type, table["batch"][0].as_py()
+        for own, other in ([(p, p)] if q is p else [(p, q), (q, p)]) if len(p) and len(q) else []:
+            for i in range(0, len(own), ROWS):
+                at = own[i : i + ROWS]
+                row, near, d = _near(x[at], ids[at], x[other], ids[other], k)
+                yield from _rows(table, kind, ids[at][row], near, d, batch).to_batches()
+
+    sides = dealt(cells, sizes, False, block or block_cells(cells, sum(sizes.values())))
+    return sides.groupBy("left", "right").applyInArrow(pair, _schema(points))
+
+
+def _near(x: np.ndarray, ids: np.ndarray, y: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_top of few rows among many, COLUMNS at a time: the nearest of each lot, and the nearest of those."""
+    lots = [_top(x, ids, y[j : j + COLUMNS], other[j : j + COLUMNS], k) for j in range(0, len(y), COLUMNS)]
+    if len(lots) == 1:
+        return lots[0]
+    row, near, d = (np.concatenate(c) for c in zip(*lots, strict=True))
+    order = np.lexsort((near, d, row))
+    row, near, d = row[order], near[order], d[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(x)))[row] < k
+    return row[keep], near[keep], d[keep]
 
 
 def _cuts(points: DataFrame, trees: int, leaf: int, seed: int) -> dict:
