@@ -13,8 +13,9 @@ def adjusted_stream(cells: DataFrame, merged: BulkMerge, k: int = 20) -> DataFra
 
 
 def cell_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
-    """A stream of the Parquet files of a folder whose names match the pattern."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    """A stream of the Parquet files below folder whose names match the pattern; a table in part files is a folder of that name."""
+    found = pattern if any(c in pattern for c in "*?[{") else f"{pattern[:-1]}[{pattern[-1]}]"  # a stream's path is a folder or a pattern
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{found}")
 
 
 def run_once(stream: DataFrame, folder: str) -> DataFrame:
