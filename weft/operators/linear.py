@@ -28,8 +28,9 @@ SOLVERS = ("exact", "random", "lanczos")
 HELD = 64 << 20
 #: Subspace iteration: directions beyond those asked for, passes of the random solver, and when the exact one has settled.
 SPARE, PASSES, SETTLED, MOST_PASSES = 12, 4, 1e-9, 200
-#: Residual of an eigenpair, against the largest value, at which Lanczos ends: values are right to about its square.
-LANCZOS_SETTLED = 1e-10
+#: Residual of an eigenpair, against the largest value, at which Lanczos ends: values are right to about its square, but vectors
+#: only to it (over the gap to the next value), and adjusted values with them.
+LANCZOS_SETTLED = 1e-13
 FLOATS = pa.list_(pa.float64())
 Prep = Callable[[np.ndarray], np.ndarray]
 
