@@ -223,7 +223,7 @@ def fit(rows: DataFrame, n: int, replicate: str, controls: np.ndarray, sd: np.nd
     if solver == "exact" and n <= MAX_GENES:
         return linear.factors(gram(held, n, m // n) * by[:, None] * by, most)
     apply = lambda q: by[:, None] * gram_times(held, by[:, None] * q)
-    value, vector = linear.leading(apply, n, most, True) if solver == "random" else linear.lanczos(apply, n, most)[:2]
+    value, vector = linear.leading(apply, n, most, True) if solver == "random" else linear.lanczos(apply, n, most, settled=linear.FIT_SETTLED)[:2]
     keep = value > 1e-16 * max(value[0], 1e-300)
     return np.sqrt(value[keep])[:, None] * vector[:, keep].T
 
