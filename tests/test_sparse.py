@@ -130,3 +130,41 @@ def test_lanczos_on_a_table(spark):
     size = lambda a: np.sqrt((a**2).sum(1))
     assert np.allclose(size(exact), size(quick), rtol=1e-6)
     assert np.allclose(np.abs((exact * quick).sum(1)), size(exact) ** 2, rtol=1e-5)
+
+
+def test_joins_of_lines_keep_to_their_partitions(spark, monkeypatch):
+    want = V.counts(spark, DIR, True)
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").count()
+    assert V.parts_of(spark.range(lines)) is None  # a core's share is small
+    monkeypatch.setattr(V, "ROWS", 300)
+    got = V.counts(spark, DIR, True)
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 0
+    assert got.rdd.getNumPartitions() == -(-lines // 300) > 4
+    assert V.supplier_counts(spark, DIR).rdd.getNumPartitions() >= -(-lines // 300)
+
+
+def test_gathered_counts_are_the_sparse_rows(spark, monkeypatch):
+    from weft.plans import catalogue
+
+    lg = V.counts(spark, DIR, True).withColumn("value", F.log2(F.col("value") + 1)).join(V.customers(spark, DIR), "cell_id")
+    monkeypatch.setattr(V, "ROWS", 300)
+    rows, names = catalogue._sparse_counts(spark, DIR)
+    assert names == sorted(r[0] for r in lg.select("gene_id").distinct().collect())
+    genes = spark.createDataFrame(list(enumerate(names)), "pos int, gene_id string")
+    want = sparse.sparse_rows(lg, genes, "batch", "cell_type")
+    assert rows.columns == want.columns and rows.exceptAll(want).isEmpty() and rows.count() == want.count() > 0
+
+
+def test_positions_close_up_where_genes_were_never_bought(spark, tmp_path):
+    from weft.plans import catalogue
+
+    for t in ("customer", "orders", "lineitem", "part", "nation", "region"):
+        df = spark.read.parquet(f"{DIR}/{t}.parquet")
+        df = df.join(spark.read.parquet(f"{DIR}/part.parquet").where("p_brand like 'Brand#2%'").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti").select(df.columns) if t == "lineitem" else df
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    rows, names = catalogue._sparse_counts(spark, f"file://{tmp_path}")
+    assert names and not any(n.startswith("Brand#2") for n in names)
+    long = rows.select("cell_id", F.explode(F.arrays_zip("pos", "val")).alias("x")).select("cell_id", F.col("x.pos").alias("pos"), F.col("x.val").alias("v"))
+    named = long.join(spark.createDataFrame(list(enumerate(names)), "pos int, gene_id string"), "pos").select("cell_id", "gene_id", F.round("v", 9))
+    want = V.counts(spark, f"file://{tmp_path}", True).select("cell_id", "gene_id", F.round(F.log2(F.col("value") + 1), 9))
+    assert named.exceptAll(want).isEmpty() and named.count() == want.count() > 0

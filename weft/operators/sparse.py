@@ -34,6 +34,11 @@ PAIRS = 2 << 20
 def sparse_rows(expr: DataFrame, genes: DataFrame, *keep: str) -> DataFrame:
     """Long rows as (cell_id, keep, pos, val). genes(gene_id, pos int): the place of each gene that takes part."""
     named = expr.join(genes.select("gene_id", "pos"), "gene_id").groupBy("cell_id", *keep, "pos").agg(F.sum(F.col("value").cast("double")).alias("v")).where("v <> 0")
+    return gathered(named, *keep)
+
+
+def gathered(named: DataFrame, *keep: str) -> DataFrame:
+    """named(cell_id, keep, pos, v), each position once, as (cell_id, keep, pos, val)."""
     got = named.groupBy("cell_id", *keep).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("_at"))
     return got.select("cell_id", *keep, F.col("_at.pos").alias("pos"), F.col("_at.v").alias("val"))
 

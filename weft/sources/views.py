@@ -24,20 +24,49 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("values"), (F.col("vec_id") % 3).alias("batch"), F.col("label").alias("cell_type"))
 
 
-def counts(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
-    """Quantities that customers bought by brand (by_type: by brand and type): whole numbers, zeros left out."""
+#: Lines that a partition of a join or a sum holds at most, however many lines there are.
+ROWS = 1 << 19
+
+
+def parts_of(lines: DataFrame) -> int | None:
+    """Partitions of ROWS lines; None where a core's share is less, and Spark's own number does."""
+    n = -(-lines.count() // ROWS)
+    return n if n > lines.sparkSession.sparkContext.defaultParallelism else None
+
+
+def spread(df: DataFrame, parts: int | None, key: str) -> DataFrame:
+    return df.repartition(parts, key) if parts else df
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str, other: str, parts: int | None) -> DataFrame:
+    """An inner join whose tasks sort ROWS lines: partitions are not put together again by their compressed bytes."""
+    return spread(left, parts, key).join(spread(right, parts, other), F.col(key) == F.col(other))
+
+
+def _genes(spark: SparkSession, sf_dir: str, by_type: bool, genes: DataFrame | None) -> DataFrame:
     gene = F.concat_ws("|", "p_brand", "p_type") if by_type else F.col("p_brand")
+    part = table(spark, sf_dir, "part").select("p_partkey", gene.alias("gene_id"))
+    return part if genes is None else part.join(F.broadcast(genes), "gene_id").drop("gene_id")
+
+
+def counts(spark: SparkSession, sf_dir: str, by_type: bool = False, genes: DataFrame | None = None) -> DataFrame:
+    """Quantities that customers bought by brand (by_type: by brand and type): whole numbers, zeros left out.
+
+    genes(gene_id, pos): numbers that stand for the names, as pos instead of gene_id.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", gene.alias("gene_id"))
-    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(part, lines["l_partkey"] == part["p_partkey"])
-    return joined.groupBy(F.col("o_custkey").alias("cell_id"), "gene_id").agg(F.sum("l_quantity").alias("value"))
+    part, parts = _genes(spark, sf_dir, by_type, genes), parts_of(lines)
+    bought = _joined(lines, orders, "l_orderkey", "o_orderkey", parts).select("o_custkey", "l_partkey", "l_quantity")
+    joined = _joined(bought, part, "l_partkey", "p_partkey", parts).select(F.col("o_custkey").alias("cell_id"), "gene_id" if genes is None else "pos", "l_quantity")
+    return spread(joined, parts, "cell_id").groupBy(*joined.columns[:2]).agg(F.sum("l_quantity").alias("value"))
 
 
 def supplier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
-    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_type").alias("gene_id"))
-    return lines.join(part, lines["l_partkey"] == part["p_partkey"]).groupBy(F.col("l_suppkey").alias("cell_id"), "gene_id").agg(F.sum("l_quantity").alias("value"))
+    parts = parts_of(lines)
+    joined = _joined(lines, _genes(spark, sf_dir, True, None), "l_partkey", "p_partkey", parts).select(F.col("l_suppkey").alias("cell_id"), "gene_id", "l_quantity")
+    return spread(joined, parts, "cell_id").groupBy("cell_id", "gene_id").agg(F.sum("l_quantity").alias("value"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
