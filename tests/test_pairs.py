@@ -38,6 +38,34 @@ def test_pairs_by_small_blocks_and_tiles(spark, monkeypatch, metric):
     assert all((r["batch1"], r["cluster1"], r["batch2"], r["cluster2"]) == (r["cell1"] % 3, r["cell1"] % 5, r["cell2"] % 3, r["cell2"] % 5) for r in got)
 
 
+@pytest.mark.parametrize("metric", matching.METRICS)
+def test_distances_in_order_are_the_same(monkeypatch, metric):
+    for name, n in (("ROWS", 4), ("COLUMNS", 8), ("PAIRS", 64)):
+        monkeypatch.setattr(matching, name, n)
+    rng = np.random.default_rng(3)
+    p, q = (matching.unit(rng.normal(size=(n, 5)) / 5, metric) for n in (24, 48))
+    want = matching.distances(p, q, metric)
+    for digits, ordered in ((0, True), (9, False), (18, False)):  # few values; each its own; numbers too large to go beside a place
+        got = list(matching._in_order(p, q, metric, digits))
+        i, j, d = (np.concatenate(c) for c in zip(*got, strict=True))
+        assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(d) == want.size and np.allclose(d, want[i, j])
+        assert ordered == any((np.diff(a * 48 + b) < 0).any() for a, b, _ in got)
+        assert not ordered or all((np.diff(np.rint(v)) >= 0).all() for *_, v in got)
+    assert not list(matching._in_order(p[:0], q, metric, 2)) and not list(matching._in_order(p, q[:0], metric, 2))
+    assert matching._order(np.array([np.nan] * 9), 6) is None
+
+
+@pytest.mark.parametrize("name, apart", [("pairwise_cor_dist", 0.06)])
+def test_a_pair_takes_less_than_its_distance_in_a_file(spark, tmp_path, name, apart):
+    n = 2040
+    x = np.array([0.3, 0.0] * 4) + np.random.default_rng(5).normal(size=(n, 8)) * apart  # a distance of 6 digits comes several times, as among many cells
+    spark.createDataFrame([(i // 2 * 3 + i % 2, [float(v) for v in r], i % 7) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    catalogue.queries()[name](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.select("cell1", "cell2").distinct().count() == (n // 2) ** 2
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 8 * (n // 2) ** 2
+
+
 def test_medians_of_ties_at_edges_of_bins(spark):
     rows = [(i, [float(i // 2 % 5), 0.0], i % 2, 0) for i in range(60)]  # distances 0, 1, 2, 3, 4
     df = spark.createDataFrame(rows, "cell_id long, values array<double>, batch int, cluster int")

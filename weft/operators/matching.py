@@ -17,6 +17,8 @@ from .pairs import block_cells, dealt
 METRICS = ("cor", "cosine", "euclidean")
 #: Cells by cells whose distances are there at once.
 ROWS, COLUMNS = 256, 2048
+#: Distances that are put in order at once (a power of two); how often a value has to be among them for that.
+PAIRS, REPEATS = 1 << 24, 4
 
 
 def unit(x: np.ndarray, metric: str) -> np.ndarray:
@@ -69,6 +71,42 @@ def _tiles(p: np.ndarray, q: np.ndarray, metric: str) -> Iterator[tuple[int, int
             yield i, j, d
 
 
+def _in_order(p: np.ndarray, q: np.ndarray, metric: str, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of p, rows of q, distances) of ready values, PAIRS at most in order of the distances rounded to digits.
+
+    Where few of them are equal, they come by rows of p.
+    """
+    wide = max(1, min(len(q), PAIRS // ROWS))
+    high = max(1, PAIRS // wide // ROWS) * ROWS
+    for i in range(0, len(p), high):
+        for j in range(0, len(q), wide):
+            some, other = p[i : i + high], q[j : j + wide]
+            d = np.empty((len(some), len(other)))
+            for k, m, tile in _tiles(some, other, metric):
+                d[k : k + tile.shape[0], m : m + tile.shape[1]] = tile
+            d = d.ravel()
+            at = _order(d, digits)
+            for k in range(0, len(d), ROWS * COLUMNS):
+                some_at = np.arange(k, min(k + ROWS * COLUMNS, len(d))) if at is None else at[k : k + ROWS * COLUMNS]
+                yield i + some_at // len(other), j + some_at % len(other), d[some_at]
+
+
+def _order(d: np.ndarray, digits: int) -> np.ndarray | None:
+    """Places of at most PAIRS distances by their rounded values; None if those repeat too seldom or don't fit beside a place."""
+    at, lot = np.empty(len(d), np.int64), ROWS * COLUMNS
+    for k in range(0, len(d), lot):
+        key = np.rint(d[k : k + lot] * 10.0**digits)
+        if not key.max() < 2**63 // PAIRS:
+            return None
+        at[k : k + lot] = key.astype(np.int64) * PAIRS + np.arange(k, k + len(key))
+    at.sort()
+    values = 1 + sum(int(np.count_nonzero(np.diff(at[k : k + lot + 1] // PAIRS))) for k in range(0, len(at), lot))
+    if values * REPEATS > len(at):
+        return None
+    at %= PAIRS
+    return at
+
+
 def _kinds(blocks: DataFrame) -> tuple[dict, str]:
     kind = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     return kind, f"batch1 {kind['batch']}, cluster1 {kind['cluster']}, batch2 {kind['batch']}, cluster2 {kind['cluster']}"
@@ -86,24 +124,28 @@ def _by_batch(sizes: dict) -> dict:
     return dict(out)
 
 
-def pair_distances(blocks: DataFrame, metric: str = "cor", block: int | None = None) -> DataFrame:
+def pair_distances(blocks: DataFrame, metric: str = "cor", block: int | None = None, digits: int | None = None) -> DataFrame:
     """(batch1, cluster1, batch2, cluster2, cell1, cell2, dist) of all cells of different batches, batch1 < batch2.
 
     blocks(cell_id, batch, cluster, values). A pair of blocks is a task, which gives its rows out tile by tile. block: cells of
-    a block; see pairs.block_cells.
+    a block; see pairs.block_cells. digits: for who rounds the distances to so many: equal ones come together, as far as they
+    are in a task at once, which takes less room in a file than rows by cells, whose distances don't compress.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
     kind, keys = _kinds(blocks)
     names = ["batch1", "cluster1", "batch2", "cluster2", "cell1", "cell2", "dist"]
 
+    def by_cells(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j, d in _tiles(p, q, metric):
+            yield np.repeat(np.arange(i, i + d.shape[0]), d.shape[1]), np.tile(np.arange(j, j + d.shape[1]), d.shape[0]), d.ravel()
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         types = [table.schema.field(c).type for c in ("batch", "cluster", "batch", "cluster", "cell_id", "cell_id")] + [pa.float64()]
         (ids1, b1, c1, p, _), (ids2, b2, c2, q, _) = _halves(table, metric)
-        for i, j, d in _tiles(p, q, metric):
-            at, to = np.repeat(np.arange(i, i + d.shape[0]), d.shape[1]), np.tile(np.arange(j, j + d.shape[1]), d.shape[0])
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((b1[at], c1[at], b2[to], c2[to], ids1[at], ids2[to], d.ravel()), types, strict=True)], names)
+        for at, to, d in by_cells(p, q) if digits is None else _in_order(p, q, metric, digits):
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((b1[at], c1[at], b2[to], c2[to], ids1[at], ids2[to], d), types, strict=True)], names)
 
     return _sides(blocks, _by_batch(_sizes(blocks)), block).groupBy("left", "right").applyInArrow(rows, f"{keys}, cell1 {kind['cell_id']}, cell2 {kind['cell_id']}, dist double")
 
