@@ -55,7 +55,7 @@ def test_distances_in_order_are_the_same(monkeypatch, metric):
     assert matching._order(np.array([np.nan] * 9), 6) is None
 
 
-@pytest.mark.parametrize("name, apart", [("pairwise_cor_dist", 0.06), ("pairwise_euclidean_dist", 0.02)])
+@pytest.mark.parametrize("name, apart", [("pairwise_cor_dist", 0.06), ("pairwise_cosine_dist", 0.06), ("pairwise_euclidean_dist", 0.02)])
 def test_a_pair_takes_less_than_its_distance_in_a_file(spark, tmp_path, name, apart):
     n = 2040
     x = np.array([0.3, 0.0] * 4) + np.random.default_rng(5).normal(size=(n, 8)) * apart  # a distance of 6 digits comes several times, as among many cells
